@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.operators import stats
+from tablescope.operators import profile, stats
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
@@ -103,6 +103,152 @@ def q_value_counts(spark, d):
     return stats.value_counts(load(spark, d, "orders"), "o_orderpriority", 20)
 
 
+# ---------------------------------------------------------------- derived views (FIXTURES.md)
+_GAPPED_COLS = {
+    "o_orderkey": "o_orderkey",
+    "o_custkey": "o_custkey",
+    "o_orderstatus": "CASE WHEN o_orderkey % 5 = 0 THEN concat('  ', o_orderstatus, ' ') ELSE o_orderstatus END",
+    "o_totalprice": "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END",
+    "o_orderdate": "o_orderdate",
+    "o_orderpriority": "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END",
+}
+GAPPED = "(SELECT " + ", ".join(f"{e} AS {c}" for c, e in _GAPPED_COLS.items()) + " FROM orders)"
+
+
+def gapped_orders(spark, d):
+    """orders with numeric gaps, text gaps and padded text (no rows dropped)."""
+    return load(spark, d, "orders").select(*[F.expr(e).alias(c) for c, e in _GAPPED_COLS.items()])
+
+
+def _union_sql(parts):
+    return "\nUNION ALL\n".join(parts)
+
+
+# ---------------------------------------------------------------- P1-P7: profiling
+_GAPPED_TYPES = [("o_orderkey", "bigint", "numeric"), ("o_custkey", "bigint", "numeric"),
+                 ("o_orderstatus", "string", "text"), ("o_totalprice", "double", "numeric"),
+                 ("o_orderdate", "timestamp_ntz", "datetime"), ("o_orderpriority", "string", "text")]
+
+
+@register("profile_overview", _union_sql([
+    f"SELECT {i} AS position, '{c}' AS column, '{t}' AS dtype, '{k}' AS type_class, "
+    f"count({c}) AS non_null, count(*) - count({c}) AS nulls FROM {GAPPED}"
+    for i, (c, t, k) in enumerate(_GAPPED_TYPES)]))
+def q_profile_overview(spark, d):
+    return profile.overview(gapped_orders(spark, d))
+
+
+@register("profile_missing", "SELECT * FROM (" + _union_sql([
+    f"SELECT {i} AS position, '{c}' AS column, count(*) - count({c}) AS missing, "
+    f"{_r(f'100.0 * (count(*) - count({c})) / count(*)', 2)} AS missing_pct FROM {GAPPED}"
+    for i, (c, t, k) in enumerate(_GAPPED_TYPES)]) + ") WHERE missing > 0")
+def q_profile_missing(spark, d):
+    return profile.missing(gapped_orders(spark, d))
+
+
+@register("profile_duplicates", f"""
+WITH g AS (SELECT count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus, l_quantity)
+SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows,
+       {_r("100.0 * sum(n - 1) / sum(n)", 1)} AS duplicate_pct FROM g""")
+def q_profile_duplicates(spark, d):
+    li = load(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
+    return profile.duplicates(li)
+
+
+_LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+           "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LI_CENTS = {"l_quantity", "l_extendedprice", "l_discount", "l_tax"}
+
+
+def _lineitem_cents(spark, d):
+    li = load(spark, d, "lineitem")
+    return li.select(*[_cents(c) if c in _LI_CENTS else F.col(c) for c in li.columns])
+
+
+def _exact_sql(c):
+    return f"CAST({c} AS DECIMAL(18,2))" if c in _LI_CENTS else f"CAST({c} AS DECIMAL(38,0))"
+
+
+def _mean_sql(x):
+    return f"CAST(sum({x}) AS DOUBLE) / count({x})"
+
+
+def _std_sql(x):
+    return (f"CASE WHEN count({x}) < 2 THEN NULL ELSE sqrt(CAST(count({x}) * sum({x} * {x}) - sum({x}) * sum({x}) AS DOUBLE)"
+            f" / CAST(count({x}) * (count({x}) - 1) AS DOUBLE)) END")
+
+
+@register("describe_numeric", _union_sql([
+    f"SELECT '{c}' AS column, count(x) AS count, {_mean_sql('x')} AS mean, {_std_sql('x')} AS std, "
+    f"CAST(min(x) AS DOUBLE) AS min, quantile_cont(CAST(x AS DOUBLE), 0.25) AS p25, "
+    f"quantile_cont(CAST(x AS DOUBLE), 0.5) AS p50, quantile_cont(CAST(x AS DOUBLE), 0.75) AS p75, "
+    f"CAST(max(x) AS DOUBLE) AS max FROM (SELECT {_exact_sql(c)} AS x FROM lineitem)"
+    for c in _LI_NUM]))
+def q_describe_numeric(spark, d):
+    return profile.describe_numeric(_lineitem_cents(spark, d), _LI_NUM)
+
+
+_TEXT_SQL = """SELECT '{c}' AS column, (SELECT count({c}) FROM {t}) AS count,
+  (SELECT count(DISTINCT {c}) FROM {t}) AS unique,
+  (SELECT {c} FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS top,
+  (SELECT count(*) FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS freq"""
+
+
+@register("describe_text", _union_sql([_TEXT_SQL.format(c=c, t=GAPPED)
+                                       for c in ("o_orderstatus", "o_orderpriority")]))
+def q_describe_text(spark, d):
+    return profile.describe_text(gapped_orders(spark, d))
+
+
+@register("column_profile", f"""
+SELECT 'o_totalprice' AS column, 'double' AS dtype, count(DISTINCT o_totalprice) AS distinct,
+  count(*) - count(o_totalprice) AS nulls, {_r("100.0 * (count(*) - count(o_totalprice)) / count(*)", 1)} AS null_pct,
+  count(*) AS rows, count(o_totalprice) AS count, {_r("avg(o_totalprice)", 6)} AS mean,
+  {_r("stddev_samp(o_totalprice)", 6)} AS std, min(o_totalprice) AS min,
+  quantile_cont(o_totalprice, 0.25) AS p25, quantile_cont(o_totalprice, 0.5) AS p50,
+  quantile_cont(o_totalprice, 0.75) AS p75, max(o_totalprice) AS max
+FROM {GAPPED}""")
+def q_column_profile(spark, d):
+    out = profile.column_profile(gapped_orders(spark, d), "o_totalprice")
+    return out.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+
+
+@register("column_top_values", f"""
+SELECT o_orderpriority, count(*) AS count FROM {GAPPED} WHERE o_orderpriority IS NOT NULL
+GROUP BY o_orderpriority ORDER BY count DESC, o_orderpriority LIMIT 10""")
+def q_column_top_values(spark, d):
+    return profile.top_values(gapped_orders(spark, d), "o_orderpriority", 10)
+
+
+@register("column_samples", f"""
+SELECT o_totalprice FROM {GAPPED} WHERE o_totalprice IS NOT NULL ORDER BY o_totalprice LIMIT 10""")
+def q_column_samples(spark, d):
+    return profile.samples(gapped_orders(spark, d), "o_totalprice", 10)
+
+
+@register("schema_map", _union_sql([
+    f"SELECT {i} AS position, '{c}' AS column, '{t}' AS dtype, '{k}' AS type_class, "
+    f"count(DISTINCT {c}) AS distinct, count(*) - count({c}) AS missing, "
+    f"{_r(f'100.0 * (count(*) - count({c})) / count(*)', 1)} AS missing_pct, "
+    + (f"{_r(f'CAST(min({c}) AS DOUBLE)', 2)} AS min, {_r(f'CAST(max({c}) AS DOUBLE)', 2)} AS max, "
+       f"{_r(f'avg({c})', 2)} AS mean " if k == "numeric" else
+       "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS mean ")
+    + f"FROM {GAPPED}"
+    for i, (c, t, k) in enumerate(_GAPPED_TYPES)]))
+def q_schema_map(spark, d):
+    return profile.schema_map(gapped_orders(spark, d))
+
+
+@register("completeness", f"""
+SELECT count(*) AS rows, 6 AS columns, count(*) * 6 AS cells,
+  count(o_orderkey) + count(o_custkey) + count(o_orderstatus) + count(o_totalprice)
+    + count(o_orderdate) + count(o_orderpriority) AS non_null_cells,
+  {_r("100.0 * (count(o_orderkey) + count(o_custkey) + count(o_orderstatus) + count(o_totalprice) + count(o_orderdate) + count(o_orderpriority)) / (count(*) * 6)", 2)} AS completeness_pct
+FROM {GAPPED}""")
+def q_completeness(spark, d):
+    return profile.completeness(gapped_orders(spark, d))
+
+
 # ---------------------------------------------------------------- driver API
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: grouped sum of l_extendedprice by l_returnflag on sf0.001."""
