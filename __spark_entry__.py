@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.operators import profile, stats
+from tablescope.operators import outliers, profile, stats
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
@@ -249,6 +249,95 @@ def q_completeness(spark, d):
     return profile.completeness(gapped_orders(spark, d))
 
 
+# ---------------------------------------------------------------- O1-O6: outliers (events.value)
+def _event_values(spark, d):
+    return load(spark, d, "events").select("event_id", _cents("value"))
+
+
+_EV = f"""v AS (SELECT event_id, CAST(value AS DECIMAL(18,2)) AS x FROM events WHERE value IS NOT NULL),
+s AS (SELECT count(x) AS n, {_mean_sql('x')} AS m, {_std_sql('x')} AS sd,
+             CAST(min(x) AS DOUBLE) AS lo, CAST(max(x) AS DOUBLE) AS hi,
+             quantile_cont(CAST(x AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(x AS DOUBLE), 0.75) AS q3 FROM v),
+f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lb, q3 + 1.5 * (q3 - q1) AS ub FROM s),
+z AS (SELECT CAST(x AS DOUBLE) AS value, abs(CAST(x AS DOUBLE) - m) AS dev FROM v, f
+      WHERE abs((CAST(x AS DOUBLE) - m) / sd) > 3),
+q AS (SELECT CAST(x AS DOUBLE) AS value, greatest(lb - CAST(x AS DOUBLE), CAST(x AS DOUBLE) - ub) AS dev
+      FROM v, f WHERE CAST(x AS DOUBLE) < lb OR CAST(x AS DOUBLE) > ub)"""
+
+
+@register("outlier_stats", f"""
+WITH {_EV}
+SELECT 'value' AS column, n AS count, {_r('m', 3)} AS mean, {_r('sd', 3)} AS std,
+       {_r('lo', 3)} AS min, {_r('hi', 3)} AS max FROM f""")
+def q_outlier_stats(spark, d):
+    return outliers.outlier_stats(_event_values(spark, d), "value")
+
+
+@register("outliers_zscore", f"""
+WITH {_EV}, a AS (SELECT count(*) AS c, min(value) AS mn, max(value) AS mx FROM z)
+SELECT 'value' AS column, 'zscore' AS method, n AS count, {_r('m', 3)} AS mean, {_r('sd', 3)} AS std,
+       c AS outliers, {_r('100.0 * c / n', 2)} AS outlier_pct, {_r('mn', 3)} AS range_min,
+       {_r('mx', 3)} AS range_max FROM f, a""")
+def q_outliers_zscore(spark, d):
+    return outliers.zscore_outliers(_event_values(spark, d), "value")
+
+
+@register("outliers_iqr", f"""
+WITH {_EV}, a AS (SELECT count(*) AS c, min(value) AS mn, max(value) AS mx FROM q)
+SELECT 'value' AS column, 'iqr' AS method, n AS count, {_r('q1', 3)} AS q1, {_r('q3', 3)} AS q3,
+       {_r('iqr', 3)} AS iqr, {_r('lb', 3)} AS lower_bound, {_r('ub', 3)} AS upper_bound,
+       c AS outliers, {_r('100.0 * c / n', 2)} AS outlier_pct, {_r('mn', 3)} AS range_min,
+       {_r('mx', 3)} AS range_max FROM f, a""")
+def q_outliers_iqr(spark, d):
+    return outliers.iqr_outliers(_event_values(spark, d), "value")
+
+
+@register("outlier_range", f"""
+WITH {_EV}
+SELECT * FROM (
+  SELECT 'zscore' AS method, count(*) AS outliers, {_r('min(value)', 3)} AS range_min, {_r('max(value)', 3)} AS range_max FROM z
+  UNION ALL
+  SELECT 'iqr' AS method, count(*) AS outliers, {_r('min(value)', 3)} AS range_min, {_r('max(value)', 3)} AS range_max FROM q
+) WHERE outliers > 0""")
+def q_outlier_range(spark, d):
+    return outliers.outlier_range(_event_values(spark, d), "value", "both")
+
+
+@register("outlier_samples", f"""
+WITH {_EV},
+zr AS (SELECT 'zscore' AS method, row_number() OVER (ORDER BY dev DESC, value) AS rank, value,
+              count(*) OVER () AS c FROM z),
+qr AS (SELECT 'iqr' AS method, row_number() OVER (ORDER BY dev DESC, value) AS rank, value,
+              count(*) OVER () AS c FROM q)
+SELECT method, rank, value FROM zr WHERE rank <= CASE WHEN c <= 10 THEN c ELSE 5 END
+UNION ALL
+SELECT method, rank, value FROM qr WHERE rank <= CASE WHEN c <= 10 THEN c ELSE 5 END""")
+def q_outlier_samples(spark, d):
+    return outliers.outlier_samples(_event_values(spark, d), "value", "both")
+
+
+@register("outlier_summary", f"""
+WITH {_EV}, a AS (SELECT (SELECT count(*) FROM z) AS zc, (SELECT count(*) FROM q) AS qc)
+SELECT 'value' AS column, 'both' AS method, zc AS z_outliers, qc AS iqr_outliers,
+       zc + qc > 0 AS any_outliers,
+       CASE WHEN zc + qc > 0 THEN '{outliers.VERDICT_FOUND}' ELSE '{outliers.VERDICT_NONE}' END AS verdict
+FROM a""")
+def q_outlier_summary(spark, d):
+    return outliers.outlier_summary(_event_values(spark, d), "value", "both")
+
+
+@register("outlier_flags", f"""
+WITH {_EV}
+SELECT e.event_id, CAST(CAST(e.value AS DECIMAL(18,2)) AS DOUBLE) AS value,
+  CASE WHEN e.value IS NULL THEN NULL ELSE abs((CAST(CAST(e.value AS DECIMAL(18,2)) AS DOUBLE) - m) / sd) > 3 END AS is_z_outlier,
+  CASE WHEN e.value IS NULL THEN NULL ELSE CAST(CAST(e.value AS DECIMAL(18,2)) AS DOUBLE) < lb
+       OR CAST(CAST(e.value AS DECIMAL(18,2)) AS DOUBLE) > ub END AS is_iqr_outlier
+FROM events e, f""")
+def q_outlier_flags(spark, d):
+    out = outliers.outlier_flags(_event_values(spark, d), "value")
+    return out.withColumn("value", F.col("value").cast("double"))
+
+
 # ---------------------------------------------------------------- driver API
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: grouped sum of l_extendedprice by l_returnflag on sf0.001."""
