@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.operators import outliers, profile, stats
+from tablescope.operators import clean, outliers, profile, stats
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
@@ -338,6 +338,76 @@ def q_outlier_flags(spark, d):
     return out.withColumn("value", F.col("value").cast("double"))
 
 
+# ---------------------------------------------------------------- C1-C5: cleaning
+# Columns of the gapped orders view without the unique keys, so that full-row
+# duplicates occur (rows with a missing price), plus padded text.
+_CLEAN_SRC = f"(SELECT o_orderstatus, o_totalprice, o_orderpriority FROM {GAPPED})"
+_TRIM = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _clean_src(spark, d):
+    return gapped_orders(spark, d).select("o_orderstatus", "o_totalprice", "o_orderpriority")
+
+
+_CLEANED = f"""d AS (SELECT DISTINCT * FROM {_CLEAN_SRC}),
+t AS (SELECT {_TRIM.format(c="o_orderstatus")} AS o_orderstatus, o_totalprice,
+             {_TRIM.format(c="o_orderpriority")} AS o_orderpriority FROM d),
+med AS (SELECT quantile_cont(o_totalprice, 0.5) AS m FROM t),
+mo AS (SELECT o_orderpriority AS v, count(*) AS c FROM t WHERE o_orderpriority IS NOT NULL
+       GROUP BY o_orderpriority ORDER BY count(*) DESC, o_orderpriority LIMIT 1)"""
+
+
+@register("clean_dedupe", f"SELECT DISTINCT * FROM {_CLEAN_SRC}")
+def q_clean_dedupe(spark, d):
+    return clean.dedupe(_clean_src(spark, d))
+
+
+@register("clean_trim", f"""
+SELECT o_orderkey, {_TRIM.format(c="o_orderstatus")} AS o_orderstatus,
+       {_TRIM.format(c="o_orderpriority")} AS o_orderpriority FROM {GAPPED}""")
+def q_clean_trim(spark, d):
+    return clean.trim_text(gapped_orders(spark, d).select("o_orderkey", "o_orderstatus", "o_orderpriority"))
+
+
+@register("clean_fill_median", f"""
+SELECT o_orderkey, coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM {GAPPED})) AS o_totalprice
+FROM {GAPPED}""")
+def q_clean_fill_median(spark, d):
+    return clean.fill_median(gapped_orders(spark, d).select("o_orderkey", "o_totalprice"), ["o_totalprice"])
+
+
+@register("clean_fill_mode", f"""
+SELECT o_orderkey, coalesce(o_orderpriority, (SELECT o_orderpriority FROM {GAPPED} WHERE o_orderpriority IS NOT NULL
+  GROUP BY o_orderpriority ORDER BY count(*) DESC, o_orderpriority LIMIT 1)) AS o_orderpriority
+FROM {GAPPED}""")
+def q_clean_fill_mode(spark, d):
+    return clean.fill_mode(gapped_orders(spark, d).select("o_orderkey", "o_orderpriority"), ["o_orderpriority"])
+
+
+@register("quick_clean", f"""
+WITH {_CLEANED}
+SELECT o_orderstatus, coalesce(o_totalprice, (SELECT m FROM med)) AS o_totalprice,
+       coalesce(o_orderpriority, (SELECT v FROM mo)) AS o_orderpriority FROM t""")
+def q_quick_clean(spark, d):
+    return clean.quick_clean(_clean_src(spark, d))
+
+
+@register("clean_report", f"""
+WITH {_CLEANED},
+n AS (SELECT (SELECT count(*) FROM {_CLEAN_SRC}) AS before, (SELECT count(*) FROM d) AS after),
+steps AS (
+  SELECT 1 AS k, 'dedupe' AS operation, CAST(NULL AS VARCHAR) AS column, before - after AS affected,
+         CAST(NULL AS VARCHAR) AS fill_value FROM n WHERE before <> after
+  UNION ALL SELECT 2, 'trim', 'o_orderstatus', count(*) FILTER (WHERE o_orderstatus <> {_TRIM.format(c="o_orderstatus")}), NULL FROM d
+  UNION ALL SELECT 3, 'trim', 'o_orderpriority', count(*) FILTER (WHERE o_orderpriority <> {_TRIM.format(c="o_orderpriority")}), NULL FROM d
+  UNION ALL SELECT 4, 'fill_median', 'o_totalprice', count(*) - count(o_totalprice), (SELECT CAST(m AS VARCHAR) FROM med) FROM t
+  UNION ALL SELECT 5, 'fill_mode', 'o_orderpriority', count(*) - count(o_orderpriority), (SELECT v FROM mo) FROM t)
+SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS step_no, operation, "column", affected, fill_value,
+       before AS rows_before, after AS rows_after FROM steps, n""")
+def q_clean_report(spark, d):
+    return clean.clean_report(_clean_src(spark, d))
+
+
 # ---------------------------------------------------------------- driver API
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: grouped sum of l_extendedprice by l_returnflag on sf0.001."""
