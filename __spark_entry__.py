@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.operators import clean, outliers, profile, stats
+from tablescope.operators import clean, outliers, profile, stats, trend
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
@@ -408,6 +408,227 @@ def q_clean_report(spark, d):
     return clean.clean_report(_clean_src(spark, d))
 
 
+# ---------------------------------------------------------------- T1-T13: trends
+# Text view of orders: ISO and month-first dates, unparsable dates and numbers.
+_MESSY_SPARK = {
+    "o_orderkey": "o_orderkey",
+    "d_text": "CASE WHEN o_orderkey % 13 = 0 THEN 'bad' WHEN o_orderkey % 3 = 0 "
+              "THEN date_format(o_orderdate, 'MM/dd/yyyy') ELSE date_format(o_orderdate, 'yyyy-MM-dd') END",
+    "v_text": "CASE WHEN o_orderkey % 17 = 0 THEN 'n/a' ELSE CAST(o_totalprice AS STRING) END",
+}
+MESSY = ("(SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'bad' WHEN o_orderkey % 3 = 0 "
+         "THEN strftime(o_orderdate, '%m/%d/%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS d_text, "
+         "CASE WHEN o_orderkey % 17 = 0 THEN 'n/a' ELSE CAST(o_totalprice AS VARCHAR) END AS v_text FROM orders)")
+
+
+def messy_orders(spark, d):
+    return load(spark, d, "orders").select(*[F.expr(e).alias(c) for c, e in _MESSY_SPARK.items()])
+
+
+_STRP = {"yyyy/MM/dd": "%Y/%m/%d", "MM/dd/yyyy": "%m/%d/%Y", "dd-MM-yyyy": "%d-%m-%Y",
+         "dd.MM.yyyy": "%d.%m.%Y", "yyyyMMdd": "%Y%m%d", "yyyy/MM/dd HH:mm:ss": "%Y/%m/%d %H:%M:%S",
+         "MM/dd/yyyy HH:mm:ss": "%m/%d/%Y %H:%M:%S", "dd-MM-yyyy HH:mm:ss": "%d-%m-%Y %H:%M:%S"}
+
+
+def _parse_date_sql(c):
+    return ("coalesce(TRY_CAST({c} AS TIMESTAMP), ".format(c=c)
+            + ", ".join(f"try_strptime({c}, '{_STRP[f]}')" for f in trend.DATE_FORMATS) + ")")
+
+
+_LABEL = {"D": "strftime({t}, '%Y-%m-%d')", "M": "strftime({t}, '%Y-%m')",
+          "Q": "concat(year({t}), 'Q', quarter({t}))", "Y": "CAST(year({t}) AS VARCHAR)"}
+
+
+def _valid_sql(src, dcol, vcol):
+    return f"(SELECT {dcol} AS ts, {vcol} AS x FROM {src} WHERE {dcol} IS NOT NULL AND {vcol} IS NOT NULL)"
+
+
+_ORD_VALID = _valid_sql("orders", "o_orderdate", "CAST(o_totalprice AS DECIMAL(18,2))")
+_EV_VALID = _valid_sql("events", "ts", "CAST(value AS DECIMAL(18,2))")
+_MESSY_VALID = (f"(SELECT * FROM (SELECT {_parse_date_sql('d_text')} AS ts, "
+                f"TRY_CAST(v_text AS DECIMAL(18,2)) AS x FROM {MESSY}) WHERE ts IS NOT NULL AND x IS NOT NULL)")
+
+
+def _totals_sql(valid, freq):
+    return (f"(SELECT {_LABEL[freq].format(t='ts')} AS period, round(sum(x), 2) AS sum, "
+            f"{_r('CAST(sum(x) AS DOUBLE) / count(x)', 2)} AS mean, count(x) AS count FROM {valid} GROUP BY 1)")
+
+
+def _totals_out(t):
+    return t.select("period", F.col("sum").cast("double").alias("sum"), "mean", "count")
+
+
+def _orders_totals(spark, d, freq="M"):
+    o = load(spark, d, "orders").select("o_orderdate", _cents("o_totalprice"))
+    return trend.period_totals(o, "o_orderdate", "o_totalprice", freq)
+
+
+@register("coerce_dates", f"""
+SELECT o_orderkey, strftime(ts, '%Y-%m-%d') AS d FROM (SELECT o_orderkey, {_parse_date_sql('d_text')} AS ts FROM {MESSY})
+WHERE ts IS NOT NULL""")
+def q_coerce_dates(spark, d):
+    out = trend.coerce_dates(messy_orders(spark, d).select("o_orderkey", "d_text"), "d_text")
+    return out.select("o_orderkey", F.date_format("d_text", "yyyy-MM-dd").alias("d"))
+
+
+@register("coerce_numbers", f"""
+SELECT o_orderkey, v FROM (SELECT o_orderkey, TRY_CAST(v_text AS DOUBLE) AS v FROM {MESSY})
+WHERE v IS NOT NULL AND NOT isnan(v)""")
+def q_coerce_numbers(spark, d):
+    out = trend.coerce_numbers(messy_orders(spark, d).select("o_orderkey", "v_text"), "v_text")
+    return out.select("o_orderkey", F.col("v_text").alias("v"))
+
+
+for _freq, _key in (("M", "trend_month"), ("Q", "trend_quarter"), ("Y", "trend_year")):
+    register(_key, f"SELECT period, CAST(sum AS DOUBLE) AS sum, mean, count FROM {_totals_sql(_ORD_VALID, _freq)}")(
+        lambda spark, d, _f=_freq: _totals_out(_orders_totals(spark, d, _f)))
+
+
+@register("trend_day", f"SELECT period, CAST(sum AS DOUBLE) AS sum, mean, count FROM {_totals_sql(_EV_VALID, 'D')}")
+def q_trend_day(spark, d):
+    e = load(spark, d, "events").select("ts", _cents("value"))
+    return _totals_out(trend.period_totals(e, "ts", "value", "D"))
+
+
+@register("trend_range", f"""
+SELECT strftime(min(ts), '%Y-%m-%d') AS date_from, strftime(max(ts), '%Y-%m-%d') AS date_to,
+       count(DISTINCT {_LABEL['M'].format(t='ts')}) AS periods FROM {_MESSY_VALID}""")
+def q_trend_range(spark, d):
+    return trend.trend_range(messy_orders(spark, d), "d_text", "v_text", "M", to="decimal(18,2)")
+
+
+_TM = _totals_sql(_ORD_VALID, "M")
+
+
+@register("trend_recent_periods", f"""
+SELECT period, CAST(sum AS DOUBLE) AS sum, mean, count FROM {_TM} ORDER BY period DESC LIMIT 20""")
+def q_trend_recent_periods(spark, d):
+    return _totals_out(trend.recent_periods(_orders_totals(spark, d), 20))
+
+
+@register("trend_summary", f"""
+SELECT count(sum) AS periods, CAST(sum(sum) AS DOUBLE) AS total, {_r(_mean_sql('sum'), 2)} AS mean,
+       {_r(_std_sql('sum'), 2)} AS std, {_r(f"100.0 * ({_std_sql('sum')}) / ({_mean_sql('sum')})", 1)} AS cv_pct
+FROM {_TM}""")
+def q_trend_summary(spark, d):
+    return trend.trend_summary(_orders_totals(spark, d))
+
+
+_GROWTH = f"""g AS (SELECT period, sum, lag(sum) OVER (ORDER BY period) AS prev_sum,
+  row_number() OVER (ORDER BY period) AS ord, count(*) OVER () AS n FROM {_TM}),
+gg AS (SELECT *, CAST(sum - prev_sum AS DOUBLE) / CAST(NULLIF(prev_sum, 0) AS DOUBLE) * 100.0 AS gr FROM g)"""
+
+
+@register("trend_growth", f"""
+WITH {_GROWTH}
+SELECT period, CAST(sum AS DOUBLE) AS sum, CAST(prev_sum AS DOUBLE) AS prev_sum, {_r('gr', 2)} AS growth_pct
+FROM gg WHERE n >= 3""")
+def q_trend_growth(spark, d):
+    g = trend.growth(_orders_totals(spark, d))
+    return g.select("period", F.col("sum").cast("double").alias("sum"),
+                    F.col("prev_sum").cast("double").alias("prev_sum"), "growth_pct")
+
+
+_OVERALL = "CAST(last_sum - first_sum AS DOUBLE) / CAST(NULLIF(first_sum, 0) AS DOUBLE) * 100.0"
+
+
+@register("trend_direction", f"""
+WITH {_GROWTH},
+a AS (SELECT count(*) AS periods, arg_min(sum, ord) AS first_sum, arg_max(sum, ord) AS last_sum, avg(gr) AS ag FROM gg)
+SELECT periods, CAST(first_sum AS DOUBLE) AS first_sum, CAST(last_sum AS DOUBLE) AS last_sum,
+  {_r('ag', 2)} AS avg_growth_pct, {_r(_OVERALL, 2)} AS overall_growth_pct,
+  CASE WHEN first_sum = 0 THEN (CASE WHEN last_sum > first_sum THEN '{trend.STRONG_UP}'
+                                     WHEN last_sum < first_sum THEN '{trend.STRONG_DOWN}' ELSE '{trend.FLAT}' END)
+       WHEN {_OVERALL} > 10 THEN '{trend.STRONG_UP}' WHEN {_OVERALL} > 2 THEN '{trend.MODERATE_UP}'
+       WHEN {_OVERALL} < -10 THEN '{trend.STRONG_DOWN}' WHEN {_OVERALL} < -2 THEN '{trend.MODERATE_DOWN}'
+       ELSE '{trend.FLAT}' END AS direction
+FROM a WHERE periods >= 3""")
+def q_trend_direction(spark, d):
+    return trend.direction(_orders_totals(spark, d))
+
+
+@register("trend_peaks", f"""
+WITH t AS (SELECT * FROM {_TM}), c AS (SELECT count(*) AS n FROM t)
+SELECT (SELECT period FROM t ORDER BY sum DESC, period LIMIT 1) AS highest_period,
+       (SELECT CAST(max(sum) AS DOUBLE) FROM t) AS highest_sum,
+       (SELECT period FROM t ORDER BY sum, period LIMIT 1) AS lowest_period,
+       (SELECT CAST(min(sum) AS DOUBLE) FROM t) AS lowest_sum
+FROM c WHERE n >= 3""")
+def q_trend_peaks(spark, d):
+    return trend.peaks(_orders_totals(spark, d))
+
+
+_RECENT_SQL = f"""l AS (SELECT * FROM {{tm}} ORDER BY period DESC LIMIT 6),
+b AS (SELECT count(*) AS k, min(period) AS first_period, max(period) AS last_period,
+             arg_min(sum, period) AS fs, arg_max(sum, period) AS ls FROM l),
+c AS (SELECT *, CAST(ls - fs AS DOUBLE) / CAST(NULLIF(fs, 0) AS DOUBLE) * 100.0 AS ch FROM b)"""
+
+
+@register("trend_recent_direction", f"""
+WITH {_RECENT_SQL.format(tm=_TM)}
+SELECT first_period, last_period, {_r('ch', 2)} AS change_pct,
+  CASE WHEN ch > 5 THEN '{trend.ACCELERATING}' WHEN ch < -5 THEN '{trend.DECLINING}' ELSE '{trend.STABLE}' END AS direction
+FROM c WHERE k >= 6""")
+def q_trend_recent_direction(spark, d):
+    return trend.recent_direction(_orders_totals(spark, d))
+
+
+_QUALITY_SQL = f"""qa AS (SELECT count(*) AS total_rows,
+  count(*) FILTER (WHERE {_parse_date_sql('d_text')} IS NOT NULL AND TRY_CAST(v_text AS DECIMAL(18,2)) IS NOT NULL) AS valid_rows
+  FROM {MESSY})"""
+
+
+@register("trend_quality", f"""
+WITH {_QUALITY_SQL}
+SELECT total_rows, valid_rows, {_r('100.0 * valid_rows / total_rows', 1)} AS completeness_pct,
+       100.0 * valid_rows / total_rows < 90 AS low_completeness FROM qa""")
+def q_trend_quality(spark, d):
+    return trend.trend_quality(messy_orders(spark, d), "d_text", "v_text", to="decimal(18,2)")
+
+
+def _pf(x, d=2):
+    return f"printf('%.{d}f', {x})"
+
+
+@register("trend_report", f"""
+WITH v AS {_MESSY_VALID}, tm AS {_totals_sql('v', 'M')},
+{_GROWTH.replace(_TM, 'tm')},
+a AS (SELECT count(*) AS periods, arg_min(sum, ord) AS first_sum, arg_max(sum, ord) AS last_sum, avg(gr) AS ag FROM gg),
+{_RECENT_SQL.format(tm='tm')},
+{_QUALITY_SQL},
+sm AS (SELECT count(sum) AS periods, CAST(sum(sum) AS DOUBLE) AS total, {_mean_sql('sum')} AS m, {_std_sql('sum')} AS sd FROM tm)
+SELECT 'range' AS section, 'date_from' AS metric, strftime(min(ts), '%Y-%m-%d') AS value FROM v
+UNION ALL SELECT 'range', 'date_to', strftime(max(ts), '%Y-%m-%d') FROM v
+UNION ALL SELECT 'range', 'periods', CAST(count(DISTINCT {_LABEL['M'].format(t='ts')}) AS VARCHAR) FROM v
+UNION ALL SELECT * FROM (SELECT 'recent_periods', period, {_pf('CAST(sum AS DOUBLE)')} || ' | ' || {_pf('mean')} || ' | ' || CAST(count AS VARCHAR)
+                         FROM tm ORDER BY period DESC LIMIT 20)
+UNION ALL SELECT 'summary', 'total', {_pf('total')} FROM sm
+UNION ALL SELECT 'summary', 'mean_per_period', {_pf(_r('m', 2))} FROM sm
+UNION ALL SELECT 'summary', 'std', {_pf(_r('sd', 2))} FROM sm
+UNION ALL SELECT 'summary', 'cv_pct', {_pf(_r('100.0 * sd / m', 1), 1)} FROM sm
+UNION ALL SELECT 'growth', 'avg_growth_pct', {_pf(_r('ag', 2))} FROM a WHERE periods >= 3
+UNION ALL SELECT 'growth', 'overall_growth_pct', {_pf(_r(_OVERALL, 2))} FROM a WHERE periods >= 3
+UNION ALL SELECT 'growth', 'direction',
+  CASE WHEN first_sum = 0 THEN (CASE WHEN last_sum > first_sum THEN '{trend.STRONG_UP}'
+                                     WHEN last_sum < first_sum THEN '{trend.STRONG_DOWN}' ELSE '{trend.FLAT}' END)
+       WHEN {_OVERALL} > 10 THEN '{trend.STRONG_UP}' WHEN {_OVERALL} > 2 THEN '{trend.MODERATE_UP}'
+       WHEN {_OVERALL} < -10 THEN '{trend.STRONG_DOWN}' WHEN {_OVERALL} < -2 THEN '{trend.MODERATE_DOWN}'
+       ELSE '{trend.FLAT}' END FROM a WHERE periods >= 3
+UNION ALL SELECT 'peaks', 'highest_period', (SELECT period FROM tm ORDER BY sum DESC, period LIMIT 1) FROM a WHERE periods >= 3
+UNION ALL SELECT 'peaks', 'highest_sum', (SELECT {_pf('CAST(max(sum) AS DOUBLE)')} FROM tm) FROM a WHERE periods >= 3
+UNION ALL SELECT 'peaks', 'lowest_period', (SELECT period FROM tm ORDER BY sum, period LIMIT 1) FROM a WHERE periods >= 3
+UNION ALL SELECT 'peaks', 'lowest_sum', (SELECT {_pf('CAST(min(sum) AS DOUBLE)')} FROM tm) FROM a WHERE periods >= 3
+UNION ALL SELECT 'recent', 'change_pct', {_pf(_r('ch', 2))} FROM c WHERE k >= 6
+UNION ALL SELECT 'recent', 'direction', CASE WHEN ch > 5 THEN '{trend.ACCELERATING}' WHEN ch < -5 THEN '{trend.DECLINING}'
+                                            ELSE '{trend.STABLE}' END FROM c WHERE k >= 6
+UNION ALL SELECT 'quality', 'total_rows', CAST(total_rows AS VARCHAR) FROM qa
+UNION ALL SELECT 'quality', 'valid_rows', CAST(valid_rows AS VARCHAR) FROM qa
+UNION ALL SELECT 'quality', 'completeness_pct', {_pf(_r('100.0 * valid_rows / total_rows', 1), 1)} FROM qa
+UNION ALL SELECT 'quality', 'low_completeness', CAST(100.0 * valid_rows / total_rows < 90 AS VARCHAR) FROM qa""")
+def q_trend_report(spark, d):
+    return trend.trend_report(messy_orders(spark, d), "d_text", "v_text", "M", to="decimal(18,2)")
+
+
 # ---------------------------------------------------------------- driver API
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: grouped sum of l_extendedprice by l_returnflag on sf0.001."""
