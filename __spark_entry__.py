@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.operators import clean, outliers, profile, stats, trend
+from tablescope.operators import chartdata, clean, outliers, profile, stats, trend
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
@@ -629,6 +629,153 @@ def q_trend_report(spark, d):
     return trend.trend_report(messy_orders(spark, d), "d_text", "v_text", "M", to="decimal(18,2)")
 
 
+# ---------------------------------------------------------------- A3, A4: correlations
+_CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _corr_sql(a, b):
+    x, y = f"CAST({a} AS DECIMAL(18,2))", f"CAST({b} AS DECIMAL(18,2))"
+    n = "count(*)"
+    cov = f"CAST({n} * sum({x} * {y}) - sum({x}) * sum({y}) AS DOUBLE)"
+    vx = f"CAST({n} * sum({x} * {x}) - sum({x}) * sum({x}) AS DOUBLE)"
+    vy = f"CAST({n} * sum({y} * {y}) - sum({y}) * sum({y}) AS DOUBLE)"
+    return f"{cov} / NULLIF(sqrt({vx}) * sqrt({vy}), 0)"
+
+
+_CORR_ROWS = []
+for _i, _a in enumerate(_CORR_COLS):
+    for _j, _b in enumerate(_CORR_COLS):
+        _e = (f"CASE WHEN stddev_samp({_a}) > 0 THEN 1.0 END" if _i == _j
+              else _corr_sql(_CORR_COLS[min(_i, _j)], _CORR_COLS[max(_i, _j)]))
+        _CORR_ROWS.append((_i, _j, _a, _b, _e))
+
+
+@register("correlation_matrix", _union_sql([
+    f"SELECT '{a}' AS col_x, '{b}' AS col_y, {i} AS ix, {j} AS iy, CAST({e} AS DOUBLE) AS r FROM lineitem"
+    for i, j, a, b, e in _CORR_ROWS]))
+def q_correlation_matrix(spark, d):
+    return stats.correlation_matrix(_lineitem_cents(spark, d), _CORR_COLS)
+
+
+_PART_CORR = ["p_partkey", "p_size", "p_retailprice"]
+
+
+def _corr_sql_any(a, b, exact):
+    x, y = exact[a], exact[b]
+    cov = f"CAST(count(*) * sum({x} * {y}) - sum({x}) * sum({y}) AS DOUBLE)"
+    vx = f"CAST(count(*) * sum({x} * {x}) - sum({x}) * sum({x}) AS DOUBLE)"
+    vy = f"CAST(count(*) * sum({y} * {y}) - sum({y}) * sum({y}) AS DOUBLE)"
+    return f"{cov} / NULLIF(sqrt({vx}) * sqrt({vy}), 0)"
+
+
+_PART_EXACT = {"p_partkey": "CAST(p_partkey AS DECIMAL(38,0))", "p_size": "CAST(p_size AS DECIMAL(38,0))",
+               "p_retailprice": "CAST(p_retailprice AS DECIMAL(18,2))"}
+
+
+@register("strong_correlations", "SELECT col_x, col_y, r FROM (" + _union_sql([
+    f"SELECT '{a}' AS col_x, '{b}' AS col_y, {_r(_corr_sql_any(a, b, _PART_EXACT), 3)} AS r, "
+    f"abs({_corr_sql_any(a, b, _PART_EXACT)}) AS ar FROM part"
+    for i, a in enumerate(_PART_CORR) for b in _PART_CORR[i + 1:]]) + ") WHERE ar > 0.5")
+def q_strong_correlations(spark, d):
+    p = load(spark, d, "part").select("p_partkey", "p_size", _cents("p_retailprice"))
+    return stats.strong_correlations(p, _PART_CORR)
+
+
+# ---------------------------------------------------------------- V1-V7: chart data
+@register("chart_bar_count", """
+SELECT source, count(*) AS count FROM documents WHERE source IS NOT NULL
+GROUP BY source ORDER BY count DESC, source LIMIT 20""")
+def q_chart_bar_count(spark, d):
+    return chartdata.bar(load(spark, d, "documents"), "source")
+
+
+@register("chart_bar_sum", """
+SELECT o_orderpriority, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS sum FROM orders
+WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL
+GROUP BY o_orderpriority ORDER BY sum DESC, o_orderpriority LIMIT 15""")
+def q_chart_bar_sum(spark, d):
+    o = load(spark, d, "orders").select("o_orderpriority", _cents("o_totalprice"))
+    out = chartdata.bar(o, "o_orderpriority", "o_totalprice")
+    return out.select("o_orderpriority", F.col("sum").cast("double").alias("sum"))
+
+
+@register("chart_pie", f"""
+WITH t AS (SELECT c_mktsegment, count(*) AS count FROM customer WHERE c_mktsegment IS NOT NULL
+           GROUP BY c_mktsegment ORDER BY count DESC, c_mktsegment LIMIT 10)
+SELECT c_mktsegment, count, {_r('100.0 * count / (SELECT sum(count) FROM t)', 1)} AS share_pct FROM t""")
+def q_chart_pie(spark, d):
+    return chartdata.pie(load(spark, d, "customer"), "c_mktsegment", 10)
+
+
+@register("chart_line", f"""
+SELECT strftime(day, '%Y-%m-%d') AS day, m AS mean, sd AS std, n AS count,
+       m - 1.96 * sd / sqrt(CAST(n AS DOUBLE)) AS ci_low, m + 1.96 * sd / sqrt(CAST(n AS DOUBLE)) AS ci_high
+FROM (SELECT day, {_mean_sql('x')} AS m, {_std_sql('x')} AS sd, count(x) AS n
+      FROM (SELECT CAST(ts AS DATE) AS day, CAST(value AS DECIMAL(18,2)) AS x FROM events
+            WHERE ts IS NOT NULL AND value IS NOT NULL) GROUP BY day)""")
+def q_chart_line(spark, d):
+    e = load(spark, d, "events").select(F.to_date("ts").alias("day"), _cents("value"))
+    out = chartdata.line(e, "day", "value")
+    return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@register("chart_scatter", """
+SELECT l_quantity, l_extendedprice FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL""")
+def q_chart_scatter(spark, d):
+    return chartdata.scatter(load(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
+
+
+_EDGE = "CASE WHEN ({i}) >= 30 THEN hi ELSE CAST({i} AS DOUBLE) * step + lo END"
+
+
+@register("chart_histogram", f"""
+WITH r AS (SELECT min(value) AS lo0, max(value) AS hi0 FROM events WHERE value IS NOT NULL AND NOT isnan(value)),
+k AS (SELECT CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+             CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM r),
+p AS (SELECT lo, hi, (hi - lo) / 30 AS step, 30 / (hi - lo) AS norm FROM k),
+a AS (SELECT value AS v, p.* FROM events, p WHERE value IS NOT NULL),
+b AS (SELECT *, CASE WHEN CAST(floor((v - lo) * norm) AS INTEGER) = 30 THEN 29
+                     ELSE CAST(floor((v - lo) * norm) AS INTEGER) END AS i0 FROM a),
+c AS (SELECT *, CASE WHEN v < {_EDGE.format(i='i0')} THEN i0 - 1 ELSE i0 END AS i1 FROM b),
+e AS (SELECT CASE WHEN v >= {_EDGE.format(i='i1 + 1')} AND i1 <> 29 THEN i1 + 1 ELSE i1 END + 1 AS bin FROM c),
+cnt AS (SELECT bin, count(*) AS n FROM e GROUP BY bin)
+SELECT CAST(g.bin AS INTEGER) AS bin, {_EDGE.format(i='g.bin - 1')} AS bin_low, {_EDGE.format(i='g.bin')} AS bin_high,
+       coalesce(cnt.n, 0) AS count
+FROM (SELECT unnest(range(1, 31)) AS bin) g CROSS JOIN p LEFT JOIN cnt ON cnt.bin = g.bin""")
+def q_chart_histogram(spark, d):
+    return chartdata.histogram(load(spark, d, "events"), "value", 30)
+
+
+def _box_sql(src, by):
+    sel = f"{by}, " if by else ""
+    grp = f"GROUP BY {by}" if by else ""
+    join = f"USING ({by})" if by else "ON TRUE"
+    return f"""
+WITH v AS ({src}),
+q AS (SELECT {sel}quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
+             quantile_cont(x, 0.75) AS q3 FROM v {grp}),
+f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)
+SELECT {sel}count(x) AS count, any_value(q1) AS q1, any_value(median) AS median, any_value(q3) AS q3,
+       any_value(iqr) AS iqr, any_value(lower_fence) AS lower_fence, any_value(upper_fence) AS upper_fence,
+       min(x) FILTER (WHERE x >= lower_fence) AS whisker_low, max(x) FILTER (WHERE x <= upper_fence) AS whisker_high,
+       count(*) FILTER (WHERE x < lower_fence OR x > upper_fence) AS n_outliers
+FROM v JOIN f {join} {grp}"""
+
+
+@register("chart_box", _box_sql("SELECT CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) AS x FROM events "
+                                "WHERE value IS NOT NULL", None))
+def q_chart_box(spark, d):
+    return chartdata.box(load(spark, d, "events").select(_cents("value")), "value")
+
+
+@register("chart_box_grouped", _box_sql(
+    "SELECT o_orderpriority, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS x FROM orders "
+    "WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL", "o_orderpriority"))
+def q_chart_box_grouped(spark, d):
+    o = load(spark, d, "orders").select("o_orderpriority", _cents("o_totalprice"))
+    return chartdata.box(o, "o_orderpriority", "o_totalprice")
+
+
 # ---------------------------------------------------------------- driver API
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: grouped sum of l_extendedprice by l_returnflag on sf0.001."""

@@ -43,19 +43,17 @@ def value_counts(df: DataFrame, col: str, n: int | None = 20, digits: int = 2) -
     """Top ``n`` values of ``col`` by count with their share of all present values.
 
     ``pct`` is 100 * count / (rows where ``col`` is present), rounded half-up to
-    ``digits``; ties in count go to the smaller value. The total comes from the
-    same grouped counts (one shuffle, reused), joined as a one-row broadcast.
+    ``digits``; ties in count go to the smaller value. The total is one counted
+    scalar applied as a literal; the top-k is a ``TakeOrderedAndProject``.
     """
     require_columns(df, col)
-    c = missing_as_null(df, col)
-    counts = df.select(c.alias(col)).where(F.col(col).isNotNull()).groupBy(col).agg(
-        F.count(F.lit(1)).alias("count"))
-    total = counts.agg(F.sum("count").alias("_total"))
+    present = df.select(missing_as_null(df, col).alias(col)).where(F.col(col).isNotNull())
+    total = present.count()  # one scalar, used as a literal
+    counts = present.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     ranked = counts.orderBy(F.col("count").desc(), F.col(col).asc())
     if n is not None:
         ranked = ranked.limit(n)
-    return (ranked.crossJoin(F.broadcast(total))
-            .select(col, "count", pct(F.col("count"), F.col("_total"), digits).alias("pct")))
+    return ranked.select(col, "count", pct(F.col("count"), F.lit(total), digits).alias("pct"))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
