@@ -19,7 +19,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.operators import chartdata, clean, outliers, profile, stats, trend
+from tablescope import sources
+from tablescope.operators import chartdata, clean, outliers, profile, stats, steps, trend
+from tablescope.session import scratch_path
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
@@ -776,6 +778,148 @@ def q_chart_box_grouped(spark, d):
     return chartdata.box(o, "o_orderpriority", "o_totalprice")
 
 
+# ---------------------------------------------------------------- X1, F4, F7: steps and filters
+_STEPS = [
+    {"op": "derive", "name": "o_year", "expr": "year(o_orderdate)"},
+    {"op": "filter", "cond": "o_orderstatus = 'F'"},
+    {"op": "cast", "col": "o_totalprice", "type": "decimal(18,2)"},
+    {"op": "aggregate", "keys": ["o_year"],
+     "exprs": {"n": "count(*)", "total": "CAST(sum(o_totalprice) AS DOUBLE)"}},
+]
+
+
+@register("apply_steps", """
+SELECT year(o_orderdate) AS o_year, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
+def q_apply_steps(spark, d):
+    out, _ = steps.apply_steps(load(spark, d, "orders"), _STEPS, with_counts=False)
+    return out
+
+
+@register("drop_missing", f"""
+SELECT * FROM {GAPPED} WHERE o_totalprice IS NOT NULL AND o_orderpriority IS NOT NULL""")
+def q_drop_missing(spark, d):
+    return steps.drop_missing(gapped_orders(spark, d), ["o_totalprice", "o_orderpriority"])
+
+
+@register("filter_year_category", """
+SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) = 1997 AND o_orderstatus = 'F'""")
+def q_filter_year_category(spark, d):
+    o = load(spark, d, "orders")
+    return steps.filter_year_category(o, "o_orderdate", 1997, "o_orderstatus", "F").select("o_orderkey", "o_totalprice")
+
+
+def _sq(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+@register("audit_log", f"""
+WITH n0 AS (SELECT count(*) AS c FROM orders),
+     n1 AS (SELECT count(*) AS c FROM orders WHERE o_orderstatus = 'F'),
+     n2 AS (SELECT count(DISTINCT year(o_orderdate)) AS c FROM orders WHERE o_orderstatus = 'F')
+SELECT 1 AS step_no, 'derive' AS operation, {_sq('o_year = year(o_orderdate)')} AS detail,
+       n0.c AS rows_before, n0.c AS rows_after FROM n0
+UNION ALL SELECT 2, 'filter', {_sq("o_orderstatus = 'F'")}, n0.c, n1.c FROM n0, n1
+UNION ALL SELECT 3, 'cast', {_sq('o_totalprice AS decimal(18,2)')}, n1.c, n1.c FROM n1
+UNION ALL SELECT 4, 'aggregate', {_sq("by ['o_year']: " + repr(_STEPS[3]['exprs']))}, n1.c, n2.c FROM n1, n2""")
+def q_audit_log(spark, d):
+    _, audit = steps.apply_steps(load(spark, d, "orders"), _STEPS, with_counts=True)
+    path = scratch_path(spark, "audit")
+    sources.append_log(spark, audit, path)
+    return sources.read_log(spark, path).drop("logged_at")
+
+
+# ---------------------------------------------------------------- S1-S7, S10: sources and sinks
+def _gapped_csv(spark, d):
+    """Write the gapped orders as ';'-separated text with padded header names and
+    'NA' for missing values; return the folder."""
+    g = gapped_orders(spark, d)
+    g = g.toDF(*[f" {c} " for c in g.columns])
+    return sources.write_table(g, scratch_path(spark, "gapped"), "csv", sep=";", null_value="NA")
+
+
+@register("csv_scan", f"""
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate,
+       o_orderpriority FROM {GAPPED}""")
+def q_csv_scan(spark, d):
+    return sources.read_delimited(spark, _gapped_csv(spark, d))
+
+
+@register("normalize_headers", """
+SELECT 0 AS position, 'o_orderkey' AS column UNION ALL SELECT 1, 'o_custkey'
+UNION ALL SELECT 2, 'o_orderstatus' UNION ALL SELECT 3, 'o_totalprice' UNION ALL SELECT 4, 'o_orderdate'
+UNION ALL SELECT 5, 'o_orderpriority'""")
+def q_normalize_headers(spark, d):
+    df = sources.read_delimited(spark, _gapped_csv(spark, d), infer=False)
+    return sources.load_summary(df).select("position", "column")
+
+
+_TOKEN_EXPR = ("CASE WHEN o_orderkey % 7 = 0 THEN 'nan' WHEN o_orderkey % 11 = 0 THEN 'N/A' "
+               "WHEN o_orderkey % 13 = 0 THEN 'NULL' WHEN o_orderkey % 17 = 0 THEN '' "
+               "ELSE CAST(o_totalprice AS STRING) END")
+
+
+@register("null_tokens", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 13 = 0
+                             OR o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice END AS price FROM orders""")
+def q_null_tokens(spark, d):
+    o = load(spark, d, "orders").select("o_orderkey", F.expr(_TOKEN_EXPR).alias("price"))
+    path = sources.write_table(o, scratch_path(spark, "tokens"), "csv")
+    return sources.read_delimited(spark, path)
+
+
+_GAPPED_CSV_TYPES = """SELECT 0 AS position, 'o_orderkey' AS column, 'bigint' AS dtype, 'numeric' AS type_class
+  UNION ALL SELECT 1, 'o_custkey', 'bigint', 'numeric' UNION ALL SELECT 2, 'o_orderstatus', 'string', 'text'
+  UNION ALL SELECT 3, 'o_totalprice', 'double', 'numeric' UNION ALL SELECT 4, 'o_orderdate', 'string', 'text'
+  UNION ALL SELECT 5, 'o_orderpriority', 'string', 'text'"""
+
+
+@register("load_summary", f"""
+SELECT position, "column", dtype, type_class, (SELECT count(*) FROM orders) AS rows FROM ({_GAPPED_CSV_TYPES})""")
+def q_load_summary(spark, d):
+    return sources.load_summary(sources.read_delimited(spark, _gapped_csv(spark, d)))
+
+
+@register("columns_by_type", _GAPPED_CSV_TYPES)
+def q_columns_by_type(spark, d):
+    return profile.columns_by_type(sources.read_delimited(spark, _gapped_csv(spark, d)))
+
+
+@register("profile_types", """
+SELECT 0 AS position, 'l_returnflag' AS column, 'string' AS dtype, 'text' AS type_class
+UNION ALL SELECT 1, 'l_linenumber', 'bigint', 'numeric' UNION ALL SELECT 2, 'l_discount', 'double', 'numeric'
+UNION ALL SELECT 3, 'l_shipdate', 'string', 'text' UNION ALL SELECT 4, 'is_open', 'boolean', 'boolean'""")
+def q_profile_types(spark, d):
+    li = load(spark, d, "lineitem").select(
+        "l_returnflag", "l_linenumber", "l_discount", "l_shipdate",
+        F.expr("CASE WHEN l_linestatus = 'O' THEN 'True' ELSE 'False' END").alias("is_open"))
+    path = sources.write_table(li, scratch_path(spark, "types"), "csv", sep="|")
+    return profile.types(sources.read_delimited(spark, path))
+
+
+@register("write_clean", f"""
+WITH {_CLEANED}
+SELECT o_orderstatus, coalesce(o_totalprice, (SELECT m FROM med)) AS o_totalprice,
+       coalesce(o_orderpriority, (SELECT v FROM mo)) AS o_orderpriority FROM t""")
+def q_write_clean(spark, d):
+    path = sources.write_table(clean.quick_clean(_clean_src(spark, d)), scratch_path(spark, "cleaned"), "csv")
+    return sources.read_delimited(spark, path)
+
+
+@register("count_written", f"""
+SELECT count(*) AS rows FROM (SELECT DISTINCT * FROM {_CLEAN_SRC})""")
+def q_count_written(spark, d):
+    path = sources.write_table(clean.quick_clean(_clean_src(spark, d)), scratch_path(spark, "cleaned"), "csv")
+    return sources.count_written(spark, path).select("rows")
+
+
+@register("profile_json", _SQL["schema_map"])
+def q_profile_json(spark, d):
+    sm = profile.schema_map(gapped_orders(spark, d))
+    path = sources.write_json(sm, scratch_path(spark, "schema_map"))
+    return spark.read.schema(sm.schema).json(path)
+
+
 # ---------------------------------------------------------------- driver API
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: grouped sum of l_extendedprice by l_returnflag on sf0.001."""
