@@ -44,13 +44,31 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _r(expr: str, digits: int) -> str:
     """DuckDB spelling of Spark's round(double, digits)."""
-    return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,20)), {digits}) AS DOUBLE)"
 
 
 def _cents(c: str) -> F.Column:
     return F.col(c).cast("decimal(18,2)").alias(c)
 
 
+def _qsql(src, x, probs, by=None):
+    """Linear-interpolated quantiles spelled out: order statistics by row_number,
+    then lo + (pos - floor(pos)) * (hi - lo) with pos = (n-1)*p in double
+    (the library's definition; DuckDB's quantile_cont differs in the last bit)."""
+    part = f"PARTITION BY {by} " if by else ""
+    key = f"{by}, " if by else ""
+    inner = (f"SELECT {key}CAST({x} AS DOUBLE) AS _x, row_number() OVER ({part}ORDER BY {x}) - 1 AS _rk, "
+             f"count(*) OVER ({part.strip()}) AS _n FROM {src} WHERE {x} IS NOT NULL")
+    cols = []
+    for i, pr in enumerate(probs):
+        pos = f"(CAST(_n - 1 AS DOUBLE) * CAST({pr!r} AS DOUBLE))"
+        lo = f"max(CASE WHEN _rk = floor({pos}) THEN _x END)"
+        hi = f"max(CASE WHEN _rk = ceil({pos}) THEN _x END)"
+        cols.append(f"{lo} + (any_value({pos}) - floor(any_value({pos}))) * ({hi} - {lo}) AS q{i}")
+    grp = f" GROUP BY {by}" if by else ""
+    return f"(SELECT {key}{', '.join(cols)} FROM ({inner}){grp})"
+
+
 # ---------------------------------------------------------------- A1, A2: grouped stats
 def _lineitem_price(spark, d):
     return load(spark, d, "lineitem").select("l_returnflag", _cents("l_extendedprice"))
@@ -181,10 +199,10 @@ def _std_sql(x):
 
 
 @register("describe_numeric", _union_sql([
-    f"SELECT '{c}' AS column, count(x) AS count, {_mean_sql('x')} AS mean, {_std_sql('x')} AS std, "
-    f"CAST(min(x) AS DOUBLE) AS min, quantile_cont(CAST(x AS DOUBLE), 0.25) AS p25, "
-    f"quantile_cont(CAST(x AS DOUBLE), 0.5) AS p50, quantile_cont(CAST(x AS DOUBLE), 0.75) AS p75, "
-    f"CAST(max(x) AS DOUBLE) AS max FROM (SELECT {_exact_sql(c)} AS x FROM lineitem)"
+    f"SELECT '{c}' AS column, m.count, m.mean, m.std, m.min, q.q0 AS p25, q.q1 AS p50, q.q2 AS p75, m.max FROM "
+    f"(SELECT count(x) AS count, {_mean_sql('x')} AS mean, {_std_sql('x')} AS std, "
+    f"CAST(min(x) AS DOUBLE) AS min, CAST(max(x) AS DOUBLE) AS max FROM (SELECT {_exact_sql(c)} AS x FROM lineitem)) m, "
+    f"{_qsql(f'(SELECT {_exact_sql(c)} AS x FROM lineitem)', 'x', [0.25, 0.5, 0.75])} q"
     for c in _LI_NUM]))
 def q_describe_numeric(spark, d):
     return profile.describe_numeric(_lineitem_cents(spark, d), _LI_NUM)
@@ -207,8 +225,9 @@ SELECT 'o_totalprice' AS column, 'double' AS dtype, count(DISTINCT o_totalprice)
   count(*) - count(o_totalprice) AS nulls, {_r("100.0 * (count(*) - count(o_totalprice)) / count(*)", 1)} AS null_pct,
   count(*) AS rows, count(o_totalprice) AS count, {_r("avg(o_totalprice)", 6)} AS mean,
   {_r("stddev_samp(o_totalprice)", 6)} AS std, min(o_totalprice) AS min,
-  quantile_cont(o_totalprice, 0.25) AS p25, quantile_cont(o_totalprice, 0.5) AS p50,
-  quantile_cont(o_totalprice, 0.75) AS p75, max(o_totalprice) AS max
+  (SELECT q0 FROM {_qsql(GAPPED, "o_totalprice", [0.25])}) AS p25,
+  (SELECT q0 FROM {_qsql(GAPPED, "o_totalprice", [0.5])}) AS p50,
+  (SELECT q0 FROM {_qsql(GAPPED, "o_totalprice", [0.75])}) AS p75, max(o_totalprice) AS max
 FROM {GAPPED}""")
 def q_column_profile(spark, d):
     out = profile.column_profile(gapped_orders(spark, d), "o_totalprice")
@@ -259,7 +278,7 @@ def _event_values(spark, d):
 _EV = f"""v AS (SELECT event_id, CAST(value AS DECIMAL(18,2)) AS x FROM events WHERE value IS NOT NULL),
 s AS (SELECT count(x) AS n, {_mean_sql('x')} AS m, {_std_sql('x')} AS sd,
              CAST(min(x) AS DOUBLE) AS lo, CAST(max(x) AS DOUBLE) AS hi,
-             quantile_cont(CAST(x AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(x AS DOUBLE), 0.75) AS q3 FROM v),
+             (SELECT q0 FROM {_qsql('v', 'x', [0.25])}) AS q1, (SELECT q0 FROM {_qsql('v', 'x', [0.75])}) AS q3 FROM v),
 f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lb, q3 + 1.5 * (q3 - q1) AS ub FROM s),
 z AS (SELECT CAST(x AS DOUBLE) AS value, abs(CAST(x AS DOUBLE) - m) AS dev FROM v, f
       WHERE abs((CAST(x AS DOUBLE) - m) / sd) > 3),
@@ -354,7 +373,7 @@ def _clean_src(spark, d):
 _CLEANED = f"""d AS (SELECT DISTINCT * FROM {_CLEAN_SRC}),
 t AS (SELECT {_TRIM.format(c="o_orderstatus")} AS o_orderstatus, o_totalprice,
              {_TRIM.format(c="o_orderpriority")} AS o_orderpriority FROM d),
-med AS (SELECT quantile_cont(o_totalprice, 0.5) AS m FROM t),
+med AS (SELECT q0 AS m FROM {_qsql('t', 'o_totalprice', [0.5])}),
 mo AS (SELECT o_orderpriority AS v, count(*) AS c FROM t WHERE o_orderpriority IS NOT NULL
        GROUP BY o_orderpriority ORDER BY count(*) DESC, o_orderpriority LIMIT 1)"""
 
@@ -372,7 +391,7 @@ def q_clean_trim(spark, d):
 
 
 @register("clean_fill_median", f"""
-SELECT o_orderkey, coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM {GAPPED})) AS o_totalprice
+SELECT o_orderkey, coalesce(o_totalprice, (SELECT q0 FROM {_qsql(GAPPED, 'o_totalprice', [0.5])})) AS o_totalprice
 FROM {GAPPED}""")
 def q_clean_fill_median(spark, d):
     return clean.fill_median(gapped_orders(spark, d).select("o_orderkey", "o_totalprice"), ["o_totalprice"])
@@ -754,8 +773,7 @@ def _box_sql(src, by):
     join = f"USING ({by})" if by else "ON TRUE"
     return f"""
 WITH v AS ({src}),
-q AS (SELECT {sel}quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
-             quantile_cont(x, 0.75) AS q3 FROM v {grp}),
+q AS (SELECT {sel}q0 AS q1, q1 AS median, q2 AS q3 FROM {_qsql('v', 'x', [0.25, 0.5, 0.75], by)}),
 f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)
 SELECT {sel}count(x) AS count, any_value(q1) AS q1, any_value(median) AS median, any_value(q3) AS q3,
        any_value(iqr) AS iqr, any_value(lower_fence) AS lower_fence, any_value(upper_fence) AS upper_fence,
