@@ -29,6 +29,9 @@ def modes(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFra
     require_columns(df, *cols, *by)
     if not cols:
         raise ValueError("modes needs at least one column")
+    if len(cols) > 1:  # the unpivot multiplies rows: do it on all cores
+        from ..session import spread
+        df = spread(df.select(*by, *cols))
     items = [F.struct(F.lit(c).alias("column"), value_as_text(df, c).alias("value")) for c in cols]
     long = df.select(*by, F.inline(F.array(*items))).where(F.col("value").isNotNull())
     counts = long.groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("freq"))

@@ -31,16 +31,22 @@ BROADCAST_ROWS = 1_000_000
 
 
 def _long_form(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Rows ``(by..., ci, x)``: ``ci`` is the int position of the column in ``cols``
+    (cheaper to hash and shuffle than the name)."""
     items = []
-    for c in cols:
+    for i, c in enumerate(cols):
         x = F.col(c)
         if is_floating(df.schema[c].dataType):
             x = F.nanvl(x, F.lit(None).cast(df.schema[c].dataType))
-        items.append(F.struct(F.lit(c).alias("column"), x.cast("double").alias("x")))
+        items.append(F.struct(F.lit(i).alias("ci"), x.cast("double").alias("x")))
     long = df.select(*[F.col(b) for b in by], F.inline(F.array(*items)))
     return long.where(F.col("x").isNotNull())
 
 
+def _names(cols: Sequence[str]):
+    return F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("ci") + 1)
+
+
 def _interpolate(n, segs, p):
     pos = (n - F.lit(1)).cast("double") * F.lit(float(p))
     lo = F.floor(pos)
@@ -68,14 +74,17 @@ def quantiles(df: DataFrame, cols: str | Sequence[str], probs: Sequence[float],
     for p in probs:
         if not 0.0 <= p <= 1.0:
             raise ValueError(f"probability {p} outside [0, 1]")
-    keys = by + ["column"]
+    keys = by + ["ci"]
+    from ..session import spread
+    if len(cols) > 1:  # the unpivot multiplies rows: do it on all cores
+        df = spread(df.select(*by, *cols))
     long = _long_form(df, cols, by)
 
     if approx:
         arr = F.percentile_approx("x", [float(p) for p in probs], accuracy)
         agg = long.groupBy(*keys).agg(arr.alias("qs"))
         pairs = F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("p"), F.col("qs").alias("value"))
-        return agg.select(*keys, F.inline(pairs))
+        return agg.select(*by, _names(cols).alias("column"), F.inline(pairs))
 
     spark = df.sparkSession
     from ..session import scratch_dir
@@ -96,7 +105,8 @@ def quantiles(df: DataFrame, cols: str | Sequence[str], probs: Sequence[float],
                .withColumn("off", F.sum("pw").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("pw"))
                .withColumn("n", F.sum("pw").over(Window.partitionBy(*keys)))
                .drop("pw"))
-    if offsets.count() <= BROADCAST_ROWS:
+    # at most (partitions + keys) rows; the key count is known when ungrouped
+    if (not by and parts + len(cols) <= BROADCAST_ROWS) or offsets.count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
 
     spans = (local.join(offsets, on=keys + ["pid"])
@@ -111,7 +121,7 @@ def quantiles(df: DataFrame, cols: str | Sequence[str], probs: Sequence[float],
         F.collect_list(F.struct("start", "end", "x")).alias("segs"))
     rows = F.array(*[F.struct(F.lit(p).alias("p"), _interpolate(F.col("n"), F.col("segs"), p).alias("value"))
                      for p in probs])
-    return grouped.select(*keys, F.inline(rows))
+    return grouped.select(*by, _names(cols).alias("column"), F.inline(rows))
 
 
 def quantile_values(df: DataFrame, cols: str | Sequence[str], probs: Sequence[float],

@@ -90,31 +90,41 @@ def fill_mode(df: DataFrame, cols: Sequence[str] | None = None,
     return df.withColumns(fills) if fills else df
 
 
-def _plan(df: DataFrame, trim_first: bool, approx: bool):
-    """Run the cleaning and collect the facts the report needs."""
+def _plan(df: DataFrame, trim_first: bool, approx: bool, report: bool):
+    """Run the cleaning and collect the facts the report needs.
+
+    The de-duplicated table feeds several statistics, so it is persisted
+    (memory, spilling to disk; lost blocks are recomputed from lineage) for
+    their duration: one pass gives row count, gaps and trim changes for every
+    column, then the medians and the modes.
+    """
+    from pyspark import StorageLevel
     steps = []
-    rows_before = df.count()
+    rows_before = df.count() if report else None
     text = [c for c in df.columns if type_class(df.schema[c].dataType) == TEXT]
     cur = nan_to_null(df)
     if trim_first:
         cur = trim_text(cur, text)
-    deduped = dedupe(cur)
-    rows_dedup = deduped.count()
-    if rows_before != rows_dedup:
-        steps.append(("dedupe", None, rows_before - rows_dedup, None))
-    changed = {}
-    if text:
-        r = deduped.agg(*[F.count_if(F.col(c) != strip_ws(F.col(c))).alias(f"_{i}")
-                          for i, c in enumerate(text)]).first()
-        changed = {c: r[f"_{i}"] for i, c in enumerate(text)}
-    trimmed = deduped if trim_first else trim_text(deduped, text)
-    for c in text:
-        steps.append(("trim", c, 0 if trim_first else changed[c], None))
-    gaps = missing_counts(trimmed)
-    numeric = [c for c in trimmed.columns if type_class(trimmed.schema[c].dataType) == NUMERIC]
-    other = [c for c in trimmed.columns if c not in numeric]
-    med = _medians(trimmed, [c for c in numeric if gaps[c] > 0], approx)
-    best = _modes(trimmed, [c for c in other if gaps[c] > 0])
+    deduped = dedupe(cur).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        aggs = [F.count(F.lit(1)).alias("_rows")]
+        aggs += [F.count(F.col(c)).alias(f"_n{i}") for i, c in enumerate(deduped.columns)]
+        aggs += [F.count_if(F.col(c) != strip_ws(F.col(c))).alias(f"_t{i}") for i, c in enumerate(text)]
+        r = deduped.agg(*aggs).first()
+        rows_dedup = r["_rows"]
+        gaps = {c: rows_dedup - r[f"_n{i}"] for i, c in enumerate(deduped.columns)}
+        changed = {c: r[f"_t{i}"] for i, c in enumerate(text)}
+        if report and rows_before != rows_dedup:
+            steps.append(("dedupe", None, rows_before - rows_dedup, None))
+        trimmed = deduped if trim_first else trim_text(deduped, text)
+        for c in text:
+            steps.append(("trim", c, 0 if trim_first else changed[c], None))
+        numeric = [c for c in trimmed.columns if type_class(trimmed.schema[c].dataType) == NUMERIC]
+        other = [c for c in trimmed.columns if c not in numeric]
+        med = _medians(trimmed, [c for c in numeric if gaps[c] > 0], approx)
+        best = _modes(trimmed, [c for c in other if gaps[c] > 0])
+    finally:
+        deduped.unpersist()
     fills = {}
     for c in trimmed.columns:
         if gaps[c] == 0:
@@ -131,7 +141,7 @@ def _plan(df: DataFrame, trim_first: bool, approx: bool):
 
 def quick_clean(df: DataFrame, trim_first: bool = False, approx: bool = False) -> DataFrame:
     """Dedupe -> trim -> fill numeric gaps with the median, others with the mode."""
-    return _plan(df, trim_first, approx)[0]
+    return _plan(df, trim_first, approx, report=False)[0]
 
 
 def clean_report(df: DataFrame, trim_first: bool = False, approx: bool = False) -> DataFrame:
@@ -140,7 +150,7 @@ def clean_report(df: DataFrame, trim_first: bool = False, approx: bool = False)
     ``affected`` = rows removed (dedupe), values changed (trim), values filled
     (fill_*). The steps are as many as the columns: built on the driver.
     """
-    _, steps, before, after = _plan(df, trim_first, approx)
+    _, steps, before, after = _plan(df, trim_first, approx, report=True)
     rows = [(i + 1, op, col, int(n), val, int(before), int(after)) for i, (op, col, n, val) in enumerate(steps)]
     return df.sparkSession.createDataFrame(
         rows, "step_no int, operation string, column string, affected long, fill_value string, "

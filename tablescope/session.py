@@ -56,3 +56,13 @@ def scratch_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique, not yet existing path below the scratch folder."""
     return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin ``df`` over the cluster when its scan has fewer partitions
+    than the cluster has cores (a small file in one Parquet row group is read
+    by ONE task). A no-op for large inputs, which already scan in parallel."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
