@@ -938,6 +938,77 @@ def q_profile_json(spark, d):
     return spark.read.schema(sm.schema).json(path)
 
 
+# ---------------------------------------------------------------- the same operators on text, arrays, labels
+@register("text_duplicates", f"""
+WITH g AS (SELECT count(*) AS n FROM documents GROUP BY text)
+SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows,
+       {_r("100.0 * sum(n - 1) / sum(n)", 1)} AS duplicate_pct FROM g""")
+def q_text_duplicates(spark, d):
+    """Exact duplicate documents, compared on their whole text."""
+    return profile.duplicates(load(spark, d, "documents").select("text"))
+
+
+@register("documents_describe_text", _union_sql([_TEXT_SQL.format(c=c, t="documents")
+                                                 for c in ("text", "lang", "source")]))
+def q_documents_describe_text(spark, d):
+    """count / unique / most frequent value (whole texts) / its frequency."""
+    return profile.describe_text(load(spark, d, "documents"), ["text", "lang", "source"])
+
+
+_NCH = "CAST(n_chars AS DECIMAL(38,0))"
+
+
+@register("documents_length_outliers", f"""
+WITH v AS (SELECT {_NCH} AS x FROM documents WHERE n_chars IS NOT NULL),
+s AS (SELECT count(x) AS n, {_mean_sql('x')} AS m, {_std_sql('x')} AS sd FROM v),
+z AS (SELECT CAST(x AS DOUBLE) AS value FROM v, s WHERE abs((CAST(x AS DOUBLE) - m) / sd) > 3),
+a AS (SELECT count(*) AS c, min(value) AS mn, max(value) AS mx FROM z)
+SELECT 'n_chars' AS column, 'zscore' AS method, n AS count, {_r('m', 3)} AS mean, {_r('sd', 3)} AS std,
+       c AS outliers, {_r('100.0 * c / n', 2)} AS outlier_pct, {_r('mn', 3)} AS range_min,
+       {_r('mx', 3)} AS range_max FROM s, a""")
+def q_documents_length_outliers(spark, d):
+    return outliers.zscore_outliers(load(spark, d, "documents"), "n_chars")
+
+
+@register("embeddings_overview", """
+SELECT 0 AS position, 'vec_id' AS column, 'bigint' AS dtype, 'numeric' AS type_class,
+       count(vec_id) AS non_null, count(*) - count(vec_id) AS nulls FROM embeddings
+UNION ALL SELECT 1, 'embedding', 'array<float>', 'other', count(embedding), count(*) - count(embedding) FROM embeddings
+UNION ALL SELECT 2, 'label', 'int', 'numeric', count(label), count(*) - count(label) FROM embeddings""")
+def q_embeddings_overview(spark, d):
+    return profile.overview(load(spark, d, "embeddings"))
+
+
+@register("embeddings_duplicates", f"""
+WITH g AS (SELECT count(*) AS n FROM embeddings GROUP BY embedding, label)
+SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows,
+       {_r("100.0 * sum(n - 1) / sum(n)", 1)} AS duplicate_pct FROM g""")
+def q_embeddings_duplicates(spark, d):
+    """Duplicate (vector, label) rows, vectors compared element by element."""
+    return profile.duplicates(load(spark, d, "embeddings").select("embedding", "label"))
+
+
+_LAB_EXACT = {"quality": "CAST(quality AS DECIMAL(38,0))", "toxic": "CAST(toxic AS DECIMAL(38,0))"}
+
+
+@register("labels_correlation", _union_sql(
+    [f"SELECT '{a}' AS col_x, '{b}' AS col_y, {i} AS ix, {j} AS iy, CAST("
+     + (f"CASE WHEN stddev_samp({a}) > 0 THEN 1.0 END" if i == j else
+        _corr_sql_any(*sorted((a, b), key=["quality", "toxic"].index), _LAB_EXACT))
+     + " AS DOUBLE) AS r FROM labels"
+     for i, a in enumerate(["quality", "toxic"]) for j, b in enumerate(["quality", "toxic"])]))
+def q_labels_correlation(spark, d):
+    return stats.correlation_matrix(load(spark, d, "labels"), ["quality", "toxic"])
+
+
+@register("conversations_group_mean", f"""
+SELECT role, {_r(_mean_sql('CAST(turn AS DECIMAL(38,0))'), 6)} AS mean_turn
+FROM conversations WHERE role IS NOT NULL GROUP BY role""")
+def q_conversations_group_mean(spark, d):
+    out = stats.group_stats(load(spark, d, "conversations"), "role", "turn", "mean")
+    return out.select("role", F.round("mean", 6).alias("mean_turn"))
+
+
 # ---------------------------------------------------------------- driver API
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: grouped sum of l_extendedprice by l_returnflag on sf0.001."""
