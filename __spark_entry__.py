@@ -326,9 +326,9 @@ def q_outlier_range(spark, d):
 
 @register("outlier_samples", f"""
 WITH {_EV},
-zr AS (SELECT 'zscore' AS method, row_number() OVER (ORDER BY dev DESC, value) AS rank, value,
+zr AS (SELECT 'zscore' AS method, CAST(row_number() OVER (ORDER BY dev DESC, value) AS INTEGER) AS rank, value,
               count(*) OVER () AS c FROM z),
-qr AS (SELECT 'iqr' AS method, row_number() OVER (ORDER BY dev DESC, value) AS rank, value,
+qr AS (SELECT 'iqr' AS method, CAST(row_number() OVER (ORDER BY dev DESC, value) AS INTEGER) AS rank, value,
               count(*) OVER () AS c FROM q)
 SELECT method, rank, value FROM zr WHERE rank <= CASE WHEN c <= 10 THEN c ELSE 5 END
 UNION ALL
@@ -807,7 +807,7 @@ _STEPS = [
 
 
 @register("apply_steps", """
-SELECT year(o_orderdate) AS o_year, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+SELECT CAST(year(o_orderdate) AS INTEGER) AS o_year, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
 FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
 def q_apply_steps(spark, d):
     out, _ = steps.apply_steps(load(spark, d, "orders"), _STEPS, with_counts=False)

@@ -85,15 +85,18 @@ def valid_rows(df: DataFrame, date_col: str, value_col: str, formats: Sequence[s
 
 
 def period_label(ts: Column, freq: str) -> Column:
-    """``2023-01-02`` (D), ``2023-01`` (M), ``2023Q1`` (Q), ``2023`` (Y)."""
+    """``2023-01-02`` (D), ``2023-01`` (M), ``2023Q1`` (Q), ``2023`` (Y).
+
+    Built from calendar fields, which Spark reads from dates and zone-less
+    timestamps without any time-zone conversion."""
     if freq == "D":
-        return F.date_format(ts, "yyyy-MM-dd")
+        return F.format_string("%04d-%02d-%02d", F.year(ts), F.month(ts), F.dayofmonth(ts))
     if freq == "M":
-        return F.date_format(ts, "yyyy-MM")
+        return F.format_string("%04d-%02d", F.year(ts), F.month(ts))
     if freq == "Q":
-        return F.concat(F.year(ts).cast("string"), F.lit("Q"), F.quarter(ts).cast("string"))
+        return F.format_string("%04dQ%d", F.year(ts), F.quarter(ts))
     if freq == "Y":
-        return F.year(ts).cast("string")
+        return F.format_string("%04d", F.year(ts))
     raise ValueError(f"invalid frequency '{freq}'; use one of {list(FREQS)}")
 
 
@@ -116,8 +119,8 @@ def trend_range(df: DataFrame, date_col: str, value_col: str, freq: str = "M",
     period_label(F.lit(None), freq)
     v = valid_rows(df, date_col, value_col, formats, to)
     ts = F.col(date_col)
-    return v.agg(F.date_format(F.min(ts), "yyyy-MM-dd").alias("date_from"),
-                  F.date_format(F.max(ts), "yyyy-MM-dd").alias("date_to"),
+    return v.agg(period_label(F.min(ts), "D").alias("date_from"),
+                  period_label(F.max(ts), "D").alias("date_to"),
                   F.count_distinct(period_label(ts, freq)).alias("periods"))
 
 
