@@ -105,8 +105,10 @@ def quantiles(df: DataFrame, cols: str | Sequence[str], probs: Sequence[float],
                .withColumn("off", F.sum("pw").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("pw"))
                .withColumn("n", F.sum("pw").over(Window.partitionBy(*keys)))
                .drop("pw"))
-    # at most (partitions + keys) rows; the key count is known when ungrouped
-    if (not by and parts + len(cols) <= BROADCAST_ROWS) or offsets.count() <= BROADCAST_ROWS:
+    # Ungrouped: at most (partitions + columns) rows, a static bound -> broadcast.
+    # Grouped: one row per (group, piece); AQE broadcasts it only when the
+    # materialized size is under its threshold, else the join is shuffled.
+    if not by and parts + len(cols) <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
 
     spans = (local.join(offsets, on=keys + ["pid"])

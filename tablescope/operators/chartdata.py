@@ -14,7 +14,6 @@ from ..functions.exprs import mean_of, pct, std_of
 from ..functions.quantiles import quantiles
 from .trend import parse_dates
 
-BROADCAST_GROUPS = 100_000
 CI_Z = 1.96  # normal quantile of a 95 % band
 
 
@@ -123,8 +122,9 @@ def box(df: DataFrame, x: str, y: str | None = None, whis: float = 1.5) -> DataF
     fence and its whisker, so outliers are the values outside the fences).
 
     Quartiles come from the distributed exact quantiles (a hot group is spread
-    over many tasks); the fences table (one row per group) is broadcast when its
-    size is checked small, else joined by a shuffle that AQE splits when skewed.
+    over many tasks); the fences table (one row per group) is joined back by
+    group: AQE broadcasts it when its measured size is small, else the join
+    is shuffled and AQE splits a skewed group.
     Then one aggregation gives whiskers and outlier counts.
     """
     if y:
@@ -142,7 +142,8 @@ def box(df: DataFrame, x: str, y: str | None = None, whis: float = 1.5) -> DataF
               .withColumn("lower_fence", F.col("q1") - F.lit(whis) * F.col("iqr"))
               .withColumn("upper_fence", F.col("q3") + F.lit(whis) * F.col("iqr")))
     if by:
-        joined = d.join(F.broadcast(fences) if fences.count() <= BROADCAST_GROUPS else fences, by)
+        # one row per group: AQE broadcasts it when its measured size is small
+        joined = d.join(fences, by)
     else:
         f = fences.first()  # one row of scalars; applied as literals, no join
         joined = d.select(F.col(value), *[F.lit(f[c] if f else None).cast("double").alias(c)

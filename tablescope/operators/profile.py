@@ -17,7 +17,7 @@ from ..functions.columns import (NUMERIC, TEXT, columns_of_class, missing_as_nul
                                  require_columns, text_columns, type_class)
 from ..functions.exprs import mean_of, pct, std_of
 from ..functions.modes import modes
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import quantile_values, quantiles
 
 
 def _present(df: DataFrame, c: str) -> Column:
@@ -145,23 +145,27 @@ def describe_text(df: DataFrame, cols: Sequence[str] | None = None, approx: bool
 
 def column_profile(df: DataFrame, col: str, approx: bool = False, digits: int = 1) -> DataFrame:
     """P5: one row ``(column, dtype, distinct, nulls, null_pct, rows, count, mean, std,
-    min, p25, p50, p75, max)``; the describe figures are NULL for a non-numeric column."""
+    min, p25, p50, p75, max)``; the describe figures are NULL for a non-numeric column.
+    One aggregation pass; the quartiles (distributed exact quantiles) join it as literals."""
     require_columns(df, col)
-    v = _present(df, col)
+    v, dt = _present(df, col), df.schema[col].dataType
+    numeric = type_class(dt) == NUMERIC
     distinct = F.approx_count_distinct(v) if approx else F.count_distinct(v)
-    head = df.agg(F.count(F.lit(1)).alias("rows"), F.count(v).alias("_nn"), distinct.alias("distinct")).select(
+    aggs = [F.count(F.lit(1)).alias("rows"), F.count(v).alias("_nn"), distinct.alias("distinct")]
+    none = F.lit(None).cast("double")
+    if numeric:
+        aggs += [mean_of(v, dt).alias("mean"), std_of(v, dt).alias("std"),
+                 F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max")]
+        q = quantile_values(df, col, [0.25, 0.5, 0.75], approx=approx)[col]
+        quart = [F.lit(q[p]).cast("double").alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
+        tail = [F.col("_nn").alias("count"), "mean", "std", "min", *quart, "max"]
+    else:
+        tail = [F.lit(None).cast("long").alias("count"), none.alias("mean"), none.alias("std"), none.alias("min"),
+                none.alias("p25"), none.alias("p50"), none.alias("p75"), none.alias("max")]
+    return df.agg(*aggs).select(
         F.lit(col).alias("column"), F.lit(_dtype(df, col)).alias("dtype"), "distinct",
         (F.col("rows") - F.col("_nn")).alias("nulls"),
-        pct(F.col("rows") - F.col("_nn"), F.col("rows"), digits).alias("null_pct"), "rows")
-    if type_class(df.schema[col].dataType) == NUMERIC:
-        desc = describe_numeric(df, [col], approx=approx)
-    else:
-        desc = df.sparkSession.createDataFrame(
-            [(col,)], "column string").select(
-            "column", *[F.lit(None).cast(t).alias(n) for n, t in (
-                ("count", "long"), ("mean", "double"), ("std", "double"), ("min", "double"),
-                ("p25", "double"), ("p50", "double"), ("p75", "double"), ("max", "double"))])
-    return head.join(desc, "column", "left")
+        pct(F.col("rows") - F.col("_nn"), F.col("rows"), digits).alias("null_pct"), "rows", *tail)
 
 
 def top_values(df: DataFrame, col: str, n: int = 10) -> DataFrame:
