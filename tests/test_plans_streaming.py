@@ -9,14 +9,14 @@ from tablescope.streaming import start_overview
 
 
 def test_run_end_to_end(spark, tmpdir_path):
-    src = os.path.join(tmpdir_path, "birth.csv")
+    src = os.path.join(tmpdir_path, "records.csv")
     with open(src, "w") as f:
-        f.write("District Name ;DateofRegister;Gender;Count\n")
-        rows = ["Adil;2023-01-05;1;10", " Adil ;2023-02-07;2;NA", "Hyd;2023-02-09;1;30", "Hyd;2023-02-09;1;30",
-                "Hyd;05/03/2023;2;45", "Wgl;2023-04-01;1;1000", "Wgl;bad;2;12", "NA;2023-06-01;1;9"]
+        f.write("Region Name ;RegisteredOn;Kind;Count\n")
+        rows = ["North;2023-01-05;1;10", " North ;2023-02-07;2;NA", "South;2023-02-09;1;30", "South;2023-02-09;1;30",
+                "South;05/03/2023;2;45", "East;2023-04-01;1;1000", "East;bad;2;12", "NA;2023-06-01;1;9"]
         f.write("\n".join(rows) + "\n")
     out = os.path.join(tmpdir_path, "out")
-    res = plans.run(spark, src, out, value_col="Count", group_col="District Name", date_col="DateofRegister")
+    res = plans.run(spark, src, out, value_col="Count", group_col="Region Name", date_col="RegisteredOn")
     assert res["inspection"]["duplicates"].first()["duplicate_rows"] == 1
     cleaned = sources.read_delimited(spark, os.path.join(out, "cleaned_data.csv"))
     assert cleaned.count() == 7 and cleaned.where("Count IS NULL").count() == 0
