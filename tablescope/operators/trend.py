@@ -100,6 +100,47 @@ def period_label(ts: Column, freq: str) -> Column:
     raise ValueError(f"invalid frequency '{freq}'; use one of {list(FREQS)}")
 
 
+def period_table(df: DataFrame, date_col: str, value_col: str, freq: str = "M",
+                 formats: Sequence[str] = DATE_FORMATS, to: str = "double") -> DataFrame:
+    """The one aggregation every trend figure can come from: per period label
+    ``(period, sum, mean, n, rows, first_ts, last_ts)``; rows whose date or value
+    is missing or unparsable land in the NULL period (map-side combined, so
+    they cost one row per partition). Bounded by the calendar, not the data."""
+    if freq not in FREQS:
+        raise ValueError(f"invalid frequency '{freq}'; use one of {list(FREQS)}")
+    require_columns(df, date_col, value_col)
+    ts = parse_dates(df, date_col, formats)
+    x = parse_numbers(df, value_col, to)
+    ok = ts.isNotNull() & x.isNotNull()
+    d = df.select(F.when(ok, period_label(ts, freq)).alias("period"), F.when(ok, ts).alias("_ts"),
+                  F.when(ok, x).alias("_x"))
+    dt = d.schema["_x"].dataType
+    return d.groupBy("period").agg(
+        F.sum("_x").alias("sum"), mean_of(F.col("_x"), dt).alias("mean"), F.count("_x").alias("n"),
+        F.count(F.lit(1)).alias("rows"), F.min("_ts").alias("first_ts"), F.max("_ts").alias("last_ts"))
+
+
+def _totals_of(table: DataFrame, digits: int = 2) -> DataFrame:
+    return table.where(F.col("period").isNotNull()).select(
+        "period", F.round("sum", digits).alias("sum"), F.round("mean", digits).alias("mean"),
+        F.col("n").alias("count"))
+
+
+def _range_of(table: DataFrame) -> DataFrame:
+    return table.where(F.col("period").isNotNull()).agg(
+        period_label(F.min("first_ts"), "D").alias("date_from"),
+        period_label(F.max("last_ts"), "D").alias("date_to"),
+        F.count(F.lit(1)).alias("periods"))
+
+
+def _quality_of(table: DataFrame, digits: int = 1) -> DataFrame:
+    row = table.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("total_rows"),
+                    F.coalesce(F.sum("n"), F.lit(0)).alias("valid_rows"))
+    c = pct(F.col("valid_rows"), F.col("total_rows"))
+    return row.select("total_rows", "valid_rows", F.round(c, digits).alias("completeness_pct"),
+                      (c < F.lit(COMPLETENESS_WARNING_PCT)).alias("low_completeness"))
+
+
 def period_totals(df: DataFrame, date_col: str, value_col: str, freq: str = "M", digits: int = 2,
                   formats: Sequence[str] = DATE_FORMATS, to: str = "double") -> DataFrame:
     """T4: ``(period, sum, mean, count)`` per period, sum and mean rounded to ``digits``."""
@@ -120,8 +161,8 @@ def trend_range(df: DataFrame, date_col: str, value_col: str, freq: str = "M",
     v = valid_rows(df, date_col, value_col, formats, to)
     ts = F.col(date_col)
     return v.agg(period_label(F.min(ts), "D").alias("date_from"),
-                  period_label(F.max(ts), "D").alias("date_to"),
-                  F.count_distinct(period_label(ts, freq)).alias("periods"))
+                 period_label(F.max(ts), "D").alias("date_to"),
+                 F.count_distinct(period_label(ts, freq)).alias("periods"))
 
 
 def recent_periods(totals: DataFrame, n: int = 20) -> DataFrame:
@@ -242,10 +283,14 @@ def trend_report(df: DataFrame, date_col: str, value_col: str, freq: str = "M",
                  formats: Sequence[str] = DATE_FORMATS, to: str = "double", recent: int = 20) -> DataFrame:
     """Every finding above as long-form rows ``(section, metric, value)``.
 
-    All branches read the same per-period aggregation; Spark reuses its
-    shuffle within the one query.
+    The source is scanned once into the per-period table (``period_table``,
+    bounded by the calendar), which is checkpointed; every branch reads it.
     """
-    totals = period_totals(df, date_col, value_col, freq, formats=formats, to=to)
+    from ..session import materialize
+    # one scan of the source into the small per-period table, pinned in the
+    # checkpoint folder; every branch below reads it
+    table = materialize(period_table(df, date_col, value_col, freq, formats, to))
+    totals = _totals_of(table)
     parts = []
 
     def add(frame, section, pairs):
@@ -253,7 +298,7 @@ def trend_report(df: DataFrame, date_col: str, value_col: str, freq: str = "M",
             F.struct(F.lit(section).alias("section"), F.lit(m).alias("metric"), v.cast("string").alias("value"))
             for m, v in pairs]))))
 
-    r = trend_range(df, date_col, value_col, freq, formats, to)
+    r = _range_of(table)
     add(r, "range", [("date_from", F.col("date_from")), ("date_to", F.col("date_to")),
                      ("periods", F.col("periods"))])
     rec = recent_periods(totals, recent)
@@ -272,7 +317,7 @@ def trend_report(df: DataFrame, date_col: str, value_col: str, freq: str = "M",
                       ("lowest_period", F.col("lowest_period")), ("lowest_sum", _fmt(F.col("lowest_sum")))])
     rd = recent_direction(totals)
     add(rd, "recent", [("change_pct", _fmt(F.col("change_pct"))), ("direction", F.col("direction"))])
-    q = trend_quality(df, date_col, value_col, formats, to)
+    q = _quality_of(table)
     add(q, "quality", [("total_rows", F.col("total_rows")), ("valid_rows", F.col("valid_rows")),
                        ("completeness_pct", _fmt(F.col("completeness_pct"), 1)),
                        ("low_completeness", F.col("low_completeness"))])

@@ -67,3 +67,16 @@ def spread(df, min_partitions: int | None = None):
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def materialize(df):
+    """Compute a small, reused intermediate once and cut its lineage: cache it,
+    write it to the session's checkpoint folder (reading the cache, not the
+    source), then drop the cache. Later readers scan the checkpoint files."""
+    from pyspark import StorageLevel
+    scratch_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
