@@ -87,14 +87,12 @@ def quantiles(df: DataFrame, cols: str | Sequence[str], probs: Sequence[float],
         return agg.select(*by, _names(cols).alias("column"), F.inline(pairs))
 
     spark = df.sparkSession
-    from ..session import scratch_dir
-    scratch_dir(spark)
+    from ..session import materialize
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     weighted = long.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("w"))
-    ranged = (weighted.repartitionByRange(parts, *keys, "x")
-              .withColumn("pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    ranged = materialize(weighted.repartitionByRange(parts, *keys, "x")
+                         .withColumn("pid", F.spark_partition_id()))
 
     piece = Window.partitionBy(*keys, "pid").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("cum", F.sum("w").over(piece))
