@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import DATETIME, TEXT, missing_as_null, require_columns, require_numeric, type_class
+from ..functions.columns import TEXT, missing_as_null, require_columns, require_numeric, type_class
 from ..functions.exprs import mean_of, pct, std_of
 from ..functions.quantiles import quantiles
 from .trend import parse_dates
@@ -159,4 +159,4 @@ def box(df: DataFrame, x: str, y: str | None = None, whis: float = 1.5) -> DataF
     return out.select(*by, "count", *keep, "whisker_low", "whisker_high", "n_outliers")
 
 
-__all__ = ["bar", "pie", "line", "scatter", "histogram", "box", "DATETIME"]
+__all__ = ["bar", "pie", "line", "scatter", "histogram", "box"]

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import (NUMERIC, TEXT, columns_of_class, missing_as_null, numeric_columns,
-                                 require_columns, text_columns, type_class)
+from ..functions.columns import (NUMERIC, columns_of_class, missing_as_null, numeric_columns, require_columns,
+                                 text_columns, type_class)
 from ..functions.exprs import mean_of, pct, std_of
 from ..functions.modes import modes
 from ..functions.quantiles import quantile_values, quantiles
@@ -235,4 +235,4 @@ def columns_in_class(df: DataFrame, klass: str) -> list[str]:
 
 __all__ = ["columns_by_type", "types", "overview", "missing", "duplicates", "describe_numeric",
            "describe_text", "column_profile", "top_values", "samples", "completeness", "schema_map",
-           "columns_in_class", "TEXT"]
+           "columns_in_class"]
