@@ -89,3 +89,16 @@ def test_filter_year_category_all_is_noop(spark):
     assert steps.filter_year_category(df, "d").count() == 2
     assert steps.filter_year_category(df, "d", 2024, "c", "all").count() == 1
     assert steps.filter_year_category(df, "d", "all", "c", "x").count() == 1
+
+
+def test_bad_byte_beyond_sniffed_head_is_found(spark, tmpdir_path):
+    body = b"".join(b"row%d,%d\n" % (i, i) for i in range(50))
+    data = b"name,v\n" + body + b"Jos\xe9,99\n"
+    df = sources.read_delimited(spark, _write(tmpdir_path, "late.csv", data), sample_lines=5)
+    assert df.where("v = 99").first()["name"] == "José"
+
+
+def test_windows_line_endings(spark, tmpdir_path):
+    df = sources.read_delimited(spark, _write(tmpdir_path, "crlf.csv", b"a;b\r\n1;x\r\n2;y\r\n"))
+    assert df.columns == ["a", "b"]
+    assert rows(df) == [(1, "x"), (2, "y")]
