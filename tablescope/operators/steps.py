@@ -18,6 +18,8 @@ from ..functions.columns import missing_as_null, require_columns
 
 VERBS = ("filter", "select", "drop", "rename", "derive", "cast", "dropna", "fillna", "replace", "dedupe",
          "sort", "limit", "aggregate")
+# steps that never change the number of rows: their audit needs no counting job
+ROW_PRESERVING = ("drop", "rename", "derive", "cast", "fillna", "replace", "sort")
 
 
 def drop_missing(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
@@ -89,15 +91,21 @@ def apply_steps(df: DataFrame, steps: Sequence[Mapping], with_counts: bool = Tru
     """Apply the steps in order; returns ``(result, audit)`` where the audit has
     one row per step ``(step_no, operation, detail, rows_before, rows_after)``.
 
-    Row counts cost one counting job per step (Spark re-plans each prefix;
-    filters still push down); ``with_counts=False`` leaves them NULL and runs no job.
+    Row counts cost one counting job per step that can change them (Spark
+    re-plans each prefix; filters still push down); row-preserving steps reuse
+    the previous count. ``with_counts=False`` leaves them NULL and runs no job.
     """
     cur = df
     audit = []
     before = cur.count() if with_counts else None
     for i, step in enumerate(steps):
         cur, detail = _step(cur, step)
-        after = cur.count() if with_counts else None
+        if not with_counts:
+            after = None
+        elif step["op"] in ROW_PRESERVING:
+            after = before
+        else:
+            after = cur.count()
         audit.append((i + 1, step["op"], detail, before, after))
         before = after
     spark = df.sparkSession
