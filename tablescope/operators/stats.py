@@ -56,18 +56,27 @@ def value_counts(df: DataFrame, col: str, n: int | None = 20, digits: int = 2) -
     return ranked.select(col, "count", pct(F.col("count"), F.lit(total), digits).alias("pct"))
 
 
+WIDE_COLUMNS = 8
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair of numeric columns, long form ``(col_x, col_y, r)``.
+    """Pearson correlation of every pair of numeric columns, long form
+    ``(col_x, col_y, ix, iy, r)``.
 
     Pairwise complete (rows where both are present), NULL for a constant column
     (instead of an ANSI divide error), 1.0 on the diagonal of a non-constant
-    column. All pairs come from ONE aggregation pass; the k*k result is tiny.
+    column. Up to ``WIDE_COLUMNS`` columns all pairs come from ONE aggregation
+    (exact for integer/decimal columns); wider inputs use masked co-moment
+    matrices per partition (``_wide_correlation``), whose aggregation size grows
+    with the pairs, not with k*k expressions in one plan.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
     for c in cols:
         require_numeric(df, c)
     if not cols:
         raise ValueError("no numeric columns for correlation")
+    if len(cols) > WIDE_COLUMNS:
+        return _wide_correlation(df, cols)
     d = df.select(*[missing_as_null(df, c).alias(c) for c in cols])
     types = {c: df.schema[c].dataType for c in cols}
     aggs = []
@@ -89,6 +98,59 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     return row.select(F.inline(F.array(*cells)))
 
 
+def _comoments(shift, k):
+    """Per partition: masked co-moment sums of the shifted values, emitted as
+    rows ``(i, j, n, sx, sy, sxx, syy, sxy)`` for i <= j (numpy inside the task)."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        acc = None
+        for pdf in batches:
+            x = pdf.to_numpy(dtype="float64", na_value=np.nan) - shift
+            m = ~np.isnan(x)
+            z = np.where(m, x, 0.0)
+            mf = m.astype("float64")
+            part = (mf.T @ mf, z.T @ mf, (z * z).T @ mf, z.T @ z)
+            acc = part if acc is None else tuple(a + b for a, b in zip(acc, part))
+        if acc is None:
+            return
+        n, s, q, p = acc
+        iu, ju = np.triu_indices(k)
+        yield pd.DataFrame({"i": iu.astype("int32"), "j": ju.astype("int32"), "n": n[iu, ju],
+                            "sx": s[iu, ju], "sy": s[ju, iu], "sxx": q[iu, ju], "syy": q[ju, iu],
+                            "sxy": p[iu, ju]})
+    return run
+
+
+def _wide_correlation(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Pairwise-complete Pearson r for many columns: per-column means (one
+    aggregation, used as shifts against cancellation), then per-partition masked
+    co-moment matrices (mapInPandas, numpy) summed by a partial+final group-by
+    on (i, j); k*(k+1)/2 small rows per partition are shuffled."""
+    k = len(cols)
+    d = df.select(*[missing_as_null(df, c).cast("double").alias(c) for c in cols])
+    means = d.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    import numpy as np
+    shift = np.array([means[f"m{i}"] if means[f"m{i}"] is not None else 0.0 for i in range(k)])
+    schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+    sums = d.mapInPandas(_comoments(shift, k), schema).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    cov = n * F.col("sxy") - sx * sy
+    vx = n * F.col("sxx") - sx * sx
+    vy = n * F.col("syy") - sy * sy
+    ok = (n >= 2) & (vx > 0) & (vy > 0)
+    r = F.when(ok, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cov / (F.sqrt(vx) * F.sqrt(vy)))))
+    r = F.when(F.col("i") == F.col("j"), F.when(ok, F.lit(1.0))).otherwise(r)
+    names = F.array(*[F.lit(c) for c in cols])
+    upper = sums.select(F.col("i").alias("ix"), F.col("j").alias("iy"), r.alias("r"))
+    lower = upper.where(F.col("ix") != F.col("iy")).select(F.col("iy").alias("ix"), F.col("ix").alias("iy"), "r")
+    both = upper.unionByName(lower)
+    return both.select(F.element_at(names, F.col("ix") + 1).alias("col_x"),
+                       F.element_at(names, F.col("iy") + 1).alias("col_y"), "ix", "iy", "r")
+
+
 def strong_correlations(df: DataFrame, cols: Sequence[str] | None = None,
                         threshold: float = 0.5, digits: int = 3) -> DataFrame:
     """Pairs above the diagonal with ``|r| > threshold`` (NaN/NULL left out), r rounded to ``digits``."""

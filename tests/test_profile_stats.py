@@ -117,3 +117,26 @@ def test_correlation_symmetric_and_constant_null(spark):
     assert m[("a", "a")] == 1.0 and m[("c", "c")] is None and m[("a", "c")] is None
     strong = rows(stats.strong_correlations(df), "col_x", "col_y")
     assert strong == [("a", "b")]
+
+
+def test_wide_correlation_matches_pandas_pairwise(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(5)
+    n, k = 400, 12
+    base = rng.normal(size=(n, 1))
+    data = base * rng.uniform(-2, 2, size=(1, k)) + rng.normal(size=(n, k)) + 1e6  # large means
+    data[rng.random((n, k)) < 0.15] = np.nan                                         # gaps per column
+    data[:, 3] = 7.0                                                                 # a constant column
+    pdf = pd.DataFrame(data, columns=[f"c{i}" for i in range(k)])
+    df = spark.createDataFrame(pdf)
+    assert len(df.columns) > stats.WIDE_COLUMNS
+    got = {(r["col_x"], r["col_y"]): r["r"] for r in stats.correlation_matrix(df).collect()}
+    exp = pdf.corr()
+    for a in pdf.columns:
+        for b in pdf.columns:
+            e = exp.loc[a, b]
+            if np.isnan(e):
+                assert got[(a, b)] is None
+            else:
+                assert got[(a, b)] == pytest.approx(e, abs=1e-9)
