@@ -9,32 +9,51 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .columns import is_floating, require_columns
 
 
 def value_as_text(df: DataFrame, name: str):
-    c = F.col(name)
-    if is_floating(df.schema[name].dataType):
-        c = F.nanvl(c, F.lit(None).cast(df.schema[name].dataType))
+    """A column's value as canonical text: distinct values stay distinct (NaN is
+    missing, -0.0 equals 0.0, nested values as JSON)."""
+    dt = df.schema[name].dataType
+    c = F.col(f"`{name}`")
+    if is_floating(dt):
+        c = F.nanvl(c, F.lit(None).cast(dt)) + F.lit(0.0).cast(dt)
+    if isinstance(dt, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(c)
     return c.cast("string")
 
 
-def modes(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Rows ``(by..., column, value, freq)``: the mode of each column as text.
-
-    Missing values are not counted; a column with no value has no row.
-    """
+def value_summary(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Rows ``(by..., column, distinct, value, freq)``: per column the number of
+    distinct present values and the mode (smallest on ties), from ONE long-form
+    pass: (column, value) counts, map-side combined, then per column a count and
+    ``min(struct(-count, value))``. Scales with the number of columns linearly
+    (Spark's multi-column exact distinct expands every row once per column with
+    projections as wide as the table)."""
     cols, by = list(cols), list(by)
     require_columns(df, *cols, *by)
     if not cols:
-        raise ValueError("modes needs at least one column")
+        raise ValueError("value_summary needs at least one column")
     if len(cols) > 1:  # the unpivot multiplies rows: do it on all cores
         from ..session import spread
         df = spread(df.select(*by, *cols))
-    items = [F.struct(F.lit(c).alias("column"), value_as_text(df, c).alias("value")) for c in cols]
+    items = [F.struct(F.lit(i).alias("ci"), value_as_text(df, c).alias("value")) for i, c in enumerate(cols)]
     long = df.select(*by, F.inline(F.array(*items))).where(F.col("value").isNotNull())
-    counts = long.groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("freq"))
-    best = counts.groupBy(*by, "column").agg(
+    counts = long.groupBy(*by, "ci", "value").agg(F.count(F.lit(1)).alias("freq"))
+    best = counts.groupBy(*by, "ci").agg(
+        F.count(F.lit(1)).alias("distinct"),
         F.min(F.struct((-F.col("freq")).alias("nf"), F.col("value").alias("value"))).alias("m"))
-    return best.select(*by, "column", F.col("m.value").alias("value"), (-F.col("m.nf")).alias("freq"))
+    names = F.array(*[F.lit(c) for c in cols])
+    return best.select(*by, F.element_at(names, F.col("ci") + 1).alias("column"), "distinct",
+                       F.col("m.value").alias("value"), (-F.col("m.nf")).alias("freq"))
+
+
+def modes(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Rows ``(by..., column, value, freq)``: the mode of each column as text.
+
+    Missing values are not counted; a column with no value has no row.
+    """
+    return value_summary(df, cols, by).drop("distinct")

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.columns import (NUMERIC, columns_of_class, missing_as_null, numeric_columns, require_columns,
                                  text_columns, type_class)
 from ..functions.exprs import mean_of, pct, std_of
-from ..functions.modes import modes
+from ..functions.modes import value_summary
 from ..functions.quantiles import quantile_values, quantiles
 
 
@@ -126,21 +126,24 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: b
 
 def describe_text(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """P6 (text): ``(column, count, unique, top, freq)``; ``top`` is the most frequent
-    value, the smallest on ties."""
+    value, the smallest on ties. Present counts in one aggregation; unique, top
+    and freq from one (column, value) pass (``approx=True``: HLL distinct counts)."""
     cols = list(cols) if cols is not None else text_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, count long, unique long, top string, freq long")
     require_columns(df, *cols)
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.count(F.col(c)).alias(f"n{i}"), distinct(F.col(c)).alias(f"u{i}")]
-    row = df.agg(*aggs)
-    items = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"u{i}").alias("unique"))
+    row = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]
+                 + ([F.approx_count_distinct(F.col(c)).alias(f"u{i}") for i, c in enumerate(cols)] if approx else []))
+    items = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
+                      *([F.col(f"u{i}").alias("approx_unique")] if approx else []))
              for i, c in enumerate(cols)]
     counts = row.select(F.inline(F.array(*items)))
-    top = modes(df, cols).select("column", F.col("value").alias("top"), "freq")
-    return counts.join(F.broadcast(top), "column", "left").select("column", "count", "unique", "top", "freq")
+    vs = value_summary(df, cols).select("column", F.col("distinct").alias("unique"), F.col("value").alias("top"),
+                                        "freq")
+    out = counts.join(F.broadcast(vs), "column", "left")
+    if approx:
+        out = out.withColumn("unique", F.col("approx_unique"))
+    return out.select("column", "count", F.coalesce(F.col("unique"), F.lit(0)).alias("unique"), "top", "freq")
 
 
 def column_profile(df: DataFrame, col: str, approx: bool = False, digits: int = 1) -> DataFrame:
@@ -202,12 +205,14 @@ def completeness(df: DataFrame, digits: int = 2) -> DataFrame:
 def schema_map(df: DataFrame, approx: bool = False, digits: int = 1, stat_digits: int = 2) -> DataFrame:
     """P7 per column: ``(position, column, dtype, type_class, distinct, missing, missing_pct,
     min, max, mean)``; min/max/mean only for numeric columns (rounded to ``stat_digits``).
-    One aggregation pass for all columns (distinct counts share one expand)."""
-    distinct = F.approx_count_distinct if approx else F.count_distinct
+    One aggregation for counts and moments, one (column, value) pass for the
+    exact distinct counts (``approx=True``: HLL in the first aggregation)."""
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(df.columns):
         v, dt = _present(df, c), df.schema[c].dataType
-        aggs += [F.count(v).alias(f"nn{i}"), distinct(v).alias(f"u{i}")]
+        aggs += [F.count(v).alias(f"nn{i}")]
+        if approx:
+            aggs += [F.approx_count_distinct(v).alias(f"u{i}")]
         if type_class(dt) == NUMERIC:
             aggs += [F.min(v).cast("double").alias(f"lo{i}"), F.max(v).cast("double").alias(f"hi{i}"),
                      mean_of(v, dt).alias(f"m{i}")]
@@ -221,11 +226,19 @@ def schema_map(df: DataFrame, approx: bool = False, digits: int = 1, stat_digits
             return F.round(F.col(f"{name}{_i}"), stat_digits) if _num else F.lit(None).cast("double")
         items.append(F.struct(
             F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(_dtype(df, c)).alias("dtype"),
-            F.lit(type_class(dt)).alias("type_class"), F.col(f"u{i}").alias("distinct"),
+            F.lit(type_class(dt)).alias("type_class"),
+            (F.col(f"u{i}") if approx else F.lit(None).cast("long")).alias("distinct"),
             (F.col("_rows") - F.col(f"nn{i}")).alias("missing"),
             pct(F.col("_rows") - F.col(f"nn{i}"), F.col("_rows"), digits).alias("missing_pct"),
             stat("lo").alias("min"), stat("hi").alias("max"), stat("m").alias("mean")))
-    return row.select(F.inline(F.array(*items)))
+    out = row.select(F.inline(F.array(*items)))
+    if approx:
+        return out
+    vs = value_summary(df, df.columns).select("column", F.col("distinct").alias("_u"))
+    return (out.join(F.broadcast(vs), "column", "left")
+            .withColumn("distinct", F.coalesce(F.col("_u"), F.lit(0).cast("long")))
+            .select("position", "column", "dtype", "type_class", "distinct", "missing", "missing_pct",
+                    "min", "max", "mean"))
 
 
 def columns_in_class(df: DataFrame, klass: str) -> list[str]:
