@@ -144,6 +144,20 @@ def quick_clean(df: DataFrame, trim_first: bool = False, approx: bool = False) -
     return _plan(df, trim_first, approx, report=False)[0]
 
 
+def quick_clean_with_report(df: DataFrame, trim_first: bool = False,
+                            approx: bool = False) -> tuple[DataFrame, DataFrame]:
+    """C5 both ways from one set of statistics: ``(cleaned, clean_report)``."""
+    cleaned, steps, before, after = _plan(df, trim_first, approx, report=True)
+    return cleaned, _report_frame(df, steps, before, after)
+
+
+def _report_frame(df: DataFrame, steps, before, after) -> DataFrame:
+    rows = [(i + 1, op, col, int(n), val, int(before), int(after)) for i, (op, col, n, val) in enumerate(steps)]
+    return df.sparkSession.createDataFrame(
+        rows, "step_no int, operation string, column string, affected long, fill_value string, "
+              "rows_before long, rows_after long")
+
+
 def clean_report(df: DataFrame, trim_first: bool = False, approx: bool = False) -> DataFrame:
     """C5 audit: ``(step_no, operation, column, affected, fill_value, rows_before, rows_after)``.
 
@@ -151,7 +165,4 @@ def clean_report(df: DataFrame, trim_first: bool = False, approx: bool = False)
     (fill_*). The steps are as many as the columns: built on the driver.
     """
     _, steps, before, after = _plan(df, trim_first, approx, report=True)
-    rows = [(i + 1, op, col, int(n), val, int(before), int(after)) for i, (op, col, n, val) in enumerate(steps)]
-    return df.sparkSession.createDataFrame(
-        rows, "step_no int, operation string, column string, affected long, fill_value string, "
-              "rows_before long, rows_after long")
+    return _report_frame(df, steps, before, after)

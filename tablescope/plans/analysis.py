@@ -43,8 +43,7 @@ def inspect_table(df: DataFrame, approx: bool = False) -> Findings:
 def clean_table(df: DataFrame, out_dir: str | None = None, trim_first: bool = False) -> tuple[DataFrame, Findings]:
     """Cleaning step: the cleaned table and its step report; with ``out_dir`` the
     cleaned table is written as CSV and the steps appended to the log there."""
-    cleaned = clean.quick_clean(df, trim_first=trim_first)
-    report = clean.clean_report(df, trim_first=trim_first)
+    cleaned, report = clean.quick_clean_with_report(df, trim_first=trim_first)
     if out_dir:
         base = out_dir.rstrip("/")
         sources.write_table(cleaned, f"{base}/cleaned_data", "csv")

@@ -117,3 +117,9 @@ def test_clean_report_steps(people):
     assert ("fill_median", "age", 2) in rep
     assert ("fill_mode", "city", 1) in rep
     assert ("trim", "city", 2) in rep
+
+
+def test_clean_with_report_matches_separate_calls(people):
+    cleaned, report = clean.quick_clean_with_report(people)
+    assert sorted(rows(cleaned), key=str) == sorted(rows(clean.quick_clean(people)), key=str)
+    assert rows(report) == rows(clean.clean_report(people))

@@ -140,3 +140,9 @@ def test_wide_correlation_matches_pandas_pairwise(spark):
                 assert got[(a, b)] is None
             else:
                 assert got[(a, b)] == pytest.approx(e, abs=1e-9)
+
+
+def test_value_count_shares_sum_to_100(spark):
+    df = spark.createDataFrame([(f"v{i % 7}",) for i in range(1000)] + [(None,)], "c string")
+    shares = [r["pct"] for r in stats.value_counts(df, "c").collect()]
+    assert sum(shares) == pytest.approx(100, abs=0.05)

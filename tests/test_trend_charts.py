@@ -134,3 +134,8 @@ def test_scatter_requires_numeric(spark):
     df = spark.createDataFrame([("a", 1.0)], "x string, y double")
     with pytest.raises(ValueError):
         chartdata.scatter(df, "x", "y")
+
+
+def test_histogram_counts_sum_to_present_rows(spark):
+    df = spark.createDataFrame([(float(i % 37),) for i in range(500)] + [(None,), (float("nan"),)], "x double")
+    assert sum(r["count"] for r in chartdata.histogram(df, "x", 7).collect()) == 500
