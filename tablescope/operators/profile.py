@@ -1,8 +1,9 @@
 """Column profiling.
 
-Every per-column figure for all columns comes from ONE wide aggregation and
-is turned into long form with ``inline`` (one row per column), instead of one
-pass per column as the reference does.
+Per-column figures for all columns come from ONE wide aggregation turned into
+long form with ``inline`` (one row per column), and exact distinct counts and
+modes from ONE (column, value) pass, instead of one pass per column as the
+reference does.
 """
 
 from __future__ import annotations

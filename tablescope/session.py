@@ -41,12 +41,16 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Set only when unset (tests, laptops): then a fresh temporary folder is used.
+    Set here only when unset AND the master is local (tests, laptops): then a
+    fresh temporary folder is used. On a cluster an unset folder is an error,
+    since a machine-local folder is not visible to the executors.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder on shared storage")
         path = tempfile.mkdtemp(prefix="tablescope-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
