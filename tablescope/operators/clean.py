@@ -16,6 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import (NUMERIC, TEXT, missing_as_null, nan_to_null, require_columns, text_columns,
                                  type_class)
@@ -24,6 +25,13 @@ from ..functions.modes import modes
 from ..functions.quantiles import quantile_values
 
 
+def _typed(text: str, dt: T.DataType):
+    """The mode (kept as canonical text) back in the column's type."""
+    if isinstance(dt, (T.ArrayType, T.MapType, T.StructType)):
+        return F.from_json(F.lit(text), dt)
+    return F.lit(text).cast(dt)
+
+
 def dedupe(df: DataFrame) -> DataFrame:
     """Drop full-row duplicates, keep one (NULL equals NULL, NaN equals NaN)."""
     return df.dropDuplicates()
@@ -85,7 +93,7 @@ def fill_mode(df: DataFrame, cols: Sequence[str] | None = None,
     gaps = _gaps if _gaps is not None else missing_counts(df, cols)
     targets = [c for c in cols if gaps.get(c, 0) > 0]
     best = _modes(df, targets)
-    fills = {c: F.coalesce(F.col(c), F.lit(best[c]).cast(df.schema[c].dataType))
+    fills = {c: F.coalesce(F.col(c), _typed(best[c], df.schema[c].dataType))
              for c in targets if c in best}
     return df.withColumns(fills) if fills else df
 
@@ -133,7 +141,7 @@ def _plan(df: DataFrame, trim_first: bool, approx: bool, report: bool):
             fills[c] = F.coalesce(F.col(c).cast("double"), F.lit(med[c]).cast("double"))
             steps.append(("fill_median", c, gaps[c], repr(float(med[c]))))
         elif c in best:
-            fills[c] = F.coalesce(F.col(c), F.lit(best[c]).cast(trimmed.schema[c].dataType))
+            fills[c] = F.coalesce(F.col(c), _typed(best[c], trimmed.schema[c].dataType))
             steps.append(("fill_mode", c, gaps[c], best[c]))
     cleaned = trimmed.withColumns(fills) if fills else trimmed
     return cleaned, steps, rows_before, rows_dedup

@@ -123,3 +123,15 @@ def test_clean_with_report_matches_separate_calls(people):
     cleaned, report = clean.quick_clean_with_report(people)
     assert sorted(rows(cleaned), key=str) == sorted(rows(clean.quick_clean(people)), key=str)
     assert rows(report) == rows(clean.clean_report(people))
+
+
+def test_mode_fill_of_typed_and_nested_columns(spark):
+    import datetime as dt
+    df = spark.createDataFrame(
+        [([1.0, 2.0], True, dt.date(2023, 1, 2)), ([1.0, 2.0], True, dt.date(2023, 1, 2)),
+         ([3.0], False, None), (None, None, dt.date(2023, 1, 2))],
+        "v array<double>, b boolean, d date")
+    out = clean.fill_mode(df)
+    assert out.where("v IS NULL OR b IS NULL OR d IS NULL").count() == 0
+    assert sorted(tuple(r["v"]) for r in out.collect()) == [(1.0, 2.0), (1.0, 2.0), (1.0, 2.0), (3.0,)]
+    assert out.where("b").count() == 3 and out.where("d = DATE'2023-01-02'").count() == 4
