@@ -1009,6 +1009,31 @@ def q_conversations_group_mean(spark, d):
     return out.select("role", F.round("mean", 6).alias("mean_turn"))
 
 
+# ---------------------------------------------------------------- streaming overview of arriving files
+@register("overview_stream", "SELECT * FROM (" + _union_sql([
+    f"SELECT {i} AS position, '{c}' AS column, count({c}) AS non_null, count(*) - count({c}) AS nulls FROM {GAPPED}"
+    for i, (c, t, k) in enumerate(_GAPPED_TYPES)]) + ")")
+def q_overview_stream(spark, d):
+    """Gapped orders land as CSV files (four parts) in a scratch folder; the
+    streaming overview keeps running present/missing counts over them."""
+    from pyspark.sql import types as T
+    import uuid
+    from tablescope.streaming import start_overview
+    folder = scratch_path(spark, "landing")
+    g = gapped_orders(spark, d).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    landed = sources.write_table(g.repartition(4, "o_orderkey"), folder, "csv", null_value="NA")
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType()),
+                           T.StructField("o_orderstatus", T.StringType()), T.StructField("o_totalprice", T.DoubleType()),
+                           T.StructField("o_orderdate", T.StringType()), T.StructField("o_orderpriority", T.StringType())])
+    name = f"overview_{uuid.uuid4().hex}"
+    q = start_overview(spark, landed, schema, name, scratch_path(spark, "stream-state"))
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.sql(f"SELECT position, column, non_null, nulls FROM {name}")
+
+
 # ---------------------------------------------------------------- driver API
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: grouped sum of l_extendedprice by l_returnflag on sf0.001."""
