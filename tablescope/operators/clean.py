@@ -108,18 +108,23 @@ def _plan(df: DataFrame, trim_first: bool, approx: bool, report: bool):
     """
     from pyspark import StorageLevel
     steps = []
-    rows_before = df.count() if report else None
     text = [c for c in df.columns if type_class(df.schema[c].dataType) == TEXT]
     cur = nan_to_null(df)
     if trim_first:
         cur = trim_text(cur, text)
-    deduped = dedupe(cur).persist(StorageLevel.MEMORY_AND_DISK)
+    # de-duplicate as a group-by with a row count, so the stats pass also gives
+    # the row count before de-duplication (no separate scan)
+    weight = "__rows_in_group__"
+    grouped = cur.groupBy(*[F.col(f"`{c}`") for c in cur.columns]).agg(F.count(F.lit(1)).alias(weight))
+    grouped = grouped.persist(StorageLevel.MEMORY_AND_DISK)
+    deduped = grouped.drop(weight)
     try:
-        aggs = [F.count(F.lit(1)).alias("_rows")]
+        aggs = [F.count(F.lit(1)).alias("_rows"), F.sum(weight).alias("_before")]
         aggs += [F.count(F.col(c)).alias(f"_n{i}") for i, c in enumerate(deduped.columns)]
         aggs += [F.count_if(F.col(c) != strip_ws(F.col(c))).alias(f"_t{i}") for i, c in enumerate(text)]
-        r = deduped.agg(*aggs).first()
+        r = grouped.agg(*aggs).first()
         rows_dedup = r["_rows"]
+        rows_before = r["_before"] or 0
         gaps = {c: rows_dedup - r[f"_n{i}"] for i, c in enumerate(deduped.columns)}
         changed = {c: r[f"_t{i}"] for i, c in enumerate(text)}
         if report and rows_before != rows_dedup:
@@ -132,7 +137,7 @@ def _plan(df: DataFrame, trim_first: bool, approx: bool, report: bool):
         med = _medians(trimmed, [c for c in numeric if gaps[c] > 0], approx)
         best = _modes(trimmed, [c for c in other if gaps[c] > 0])
     finally:
-        deduped.unpersist()
+        grouped.unpersist()
     fills = {}
     for c in trimmed.columns:
         if gaps[c] == 0:
