@@ -46,18 +46,28 @@ def scratch_dir(spark: SparkSession) -> str:
     since a machine-local folder is not visible to the executors.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = _context(spark)
+    if not path and sc is not None:
+        path = sc.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder on shared storage")
         path = tempfile.mkdtemp(prefix="tablescope-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None under Spark Connect."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        return None
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique, not yet existing path below the scratch folder."""
     return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -67,7 +77,10 @@ def spread(df, min_partitions: int | None = None):
     """Round-robin ``df`` over the cluster when its scan has fewer partitions
     than the cluster has cores (a small file in one Parquet row group is read
     by ONE task). A no-op for large inputs, which already scan in parallel."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    sc = _context(df.sparkSession)
+    if sc is None:  # Spark Connect: partition counts are not visible; leave the plan alone
+        return df
+    target = min_partitions or sc.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
