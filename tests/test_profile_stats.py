@@ -146,3 +146,17 @@ def test_value_count_shares_sum_to_100(spark):
     df = spark.createDataFrame([(f"v{i % 7}",) for i in range(1000)] + [(None,)], "c string")
     shares = [r["pct"] for r in stats.value_counts(df, "c").collect()]
     assert sum(shares) == pytest.approx(100, abs=0.05)
+
+
+def test_approx_switches_run_and_stay_close(spark):
+    from tablescope.operators import clean, outliers
+    rows_ = [(float(i % 101), f"k{i % 13}") for i in range(3000)] + [(None, None)]
+    df = spark.createDataFrame(rows_, "x double, s string")
+    exact = {r["column"]: r for r in profile.describe_numeric(df).collect()}["x"]
+    approx = {r["column"]: r for r in profile.describe_numeric(df, approx=True).collect()}["x"]
+    assert abs(approx["p50"] - exact["p50"]) <= 1.0
+    sm = {r["column"]: r["distinct"] for r in profile.schema_map(df, approx=True).collect()}
+    assert abs(sm["x"] - 101) <= 5 and abs(sm["s"] - 13) <= 1
+    assert profile.describe_text(df, approx=True).first()["unique"] in range(12, 15)
+    assert outliers.iqr_outliers(df, "x", approx=True).first()["outliers"] == 0
+    assert clean.fill_median(df, approx=True).where("x IS NULL").count() == 0
