@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FORMATS = ("csv", "parquet", "json")
 
@@ -14,9 +15,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
                 null_value: str = "") -> str:
     """Write ``df`` (CSV with a header by default; ``.csv`` is appended to a CSV
     path that lacks it, as the reference does). Text is written verbatim
-    (no whitespace trimming). Returns the path written."""
+    (no whitespace trimming); array, map and struct values as JSON text.
+    Returns the path written."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format '{fmt}'; use one of {list(FORMATS)}")
+    if fmt == "csv":  # CSV holds text only: nested values are written as JSON
+        nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+        if nested:
+            df = df.withColumns({c: F.to_json(F.col(f"`{c}`")) for c in nested})
     w = df.write.mode(mode)
     if fmt == "csv":
         if not path.endswith(".csv"):

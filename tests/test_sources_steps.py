@@ -102,3 +102,9 @@ def test_windows_line_endings(spark, tmpdir_path):
     df = sources.read_delimited(spark, _write(tmpdir_path, "crlf.csv", b"a;b\r\n1;x\r\n2;y\r\n"))
     assert df.columns == ["a", "b"]
     assert rows(df) == [(1, "x"), (2, "y")]
+
+
+def test_csv_sink_writes_nested_values_as_json(spark, tmpdir_path):
+    df = spark.createDataFrame([(1, [1.5, 2.0])], "k long, v array<double>")
+    back = sources.read_delimited(spark, sources.write_table(df, os.path.join(tmpdir_path, "nested"), "csv"))
+    assert rows(back) == [(1, "[1.5,2.0]")]
