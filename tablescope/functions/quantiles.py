@@ -7,15 +7,19 @@ in one task. ``quantiles`` instead:
 1. counts each distinct (key, value) - map-side combined, so a value that
    holds a third of all rows becomes one row with a large weight;
 2. range-partitions those weighted values by (key, value), so a hot key is
-   spread over many partitions, and checkpoints them (range bounds come from
-   sampling; the checkpoint pins the partition ids);
+   spread over many partitions, and pins them with a reliable checkpoint in
+   the session's ``spark.checkpoint.dir`` (range bounds come from sampling; the
+   checkpoint fixes the partition ids and cuts the lineage; the range shuffle
+   is computed once, via a short-lived cache);
 3. computes the running weight inside each (key, partition) piece and the
    offset of each piece from a tiny per-(key, partition) total table;
 4. keeps only the values whose rank interval covers one of the target ranks
    (at most 2 per probability and key) and interpolates.
 
 Interpolation is linear on 0-based rank ``(n-1)*p`` (numpy "linear", DuckDB
-``quantile_cont``): ``lo + (pos - floor(pos)) * (hi - lo)``.
+``quantile_cont`` up to the last bit): ``lo + (pos - floor(pos)) * (hi - lo)``.
+Work per task is bounded by (distinct values / partitions); nothing but the
+target values reaches the driver.
 """
 
 from __future__ import annotations
