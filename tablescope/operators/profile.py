@@ -42,30 +42,48 @@ def types(df: DataFrame) -> DataFrame:
     return columns_by_type(df)
 
 
-def overview(df: DataFrame) -> DataFrame:
-    """``(position, column, dtype, type_class, non_null, nulls)`` per column, one pass."""
+def column_counts(df: DataFrame) -> DataFrame:
+    """``(position, column, dtype, type_class, rows, non_null)`` for every column
+    from ONE aggregation; overview, missing and completeness derive from it."""
     aggs = [F.count(F.lit(1)).alias("_rows")]
     aggs += [F.count(_present(df, c)).alias(f"_nn{i}") for i, c in enumerate(df.columns)]
     row = df.agg(*aggs)
     items = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
                       F.lit(_dtype(df, c)).alias("dtype"),
                       F.lit(type_class(df.schema[c].dataType)).alias("type_class"),
-                      F.col(f"_nn{i}").alias("non_null"),
-                      (F.col("_rows") - F.col(f"_nn{i}")).alias("nulls"))
+                      F.col("_rows").alias("rows"), F.col(f"_nn{i}").alias("non_null"))
              for i, c in enumerate(df.columns)]
     return row.select(F.inline(F.array(*items)))
 
 
+def overview_of(counts: DataFrame) -> DataFrame:
+    return counts.select("position", "column", "dtype", "type_class", "non_null",
+                         (F.col("rows") - F.col("non_null")).alias("nulls"))
+
+
+def missing_of(counts: DataFrame, digits: int = 2) -> DataFrame:
+    gap = F.col("rows") - F.col("non_null")
+    return (counts.select("position", "column", gap.alias("missing"),
+                          pct(gap, F.col("rows"), digits).alias("missing_pct"))
+            .where(F.col("missing") > 0))
+
+
+def completeness_of(counts: DataFrame, digits: int = 2) -> DataFrame:
+    row = counts.agg(F.max("rows").alias("rows"), F.count(F.lit(1)).cast("int").alias("columns"),
+                     F.sum("non_null").alias("non_null_cells"))
+    cells = F.col("rows") * F.col("columns")
+    return row.select("rows", "columns", cells.alias("cells"), "non_null_cells",
+                      pct(F.col("non_null_cells"), cells, digits).alias("completeness_pct"))
+
+
+def overview(df: DataFrame) -> DataFrame:
+    """``(position, column, dtype, type_class, non_null, nulls)`` per column, one pass."""
+    return overview_of(column_counts(df))
+
+
 def missing(df: DataFrame, digits: int = 2) -> DataFrame:
-    """``(column, missing, missing_pct)`` for columns with at least one gap."""
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    aggs += [F.count(_present(df, c)).alias(f"_nn{i}") for i, c in enumerate(df.columns)]
-    row = df.agg(*aggs)
-    items = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
-                      (F.col("_rows") - F.col(f"_nn{i}")).alias("missing"),
-                      pct(F.col("_rows") - F.col(f"_nn{i}"), F.col("_rows"), digits).alias("missing_pct"))
-             for i, c in enumerate(df.columns)]
-    return row.select(F.inline(F.array(*items))).where(F.col("missing") > 0)
+    """``(position, column, missing, missing_pct)`` for columns with at least one gap."""
+    return missing_of(column_counts(df), digits)
 
 
 def _groupable(df: DataFrame) -> list[Column]:
@@ -190,17 +208,8 @@ def samples(df: DataFrame, col: str, n: int = 10) -> DataFrame:
 
 
 def completeness(df: DataFrame, digits: int = 2) -> DataFrame:
-    """P7 quality: ``(rows, columns, cells, non_null_cells, completeness_pct)``."""
-    ncols = len(df.columns)
-    nn = [F.count(_present(df, c)) for c in df.columns]
-    total = nn[0] if nn else F.lit(0)
-    for x in nn[1:]:
-        total = total + x
-    row = df.agg(F.count(F.lit(1)).alias("rows"), total.alias("non_null_cells"))
-    return row.select(
-        "rows", F.lit(ncols).alias("columns"), (F.col("rows") * F.lit(ncols)).alias("cells"),
-        "non_null_cells",
-        pct(F.col("non_null_cells"), F.col("rows") * F.lit(ncols), digits).alias("completeness_pct"))
+    """P7 quality: ``(rows, columns, cells, non_null_cells, completeness_pct)``, one pass."""
+    return completeness_of(column_counts(df), digits)
 
 
 def schema_map(df: DataFrame, approx: bool = False, digits: int = 1, stat_digits: int = 2) -> DataFrame:
@@ -247,6 +256,7 @@ def columns_in_class(df: DataFrame, klass: str) -> list[str]:
     return columns_of_class(df, klass)
 
 
-__all__ = ["columns_by_type", "types", "overview", "missing", "duplicates", "describe_numeric",
+__all__ = ["columns_by_type", "types", "column_counts", "overview", "overview_of", "missing", "missing_of",
+           "completeness_of", "duplicates", "describe_numeric",
            "describe_text", "column_profile", "top_values", "samples", "completeness", "schema_map",
            "columns_in_class"]

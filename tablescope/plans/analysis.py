@@ -30,13 +30,17 @@ class Findings:
 
 
 def inspect_table(df: DataFrame, approx: bool = False) -> Findings:
-    """Ingestion inspection: overview, gaps, duplicates, schema map, completeness."""
+    """Ingestion inspection: overview, gaps, duplicates, schema map, completeness.
+    The per-column counts behind the first three come from one aggregation,
+    pinned once (one row per column)."""
+    from ..session import materialize
+    counts = materialize(profile.column_counts(df))
     return Findings({
-        "overview": profile.overview(df),
-        "missing": profile.missing(df),
+        "overview": profile.overview_of(counts),
+        "missing": profile.missing_of(counts),
         "duplicates": profile.duplicates(df),
         "schema_map": profile.schema_map(df, approx=approx),
-        "completeness": profile.completeness(df),
+        "completeness": profile.completeness_of(counts),
     })
 
 
