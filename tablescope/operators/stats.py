@@ -39,6 +39,25 @@ def group_stats(df: DataFrame, key: str, value: str, func: str) -> DataFrame:
     return out.orderBy(F.col(func).desc_nulls_last(), F.col(key).asc())
 
 
+def group_summary(df: DataFrame, key: str, value: str) -> DataFrame:
+    """A1 all at once: ``(key, sum, mean, count, std)`` per present key, one
+    partial+final aggregation (same rules as ``group_stats``)."""
+    require_columns(df, key, value)
+    require_numeric(df, value)
+    dt = df.schema[value].dataType
+    v = missing_as_null(df, value)
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(
+        sum_of(v, dt).alias("sum"), mean_of(v, dt).alias("mean"), F.count(v).alias("count"),
+        std_of(v, dt).alias("std"))
+
+
+def ranked(summary: DataFrame, key: str, func: str) -> DataFrame:
+    """One statistic of a ``group_summary`` in ``group_stats`` order."""
+    if func not in GROUP_FUNCS:
+        raise ValueError(f"unknown func '{func}'; use one of {list(GROUP_FUNCS)}")
+    return summary.select(key, func).orderBy(F.col(func).desc_nulls_last(), F.col(key).asc())
+
+
 def value_counts(df: DataFrame, col: str, n: int | None = 20, digits: int = 2) -> DataFrame:
     """Top ``n`` values of ``col`` by count with their share of all present values.
 

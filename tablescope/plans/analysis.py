@@ -86,8 +86,10 @@ def analyse_table(df: DataFrame, value_col: str | None = None, group_col: str |
         out["value_counts"] = stats.value_counts(df, group_col)
         out["bar"] = chartdata.bar(df, group_col)
         if value_col:
+            from ..session import materialize
+            summary = materialize(stats.group_summary(df, group_col, value_col))  # one pass, four statistics
             for func in stats.GROUP_FUNCS:
-                out[f"group_{func}"] = stats.group_stats(df, group_col, value_col, func)
+                out[f"group_{func}"] = stats.ranked(summary, group_col, func)
             out["box_by_group"] = chartdata.box(df, group_col, value_col)
     if date_col and value_col:
         out["trend_report"] = trend.trend_report(df, date_col, value_col, freq)

@@ -160,3 +160,10 @@ def test_approx_switches_run_and_stay_close(spark):
     assert profile.describe_text(df, approx=True).first()["unique"] in range(12, 15)
     assert outliers.iqr_outliers(df, "x", approx=True).first()["outliers"] == 0
     assert clean.fill_median(df, approx=True).where("x IS NULL").count() == 0
+
+
+def test_group_summary_equals_group_stats(spark):
+    df = spark.createDataFrame(TIES + [("a", None), ("c", 7)], "k string, v int")
+    summary = stats.group_summary(df, "k", "v")
+    for func in stats.GROUP_FUNCS:
+        assert rows(stats.ranked(summary, "k", func)) == rows(stats.group_stats(df, "k", "v", func))
