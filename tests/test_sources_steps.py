@@ -108,3 +108,24 @@ def test_csv_sink_writes_nested_values_as_json(spark, tmpdir_path):
     df = spark.createDataFrame([(1, [1.5, 2.0])], "k long, v array<double>")
     back = sources.read_delimited(spark, sources.write_table(df, os.path.join(tmpdir_path, "nested"), "csv"))
     assert rows(back) == [(1, "[1.5,2.0]")]
+
+
+def test_every_declared_verb(spark):
+    df = spark.createDataFrame([(1, "a", "2.5", None), (2, "b", "x", 4.0), (3, "a", "7", 1.0)],
+                               "k int, g string, t string, v double")
+    out, audit = steps.apply_steps(df, [
+        {"op": "filter", "cond": "k >= 2 OR g = 'a'"},
+        {"op": "cast", "col": "t", "type": "double"},
+        {"op": "fillna", "values": {"v": 0.0, "t": -1.0}},
+        {"op": "replace", "col": "g", "mapping": {"a": "A"}},
+        {"op": "rename", "mapping": {"g": "grp"}},
+        {"op": "derive", "name": "w", "expr": "v + t"},
+        {"op": "drop", "cols": ["k"]},
+        {"op": "select", "cols": ["grp", "w", "t"]},
+        {"op": "sort", "cols": ["w"], "ascending": False},
+        {"op": "limit", "n": 2},
+    ])
+    assert rows(out) == [("A", 8.0, 7.0), ("b", 3.0, -1.0)]
+    counts = rows(audit, "operation", "rows_before", "rows_after")
+    assert counts[0] == ("filter", 3, 3) and counts[-1] == ("limit", 3, 2)
+    assert all(b == a for op, b, a in counts if op in steps.ROW_PRESERVING)
