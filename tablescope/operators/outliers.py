@@ -87,12 +87,15 @@ def _rounded(v, digits):
 
 
 def outlier_stats(df: DataFrame, col: str, digits: int | None = 3) -> DataFrame:
-    """O1: one row ``(column, count, mean, std, min, max)``."""
-    m = moments(df, col)
-    return df.sparkSession.range(1).select(
-        F.lit(col).alias("column"), F.lit(m.count).cast("long").alias("count"),
-        _rounded(m.mean, digits).alias("mean"), _rounded(m.std, digits).alias("std"),
-        _rounded(m.min, digits).alias("min"), _rounded(m.max, digits).alias("max"))
+    """O1: one row ``(column, count, mean, std, min, max)``: one lazy aggregation."""
+    require_numeric(df, col)
+    dt = df.schema[col].dataType
+    v = missing_as_null(df, col)
+    rnd = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
+    return df.agg(F.count(v).alias("count"), mean_of(v, dt).alias("_m"), std_of(v, dt).alias("_s"),
+                  F.min(v).cast("double").alias("_lo"), F.max(v).cast("double").alias("_hi")).select(
+        F.lit(col).alias("column"), "count", rnd(F.col("_m")).alias("mean"), rnd(F.col("_s")).alias("std"),
+        rnd(F.col("_lo")).alias("min"), rnd(F.col("_hi")).alias("max"))
 
 
 def _found(values: DataFrame, col: str, pred: Column, total: int, digits, pct_digits) -> DataFrame:
@@ -117,16 +120,19 @@ def zscore_outliers(df: DataFrame, col: str, limit: float = 3.0, digits: int | N
 def iqr_outliers(df: DataFrame, col: str, k: float = 1.5, approx: bool = False, digits: int | None = 3,
                  pct_digits: int = 2) -> DataFrame:
     """O3+O4: one row ``(column, method, count, q1, q3, iqr, lower_bound, upper_bound,
-    outliers, outlier_pct, range_min, range_max)``."""
-    values = _values(df, col)
-    total = values.count()
+    outliers, outlier_pct, range_min, range_max)``. After the quartiles, one
+    lazy pass counts the present values and the outliers together."""
     q1, q3, iqr, lo, hi = iqr_fences(df, col, k, approx)
-    found = _found(values, col, iqr_predicate(col, lo, hi), total, digits, pct_digits)
-    return found.select(F.lit(col).alias("column"), F.lit("iqr").alias("method"),
-                        F.lit(total).cast("long").alias("count"), _rounded(q1, digits).alias("q1"),
-                        _rounded(q3, digits).alias("q3"), _rounded(iqr, digits).alias("iqr"),
-                        _rounded(lo, digits).alias("lower_bound"), _rounded(hi, digits).alias("upper_bound"),
-                        "*")
+    pred, x = iqr_predicate(col, lo, hi), _x(col)
+    agg = _values(df, col).agg(F.count(F.lit(1)).alias("count"), F.count_if(pred).alias("outliers"),
+                               F.min(F.when(pred, x)).alias("_lo"), F.max(F.when(pred, x)).alias("_hi"))
+    rnd = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
+    return agg.select(F.lit(col).alias("column"), F.lit("iqr").alias("method"), "count",
+                      _rounded(q1, digits).alias("q1"), _rounded(q3, digits).alias("q3"),
+                      _rounded(iqr, digits).alias("iqr"), _rounded(lo, digits).alias("lower_bound"),
+                      _rounded(hi, digits).alias("upper_bound"), "outliers",
+                      pct(F.col("outliers"), F.col("count"), pct_digits).alias("outlier_pct"),
+                      rnd(F.col("_lo")).alias("range_min"), rnd(F.col("_hi")).alias("range_max"))
 
 
 def _methods(method: str) -> list[str]:

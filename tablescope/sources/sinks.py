@@ -40,14 +40,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
 
 
 def count_written(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """One row ``(path, rows)`` counted from what was written (a distributed count)."""
+    """One row ``(path, rows)`` counted from what was written (a lazy, distributed count)."""
     if fmt == "csv":
-        n = spark.read.option("header", True).option("multiLine", True).csv(path).count()
+        written = spark.read.option("header", True).option("multiLine", True).csv(path)
     elif fmt == "parquet":
-        n = spark.read.parquet(path).count()
+        written = spark.read.parquet(path)
     else:
-        n = spark.read.json(path).count()
-    return spark.range(1).select(F.lit(path).alias("path"), F.lit(n).cast("long").alias("rows"))
+        written = spark.read.json(path)
+    return written.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(path).alias("path"), "rows")
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
