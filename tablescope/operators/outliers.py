@@ -180,11 +180,13 @@ def outlier_samples(df: DataFrame, col: str, method: str = "both", limit: float
     parts = []
     for name, (pred, dev) in _predicates(df, col, method, limit, k, approx).items():
         hits = values.where(pred).select(_x(col).alias("value"), dev.alias("_dev"))
-        n = hits.count()
-        keep = n if n <= list_all else sample
-        top = hits.orderBy(F.col("_dev").desc(), F.col("value").asc()).limit(keep)
-        w = Window.orderBy(F.col("_dev").desc(), F.col("value").asc())
-        parts.append(top.select(F.lit(name).alias("method"), F.row_number().over(w).alias("rank"), "value"))
+        # the list_all + 1 most extreme (a top-k) tell "all of them" from "a sample"
+        top = hits.orderBy(F.col("_dev").desc(), F.col("value").asc()).limit(list_all + 1)
+        w = Window.orderBy(F.col("_dev").desc(), F.col("value").asc())  # over at most list_all + 1 rows
+        ranked = top.select(F.lit(name).alias("method"), F.row_number().over(w).alias("rank"), "value",
+                            F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("_n"))
+        parts.append(ranked.where((F.col("_n") <= list_all) | (F.col("rank") <= sample))
+                     .select("method", "rank", "value"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
