@@ -175,12 +175,13 @@ def read_delimited(spark: SparkSession, path: str, sample_lines: int = 1000, inf
 
 
 def load_summary(df: DataFrame) -> DataFrame:
-    """``(position, column, dtype, type_class, rows)``: the shape and types of a load."""
-    rows = df.count()
-    spark = df.sparkSession
-    data = [(i, f.name, f.dataType.simpleString(), type_class(f.dataType), rows)
-            for i, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(data, "position int, column string, dtype string, type_class string, rows long")
+    """``(position, column, dtype, type_class, rows)``: the shape and types of a
+    load; one lazy count, one row per column."""
+    items = [F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
+                      F.lit(f.dataType.simpleString()).alias("dtype"),
+                      F.lit(type_class(f.dataType)).alias("type_class"), F.col("_rows").alias("rows"))
+             for i, f in enumerate(df.schema.fields)]
+    return df.agg(F.count(F.lit(1)).alias("_rows")).select(F.inline(F.array(*items)))
 
 
 def head_rows(df: DataFrame, n: int = 3) -> DataFrame:
