@@ -42,3 +42,14 @@ def test_streaming_overview(spark, tmpdir_path):
         assert got == {"k": (3, 1), "v": (3, 1)}
     finally:
         q.stop()
+
+
+def test_command_line(spark, tmpdir_path):
+    from tablescope.__main__ import main
+    src = os.path.join(tmpdir_path, "in.csv")
+    with open(src, "w") as f:
+        f.write("g,v\na,1\nb,2\na,NA\nb,2\n")
+    out = os.path.join(tmpdir_path, "out")
+    main([src, "--out", out, "--value", "v", "--group", "g"])
+    got = spark.read.json(os.path.join(out, "findings", "analysis", "group_sum"))
+    assert {r["g"]: r["sum"] for r in got.collect()} == {"a": 2.0, "b": 2.0}
