@@ -40,12 +40,18 @@ def value_summary(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
     if len(cols) > 1:  # the unpivot multiplies rows: do it on all cores
         from ..session import spread
         df = spread(df.select(*by, *cols))
-    items = [F.struct(F.lit(i).alias("ci"), value_as_text(df, c).alias("value")) for i, c in enumerate(cols)]
+    def order_key(c):  # ties go to the smallest value: numbers compare as numbers, the rest as text
+        dt = df.schema[c].dataType
+        return F.col(f"`{c}`").cast("double") if isinstance(dt, T.NumericType) else F.lit(None).cast("double")
+
+    items = [F.struct(F.lit(i).alias("ci"), value_as_text(df, c).alias("value"), order_key(c).alias("num"))
+             for i, c in enumerate(cols)]
     long = df.select(*by, F.inline(F.array(*items))).where(F.col("value").isNotNull())
-    counts = long.groupBy(*by, "ci", "value").agg(F.count(F.lit(1)).alias("freq"))
+    counts = long.groupBy(*by, "ci", "value").agg(F.count(F.lit(1)).alias("freq"), F.first("num").alias("num"))
     best = counts.groupBy(*by, "ci").agg(
         F.count(F.lit(1)).alias("distinct"),
-        F.min(F.struct((-F.col("freq")).alias("nf"), F.col("value").alias("value"))).alias("m"))
+        F.min(F.struct((-F.col("freq")).alias("nf"), F.col("num").alias("num"),
+                       F.col("value").alias("value"))).alias("m"))
     names = F.array(*[F.lit(c) for c in cols])
     return best.select(*by, F.element_at(names, F.col("ci") + 1).alias("column"), "distinct",
                        F.col("m.value").alias("value"), (-F.col("m.nf")).alias("freq"))
