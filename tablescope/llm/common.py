@@ -44,3 +44,15 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
 def held_out(doc_id):
     """The fold that no model learns from: crc32 of the id as text, remainder 2 of 4."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(4)) == 2
+
+
+def seeded_sample(rows: DataFrame, group: str, size: int, seed: int, salts: int = 64) -> DataFrame:
+    """At most ``size`` ids per group of slim ``rows(doc_id, group)``, those first in
+    a seeded hash order. Ranked per (group, salt) first, so a group holding most
+    rows is spread over ``salts`` tasks; the second ranking sees salts x size rows."""
+    from pyspark.sql import Window
+    h = rows.select("doc_id", group, F.xxhash64(F.lit(seed), "doc_id").alias("_h")).withColumn("_salt", F.pmod("_h", F.lit(salts)))
+    first = Window.partitionBy(group, "_salt").orderBy("_h", "doc_id")
+    every = Window.partitionBy(group).orderBy("_h", "doc_id")
+    some = h.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= size)
+    return some.withColumn("_r", F.row_number().over(every)).where(F.col("_r") <= size).select("doc_id", group).distinct()
