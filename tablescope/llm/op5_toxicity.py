@@ -14,7 +14,7 @@ Training rows are a bounded seeded sample (``positives`` and ``unlabelled``
 documents, whole texts), reduced to hashed word ids by Spark before they reach
 the driver. Learned only from rows outside the held-out fold; labels, lang,
 source and doc_id are never inputs of a score. Every whole text is then scored
-in Arrow batches with the weight vector (2 MB, fixed).
+in Arrow batches with the weights of the screened words.
 
 Defined results: a null or empty text has no words and gets the model's base
 rate; without positives or unlabelled text every score is the prior (0 if there
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tablescope.llm.common import bounded_rows, held_out, seeded_sample
 
-DIMS, POSITIVES, UNLABELLED, EPOCHS, BATCHES, RATE, DECAY, LEAST_Z, THRESHOLD, SEED = 1 << 18, 3000, 9000, 60, 6, 0.05, 1e-5, 5.0, 0.3, 61
+POSITIVES, UNLABELLED, EPOCHS, BATCHES, RATE, DECAY, LEAST_Z, THRESHOLD, SEED = 3000, 9000, 60, 6, 0.05, 1e-5, 4.0, 0.3, 61
 #: Lengths of the word beginnings that are features besides the words.
 PREFIXES = (4, 5, 6)
 #: ASCII punctuation and digits separate words.
@@ -43,14 +43,19 @@ _GAPS = bytes(32 if (c < 128 and not chr(c).isalpha()) else c for c in range(256
 
 class _Ids(dict):
     """word -> hashed ids of the word and of its beginnings, so that inflected and
-    compound forms of a word share evidence."""
+    compound forms of a word share evidence. With ``only``, just the ids in it."""
+
+    def __init__(self, only: dict | None = None):
+        super().__init__()
+        self.only = only
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) > 300_000:
             self.clear()
         text = word.decode("utf-8", "replace")
         parts = [b"=" + word, *(text[:n].encode() for n in PREFIXES if len(text) >= n)]
-        ids = self[word] = tuple({xxhash.xxh32_intdigest(x) & (DIMS - 1) for x in parts})
+        hashed = {xxhash.xxh32_intdigest(x) >> 1 for x in parts}
+        ids = self[word] = tuple(hashed if self.only is None else hashed & self.only.keys())
         return ids
 
 
@@ -71,18 +76,18 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Rows:
-    """Rows of word ids as one flat array."""
+    """Rows of word numbers as one flat array."""
 
-    def __init__(self, rows: list[np.ndarray]):
-        self.ids = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    def __init__(self, rows: list[np.ndarray], dims: int):
+        self.ids = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.n = len(rows)
+        self.n, self.dims = len(rows), dims
 
     def score(self, w: np.ndarray, bias: float) -> np.ndarray:
         return bias + np.bincount(self.row, w[self.ids], self.n)
 
     def back(self, g: np.ndarray) -> tuple[np.ndarray, float]:
-        return np.bincount(self.ids, g[self.row], DIMS), float(g.sum())
+        return np.bincount(self.ids, g[self.row], self.dims), float(g.sum())
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -93,10 +98,10 @@ def once(rows: list[np.ndarray], seed: int) -> list[np.ndarray]:
     """``rows`` without near copies of earlier ones, so that a much-copied text
     counts once: four bands of three minima over the words; a band met before
     marks a copy (likely above a similarity of 0.7, very unlikely below 0.3)."""
-    rank = np.random.default_rng([seed, 7]).permuted(np.tile(np.arange(DIMS, dtype=np.int32), (12, 1)), axis=1)
+    odd = np.random.default_rng([seed, 7]).integers(0, 2**31, 12, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     out, met = [], set()
     for r in rows:
-        low = rank[:, r].min(1) if len(r) else np.zeros(12, np.int32)
+        low = ((r.astype(np.uint32)[:, None] + np.uint32(1)) * odd).min(0) if len(r) else np.zeros(12, np.uint32)
         bands = [(i, *low[3 * i:3 * i + 3].tolist()) for i in range(4)]
         if not any(b in met for b in bands):
             out.append(r)
@@ -105,31 +110,34 @@ def once(rows: list[np.ndarray], seed: int) -> list[np.ndarray]:
 
 
 def screen(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Words whose share of positive texts is above their share of unlabelled ones
-    by LEAST_Z standard errors; the others would only add noise to long texts."""
-    a, b = (np.bincount(np.concatenate(x), minlength=DIMS) for x in (positive, unlabelled))
+    """Sorted ids of the words whose share of positive texts is above their share of
+    unlabelled ones by LEAST_Z standard errors; the rest would add noise to long texts."""
+    every, at = np.unique(np.concatenate(positive + unlabelled), return_inverse=True)
+    cut = sum(map(len, positive))
+    a, b = (np.bincount(x, minlength=len(every)) for x in (at[:cut], at[cut:]))
     n, m = len(positive), len(unlabelled)
     pooled = (a + b) / (n + m)
     error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n + 1 / m))
-    return (a >= 3) & (a / n - b / m >= LEAST_Z * error)
+    return every[(a >= 3) & (a / n - b / m >= LEAST_Z * error)]
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """(weights, bias) of least non-negative PU risk, by Adam over seeded minibatches."""
-    w, bias = np.zeros(DIMS), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = SEED) -> tuple[dict[int, float], float]:
+    """(weight by word id, bias) of least non-negative PU risk, by Adam over seeded minibatches."""
+    bias = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     if not positive or not unlabelled:
-        return w.astype(np.float64), bias
+        return {}, bias
     rng = np.random.default_rng(seed)
     positive, unlabelled = once(positive, seed), once(unlabelled, seed)
-    seen = screen(positive, unlabelled)
-    positive, unlabelled = ([r[seen[r]] for r in x] for x in (positive, unlabelled))
-    m, v, mb, vb, step = np.zeros(DIMS), np.zeros(DIMS), 0.0, 0.0, 0
+    known = screen(positive, unlabelled)
+    dims, w = len(known), np.zeros(len(known))
+    positive, unlabelled = ([np.searchsorted(known, r[np.isin(r, known)]) for r in x] for x in (positive, unlabelled))
+    m, v, mb, vb, step = np.zeros(dims), np.zeros(dims), 0.0, 0.0, 0
     for _ in range(EPOCHS):
         p_order, u_order = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
         for p_part, u_part in zip(np.array_split(p_order, BATCHES), np.array_split(u_order, BATCHES)):
             if not len(p_part) or not len(u_part):
                 continue
-            pos, unl = _Rows([positive[i] for i in p_part]), _Rows([unlabelled[i] for i in u_part])
+            pos, unl = _Rows([positive[i] for i in p_part], dims), _Rows([unlabelled[i] for i in u_part], dims)
             fp, fu = pos.score(w, bias), unl.score(w, bias)
             # d/df of loss(f) = log(1 + exp(-f)) is sigmoid(f) - 1; of loss(-f) it is sigmoid(f)
             negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
@@ -144,12 +152,12 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
             c1, c2 = 1 - 0.9**step, 1 - 0.999**step
-            w -= RATE * (m / c1) / (np.sqrt(v / c2) + 1e-8) * seen
+            w -= RATE * (m / c1) / (np.sqrt(v / c2) + 1e-8)
             bias -= RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    return w, bias
+    return dict(zip(known.tolist(), w.tolist())), bias
 
 
-def learn(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> tuple[np.ndarray, float]:
+def learn(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> tuple[dict[int, float], float]:
     open_ = docs.where(~held_out(F.col("doc_id")))
     marks = (labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     share = marks.agg(F.avg((F.col("toxic") >= 1).cast("double")).alias("p")).first().p or 0.0
@@ -165,18 +173,17 @@ def learn(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> tuple[np.ndar
 
 def score(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text."""
-    weights, bias = learn(docs, labels, seed)
-    shipped = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float64), bias))
+    shipped = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, seed))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b = shipped.value
-        ids = _Ids()
+        weights, bias = shipped.value
+        ids = _Ids(weights)
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                f = np.array([b + w[word_ids(t.as_py(), ids)].sum() for t in batch.column("text").cast(pa.large_binary())], np.float64)
-                s = _sigmoid(f)
+                found = (word_ids(t.as_py(), ids) for t in batch.column("text").cast(pa.large_binary()))
+                s = _sigmoid(np.array([bias + sum(map(weights.__getitem__, f.tolist())) for f in found], np.float64))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s),
                                                   pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
