@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tablescope.llm.common import bounded_rows, held_out, seeded_sample
 
-POSITIVES, UNLABELLED, EPOCHS, BATCHES, RATE, DECAY, LEAST_Z, THRESHOLD, SEED = 3000, 9000, 60, 6, 0.05, 1e-5, 4.0, 0.3, 61
+POSITIVES, UNLABELLED, EPOCHS, BATCHES, RATE, DECAY, LEAST_Z, THRESHOLD, SEED = 3000, 9000, 60, 6, 0.05, 1e-5, 5.0, 0.3, 61
 #: Lengths of the word beginnings that are features besides the words.
 PREFIXES = (4, 5, 6)
 #: ASCII punctuation and digits separate words.
