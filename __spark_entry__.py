@@ -14,6 +14,7 @@ reproduce Spark's rule with ``R(expr, d)`` (see ``_r``).
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1034,6 +1035,18 @@ def q_overview_stream(spark, d):
     return spark.sql(f"SELECT position, column, non_null, nulls FROM {name}")
 
 
+# ---------------------------------------------------------------- training-data operators, where they are present
+if importlib.util.find_spec("tablescope.llm"):
+    from tablescope.llm import queries as _llm
+    _QUERIES.update(_llm.QUERIES)
+    _SQL.update(_llm.SQL)
+if importlib.util.find_spec("corpus_pipeline"):
+    import corpus_pipeline as _pipeline
+    _QUERIES["pipeline"] = _pipeline.run
+    if _pipeline.ORACLE_SQL:
+        _SQL["pipeline"] = _pipeline.ORACLE_SQL
+
+
 # ---------------------------------------------------------------- driver API
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: grouped sum of l_extendedprice by l_returnflag on sf0.001."""
