@@ -80,8 +80,8 @@ SQL = {
     "op1_embedding_dedup": f"""
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding::DOUBLE[], x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding::DOUBLE[], x -> x <> 0)) > 0),
+    AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding::DOUBLE[], lambda x: x <> 0)) > 0),
 nodes AS (SELECT vec_id AS id FROM embeddings),
 links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q
   ON p.label = q.label AND p.vec_id < q.vec_id AND len(p.e) = len(q.e) AND list_cosine_similarity(p.e, q.e) >= 0.98),
@@ -101,14 +101,14 @@ links AS (SELECT a, b FROM (SELECT p.doc_id AS a, q.doc_id AS b, any_value(p.n)
 {_COMPONENTS}
 SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
 FROM s JOIN comp c ON c.node = s.doc_id""",
-    "op7_reply_trees": """
+    "op7_reply_trees": r"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
-e AS (SELECT *, regexp_replace(regexp_replace(text, '<(\\\\*)(\\||/?s>|</?SYS>>)', '<\\\\\\1\\2', 'g'), '\\[(\\\\*)(/?INST\\])', '[\\\\\\1\\2', 'g') AS written FROM r)
+e AS (SELECT *, regexp_replace(regexp_replace(text, '<(\\*)(\||/?s>|</?SYS>>)', '<\\\1\2', 'g'), '\[(\\*)(/?INST\])', '[\\\1\2', 'g') AS written FROM r)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(12 + length(role) + 1 + length(written) + 11)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id""".replace("\\\\", "\\"),
+FROM e GROUP BY conv_id""",
 }
