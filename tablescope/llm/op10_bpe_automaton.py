@@ -33,6 +33,8 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -82,7 +84,6 @@ class Automaton:
         self.arcs: dict[tuple[int, int], bool] = {}
         self.match: dict[bytes, int] = {labels[i]: i for i in self.forbidden if i != -1}
         self.longest = max(map(len, self.match), default=0)
-        self.words: dict[bytes, tuple[int, ...]] = {}
 
     def _gadget(self, u: int, v: int, w: int, time: int) -> None:
         if u not in self.forbidden or v not in self.forbidden or w in self.forbidden or not self._open(u, v, time):
@@ -117,16 +118,6 @@ class Automaton:
         return there
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        done = self.words.get(word)
-        if done is None:
-            if len(self.words) > 300_000:
-                self.words.clear()
-            done = self._walk(word)
-            if len(word) <= 64:
-                self.words[word] = done
-        return done
-
-    def _walk(self, word: bytes) -> tuple[int, ...]:
         n, path, dead = len(word), [], set()
         at, size, state = 0, self.longest, -1
         while at < n:
@@ -173,9 +164,9 @@ class _Words(dict):
         self.automaton = automaton
 
     def __missing__(self, word: str):
-        if len(self) > 300_000:
+        if len(self) > 500_000:
             self.clear()
-        ids = self.automaton._walk(word.encode())
+        ids = self.automaton.encode_word(word.encode())
         out = (ids, ",".join(map(str, ids)))
         if len(word) <= 64:
             self[word] = out
@@ -184,24 +175,27 @@ class _Words(dict):
 
 def _encoder(vocabulary, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = vocabulary.value if hasattr(vocabulary, "value") else vocabulary
-        automaton, special = Automaton(table), table["special"]
-        words, split, labels = _Words(automaton), splitter(special), automaton.labels
+        table = vocabulary.value
+        # one compiled automaton and one word memory per Python worker: later tasks of the worker find them beside the vocabulary
+        if "words" not in table:
+            table["words"] = _Words(Automaton(table))
+        words, special, labels = table["words"], table["special"], table["labels"]
+        split = splitter(special)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
                 counts, left, right, lists = [], [], [], []
                 for value in batch.column("text"):
-                    text, out, said = value.as_py() or "", [], []
-                    for is_special, piece in split(text):
+                    out, said = [], []
+                    for is_special, piece in split(value.as_py() or ""):
                         if is_special:
                             out.append(special[piece])
                             said.append(str(special[piece]))
-                        else:
-                            for ids, written in map(words.__getitem__, piece):
-                                out.extend(ids)
-                                said.append(written)
+                        elif piece:
+                            found = list(map(words.__getitem__, piece))
+                            out.extend(chain.from_iterable(map(itemgetter(0), found)))
+                            said.extend(map(itemgetter(1), found))
                     if digest:
                         counts.append(len(out))
                         left.append(sha(",".join(said).encode()))
