@@ -118,8 +118,8 @@ def _sketched(seed: int):
                     for r in range(ROWS):
                         band = _mix(band * np.uint64(0x9E3779B97F4A7C15) + parts[:, r])
                     bands.append(band.view(np.int64))
-                    # high bits of a multiplicative hash are its good ones
-                    nibbles = (low >> np.uint64(64 - BITS)).reshape(_LONGS, 64 // BITS)
+                    # minima crowd near 0, so only their low bits tell them apart
+                    nibbles = (low & np.uint64(2**BITS - 1)).reshape(_LONGS, 64 // BITS)
                     bits.append((nibbles << shift).sum(1, dtype=np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
@@ -142,7 +142,7 @@ def _refined(seed: int):
                 for text in batch.column("text").cast(pa.large_binary()):
                     s = shingle_set(text.as_py(), seen)
                     n.append(len(s))
-                    low = (minima(s, a, b) >> np.uint64(64 - FINE_BITS)).reshape(-1, 64 // FINE_BITS)
+                    low = (minima(s, a, b) & np.uint64(2**FINE_BITS - 1)).reshape(-1, 64 // FINE_BITS)
                     fine.append((low << shift).sum(1, dtype=np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fine, pa.list_(pa.int64()))],
                                                  names=["rep", "n", "fine"])
