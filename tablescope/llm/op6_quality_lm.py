@@ -200,63 +200,65 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, list
         yield name(), ids, langs, texts
 
 
+def _windows(text: str):
+    """The 4-grams of a marked text, as tuples of characters."""
+    return zip(*(text[i:] for i in range(ORDER)))
+
+
 def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for name, _, _, texts in _chunks(batches):
         words: set = set()
         for t in texts:
             words.update(_words(t))
-        grams = list(set().union(*map(grams_of, words)))
+        found = set(_windows(_START + (_END + _START).join(words) + _END)) if words else ()
+        # windows that run over the end of a word belong to no word
+        grams = ["".join(g) for g in found if _END not in g[:-1]]
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams, pa.string())], names=["chunk", "gram"])
 
 
-_ROW = "chunk string, gram string, lp double, doc_ids array<{kind}>, langs array<string>, ends array<long>, packed binary"
+_BODY = "chunk string, doc_ids array<{kind}>, langs array<string>, ends array<long>, packed binary"
 
 
 def _bodies(schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=1)
         for name, ids, langs, texts in _chunks(batches):
             ends = np.cumsum([len(t) for t in texts])
-            yield pa.RecordBatch.from_pylist([{"chunk": name, "gram": None, "lp": None, "doc_ids": ids, "langs": langs,
-                                               "ends": ends.tolist(), "packed": pack.compress(b"".join(texts))}], schema=schema)
+            yield pa.RecordBatch.from_pylist([{"chunk": name, "doc_ids": ids, "langs": langs, "ends": ends.tolist(),
+                                               "packed": pack.compress(b"".join(texts))}], schema=schema)
     return run
 
 
 class _Costs(dict):
-    """word -> (log2 probability, symbols) from the answers of one chunk."""
+    """word -> its log2 probability, from the answers of one chunk."""
 
     def __init__(self, answers: dict):
         super().__init__()
         self.answers = answers
 
-    def __missing__(self, word: str) -> tuple[float, int]:
-        grams = grams_of(word)
-        out = self[word] = (sum(map(self.answers.__getitem__, grams)), len(grams))
+    def __missing__(self, word: str) -> float:
+        out = self[word] = sum(map(self.answers.__getitem__, _windows(_START + word + _END)))
         return out
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by chunk, answers before texts -> one row per document. An answer
-    that is missing (a chunk read differently the second time) is a KeyError."""
-    unpack, answers, now = zstandard.ZstdDecompressor(), {}, None
+    """One row per chunk, texts beside answers -> one row per document. An answer that
+    is missing (a chunk read differently the second time) is a KeyError."""
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        chunks, grams, lps = (batch.column(c).to_pylist() for c in ("chunk", "gram", "lp"))
-        for i, (chunk, gram, lp) in enumerate(zip(chunks, grams, lps)):
-            if chunk != now:
-                answers, now = {}, chunk
-            if gram is not None:
-                answers[gram] = lp
-                continue
-            row = batch.slice(i, 1).to_pylist()[0]
-            text, costs, start = unpack.decompress(row["packed"]), _Costs(answers), 0
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            doc_ids, langs, grams, lps = (row.column(c).flatten() for c in ("doc_ids", "langs", "grams", "lps"))
+            text, start = unpack.decompress(row.column("packed")[0].as_py()), 0
+            costs = _Costs(dict(zip(map(tuple, grams.to_pylist()), lps.to_pylist())))
             symbols, total = [], []
-            for end in row["ends"]:
-                found = [costs[w] for w in _words(text[start:end])]
-                total.append(math.fsum(x for x, _ in found))
-                symbols.append(sum(n for _, n in found))
+            for end in row.column("ends")[0].as_py():
+                words = _words(text[start:end])
+                total.append(math.fsum(map(costs.__getitem__, words)))
+                symbols.append(sum(map(len, words)) + len(words))
                 start = end
-            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"]), pa.array(row["langs"], pa.string()), pa.array(symbols, pa.int64()),
-                                              pa.array(total, pa.float64())], names=["doc_id", "lang", "n_symbols", "log2_prob"])
+            yield pa.RecordBatch.from_arrays([doc_ids, langs, pa.array(symbols, pa.int64()), pa.array(total, pa.float64())],
+                                             names=["doc_id", "lang", "n_symbols", "log2_prob"])
 
 
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -269,13 +271,12 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     wanted = pin(rows.mapInArrow(_requests, "chunk string, gram string"), "wanted")
     lp = pin(probabilities(wanted.select("gram").distinct(), model), "answers")
-    schema = StructType.fromDDL(_ROW.format(kind=kind))
+    schema = StructType.fromDDL(_BODY.format(kind=kind))
     bodies = rows.mapInArrow(_bodies(to_arrow_schema(schema)), schema)
-    answers = wanted.join(lp, "gram")
-    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[3:]]
-    both = answers.select("chunk", "gram", "lp", *empty).unionByName(bodies)
-    both = both.repartition("chunk").sortWithinPartitions("chunk", F.col("gram").isNull())
-    scored = both.mapInArrow(_scored, f"doc_id {kind}, lang string, n_symbols long, log2_prob double")
+    # a chunk's answers are one row: at most as many as its texts have characters
+    answers = (wanted.join(lp, "gram").groupBy("chunk").agg(F.collect_list(F.struct("gram", "lp")).alias("a"))
+               .select("chunk", F.col("a.gram").alias("grams"), F.col("a.lp").alias("lps")))
+    scored = bodies.join(answers, "chunk", "left").mapInArrow(_scored, f"doc_id {kind}, lang string, n_symbols long, log2_prob double")
     return scored.withColumn("perplexity", F.when(F.col("n_symbols") > 0, F.pow(F.lit(2.0), -F.col("log2_prob") / F.greatest("n_symbols", F.lit(1)))))
 
 
