@@ -11,9 +11,9 @@
    different components and the packed signatures agree well enough.
 4. b-bit estimate: the share of equal nibbles, counted by bit operations and
    corrected for chance agreement (1 / 16), estimates the similarity. In the
-   second round a longer signature (1024 minima, 2 bits each), made only for the
-   texts still in question, is asked as well. Estimates only discard pairs 5
-   standard errors below 0.75; nothing is linked by an estimate.
+   second round a longer signature (2048 minima, 2 bits each), made only for the
+   texts still in question, is asked as well. Estimates only discard pairs 4
+   standard errors below 0.75 or more; nothing is linked by an estimate.
 5. Each remaining pair is confirmed on the full sets of both whole texts:
    100 x intersection >= 75 x union.
 
@@ -43,10 +43,10 @@ from tablescope.llm.components import components
 
 WORDS, BANDS, ROWS, BITS, SEED, PERCENT = 5, 32, 5, 4, 41, 75
 _LONGS = BANDS * ROWS * BITS // 64
-#: Signature of round 2: minima and bits kept of each. Its standard error at similarity 0.75 is 0.016, that of the first 0.036.
-FINE, FINE_BITS = 1024, 2
-#: Pairs estimated below these (5 standard errors under 0.75) are not checked.
-LEAST_ESTIMATE, LEAST_FINE, BLOCK = 0.57, 0.67, 512
+#: Signature of round 2: minima and bits kept of each. Its standard error at similarity 0.75 is 0.0115, that of the first 0.036.
+FINE, FINE_BITS = 2048, 2
+#: Pairs estimated below these (4.3 and 5 standard errors under 0.75) are not checked.
+LEAST_ESTIMATE, LEAST_FINE, BLOCK = 0.57, 0.70, 512
 
 
 class _Words(dict):
@@ -196,8 +196,11 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = [estimates(packed[i[k:k + 50_000]], packed[j[k:k + 50_000]], bits) >= least for k in range(0, len(i), 50_000)]
             near = np.concatenate(near) if near else np.zeros(0, bool)
             i, j = i[near], j[near]
-        if len(i):
-            rep = t.column("rep").to_numpy()
+        if len(i):  # a pair that shares several buckets is reported by the first of them only
+            keys, rep = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(t), -1), t.column("rep").to_numpy()
+            first = (keys[i] == keys[j]).argmax(1)
+            own = keys[i, first] == t.column("bucket")[0].as_py()
+            i, j = i[own], j[own]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
 
 
@@ -239,7 +242,7 @@ def near_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     classes = rows.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     reps = (rows.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"]).dropDuplicates(["doc_id"])
             .select(F.col("doc_id").alias("rep"), "bands", "bits"))
-    banded = reps.select("rep", "bits", F.explode("bands").alias("band"))
+    banded = reps.select("rep", "bits", "bands", F.explode("bands").alias("band"))
 
     # round 1: every class against the smallest id of each of its buckets
     anchors = banded.groupBy("band").agg(F.min("rep").alias("anchor"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "anchor")
@@ -255,7 +258,7 @@ def near_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     # round 2: what the first round left apart inside a bucket
     part = components(first)
     placed = (banded.join(part, banded.rep == part.node, "left")
-              .select("band", "rep", "bits", F.coalesce("component", "rep").alias("component")))
+              .select("band", "rep", "bits", "bands", F.coalesce("component", "rep").alias("component")))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     open_ = pin(placed.join(mixed, "band", "left_semi"), "open-buckets")
     fine = (texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
