@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from tablescope.llm.common import pin
 
-ORDER, KEEP, CHUNK_ROWS, CHUNK_BYTES, BITMAP_BITS, PROBES, STEPS = 4, 0.998, 2000, 8_000_000, 26, 3, 500
+ORDER, KEEP, CHUNK_ROWS, CHUNK_BYTES, BITMAP_BITS, PROBES, STEPS = 4, 0.998, 1000, 3_000_000, 26, 3, 500
 _START, _END = "\x02" * (ORDER - 1), "\x03"
 
 
@@ -77,10 +77,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for value in batch.column("packed"):
             words.update(_words(unpack.decompress(value.as_py())))
-            if len(words) > 200_000:
+            if len(words) > 100_000:
                 grams.update(_count(words))
                 words.clear()
-                if len(grams) > 500_000:
+                if len(grams) > 200_000:
                     yield flush()
     grams.update(_count(words))
     if grams:
