@@ -51,21 +51,22 @@ def _read_role(role: Column) -> Column:
     return F.when(role.startswith("="), F.decode(F.unhex(F.substring(role, 2, 2**31 - 1)), "UTF-8")).otherwise(role)
 
 
-def ancestors(nodes: DataFrame, max_rounds: int = 40) -> tuple[list[DataFrame], DataFrame]:
+def ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Doubling tables. ``nodes(tree, node, parent, score)`` -> (jumps, sums):
     ``jumps[i]`` holds (tree, node, up): the 2**i-step ancestor, where there is
     one; ``sums`` holds (tree, node, depth, total) for nodes that reach a root."""
     known = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_up"))
     step = (nodes.join(known, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("parent") == F.col("_up")), "left")
-            .select("tree", "node", F.col("_up").alias("up"), F.lit(1).alias("depth"), F.col("score").alias("total")))
+            .select("tree", "node", F.col("_up").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")))
     step, jumps = pin(step, "tree"), []
-    for _ in range(max_rounds):
+    # no path is longer than the table: what still has an ancestor after that many doublings is on or below a cycle
+    for _ in range(step.count().bit_length() + 1):
         jumps.append(step.where("up is not null").select("tree", "node", "up"))
         if jumps[-1].isEmpty():
             break
         far = step.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("total").alias("_s"))
         step = pin(step.join(far, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("up") == F.col("_n")), "left")
-                   .select("tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"),
+                   .select("tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0).cast("long"))).alias("depth"),
                            (F.col("total") + F.coalesce("_s", F.lit(0.0))).alias("total")), "tree")
     return jumps, step.where("up is null").select("tree", "node", "depth", "total")
 
