@@ -242,7 +242,7 @@ def near_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     classes = rows.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     reps = (rows.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"]).dropDuplicates(["doc_id"])
             .select(F.col("doc_id").alias("rep"), "bands", "bits"))
-    banded = reps.select("rep", "bits", "bands", F.explode("bands").alias("band"))
+    banded = reps.select("rep", F.explode("bands").alias("band"))  # signatures are fetched later, for few
 
     # round 1: every class against the smallest id of each of its buckets
     anchors = banded.groupBy("band").agg(F.min("rep").alias("anchor"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "anchor")
@@ -258,12 +258,12 @@ def near_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     # round 2: what the first round left apart inside a bucket
     part = components(first)
     placed = (banded.join(part, banded.rep == part.node, "left")
-              .select("band", "rep", "bits", "bands", F.coalesce("component", "rep").alias("component")))
+              .select("band", "rep", F.coalesce("component", "rep").alias("component")))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     open_ = pin(placed.join(mixed, "band", "left_semi"), "open-buckets")
     fine = (texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
             .mapInArrow(_refined(seed), f"rep {kind}, n long, fine array<long>").dropDuplicates(["rep"]))
-    open_ = open_.withColumnRenamed("band", "bucket").join(pin(fine, "refined"), "rep")
+    open_ = open_.withColumnRenamed("band", "bucket").join(pin(fine.join(reps.select("rep", "bits", "bands"), "rep"), "refined"), "rep")
     rest = (block_units(open_, BLOCK, "rep").mapInArrow(_apart, "a long, b long").distinct()
             .join(star, ["a", "b"], "left_anti"))
     second = pin(_confirm(rest, texts, kind), "links-2").distinct()
