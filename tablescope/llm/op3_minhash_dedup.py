@@ -246,7 +246,9 @@ def near_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     # round 1: every class against the smallest id of each of its buckets
     anchors = banded.groupBy("band").agg(F.min("rep").alias("anchor"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "anchor")
-    star = banded.select("band", "rep").join(anchors, "band").where("rep <> anchor").select(F.col("anchor").alias("a"), F.col("rep").alias("b")).distinct()
+    # written once, for both rounds: most band rows are alone in their bucket and end here
+    shared = pin(banded.join(anchors, "band"), "shared-buckets")
+    star = shared.where("rep <> anchor").select(F.col("anchor").alias("a"), F.col("rep").alias("b")).distinct()
     bits = reps.select("rep", "bits")
     star = (star.join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("bits_b")), "b")
             .join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("bits_a")), "a")
@@ -257,7 +259,7 @@ def near_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     # round 2: what the first round left apart inside a bucket
     part = components(first)
-    placed = (banded.join(part, banded.rep == part.node, "left")
+    placed = (shared.join(part, shared.rep == part.node, "left")
               .select("band", "rep", F.coalesce("component", "rep").alias("component")))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     open_ = pin(placed.join(mixed, "band", "left_semi"), "open-buckets")
