@@ -35,6 +35,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ from pyspark.sql import functions as F
 from tablescope.llm.common import pin
 
 ORDER, KEEP, CHUNK_ROWS, CHUNK_BYTES, BITMAP_BITS, PROBES, STEPS = 4, 0.998, 2000, 8_000_000, 26, 3, 500
+#: Words whose windows are made in one go: bounds a task's memory, not what is read.
+WORDS_AT_ONCE = 20_000
 _START, _END = "\x02" * (ORDER - 1), "\x03"
 
 
@@ -210,7 +213,9 @@ def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: set = set()
         for t in texts:
             words.update(_words(t))
-        found = set(_windows(_START + (_END + _START).join(words) + _END)) if words else ()
+        found, rest = set(), iter(words)
+        while some := list(islice(rest, WORDS_AT_ONCE)):  # the windows copy the text they run over
+            found.update(_windows(_START + (_END + _START).join(some) + _END))
         # windows that run over the end of a word belong to no word
         grams = ["".join(g) for g in found if _END not in g[:-1]]
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams, pa.string())], names=["chunk", "gram"])
@@ -230,13 +235,15 @@ def _bodies(schema: pa.Schema):
 
 
 class _Costs(dict):
-    """word -> its log2 probability, from the answers of one chunk."""
+    """word -> its log2 probability, from the answers of one chunk; remembered up to a fixed number of words."""
 
     def __init__(self, answers: dict):
         super().__init__()
         self.answers = answers
 
     def __missing__(self, word: str) -> float:
+        if len(self) >= 5 * WORDS_AT_ONCE:
+            self.clear()
         out = self[word] = sum(map(self.answers.__getitem__, _windows(_START + word + _END)))
         return out
 
