@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 
 from .columns import is_exact_numeric
 
+#: Text codes that a cast to double would accept as numbers: Java type suffixes (1D, 2f) and hexadecimals.
+CODE_PATTERN = r"[0-9.][dDfF]\s*$|[xX]"
+
 # The characters Python's str.strip() removes (str.isspace()).
 WHITESPACE_CLASS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 EDGE_WHITESPACE = rf"^{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+$"

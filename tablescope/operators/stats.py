@@ -35,7 +35,7 @@ def group_stats(df: DataFrame, key: str, value: str, func: str) -> DataFrame:
         "count": lambda: F.count(v),
         "std": lambda: std_of(v, dt),
     }[func]()
-    out = df.where(F.col(key).isNotNull()).groupBy(key).agg(agg.alias(func))
+    out = df.where(missing_as_null(df, key).isNotNull()).groupBy(key).agg(agg.alias(func))
     return out.orderBy(F.col(func).desc_nulls_last(), F.col(key).asc())
 
 
@@ -46,7 +46,7 @@ def group_summary(df: DataFrame, key: str, value: str) -> DataFrame:
     require_numeric(df, value)
     dt = df.schema[value].dataType
     v = missing_as_null(df, value)
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(
+    return df.where(missing_as_null(df, key).isNotNull()).groupBy(key).agg(
         sum_of(v, dt).alias("sum"), mean_of(v, dt).alias("mean"), F.count(v).alias("count"),
         std_of(v, dt).alias("std"))
 

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import missing_as_null, require_columns
+from ..functions.columns import DATETIME, missing_as_null, require_columns, type_class
 
 VERBS = ("filter", "select", "drop", "rename", "derive", "cast", "dropna", "fillna", "replace", "dedupe",
          "sort", "limit", "aggregate")
@@ -36,11 +36,15 @@ def drop_missing(df: DataFrame, subset: Sequence[str] | None = None) -> DataFram
 def filter_year_category(df: DataFrame, date_col: str, year="all", col: str | None = None,
                          value="all") -> DataFrame:
     """keep one year of ``date_col`` and/or one value of ``col``; ``"all"`` keeps all.
-    Plain predicates, pushed to the scan when the columns are stored."""
+    A stored date or timestamp column gives a range predicate, which is pushed to
+    the scan; any other type is read as a date first (unreadable text matches no year)."""
     require_columns(df, date_col, *([col] if col else []))
     out = df
     if str(year) != "all":
-        out = out.where(F.year(F.col(date_col)) == F.lit(int(year)))
+        first, after = (F.make_date(F.lit(int(year) + i), F.lit(1), F.lit(1)) for i in (0, 1))
+        stored = type_class(df.schema[date_col].dataType) == DATETIME
+        when = F.col(date_col) if stored else F.expr(f"try_cast(CAST(`{date_col}` AS STRING) AS TIMESTAMP)")
+        out = out.where((when >= first) & (when < after))
     if col and str(value) != "all":
         out = out.where(F.col(col) == F.lit(value))
     return out

@@ -23,12 +23,12 @@ from pyspark.sql import types as T
 
 from ..functions.columns import (DATETIME, NUMERIC, is_floating, missing_as_null, require_columns,
                                  type_class)
-from ..functions.exprs import mean_of, pct, safe_div, std_of
+from ..functions.exprs import CODE_PATTERN, mean_of, pct, safe_div, std_of
 
 FREQS = ("D", "M", "Q", "Y")
 
 # The date formats tried, in order, after Spark's ISO cast.
-# Month-first before day-first, as pandas does by default.
+# Slashed dates are month-first unless more of the column reads day-first.
 DATE_FORMATS = ("yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "yyyyMMdd",
                 "yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd-MM-yyyy HH:mm:ss")
 
@@ -40,15 +40,26 @@ ACCELERATING, DECLINING, STABLE = "Accelerating", "Declining", "Stable"
 COMPLETENESS_WARNING_PCT = 90.0
 
 
+def day_first(df: DataFrame, col: str) -> bool:
+    """Whether more values of the whole column read as dd/MM/yyyy than as MM/dd/yyyy
+    (one aggregation; equal counts stay month-first)."""
+    date = F.substring_index(F.trim(F.col(col).cast("string")), " ", 1)
+    n = df.agg(*[F.count(F.try_to_timestamp(date, F.lit(f))).alias(k) for k, f in (("m", "MM/dd/yyyy"), ("d", "dd/MM/yyyy"))]).first()
+    return n.d > n.m
+
+
 def parse_dates(df: DataFrame, col: str, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """The column as a timestamp; text that matches no format gives NULL."""
+    """The column as a timestamp; text that matches no format gives NULL. With the
+    default formats, one order of day and month holds for all slashed dates of a text column."""
     require_columns(df, col)
     dt = df.schema[col].dataType
     c = F.col(col)
     if type_class(dt) == DATETIME:
         return c
     s = c.cast("string")
-    tries = [F.expr(f"try_cast(`{col}` AS TIMESTAMP)")]
+    if formats is DATE_FORMATS and isinstance(dt, T.StringType) and day_first(df, col):
+        formats = [f.replace("MM/dd/yyyy", "dd/MM/yyyy") for f in formats]
+    tries = [F.expr(f"try_cast(CAST(`{col}` AS STRING) AS TIMESTAMP)")]
     tries += [F.try_to_timestamp(s, F.lit(f)) for f in formats]
     return F.coalesce(*tries)
 
@@ -59,7 +70,7 @@ def parse_numbers(df: DataFrame, col: str, to: str = "double") -> Column:
     dt = df.schema[col].dataType
     if type_class(dt) == NUMERIC:
         return missing_as_null(df, col)
-    v = F.expr(f"try_cast(`{col}` AS {to})")
+    v = F.when(~F.col(col).cast("string").rlike(CODE_PATTERN), F.expr(f"try_cast(`{col}` AS {to})"))
     if to in ("double", "float"):
         v = F.nanvl(v, F.lit(None).cast(to))
     return v
@@ -251,14 +262,17 @@ def peaks(totals: DataFrame, min_periods: int = 3) -> DataFrame:
 
 def recent_direction(totals: DataFrame, n: int = 6, digits: int = 2, limit: float = 5.0) -> DataFrame:
     """Change from the ``n``-th last to the last period: ``(first_period, last_period,
-    change_pct, direction)`` with >limit Accelerating, <-limit Declining; empty below ``n`` periods."""
+    change_pct, direction)`` with >limit Accelerating, <-limit Declining; empty below ``n`` periods.
+    From a zero period ``change_pct`` is NULL and the sign of the last sum decides."""
     exact = not is_floating(_sum_type(totals))
     last = totals.orderBy(F.col("period").desc()).limit(n)
     row = last.agg(F.count(F.lit(1)).alias("k"),
                    F.min_by(F.struct("period", "sum"), "period").alias("a"),
                    F.max_by(F.struct("period", "sum"), "period").alias("b"))
     change = _growth_expr(F.col("b.sum"), F.col("a.sum"), exact)
-    cls = F.when(change > limit, ACCELERATING).when(change < -limit, DECLINING).otherwise(STABLE)
+    zero = F.col("a.sum") == 0
+    cls = (F.when((change > limit) | (zero & (F.col("b.sum") > 0)), ACCELERATING)
+           .when((change < -limit) | (zero & (F.col("b.sum") < 0)), DECLINING).otherwise(STABLE))
     return row.where(F.col("k") >= n).select(
         F.col("a.period").alias("first_period"), F.col("b.period").alias("last_period"),
         F.round(change, digits).alias("change_pct"), cls.alias("direction"))

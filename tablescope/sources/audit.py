@@ -8,6 +8,7 @@ several at once) can add to the log and Spark can read it back as a table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,9 @@ def log_frame(spark: SparkSession, entries: Sequence[str] | DataFrame) -> DataFr
 def append_log(spark: SparkSession, entries: Sequence[str] | DataFrame, path: str) -> DataFrame:
     """Append entries with ``logged_at`` (UTC time of the write) to the log folder;
     returns the rows as written."""
-    frame = log_frame(spark, entries).withColumn("logged_at", F.current_timestamp())
+    now = datetime.now(timezone.utc)
+    now = now.replace(microsecond=now.microsecond // 1000 * 1000)  # JSON text keeps milliseconds
+    frame = log_frame(spark, entries).withColumn("logged_at", F.lit(now))
     frame.write.mode("append").json(path)
     return frame
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import type_class
+from ..functions.exprs import CODE_PATTERN
 
 # Separators tried in this order (the first that splits the
 # header into more than one field with consistent rows wins).
@@ -118,7 +119,7 @@ def infer_types(df: DataFrame) -> tuple[dict[str, str], int]:
         x = F.col(f"`{c}`")
         aggs += [F.count(x).alias(f"n{i}"),
                  F.count_if(x.rlike(INT_PATTERN) & F.expr(f"try_cast(`{c}` AS BIGINT)").isNotNull()).alias(f"l{i}"),
-                 F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"d{i}"),
+                 F.count(F.when(~x.rlike(CODE_PATTERN), F.expr(f"try_cast(`{c}` AS DOUBLE)"))).alias(f"d{i}"),
                  F.count_if(x.isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias(f"b{i}"),
                  F.count_if(F.instr(x, REPLACEMENT_CHAR) > 0).alias(f"r{i}")]
     if not aggs:

@@ -42,7 +42,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
 def count_written(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """One row ``(path, rows)`` counted from what was written (a lazy, distributed count)."""
     if fmt == "csv":
-        written = spark.read.option("header", True).option("multiLine", True).csv(path)
+        written = (spark.read.option("header", True).option("multiLine", True)
+                   .option("quote", '"').option("escape", '"').csv(path))  # as written
     elif fmt == "parquet":
         written = spark.read.parquet(path)
     else:

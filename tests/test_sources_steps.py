@@ -129,3 +129,32 @@ def test_every_declared_verb(spark):
     counts = rows(audit, "operation", "rows_before", "rows_after")
     assert counts[0] == ("filter", 3, 3) and counts[-1] == ("limit", 3, 2)
     assert all(b == a for op, b, a in counts if op in steps.ROW_PRESERVING)
+
+
+def test_count_written_reads_as_written(spark, tmp_path):
+    from tablescope import sources
+    df = spark.createDataFrame([("x,y\\",), ("a\nb",), ('q"r',), ("plain",)], "t string").coalesce(1)
+    assert sources.count_written(spark, sources.write_table(df, str(tmp_path / "t"))).first().rows == 4
+
+
+def test_year_filter_is_a_pushed_range(spark, tmp_path):
+    from tablescope.operators import steps
+    df = spark.sql("select date'2023-12-31' d union all select date'2024-01-01' union all select date'2024-12-31' union all select date'2025-01-01'")
+    df.write.parquet(str(tmp_path / "d"))
+    out = steps.filter_year_category(spark.read.parquet(str(tmp_path / "d")), "d", 2024)
+    assert out.count() == 2
+    assert "GreaterThanOrEqual(d,2024-01-01)" in out._jdf.queryExecution().toString()
+    text = spark.createDataFrame([("2024-05-01",), ("nothing",)], "d string")
+    assert steps.filter_year_category(text, "d", 2024).count() == 1
+
+
+def test_logged_time_is_the_one_written(spark, tmp_path):
+    from tablescope import sources
+    log = sources.append_log(spark, ["a"], str(tmp_path / "log"))
+    assert log.first().logged_at == sources.read_log(spark, str(tmp_path / "log")).first().logged_at
+
+
+def test_nan_key_is_missing(spark):
+    from tablescope.operators import stats
+    df = spark.createDataFrame([(float("nan"), 1), (1.0, 2), (None, 3)], "k double, v int")
+    assert [r.k for r in stats.group_stats(df, "k", "v", "sum").collect()] == [1.0]

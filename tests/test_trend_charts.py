@@ -139,3 +139,23 @@ def test_scatter_requires_numeric(spark):
 def test_histogram_counts_sum_to_present_rows(spark):
     df = spark.createDataFrame([(float(i % 37),) for i in range(500)] + [(None,), (float("nan"),)], "x double")
     assert sum(r["count"] for r in chartdata.histogram(df, "x", 7).collect()) == 500
+
+
+def test_one_order_of_day_and_month_per_column(spark):
+    def days(*texts):
+        df = spark.createDataFrame([(t,) for t in texts], "d string")
+        return sorted(r.d.strftime("%m-%d") for r in trend.coerce_dates(df, "d").collect())
+    assert days("25/01/2023", "03/02/2023", "14/02/2023", "01/03/2023") == ["01-25", "02-03", "02-14", "03-01"]
+    assert days("01/25/2023", "03/02/2023") == ["01-25", "03-02"]
+
+
+def test_integer_dates_and_text_codes(spark):
+    r = trend.coerce_dates(spark.createDataFrame([(20230115,)], "d long"), "d").first()
+    assert r.d.strftime("%Y-%m-%d") == "2023-01-15"
+    df = spark.createDataFrame([("1D",), ("2F",), ("3.5",), ("1e3",)], "v string")
+    assert sorted(r.v for r in trend.coerce_numbers(df, "v").collect()) == [3.5, 1000.0]
+
+
+def test_recent_direction_from_a_zero_period(spark):
+    t = trend.period_totals(_monthly(spark, [0, 1, 2, 3, 4, 50]), "d", "v")
+    assert trend.recent_direction(t).first().direction == trend.ACCELERATING
