@@ -4,7 +4,8 @@ Ancestors are found by path doubling: round ``i`` joins the table of ``2**i``-st
 ancestors with itself, so a thread of depth d needs about log2(d) self-joins
 whatever its size, and every join is on the unique (tree, node) - no key is hot.
 The same rounds carry sums of scores to the root, so leaves are ranked before any
-path is written out; only chosen paths are enumerated, doubling again.
+path is written out; only chosen paths are enumerated, doubling again from the
+largest step down, which makes rows in proportion to the paths' lengths.
 Native expressions throughout.
 
 Template (fixed strings): ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn.
@@ -81,13 +82,18 @@ def choose_paths(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
     if per_tree is not None:
         best = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), "node")
         leaves = leaves.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= per_tree)
-    path = leaves.select("tree", F.col("node").alias("path"), "node", F.lit(0).alias("up_steps"), "depth")
-    for i, jump in enumerate(jumps):
+    # a path enters at its own number of doublings and is halved from the top down, so all rounds together make about twice its nodes
+    top = F.when(F.col("depth") > 1, F.length(F.bin(F.col("depth") - 1))).otherwise(0)
+    leaves = pin(leaves.select("tree", F.col("node").alias("path"), "node", F.lit(0).alias("up_steps"), "depth", top.alias("top")), "leaves")
+    path = leaves.where(F.col("top") > len(jumps)).drop("top")
+    for i, jump in reversed(list(enumerate(jumps))):
+        path = path.unionByName(leaves.where(F.col("top") == i + 1).drop("top"))
         far = jump.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "up")
         pair = path.join(far, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")), "left")
         both = F.array(F.struct("node", "up_steps"), F.struct(F.col("up").alias("node"), (F.col("up_steps") + 2**i).alias("up_steps")))
         path = pair.select("tree", "path", "depth", F.explode(F.filter(both, lambda x: x["node"].isNotNull())).alias("x")).select(
-            "tree", "path", "depth", "x.node", "x.up_steps")
+            "tree", "path", F.col("x.node").alias("node"), F.col("x.up_steps").alias("up_steps"), "depth")
+    path = path.unionByName(leaves.where("top = 0").drop("top"))
     return path.select("tree", "path", "node", (F.col("depth") - 1 - F.col("up_steps")).alias("pos"))
 
 
