@@ -26,6 +26,11 @@ def type_class(dt: T.DataType) -> str:
     return OTHER
 
 
+def col_of(name: str) -> Column:
+    """The column of exactly this name, also where it holds dots, spaces or backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def require_columns(df: DataFrame, *cols: str) -> None:
     """Raise ValueError naming the available columns when one is missing."""
     missing = [c for c in cols if c not in df.columns]
@@ -69,7 +74,7 @@ def is_exact_numeric(dt: T.DataType) -> bool:
 
 def missing_as_null(df: DataFrame, name: str) -> Column:
     """The column with NaN mapped to NULL for float types (pandas treats NaN as missing)."""
-    c = F.col(name)
+    c = col_of(name)
     if is_floating(df.schema[name].dataType):
         return F.nanvl(c, F.lit(None).cast(df.schema[name].dataType))
     return c

@@ -46,33 +46,39 @@ def _exact(c: Column, dt: T.DataType) -> Column:
 
 def sum_of(c: Column, dt: T.DataType) -> Column:
     """Sum that is 0 (not NULL) over no values, as pandas groupby sum."""
-    s = F.sum(c)
-    zero = F.lit(0).cast(dt) if not isinstance(dt, T.DecimalType) else F.lit(0).cast(dt)
-    return F.coalesce(s, zero)
+    return F.coalesce(F.sum(c), F.lit(0).cast(dt))
 
 
 def mean_of(c: Column, dt: T.DataType) -> Column:
-    """Mean as double; exact numerics: exact sum / count (order independent)."""
+    """Mean as double; exact numerics: exact sum / count (order independent), or
+    Spark's average of doubles where the exact sum leaves DECIMAL(38)."""
     if is_exact_numeric(dt):
-        return safe_div(F.sum(_exact(c, dt)).cast("double"), F.count(c).cast("double"))
+        exact = safe_div(F.try_sum(_exact(c, dt)).cast("double"), F.count(c).cast("double"))
+        return F.coalesce(exact, F.avg(c.cast("double")))
     return F.avg(c)
 
 
+def _all_of(terms: Column, n: Column) -> Column:
+    """The exact sum of ``terms``, NULL when the sum or any of the ``n`` terms overflowed."""
+    return F.when(F.count(terms) == n, F.try_sum(terms))
+
+
 def std_of(c: Column, dt: T.DataType) -> Column:
     """Sample standard deviation (n-1), NULL for fewer than 2 values.
 
     Exact numerics: sqrt((n*sum(x^2) - sum(x)^2) / (n*(n-1))) with the numerator
-    in exact decimal arithmetic; falls back to ``stddev_samp`` if it overflows.
+    in exact decimal arithmetic; when any term or sum leaves DECIMAL(38), Spark's
+    centred ``stddev_samp`` of the doubles.
     """
     if is_exact_numeric(dt):
         x = _exact(c, dt)
         n = F.count(c)
-        num = F.try_subtract(F.try_multiply(n, F.sum(F.try_multiply(x, x))),
-                             F.try_multiply(F.sum(x), F.sum(x)))
+        sx = F.try_sum(x)
+        num = F.try_subtract(F.try_multiply(n, _all_of(F.try_multiply(x, x), n)), F.try_multiply(sx, sx))
         den = (n * (n - F.lit(1))).cast("double")
         exact = F.sqrt(safe_div(num.cast("double"), den))
         return F.when(n < 2, F.lit(None).cast("double")).otherwise(
-            F.coalesce(exact, F.stddev_samp(c)))
+            F.coalesce(exact, F.stddev_samp(c.cast("double"))))
     return F.stddev_samp(c)
 
 
@@ -80,21 +86,22 @@ def corr_of(x: Column, y: Column, dx: T.DataType, dy: T.DataType) -> Column:
     """Pearson r over rows where both are present; NULL when either side is constant.
 
     Spark's ``corr`` raises under ANSI for a constant column (SURVEY D8); this form
-    does not. Exact numerics use exact decimal co-moments.
+    does not. Exact numerics use exact decimal co-moments; when any of those leaves
+    DECIMAL(38), Spark's centred co-moments of the doubles.
     """
     both = x.isNotNull() & y.isNotNull()
     xp = F.when(both, x)
     yp = F.when(both, y)
+    xd, yd = xp.cast("double"), yp.cast("double")
+    centred = safe_div(F.covar_samp(xd, yd), F.stddev_samp(xd) * F.stddev_samp(yd))
     if is_exact_numeric(dx) and is_exact_numeric(dy):
         ex, ey = _exact(xp, dx), _exact(yp, dy)
         n = F.count(xp)
-        sx, sy = F.sum(ex), F.sum(ey)
-        sxy = F.sum(F.try_multiply(ex, ey))
-        sxx = F.sum(F.try_multiply(ex, ex))
-        syy = F.sum(F.try_multiply(ey, ey))
-        cov = F.try_subtract(F.try_multiply(n, sxy), F.try_multiply(sx, sy)).cast("double")
-        vx = F.try_subtract(F.try_multiply(n, sxx), F.try_multiply(sx, sx)).cast("double")
-        vy = F.try_subtract(F.try_multiply(n, syy), F.try_multiply(sy, sy)).cast("double")
-        r = safe_div(cov, F.sqrt(vx) * F.sqrt(vy))
+        sx, sy = F.try_sum(ex), F.try_sum(ey)
+
+        def comoment(a, b, sa, sb):
+            return F.try_subtract(F.try_multiply(n, _all_of(F.try_multiply(a, b), n)), F.try_multiply(sa, sb)).cast("double")
+        cov, vx, vy = comoment(ex, ey, sx, sy), comoment(ex, ex, sx, sx), comoment(ey, ey, sy, sy)
+        r = F.when(cov.isNull() | vx.isNull() | vy.isNull(), centred).otherwise(safe_div(cov, F.sqrt(vx) * F.sqrt(vy)))
         return F.when(n < 2, F.lit(None).cast("double")).otherwise(r)
-    return safe_div(F.covar_samp(xp, yp), F.stddev_samp(xp) * F.stddev_samp(yp))
+    return centred

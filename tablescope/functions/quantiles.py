@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import is_floating, require_columns
+from .columns import col_of, is_floating, require_columns
 
 BROADCAST_ROWS = 1_000_000
 
@@ -39,11 +39,11 @@ def _long_form(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFra
     (cheaper to hash and shuffle than the name)."""
     items = []
     for i, c in enumerate(cols):
-        x = F.col(c)
+        x = col_of(c)
         if is_floating(df.schema[c].dataType):
             x = F.nanvl(x, F.lit(None).cast(df.schema[c].dataType))
         items.append(F.struct(F.lit(i).alias("ci"), x.cast("double").alias("x")))
-    long = df.select(*[F.col(b) for b in by], F.inline(F.array(*items)))
+    long = df.select(*[col_of(b) for b in by], F.inline(F.array(*items)))
     return long.where(F.col("x").isNotNull())
 
 
@@ -78,17 +78,18 @@ def quantiles(df: DataFrame, cols: str | Sequence[str], probs: Sequence[float],
     for p in probs:
         if not 0.0 <= p <= 1.0:
             raise ValueError(f"probability {p} outside [0, 1]")
-    keys = by + ["ci"]
+    names = by + ["ci"]
+    keys = [col_of(k) for k in names]
     from ..session import spread
     if len(cols) > 1:  # the unpivot multiplies rows: do it on all cores
-        df = spread(df.select(*by, *cols))
+        df = spread(df.select(*map(col_of, [*by, *cols])))
     long = _long_form(df, cols, by)
 
     if approx:
         arr = F.percentile_approx("x", [float(p) for p in probs], accuracy)
         agg = long.groupBy(*keys).agg(arr.alias("qs"))
         pairs = F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("p"), F.col("qs").alias("value"))
-        return agg.select(*by, _names(cols).alias("column"), F.inline(pairs))
+        return agg.select(*map(col_of, by), _names(cols).alias("column"), F.inline(pairs))
 
     spark = df.sparkSession
     from ..session import materialize
@@ -113,7 +114,7 @@ def quantiles(df: DataFrame, cols: str | Sequence[str], probs: Sequence[float],
     if not by and parts + len(cols) <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
 
-    spans = (local.join(offsets, on=keys + ["pid"])
+    spans = (local.join(offsets, on=names + ["pid"])
              .withColumn("end", F.col("off") + F.col("cum"))
              .withColumn("start", F.col("end") - F.col("w")))
 
@@ -125,7 +126,7 @@ def quantiles(df: DataFrame, cols: str | Sequence[str], probs: Sequence[float],
         F.collect_list(F.struct("start", "end", "x")).alias("segs"))
     rows = F.array(*[F.struct(F.lit(p).alias("p"), _interpolate(F.col("n"), F.col("segs"), p).alias("value"))
                      for p in probs])
-    return grouped.select(*by, _names(cols).alias("column"), F.inline(rows))
+    return grouped.select(*map(col_of, by), _names(cols).alias("column"), F.inline(rows))
 
 
 def quantile_values(df: DataFrame, cols: str | Sequence[str], probs: Sequence[float],

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import TEXT, missing_as_null, require_columns, require_numeric, type_class
+from ..functions.columns import col_of, TEXT, missing_as_null, require_columns, require_numeric, type_class
 from ..functions.exprs import mean_of, pct, std_of
 from ..functions.quantiles import quantiles
 from .trend import parse_dates
@@ -21,9 +21,9 @@ def _present(df: DataFrame, x: str, y: str | None = None) -> DataFrame:
     cols = [x] + ([y] if y else [])
     require_columns(df, *cols)
     d = df.select(*[missing_as_null(df, c).alias(c) for c in cols])
-    cond = F.col(x).isNotNull()
+    cond = col_of(x).isNotNull()
     if y:
-        cond = cond & F.col(y).isNotNull()
+        cond = cond & col_of(y).isNotNull()
     return d.where(cond)
 
 
@@ -32,21 +32,21 @@ def bar(df: DataFrame, x: str, y: str | None = None, n: int | None = None) -> Da
     numeric ``y`` the ``n`` (15) largest sums ``(x, sum)``. Ties by x."""
     d = _present(df, x, y)
     if not y:
-        out = d.groupBy(x).agg(F.count(F.lit(1)).alias("count"))
-        return out.orderBy(F.col("count").desc(), F.col(x).asc()).limit(n or 20)
+        out = d.groupBy(col_of(x)).agg(F.count(F.lit(1)).alias("count"))
+        return out.orderBy(F.col("count").desc(), col_of(x).asc()).limit(n or 20)
     require_numeric(df, y)
-    out = d.groupBy(x).agg(F.sum(y).alias("sum"))
-    return out.orderBy(F.col("sum").desc(), F.col(x).asc()).limit(n or 15)
+    out = d.groupBy(col_of(x)).agg(F.sum(col_of(y)).alias("sum"))
+    return out.orderBy(F.col("sum").desc(), col_of(x).asc()).limit(n or 15)
 
 
 def pie(df: DataFrame, x: str, n: int = 10, digits: int = 1) -> DataFrame:
     """V4: the ``n`` most frequent values and their share of the ``n`` shown
     ``(x, count, share_pct)`` (the reference's pie labels)."""
     d = _present(df, x)
-    top = (d.groupBy(x).agg(F.count(F.lit(1)).alias("count"))
-           .orderBy(F.col("count").desc(), F.col(x).asc()).limit(n))
+    top = (d.groupBy(col_of(x)).agg(F.count(F.lit(1)).alias("count"))
+           .orderBy(F.col("count").desc(), col_of(x).asc()).limit(n))
     shown = F.sum("count").over(Window.partitionBy(F.lit(1)))  # over at most n rows
-    return top.select(x, "count", pct(F.col("count"), shown, digits).alias("share_pct"))
+    return top.select(col_of(x), "count", pct(F.col("count"), shown, digits).alias("share_pct"))
 
 
 def line(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -60,14 +60,14 @@ def line(df: DataFrame, x: str, y: str) -> DataFrame:
     d = _present(df, x, y)
     if type_class(d.schema[x].dataType) == TEXT:
         parsed = parse_dates(d, x)
-        r = d.agg(F.count(F.col(x)).alias("a"), F.count(parsed).alias("b")).first()
+        r = d.agg(F.count(col_of(x)).alias("a"), F.count(parsed).alias("b")).first()
         if r["a"] > 0 and r["a"] == r["b"]:
             d = d.withColumn(x, parsed)
     dt = d.schema[y].dataType
-    v = F.col(y)
-    g = d.groupBy(x).agg(mean_of(v, dt).alias("mean"), std_of(v, dt).alias("std"), F.count(v).alias("count"))
+    v = col_of(y)
+    g = d.groupBy(col_of(x)).agg(mean_of(v, dt).alias("mean"), std_of(v, dt).alias("std"), F.count(v).alias("count"))
     half = F.lit(CI_Z) * F.col("std") / F.sqrt(F.col("count").cast("double"))
-    return g.select(x, "mean", "std", "count", (F.col("mean") - half).alias("ci_low"),
+    return g.select(col_of(x), "mean", "std", "count", (F.col("mean") - half).alias("ci_low"),
                     (F.col("mean") + half).alias("ci_high"))
 
 
@@ -89,7 +89,7 @@ def histogram(df: DataFrame, x: str, bins: int = 30) -> DataFrame:
     """
     require_numeric(df, x)
     d = _present(df, x)
-    r = d.agg(F.min(F.col(x).cast("double")).alias("lo"), F.max(F.col(x).cast("double")).alias("hi")).first()
+    r = d.agg(F.min(col_of(x).cast("double")).alias("lo"), F.max(col_of(x).cast("double")).alias("hi")).first()
     spark = df.sparkSession
     if r["lo"] is None:
         return spark.createDataFrame([], "bin int, bin_low double, bin_high double, count long")
@@ -102,7 +102,7 @@ def histogram(df: DataFrame, x: str, bins: int = 30) -> DataFrame:
     def edge(i):
         return F.when(i >= F.lit(bins), F.lit(hi)).otherwise(i.cast("double") * F.lit(step) + F.lit(lo))
 
-    v = F.col(x).cast("double")
+    v = col_of(x).cast("double")
     i0 = F.floor((v - F.lit(lo)) * F.lit(norm)).cast("int")
     i0 = F.when(i0 == F.lit(bins), F.lit(bins - 1)).otherwise(i0)
     i1 = F.when(v < edge(i0), i0 - 1).otherwise(i0)
@@ -136,7 +136,7 @@ def box(df: DataFrame, x: str, y: str | None = None, whis: float = 1.5) -> DataF
         d = _present(df, x)
         value, by = x, []
     q = quantiles(d, [value], [0.25, 0.5, 0.75], by=by)
-    fences = q.groupBy(*by).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(nm)
+    fences = q.groupBy(*map(col_of, by)).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(nm)
                                   for p, nm in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     fences = (fences.withColumn("iqr", F.col("q3") - F.col("q1"))
               .withColumn("lower_fence", F.col("q1") - F.lit(whis) * F.col("iqr"))
@@ -146,17 +146,17 @@ def box(df: DataFrame, x: str, y: str | None = None, whis: float = 1.5) -> DataF
         joined = d.join(fences, by)
     else:
         f = fences.first()  # one row of scalars; applied as literals, no join
-        joined = d.select(F.col(value), *[F.lit(f[c] if f else None).cast("double").alias(c)
+        joined = d.select(col_of(value), *[F.lit(f[c] if f else None).cast("double").alias(c)
                                           for c in ("q1", "median", "q3", "iqr", "lower_fence", "upper_fence")])
-    v = F.col(value).cast("double")
+    v = col_of(value).cast("double")
     outside = (v < F.col("lower_fence")) | (v > F.col("upper_fence"))
     keep = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence"]
-    out = joined.groupBy(*by).agg(
+    out = joined.groupBy(*map(col_of, by)).agg(
         F.count(v).alias("count"), *[F.first(c).alias(c) for c in keep],
         F.min(F.when(v >= F.col("lower_fence"), v)).alias("whisker_low"),
         F.max(F.when(v <= F.col("upper_fence"), v)).alias("whisker_high"),
         F.count_if(outside).alias("n_outliers"))
-    return out.select(*by, "count", *keep, "whisker_low", "whisker_high", "n_outliers")
+    return out.select(*map(col_of, by), "count", *keep, "whisker_low", "whisker_high", "n_outliers")
 
 
 __all__ = ["bar", "pie", "line", "scatter", "histogram", "box"]

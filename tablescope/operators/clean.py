@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import (NUMERIC, TEXT, missing_as_null, nan_to_null, require_columns, text_columns,
+from ..functions.columns import (col_of, NUMERIC, TEXT, missing_as_null, nan_to_null, require_columns, text_columns,
                                  type_class)
 from ..functions.exprs import strip_ws
 from ..functions.modes import modes
@@ -42,7 +42,7 @@ def trim_text(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     in text columns; NULL stays NULL."""
     cols = list(cols) if cols is not None else text_columns(df)
     require_columns(df, *cols)
-    return df.withColumns({c: strip_ws(F.col(c)) for c in cols}) if cols else df
+    return df.withColumns({c: strip_ws(col_of(c)) for c in cols}) if cols else df
 
 
 def missing_counts(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, int]:
@@ -93,7 +93,7 @@ def fill_mode(df: DataFrame, cols: Sequence[str] | None = None,
     gaps = _gaps if _gaps is not None else missing_counts(df, cols)
     targets = [c for c in cols if gaps.get(c, 0) > 0]
     best = _modes(df, targets)
-    fills = {c: F.coalesce(F.col(c), _typed(best[c], df.schema[c].dataType))
+    fills = {c: F.coalesce(col_of(c), _typed(best[c], df.schema[c].dataType))
              for c in targets if c in best}
     return df.withColumns(fills) if fills else df
 
@@ -115,13 +115,13 @@ def _plan(df: DataFrame, trim_first: bool, approx: bool, report: bool):
     # de-duplicate as a group-by with a row count, so the stats pass also gives
     # the row count before de-duplication (no separate scan)
     weight = "__rows_in_group__"
-    grouped = cur.groupBy(*[F.col(f"`{c}`") for c in cur.columns]).agg(F.count(F.lit(1)).alias(weight))
+    grouped = cur.groupBy(*[col_of(c) for c in cur.columns]).agg(F.count(F.lit(1)).alias(weight))
     grouped = grouped.persist(StorageLevel.MEMORY_AND_DISK)
     deduped = grouped.drop(weight)
     try:
         aggs = [F.count(F.lit(1)).alias("_rows"), F.sum(weight).alias("_before")]
-        aggs += [F.count(F.col(c)).alias(f"_n{i}") for i, c in enumerate(deduped.columns)]
-        aggs += [F.count_if(F.col(c) != strip_ws(F.col(c))).alias(f"_t{i}") for i, c in enumerate(text)]
+        aggs += [F.count(col_of(c)).alias(f"_n{i}") for i, c in enumerate(deduped.columns)]
+        aggs += [F.count_if(col_of(c) != strip_ws(col_of(c))).alias(f"_t{i}") for i, c in enumerate(text)]
         r = grouped.agg(*aggs).first()
         rows_dedup = r["_rows"]
         rows_before = r["_before"] or 0
@@ -143,10 +143,10 @@ def _plan(df: DataFrame, trim_first: bool, approx: bool, report: bool):
         if gaps[c] == 0:
             continue
         if c in numeric and med.get(c) is not None:
-            fills[c] = F.coalesce(F.col(c).cast("double"), F.lit(med[c]).cast("double"))
+            fills[c] = F.coalesce(col_of(c).cast("double"), F.lit(med[c]).cast("double"))
             steps.append(("fill_median", c, gaps[c], repr(float(med[c]))))
         elif c in best:
-            fills[c] = F.coalesce(F.col(c), _typed(best[c], trimmed.schema[c].dataType))
+            fills[c] = F.coalesce(col_of(c), _typed(best[c], trimmed.schema[c].dataType))
             steps.append(("fill_mode", c, gaps[c], best[c]))
     cleaned = trimmed.withColumns(fills) if fills else trimmed
     return cleaned, steps, rows_before, rows_dedup

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import missing_as_null, require_numeric
+from ..functions.columns import col_of, missing_as_null, require_numeric
 from ..functions.exprs import mean_of, pct, std_of
 from ..functions.quantiles import quantile_values
 
@@ -41,7 +41,7 @@ class Moments:
 
 def _values(df: DataFrame, col: str) -> DataFrame:
     require_numeric(df, col)
-    return df.select(missing_as_null(df, col).alias(col)).where(F.col(col).isNotNull())
+    return df.select(missing_as_null(df, col).alias(col)).where(col_of(col).isNotNull())
 
 
 def moments(df: DataFrame, col: str) -> Moments:
@@ -66,7 +66,7 @@ def iqr_fences(df: DataFrame, col: str, k: float = 1.5, approx: bool = False) ->
 
 
 def _x(col: str) -> Column:
-    return F.col(col).cast("double")
+    return col_of(col).cast("double")
 
 
 def z_predicate(col: str, m: Moments, limit: float = 3.0) -> Column:
@@ -164,7 +164,7 @@ def outlier_range(df: DataFrame, col: str, method: str = "both", limit: float =
         agg = values.where(pred).agg(F.count(F.lit(1)).alias("outliers"),
                                      F.min(_x(col)).alias("range_min"), F.max(_x(col)).alias("range_max"))
         parts.append(agg.select(F.lit(name).alias("method"), "outliers",
-                                *[(F.round(c, digits) if digits is not None else F.col(c)).alias(c)
+                                *[(F.round(c, digits) if digits is not None else col_of(c)).alias(c)
                                   for c in ("range_min", "range_max")]))
     out = parts[0]
     for p in parts[1:]:

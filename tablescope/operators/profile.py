@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import (NUMERIC, columns_of_class, missing_as_null, numeric_columns, require_columns,
+from ..functions.columns import (col_of, NUMERIC, columns_of_class, missing_as_null, numeric_columns, require_columns,
                                  text_columns, type_class)
 from ..functions.exprs import mean_of, pct, std_of
 from ..functions.modes import value_summary
@@ -89,7 +89,7 @@ def missing(df: DataFrame, digits: int = 2) -> DataFrame:
 def _groupable(df: DataFrame) -> list[Column]:
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = col_of(f.name)
         if isinstance(f.dataType, T.MapType) or (
                 isinstance(f.dataType, (T.ArrayType, T.StructType)) and "map<" in f.dataType.simpleString()):
             c = F.to_json(c)
@@ -106,7 +106,7 @@ def duplicates(df: DataFrame, digits: int = 1) -> DataFrame:
     One map-side-combined group-by over all columns: a row repeated a billion
     times costs one row per partition in the shuffle.
     """
-    groups = df.select(*_groupable(df)).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    groups = df.select(*_groupable(df)).groupBy(*map(col_of, df.columns)).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),
@@ -151,8 +151,8 @@ def describe_text(df: DataFrame, cols: Sequence[str] | None = None, approx: bool
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, count long, unique long, top string, freq long")
     require_columns(df, *cols)
-    row = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]
-                 + ([F.approx_count_distinct(F.col(c)).alias(f"u{i}") for i, c in enumerate(cols)] if approx else []))
+    row = df.agg(*[F.count(col_of(c)).alias(f"n{i}") for i, c in enumerate(cols)]
+                 + ([F.approx_count_distinct(col_of(c)).alias(f"u{i}") for i, c in enumerate(cols)] if approx else []))
     items = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
                       *([F.col(f"u{i}").alias("approx_unique")] if approx else []))
              for i, c in enumerate(cols)]
@@ -194,9 +194,9 @@ def top_values(df: DataFrame, col: str, n: int = 10) -> DataFrame:
     """P5: the ``n`` most frequent present values ``(col, count)``, ties by value."""
     require_columns(df, col)
     v = _present(df, col)
-    return (df.select(v.alias(col)).where(F.col(col).isNotNull()).groupBy(col)
+    return (df.select(v.alias(col)).where(col_of(col).isNotNull()).groupBy(col_of(col))
             .agg(F.count(F.lit(1)).alias("count"))
-            .orderBy(F.col("count").desc(), F.col(col).asc()).limit(n))
+            .orderBy(F.col("count").desc(), col_of(col).asc()).limit(n))
 
 
 def samples(df: DataFrame, col: str, n: int = 10) -> DataFrame:
@@ -204,7 +204,7 @@ def samples(df: DataFrame, col: str, n: int = 10) -> DataFrame:
     smallest values are returned (deterministic, SURVEY D21); a top-k, not a sort."""
     require_columns(df, col)
     v = _present(df, col)
-    return df.select(v.alias(col)).where(F.col(col).isNotNull()).orderBy(F.col(col).asc()).limit(n)
+    return df.select(v.alias(col)).where(col_of(col).isNotNull()).orderBy(col_of(col).asc()).limit(n)
 
 
 def completeness(df: DataFrame, digits: int = 2) -> DataFrame:

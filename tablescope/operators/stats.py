@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import (missing_as_null, numeric_columns, require_columns, require_numeric)
+from ..functions.columns import (col_of, missing_as_null, numeric_columns, require_columns, require_numeric)
 from ..functions.exprs import corr_of, mean_of, pct, std_of, sum_of
 
 GROUP_FUNCS = ("sum", "mean", "count", "std")
@@ -35,8 +35,8 @@ def group_stats(df: DataFrame, key: str, value: str, func: str) -> DataFrame:
         "count": lambda: F.count(v),
         "std": lambda: std_of(v, dt),
     }[func]()
-    out = df.where(missing_as_null(df, key).isNotNull()).groupBy(key).agg(agg.alias(func))
-    return out.orderBy(F.col(func).desc_nulls_last(), F.col(key).asc())
+    out = df.where(missing_as_null(df, key).isNotNull()).groupBy(col_of(key)).agg(agg.alias(func))
+    return out.orderBy(F.col(func).desc_nulls_last(), col_of(key).asc())
 
 
 def group_summary(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -46,7 +46,7 @@ def group_summary(df: DataFrame, key: str, value: str) -> DataFrame:
     require_numeric(df, value)
     dt = df.schema[value].dataType
     v = missing_as_null(df, value)
-    return df.where(missing_as_null(df, key).isNotNull()).groupBy(key).agg(
+    return df.where(missing_as_null(df, key).isNotNull()).groupBy(col_of(key)).agg(
         sum_of(v, dt).alias("sum"), mean_of(v, dt).alias("mean"), F.count(v).alias("count"),
         std_of(v, dt).alias("std"))
 
@@ -55,7 +55,7 @@ def ranked(summary: DataFrame, key: str, func: str) -> DataFrame:
     """One statistic of a ``group_summary`` in ``group_stats`` order."""
     if func not in GROUP_FUNCS:
         raise ValueError(f"unknown func '{func}'; use one of {list(GROUP_FUNCS)}")
-    return summary.select(key, func).orderBy(F.col(func).desc_nulls_last(), F.col(key).asc())
+    return summary.select(col_of(key), func).orderBy(F.col(func).desc_nulls_last(), col_of(key).asc())
 
 
 def value_counts(df: DataFrame, col: str, n: int | None = 20, digits: int = 2) -> DataFrame:
@@ -66,13 +66,13 @@ def value_counts(df: DataFrame, col: str, n: int | None = 20, digits: int = 2) -
     scalar applied as a literal; the top-k is a ``TakeOrderedAndProject``.
     """
     require_columns(df, col)
-    present = df.select(missing_as_null(df, col).alias(col)).where(F.col(col).isNotNull())
+    present = df.select(missing_as_null(df, col).alias(col)).where(col_of(col).isNotNull())
     total = present.count()  # one scalar, used as a literal
-    counts = present.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    ranked = counts.orderBy(F.col("count").desc(), F.col(col).asc())
+    counts = present.groupBy(col_of(col)).agg(F.count(F.lit(1)).alias("count"))
+    ranked = counts.orderBy(F.col("count").desc(), col_of(col).asc())
     if n is not None:
         ranked = ranked.limit(n)
-    return ranked.select(col, "count", pct(F.col("count"), F.lit(total), digits).alias("pct"))
+    return ranked.select(col_of(col), "count", pct(F.col("count"), F.lit(total), digits).alias("pct"))
 
 
 WIDE_COLUMNS = 8
@@ -100,10 +100,10 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     types = {c: df.schema[c].dataType for c in cols}
     aggs = []
     for i, a in enumerate(cols):
-        aggs.append(F.stddev_samp(a).alias(f"s{i}"))
+        aggs.append(F.stddev_samp(col_of(a)).alias(f"s{i}"))
         for j in range(i + 1, len(cols)):
             b = cols[j]
-            aggs.append(corr_of(F.col(a), F.col(b), types[a], types[b]).alias(f"r{i}_{j}"))
+            aggs.append(corr_of(col_of(a), col_of(b), types[a], types[b]).alias(f"r{i}_{j}"))
     row = d.agg(*aggs)
     cells = []
     for i, a in enumerate(cols):
@@ -149,7 +149,7 @@ def _wide_correlation(df: DataFrame, cols: list[str]) -> DataFrame:
     on (i, j); k*(k+1)/2 small rows per partition are shuffled."""
     k = len(cols)
     d = df.select(*[missing_as_null(df, c).cast("double").alias(c) for c in cols])
-    means = d.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    means = d.agg(*[F.avg(col_of(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     import numpy as np
     shift = np.array([means[f"m{i}"] if means[f"m{i}"] is not None else 0.0 for i in range(k)])
     schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"

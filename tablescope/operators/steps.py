@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import DATETIME, missing_as_null, require_columns, type_class
+from ..functions.columns import col_of, DATETIME, missing_as_null, require_columns, type_class
 
 VERBS = ("filter", "select", "drop", "rename", "derive", "cast", "dropna", "fillna", "replace", "dedupe",
          "sort", "limit", "aggregate")
@@ -43,10 +43,10 @@ def filter_year_category(df: DataFrame, date_col: str, year="all", col: str | No
     if str(year) != "all":
         first, after = (F.make_date(F.lit(int(year) + i), F.lit(1), F.lit(1)) for i in (0, 1))
         stored = type_class(df.schema[date_col].dataType) == DATETIME
-        when = F.col(date_col) if stored else F.expr(f"try_cast(CAST(`{date_col}` AS STRING) AS TIMESTAMP)")
+        when = col_of(date_col) if stored else col_of(date_col).cast("string").try_cast("timestamp")
         out = out.where((when >= first) & (when < after))
     if col and str(value) != "all":
-        out = out.where(F.col(col) == F.lit(value))
+        out = out.where(col_of(col) == F.lit(value))
     return out
 
 
@@ -66,7 +66,7 @@ def _step(df: DataFrame, step: Mapping) -> tuple[DataFrame, str]:
         return df.withColumn(step["name"], F.expr(step["expr"])), f"{step['name']} = {step['expr']}"
     if op == "cast":
         require_columns(df, step["col"])
-        return (df.withColumn(step["col"], F.expr(f"try_cast(`{step['col']}` AS {step['type']})")),
+        return (df.withColumn(step["col"], col_of(step["col"]).try_cast(step["type"])),
                 f"{step['col']} AS {step['type']}")
     if op == "dropna":
         return drop_missing(df, step.get("subset")), ", ".join(step.get("subset") or df.columns)
@@ -80,7 +80,7 @@ def _step(df: DataFrame, step: Mapping) -> tuple[DataFrame, str]:
         return (df.dropDuplicates(list(sub)) if sub else df.dropDuplicates()), ", ".join(sub or [])
     if op == "sort":
         asc = step.get("ascending", True)
-        cols = [F.col(c).asc() if asc else F.col(c).desc() for c in step["cols"]]
+        cols = [col_of(c).asc() if asc else col_of(c).desc() for c in step["cols"]]
         return df.orderBy(*cols), ", ".join(step["cols"])
     if op == "limit":
         return df.limit(int(step["n"])), str(step["n"])

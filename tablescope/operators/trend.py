@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import (DATETIME, NUMERIC, is_floating, missing_as_null, require_columns,
+from ..functions.columns import (col_of, DATETIME, NUMERIC, is_floating, missing_as_null, require_columns,
                                  type_class)
 from ..functions.exprs import CODE_PATTERN, mean_of, pct, safe_div, std_of
 
@@ -43,7 +43,7 @@ COMPLETENESS_WARNING_PCT = 90.0
 def day_first(df: DataFrame, col: str) -> bool:
     """Whether more values of the whole column read as dd/MM/yyyy than as MM/dd/yyyy
     (one aggregation; equal counts stay month-first)."""
-    date = F.substring_index(F.trim(F.col(col).cast("string")), " ", 1)
+    date = F.substring_index(F.trim(col_of(col).cast("string")), " ", 1)
     n = df.agg(*[F.count(F.try_to_timestamp(date, F.lit(f))).alias(k) for k, f in (("m", "MM/dd/yyyy"), ("d", "dd/MM/yyyy"))]).first()
     return n.d > n.m
 
@@ -53,13 +53,13 @@ def parse_dates(df: DataFrame, col: str, formats: Sequence[str] = DATE_FORMATS)
     default formats, one order of day and month holds for all slashed dates of a text column."""
     require_columns(df, col)
     dt = df.schema[col].dataType
-    c = F.col(col)
+    c = col_of(col)
     if type_class(dt) == DATETIME:
         return c
     s = c.cast("string")
     if formats is DATE_FORMATS and isinstance(dt, T.StringType) and day_first(df, col):
         formats = [f.replace("MM/dd/yyyy", "dd/MM/yyyy") for f in formats]
-    tries = [F.expr(f"try_cast(CAST(`{col}` AS STRING) AS TIMESTAMP)")]
+    tries = [col_of(col).cast("string").try_cast("timestamp")]
     tries += [F.try_to_timestamp(s, F.lit(f)) for f in formats]
     return F.coalesce(*tries)
 
@@ -70,7 +70,7 @@ def parse_numbers(df: DataFrame, col: str, to: str = "double") -> Column:
     dt = df.schema[col].dataType
     if type_class(dt) == NUMERIC:
         return missing_as_null(df, col)
-    v = F.when(~F.col(col).cast("string").rlike(CODE_PATTERN), F.expr(f"try_cast(`{col}` AS {to})"))
+    v = F.when(~col_of(col).cast("string").rlike(CODE_PATTERN), col_of(col).try_cast(to))
     if to in ("double", "float"):
         v = F.nanvl(v, F.lit(None).cast(to))
     return v
@@ -78,12 +78,12 @@ def parse_numbers(df: DataFrame, col: str, to: str = "double") -> Column:
 
 def coerce_dates(df: DataFrame, col: str, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
     """Parse ``col`` to a timestamp and drop rows where it is missing or unparsable."""
-    return df.withColumn(col, parse_dates(df, col, formats)).where(F.col(col).isNotNull())
+    return df.withColumn(col, parse_dates(df, col, formats)).where(col_of(col).isNotNull())
 
 
 def coerce_numbers(df: DataFrame, col: str, to: str = "double") -> DataFrame:
     """Parse ``col`` to a number and drop rows where it is missing or unparsable."""
-    return df.withColumn(col, parse_numbers(df, col, to)).where(F.col(col).isNotNull())
+    return df.withColumn(col, parse_numbers(df, col, to)).where(col_of(col).isNotNull())
 
 
 def valid_rows(df: DataFrame, date_col: str, value_col: str, formats: Sequence[str] = DATE_FORMATS,
@@ -92,7 +92,7 @@ def valid_rows(df: DataFrame, date_col: str, value_col: str, formats: Sequence[s
     require_columns(df, date_col, value_col)
     d = df.select(parse_dates(df, date_col, formats).alias(date_col),
                   parse_numbers(df, value_col, to).alias(value_col))
-    return d.where(F.col(date_col).isNotNull() & F.col(value_col).isNotNull())
+    return d.where(col_of(date_col).isNotNull() & col_of(value_col).isNotNull())
 
 
 def period_label(ts: Column, freq: str) -> Column:
@@ -159,8 +159,8 @@ def period_totals(df: DataFrame, date_col: str, value_col: str, freq: str = "M",
         raise ValueError(f"invalid frequency '{freq}'; use one of {list(FREQS)}")
     v = valid_rows(df, date_col, value_col, formats, to)
     dt = v.schema[value_col].dataType
-    x = F.col(value_col)
-    return (v.groupBy(period_label(F.col(date_col), freq).alias("period"))
+    x = col_of(value_col)
+    return (v.groupBy(period_label(col_of(date_col), freq).alias("period"))
             .agg(F.round(F.sum(x), digits).alias("sum"), F.round(mean_of(x, dt), digits).alias("mean"),
                  F.count(x).alias("count")))
 
@@ -170,7 +170,7 @@ def trend_range(df: DataFrame, date_col: str, value_col: str, freq: str = "M",
     """T5: ``(date_from, date_to, periods)`` over the valid rows, one pass."""
     period_label(F.lit(None), freq)
     v = valid_rows(df, date_col, value_col, formats, to)
-    ts = F.col(date_col)
+    ts = col_of(date_col)
     return v.agg(period_label(F.min(ts), "D").alias("date_from"),
                  period_label(F.max(ts), "D").alias("date_to"),
                  F.count_distinct(period_label(ts, freq)).alias("periods"))

@@ -1,30 +1,33 @@
 """Delimited text scan with dialect detection and data-driven type inference
 (SURVEY S1-S5).
 
-Dialect (separator, encoding, quoted newlines) is sniffed from the first
-``sample_lines`` lines only - a bounded ``limit`` brought to the driver.
-The file is then read ONCE as text columns by Spark's CSV source (split across
-tasks unless quoted newlines force whole-file records); missing-value tokens
-become NULL; and one aggregation pass over ALL rows decides each column's type
-(long, double, boolean or text) and also checks the whole file for undecodable
-bytes, re-reading as ISO-8859-1 if any are found. No row is skipped by the
-inference, so a bad value deep in the file is seen.
+The separator is chosen from the header and the first ``sample_lines`` lines - a
+bounded ``limit`` brought to the driver. Whether quoted fields hold newlines and
+whether the bytes are UTF-8 is decided by one aggregation over ALL lines. The
+file is then scanned as text columns by Spark's CSV source (split across tasks
+unless quoted newlines force whole-file records); missing-value tokens become
+NULL; and one aggregation over ALL rows decides each column's type (long,
+double, boolean or text) and finds rows with more fields than the header, which
+raise a ValueError (shorter rows end in NULLs). So the input is read three times:
+lines, types, result.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import type_class
 from ..functions.exprs import CODE_PATTERN
 
 # Separators tried in this order (the first that splits the
-# header into more than one field with consistent rows wins).
+# header into more than one field, with no sampled row longer, wins).
 SEPARATORS = (",", ";", "\t", "|")
 
 # Text read as missing (pandas read_csv's default NA tokens).
@@ -37,6 +40,7 @@ FALSE_TOKENS = ("False", "FALSE", "false")
 
 INT_PATTERN = r"^\s*[+-]?\d+\s*$"
 REPLACEMENT_CHAR = "\ufffd"
+MALFORMED = "__malformed_record__"
 
 
 @dataclass(frozen=True)
@@ -73,12 +77,12 @@ def _records(text: str, sep: str) -> list[list[str]]:
 
 
 def sniff(spark: SparkSession, path: str, sample_lines: int = 1000) -> Dialect:
-    """Pick separator, encoding and multi-line mode from the head of the file(s)."""
-    head = spark.read.text(path).limit(sample_lines)
-    rows = head.select("value", F.try_validate_utf8("value").isNull().alias("bad")).collect()
-    encoding = "ISO-8859-1" if any(r["bad"] for r in rows) else "UTF-8"
-    lines = [r["value"] for r in rows]
-    text = "\n".join(lines)
+    """Pick the separator from the head of the file(s); encoding and multi-line mode from every line."""
+    lines = spark.read.text(path)
+    head = [r["value"] for r in lines.limit(sample_lines).collect()]
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    whole = lines.agg(F.max(quotes % 2).alias("open"), F.count_if(F.try_validate_utf8("value").isNull()).alias("bad")).first()
+    text = "\n".join(head)
     chosen = None
     for sep in SEPARATORS:
         recs = [r for r in _records(text, sep) if r]
@@ -86,47 +90,56 @@ def sniff(spark: SparkSession, path: str, sample_lines: int = 1000) -> Dialect:
             continue
         width = len(recs[0])
         body = recs[1:-1] if len(recs) > 2 else recs[1:]  # the last sampled record may be cut
-        if all(len(r) == width for r in body):
+        if all(len(r) <= width for r in body):
             chosen = (sep, recs)
             break
-    if chosen is None:
-        sep, recs = ",", [r for r in _records(text, ",") if r]
-    else:
-        sep, recs = chosen
-    multiline = len(recs) < len([ln for ln in lines if ln != ""]) if recs else False
-    header = tuple(recs[0]) if recs else ()
-    return Dialect(sep, encoding, multiline, header)
+    sep, recs = chosen or (",", [r for r in _records(text, ",") if r])
+    return Dialect(sep, "ISO-8859-1" if whole["bad"] else "UTF-8", whole["open"] == 1, tuple(recs[0]) if recs else ())
 
 
 def _read_text_columns(spark: SparkSession, path: str, d: Dialect) -> DataFrame:
-    return (spark.read.option("header", True).option("sep", d.sep).option("encoding", d.encoding)
-            .option("multiLine", d.multiline).option("quote", '"').option("escape", '"')
-            .option("mode", "PERMISSIVE").option("inferSchema", False).csv(path))
+    """The columns as text, and the whole record in ``MALFORMED`` where its number of fields is not the header's."""
+    reader = (spark.read.option("header", True).option("sep", d.sep).option("encoding", d.encoding)
+              .option("multiLine", d.multiline).option("quote", '"').option("escape", '"')
+              .option("mode", "PERMISSIVE").option("inferSchema", False).option("columnNameOfCorruptRecord", MALFORMED))
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, MALFORMED]])
+    return reader.schema(schema).csv(path).toDF(*_unique([normalize_header(n) for n in names]), MALFORMED)
+
+
+def _extra_fields(d: Dialect, columns: int):
+    """Whether a malformed record has more fields than the header (separators inside quotes do not count)."""
+    outside = re.escape(d.sep) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    return F.size(F.split(MALFORMED, outside, -1)) > columns
 
 
 def _null_tokens(df: DataFrame, tokens) -> DataFrame:
     toks = list(tokens)
     return df.select(*[F.when(F.col(f"`{c}`").isin(toks), F.lit(None).cast("string"))
-                       .otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
+                       .otherwise(F.col(f"`{c}`")).alias(c) if c != MALFORMED else F.col(c) for c in df.columns])
 
 
-def infer_types(df: DataFrame) -> tuple[dict[str, str], int]:
+def infer_types(df: DataFrame, d: Dialect | None = None) -> tuple[dict[str, str], int]:
     """One pass over every row: the narrowest type each text column fits
     (bigint, double, boolean, else string) and the number of cells holding
-    U+FFFD (undecodable input). An all-missing column is double, as in pandas."""
-    aggs = []
-    for i, c in enumerate(df.columns):
+    U+FFFD (undecodable input). An all-missing column is double, as in pandas.
+    Rows with more fields than the header of ``d`` are a ValueError."""
+    columns = [c for c in df.columns if c != MALFORMED]
+    aggs = [F.count_if(_extra_fields(d, len(columns))).alias("extra")] if d else [F.lit(0).alias("extra")]
+    for i, c in enumerate(columns):
         x = F.col(f"`{c}`")
         aggs += [F.count(x).alias(f"n{i}"),
                  F.count_if(x.rlike(INT_PATTERN) & F.expr(f"try_cast(`{c}` AS BIGINT)").isNotNull()).alias(f"l{i}"),
                  F.count(F.when(~x.rlike(CODE_PATTERN), F.expr(f"try_cast(`{c}` AS DOUBLE)"))).alias(f"d{i}"),
                  F.count_if(x.isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias(f"b{i}"),
                  F.count_if(F.instr(x, REPLACEMENT_CHAR) > 0).alias(f"r{i}")]
-    if not aggs:
+    if not columns:
         return {}, 0
     r = df.agg(*aggs).first()
+    if r["extra"]:
+        raise ValueError(f"{r['extra']} row(s) have more fields than the {len(columns)} of the header")
     types, bad = {}, 0
-    for i, c in enumerate(df.columns):
+    for i, c in enumerate(columns):
         n = r[f"n{i}"]
         bad += r[f"r{i}"]
         if n == 0:
@@ -144,7 +157,7 @@ def infer_types(df: DataFrame) -> tuple[dict[str, str], int]:
 
 def _apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     out = []
-    for c in df.columns:
+    for c in [c for c in df.columns if c != MALFORMED]:
         t = types.get(c, "string")
         x = F.col(f"`{c}`")
         if t == "boolean":
@@ -159,20 +172,16 @@ def _apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 def read_delimited(spark: SparkSession, path: str, sample_lines: int = 1000, infer: bool = True,
                    null_tokens=NULL_TOKENS, dialect: Dialect | None = None) -> DataFrame:
-    """Load a delimited text file (or folder of them) as a typed DataFrame."""
+    """Load a delimited text file (or folder of them) as a typed DataFrame.
+    ``infer=False`` leaves text columns; the inference pass still rejects rows with extra fields."""
     d = dialect or sniff(spark, path, sample_lines)
-    raw = _read_text_columns(spark, path, d)
-    names = _unique([normalize_header(c) for c in raw.columns])
-    df = _null_tokens(raw.toDF(*names), null_tokens)
-    if not infer:
-        return df
-    types, bad = infer_types(df)
+    df = _null_tokens(_read_text_columns(spark, path, d), null_tokens)
+    types, bad = infer_types(df, d)
     if bad and d.encoding == "UTF-8" and dialect is None:
         d = Dialect(d.sep, "ISO-8859-1", d.multiline, d.header)
-        raw = _read_text_columns(spark, path, d)
-        df = _null_tokens(raw.toDF(*_unique([normalize_header(c) for c in raw.columns])), null_tokens)
-        types, _ = infer_types(df)
-    return _apply_types(df, types)
+        df = _null_tokens(_read_text_columns(spark, path, d), null_tokens)
+        types, _ = infer_types(df, d)
+    return _apply_types(df, types) if infer else df.drop(MALFORMED)
 
 
 def load_summary(df: DataFrame) -> DataFrame:

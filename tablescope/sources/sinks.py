@@ -19,7 +19,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
     Returns the path written."""
     if fmt not in FORMATS:
         raise ValueError(f"unknown format '{fmt}'; use one of {list(FORMATS)}")
-    if fmt == "csv":  # CSV holds text only: nested values are written as JSON
+    if fmt == "csv":  # CSV holds text only: nested values are written as JSON, timestamps with any fraction of a second
+        stamps = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
+        df = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in stamps}) if stamps else df
         nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
         if nested:
             df = df.withColumns({c: F.to_json(F.col(f"`{c}`")) for c in nested})
@@ -30,7 +32,6 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
         (w.option("header", True).option("sep", sep).option("nullValue", null_value)
          .option("emptyValue", '""').option("quote", '"').option("escape", '"')
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-         .option("timestampFormat", "yyyy-MM-dd HH:mm:ss").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
          .csv(path))
     elif fmt == "parquet":
         w.parquet(path)

@@ -158,3 +158,29 @@ def test_nan_key_is_missing(spark):
     from tablescope.operators import stats
     df = spark.createDataFrame([(float("nan"), 1), (1.0, 2), (None, 3)], "k double, v int")
     assert [r.k for r in stats.group_stats(df, "k", "v", "sum").collect()] == [1.0]
+
+
+def test_quoted_newline_after_the_sampled_lines(spark, tmpdir_path):
+    body = "".join(f"{i},t{i}\n" for i in range(1500)) + '1500,"two\nlines"\n1501,end\n'
+    df = sources.read_delimited(spark, _write(tmpdir_path, "late.csv", ("id,s\n" + body).encode()))
+    assert df.count() == 1502 and df.schema["id"].dataType.simpleString() == "bigint"
+    assert df.where("id = 1500").first()["s"] == "two\nlines"
+
+
+@pytest.mark.parametrize("infer", [True, False])
+@pytest.mark.parametrize("last", ["3,4,5", "3,4,", '"3,3",4,,5'])
+def test_extra_fields_raise(spark, tmpdir_path, last, infer):
+    path = _write(tmpdir_path, "extra.csv", ("a,b\n" + "1,2\n" * 1200 + last + "\n").encode())
+    with pytest.raises(ValueError, match="1 row.* more fields"):
+        sources.read_delimited(spark, path, infer=infer)
+
+
+def test_short_rows_end_in_nulls_and_quoted_separators_do_not_count(spark, tmpdir_path):
+    df = sources.read_delimited(spark, _write(tmpdir_path, "short.csv", b'a;b;c\n1;x;2\n3;y\n4;"p;q";5\n'))
+    assert rows(df) == [(1, "x", 2), (3, "y", None), (4, "p;q", 5)]
+
+
+def test_csv_keeps_fractions_of_a_second(spark, tmpdir_path):
+    df = spark.sql("SELECT timestamp'2024-01-02 03:04:05.123456' AS t UNION ALL SELECT timestamp'2024-01-02 00:00:00'")
+    back = sources.read_delimited(spark, sources.write_table(df, os.path.join(tmpdir_path, "ts"), "csv"))
+    assert sorted(rows(back)) == [("2024-01-02 00:00:00",), ("2024-01-02 03:04:05.123456",)]
