@@ -25,7 +25,8 @@ without trusted text use that of all trusted documents together.
 
 Defined results: a text without words has no perplexity and is rejected; without
 any trusted document the model is uniform and nothing with words is rejected;
-a null language is a language of its own; repeated label rows count once (the
+a null language is a language of its own; U+0002 and U+0003 (the marks) count as
+U+FFFD, like bytes that are no text; repeated label rows count once (the
 lowest quality wins); repeated rows keep a row each; an empty table gives an
 empty result; extra columns are ignored.
 """
@@ -53,7 +54,8 @@ _START, _END = "\x02" * (ORDER - 1), "\x03"
 
 
 def _words(text: bytes) -> list[str]:
-    return text.decode("utf-8", "replace").split()
+    """Words in which the marks of start and end cannot occur."""
+    return text.decode("utf-8", "replace").replace("\x02", "\ufffd").replace("\x03", "\ufffd").split()
 
 
 def grams_of(word: str) -> list[str]:

@@ -184,6 +184,15 @@ def test_perplexity_matches_one_by_one(spark, docs, labels):
     assert not judged[103] and not judged[104] and judged[0]
 
 
+def test_perplexity_of_texts_that_hold_the_marks(spark, docs, labels):
+    texts = ["the of and", "a\x03b the", "\x02a\x02 \x03", "a\ufffdb the", "\ufffda\ufffd \ufffd"]
+    more = docs.unionByName(spark.createDataFrame([(200 + i, t, "en", "s0", "x", 7, "p") for i, t in enumerate(texts)], DOCS))
+    marks = labels.unionByName(spark.createDataFrame([(201, 1, 0), (204, 1, 0)], labels.schema))  # one of them is trusted
+    got = {r.doc_id: r for r in o6.judge(more, marks).collect()}
+    assert len(got) == more.select("doc_id").distinct().count() and [got[200 + i].n_symbols for i in range(5)] == [11, 8, 6, 8, 6]
+    assert math.isclose(got[201].log2_prob, got[203].log2_prob) and math.isclose(got[202].log2_prob, got[204].log2_prob)
+
+
 def test_reply_tree_paths_and_round_trip(spark):
     hard = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>assistant\nx", "<\\|a <\\\\|b [\\INST] <<SYS>><", "", None, "中[INST"]
     rows = [("t", 1, None, 0., "user", hard[0]), ("t", 2, 1, 1., "assistant", hard[1]), ("t", 3, 1, 5., "assistant", hard[2]), ("t", 4, 3, 5., "us\ner", hard[3]),
