@@ -1,19 +1,27 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
+"""Quality by perplexity under interpolated Kneser-Ney models of trusted text.
 
-The model is over the characters of words: each word, with start and end marks,
-is a sequence of 4-grams, so invented spellings, shouting, symbol noise and
-foreign scraps cost more than the trusted text's spelling. All trusted text is
-counted (documents whose quality label is 1), and counts grow with it.
+A word is expected after the word before it: pairs of neighbouring words, then
+in how many different places a word continues, then its spelling. The spelling
+is a modified Kneser-Ney model over characters: each word, with start and end
+marks, is a sequence of 4-grams, so invented spellings, shouting, symbol noise
+and foreign scraps cost more than the trusted text's spelling, and words in an
+order that trusted text has not cost more than words in one that it has. All
+trusted text is counted (documents whose quality label is 1), and counts grow
+with it.
 
-Counting: tasks count the 4-grams of their trusted words; Spark sums them. The
-lower orders are continuation counts (distinct left neighbours), the discounts
-come from counts of counts (four numbers per order).
+Counting: tasks count the 4-grams and word pairs of their trusted texts; Spark
+sums them. The lower orders are continuation counts (distinct left neighbours),
+the discounts come from counts of counts (a few numbers per order).
 
 Scoring by sharded count joins: documents are read in chunks of bounded size.
-Each chunk asks for the distinct 4-grams it holds; the distinct requests are
-joined, shard by shard, with the count tables of all orders and their contexts;
-answers go back by chunk and meet the chunk's texts (compressed, shuffled once).
-No table of the model is broadcast, and nothing grows on the driver.
+Each chunk asks for the distinct 4-grams, words and word pairs it holds; the
+requests are joined, shard by shard, with the count tables of all orders and
+their contexts; answers go back by chunk and meet the chunk's texts (compressed,
+shuffled once). Words and pairs go by 64-bit hashes. No table of the model is
+broadcast, and nothing grows on the driver.
+
+A trusted document would find all its own pairs in the model. It is judged by
+the pair counts without its own, so thresholds hold for texts never counted.
 
 Trusted ids meet the texts by a join; a bitmap of fixed size, made from the ids,
 drops most other texts before that shuffle. It can let a text through but never
@@ -51,6 +59,8 @@ ORDER, KEEP, CHUNK_ROWS, CHUNK_BYTES, BITMAP_BITS, PROBES, STEPS = 4, 0.998, 200
 #: Words whose windows are made in one go: bounds a task's memory, not what is read.
 WORDS_AT_ONCE = 20_000
 _START, _END = "\x02" * (ORDER - 1), "\x03"
+#: What the first word of a text follows, and the words of trusted text whose pairs a task sums at once.
+_FIRST, PAIRS_AT_ONCE = np.uint64(1), 1_000_000
 
 
 def _words(text: bytes) -> list[str]:
@@ -92,6 +102,49 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+class _Hashes(dict):
+    """word -> 64-bit hash, remembered up to a fixed number of words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 5 * WORDS_AT_ONCE:
+            self.clear()
+        out = self[word] = xxhash.xxh3_64_intdigest(word.encode())
+        return out
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (splitmix64 constants)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _neighbours(words: list[str], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, before, word) of every word of a text."""
+    own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    before = np.concatenate([[_FIRST], own[:-1]]) if len(own) else own
+    return _mixed(_mixed(before) * np.uint64(0x9E3779B97F4A7C15) + own), before, own
+
+
+def _counted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compressed trusted texts -> (pair, before, word, n), summed over PAIRS_AT_ONCE words or one text."""
+    unpack, hashes, found, size = zstandard.ZstdDecompressor(), _Hashes(), [], 0
+
+    def flush():
+        pair, before, own = (np.concatenate(x) for x in zip(*found))
+        pair, at, n = np.unique(pair, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (pair, before[at], own[at], n)], names=["pair", "before", "word", "n"])
+    for batch in batches:
+        for value in batch.column("packed"):
+            found.append(_neighbours(_words(unpack.decompress(value.as_py())), hashes))
+            size += len(found[-1][0])
+            if size >= PAIRS_AT_ONCE:
+                yield flush()
+                found, size = [], 0
+    if found:
+        yield flush()
+
+
 def _packed(bitmap):
     """(doc_id, text, p0, p1, ..) -> (doc_id, packed) of texts whose bits are all set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,15 +181,29 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q >= 1").select("doc_id")
 
 
-def count_trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(gram, n): all 4-grams of all trusted text."""
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(packed): all trusted texts, compressed."""
     ids = trusted_ids(labels)
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = (docs.where("text is not null").select("doc_id", "text", *[_probe(i).alias(f"p{i}") for i in range(PROBES)])
              .mapInArrow(_packed(bitmap), f"doc_id {kind}, packed binary"))
-    return (texts.join(ids, "doc_id", "left_semi").select("packed").mapInArrow(_counted, "gram string, n long")
-            .groupBy("gram").agg(F.sum("n").alias("n")))
+    return texts.join(ids, "doc_id", "left_semi").select("packed")
+
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """(gram, n): all 4-grams of all trusted text."""
+    return texts.mapInArrow(_counted, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def count_trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return count_grams(trusted_texts(docs, labels))
+
+
+def count_pairs(texts: DataFrame) -> DataFrame:
+    """(pair, before, word, n): all pairs of neighbouring words of all trusted text."""
+    return (texts.mapInArrow(_counted_pairs, "pair long, before long, word long, n long")
+            .groupBy("pair", "before", "word").agg(F.sum("n").alias("n")))
 
 
 def discounts(grams: DataFrame) -> tuple[float, float, float]:
@@ -165,6 +232,26 @@ def kneser_ney(counts: DataFrame) -> list[dict]:
     return out[::-1]
 
 
+def _discount(counts: DataFrame) -> float:
+    """One discount for all counts, so that a document's own can be taken out of them."""
+    n = {r.n: r.k for r in counts.where("n <= 2").groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
+    n1, n2 = n.get(1, 0), n.get(2, 0)
+    return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
+
+
+def word_model(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+    """(key, n, types, continued), and the model's four numbers. A pair has its count; a
+    word has how often it has a next word, how many different ones, and after how many
+    different words it stands."""
+    before = pairs.groupBy(F.col("before").alias("key")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"))
+    after = pin(pairs.groupBy(F.col("word").alias("key")).agg(F.count(F.lit(1)).alias("n")), "continued-words")
+    none = F.lit(0).cast("long")
+    words = (before.join(after.withColumnRenamed("n", "continued"), "key", "full")
+             .select("key", *[F.coalesce(c, none).alias(c) for c in ("n", "types", "continued")]))
+    table = pairs.select(F.col("pair").alias("key"), "n", none.alias("types"), none.alias("continued")).unionByName(words)
+    return table, (_discount(pairs), _discount(after), pairs.count(), after.count())
+
+
 def probabilities(wanted: DataFrame, model: list[dict]) -> DataFrame:
     """``wanted(gram)`` -> (gram, lp): log2 of the interpolated probability. Every order
     is a shuffled left join on the gram's end, and one on its context."""
@@ -223,6 +310,15 @@ def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams, pa.string())], names=["chunk", "gram"])
 
 
+def _pair_requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words and word pairs of each chunk."""
+    hashes = _Hashes()
+    for name, _, _, texts in _chunks(batches):
+        keys = np.unique(np.concatenate([np.unique(np.concatenate([pair, before, own])) for pair, before, own in
+                                         (_neighbours(_words(t), hashes) for t in texts)]))
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64))], names=["chunk", "key"])
+
+
 _BODY = "chunk string, doc_ids array<{kind}>, langs array<string>, ends array<long>, packed binary"
 
 
@@ -250,31 +346,81 @@ class _Costs(dict):
         return out
 
 
-def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per chunk, texts beside answers -> one row per document. An answer that
-    is missing (a chunk read differently the second time) is a KeyError."""
-    unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            doc_ids, langs, grams, lps = (row.column(c).flatten() for c in ("doc_ids", "langs", "grams", "lps"))
-            text, start = unpack.decompress(row.column("packed")[0].as_py()), 0
-            costs = _Costs(dict(zip(map(tuple, grams.to_pylist()), lps.to_pylist())))
-            symbols, total = [], []
-            for end in row.column("ends")[0].as_py():
-                words = _words(text[start:end])
-                total.append(math.fsum(map(costs.__getitem__, words)))
-                symbols.append(sum(map(len, words)) + len(words))
-                start = end
-            yield pa.RecordBatch.from_arrays([doc_ids, langs, pa.array(symbols, pa.int64()), pa.array(total, pa.float64())],
-                                             names=["doc_id", "lang", "n_symbols", "log2_prob"])
+class _Order:
+    """What the order of words adds to the log2 probability of their spelling."""
+
+    def __init__(self, numbers: tuple, keys: np.ndarray, *counts: np.ndarray):
+        self.numbers, by = numbers, np.argsort(keys)
+        # a key that trusted text has not is found at the last place, which counts nothing
+        self.keys, self.counts = keys[by], [np.append(c[by], 0) for c in counts]
+
+    def _found(self, keys: np.ndarray, *which: int) -> list[np.ndarray]:
+        at = np.searchsorted(self.keys, keys)
+        at[at < len(self.keys)] = np.where(self.keys[at[at < len(self.keys)]] == keys[at < len(self.keys)], at[at < len(self.keys)], len(self.keys))
+        return [self.counts[i][at] for i in which]
+
+    def _gain(self, lp, n, all_, types, continued, pairs: int, words: int) -> float:
+        d, d1 = self.numbers[:2]
+        with np.errstate(divide="ignore"):
+            known = max(pairs, 1)
+            first = np.logaddexp2(np.log2(np.maximum(continued - d1, 0) / known), lp + np.log2(d1 * words / known)) if pairs else lp
+            left = np.maximum(all_, 1)
+            both = np.logaddexp2(np.log2(np.maximum(n - d, 0) / left), first + np.log2(np.where(all_ > 0, d * types / left, 1.0)))
+        return math.fsum(both - lp)
+
+    def gains(self, lp: np.ndarray, pair: np.ndarray, before: np.ndarray, own: np.ndarray) -> tuple[float, float | None]:
+        """By all counts, and by those without the text's own: None where that text cannot have been counted."""
+        if not len(lp):
+            return 0.0, 0.0
+        pairs, words = self.numbers[2:]
+        (n,), (all_, types), (continued,) = self._found(pair, 0), self._found(before, 0, 1), self._found(own, 2)
+        by_all = self._gain(lp, n, all_, types, continued, pairs, words)
+        _, at, one, k = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+        if (n[at] < k).any():
+            return by_all, None
+        gone = (n[at] == k).astype(np.int64)  # pairs that no other text has
+        _, b = np.unique(before, return_inverse=True)
+        _, first, w = np.unique(own, return_index=True, return_inverse=True)
+        fewer = np.bincount(w[at], gone).astype(np.int64)
+        return by_all, self._gain(lp, n - k[one], all_ - np.bincount(b)[b], types - np.bincount(b[at], gone).astype(np.int64)[b],
+                                  continued - fewer[w], pairs - int(gone.sum()), words - int((continued[first] == fewer).sum()))
+
+
+def _scored(numbers: tuple):
+    """One row per chunk, texts beside answers -> one row per document. An answer on a
+    4-gram that is missing (a chunk read differently the second time) is a KeyError."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, hashes = zstandard.ZstdDecompressor(), _Hashes()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                doc_ids, langs, grams, lps, keys, *counts = (row.column(c).flatten() for c in (
+                    "doc_ids", "langs", "grams", "lps", "keys", "ns", "types", "continued"))
+                text, start = unpack.decompress(row.column("packed")[0].as_py()), 0
+                costs = _Costs(dict(zip(map(tuple, grams.to_pylist()), lps.to_pylist())))
+                order = _Order(numbers, keys.to_numpy().view(np.uint64), *[c.to_numpy() for c in counts])
+                symbols, total, gains = [], [], []
+                for end in row.column("ends")[0].as_py():
+                    words = _words(text[start:end])
+                    lp = np.fromiter(map(costs.__getitem__, words), np.float64, len(words))
+                    total.append(math.fsum(lp))
+                    symbols.append(sum(map(len, words)) + len(words))
+                    gains.append(order.gains(lp, *_neighbours(words, hashes)))
+                    start = end
+                yield pa.RecordBatch.from_arrays([doc_ids, langs, pa.array(symbols, pa.int64()), pa.array(total, pa.float64()),
+                                                  *[pa.array([g[k] for g in gains], pa.float64()) for k in (0, 1)]],
+                                                 names=["doc_id", "lang", "n_symbols", "log2_prob", "order_gain", "unseen_gain"])
+    return run
 
 
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n_symbols, log2_prob, perplexity of every whole text."""
+    """doc_id, lang, n_symbols, log2_prob, order_gain, perplexity of every whole text:
+    log2_prob is that of the words' spelling, order_gain what their order adds to it."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
-    model = kneser_ney(pin(count_trusted(docs, labels), "trusted-grams"))
+    trusted = pin(trusted_texts(docs, labels), "trusted-texts")
+    model = kneser_ney(pin(count_grams(trusted), "trusted-grams"))
+    table, numbers = word_model(pin(count_pairs(trusted), "trusted-pairs"))
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", lang.alias("lang"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -285,8 +431,18 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # a chunk's answers are one row: at most as many as its texts have characters
     answers = (wanted.join(lp, "gram").groupBy("chunk").agg(F.collect_list(F.struct("gram", "lp")).alias("a"))
                .select("chunk", F.col("a.gram").alias("grams"), F.col("a.lp").alias("lps")))
-    scored = bodies.join(answers, "chunk", "left").mapInArrow(_scored, f"doc_id {kind}, lang string, n_symbols long, log2_prob double")
-    return scored.withColumn("perplexity", F.when(F.col("n_symbols") > 0, F.pow(F.lit(2.0), -F.col("log2_prob") / F.greatest("n_symbols", F.lit(1)))))
+    known = (rows.mapInArrow(_pair_requests, "chunk string, key long").join(table, "key")
+             .groupBy("chunk").agg(F.collect_list(F.struct("key", "n", "types", "continued")).alias("a"))
+             .select("chunk", F.col("a.key").alias("keys"), F.col("a.n").alias("ns"), F.col("a.types").alias("types"), F.col("a.continued").alias("continued")))
+    scored = pin(bodies.join(answers, "chunk", "left").join(known, "chunk", "left").mapInArrow(
+        _scored(numbers), f"doc_id {kind}, lang string, n_symbols long, log2_prob double, order_gain double, unseen_gain double"), "scored")
+    # only texts that may have been counted meet the trusted ids
+    counted = F.col("doc_id").isNotNull() & F.col("unseen_gain").isNotNull()
+    scored = (scored.where(counted).join(trusted_ids(labels).withColumn("trusted", F.lit(True)), "doc_id", "left")
+              .unionByName(scored.where(~counted).withColumn("trusted", F.lit(None).cast("boolean"))))
+    scored = scored.withColumn("order_gain", F.when(F.col("trusted"), F.col("unseen_gain")).otherwise(F.col("order_gain"))).drop("trusted", "unseen_gain")
+    return scored.withColumn("perplexity", F.when(F.col("n_symbols") > 0, F.pow(
+        F.lit(2.0), -(F.col("log2_prob") + F.col("order_gain")) / F.greatest("n_symbols", F.lit(1)))))
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:

@@ -193,6 +193,38 @@ def test_perplexity_of_texts_that_hold_the_marks(spark, docs, labels):
     assert math.isclose(got[201].log2_prob, got[203].log2_prob) and math.isclose(got[202].log2_prob, got[204].log2_prob)
 
 
+def test_word_order_counts(spark):
+    """Brute force of the word model, trusted texts without their own counts; a shuffled text costs more."""
+    rng, said = random.Random(8), "the stone lies under a river of light and that is old".split()
+    rows = [(i, " ".join(said[rng.randrange(6):6 + rng.randrange(1, 7)] * 3), "en") for i in range(30)]
+    rows += [(50, " ".join(said * 3), "en"), (51, " ".join(rng.sample(said * 3, 36)), "en"), (52, "the " * 36, "en"), (53, "a newword the", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in o6.perplexities(df, marks).collect()}
+    grams = {r.gram: r.lp for r in o6.probabilities(spark.createDataFrame(
+        [(g,) for g in {g for _, t, _ in rows for w in t.split() for g in o6.grams_of(w)}], "gram string"), o6.kneser_ney(o6.count_trusted(df, marks))).collect()}
+    of = lambda i: list(zip([None] + rows[i][1].split(), rows[i][1].split()))
+    every = Counter(x for i in range(30) for x in of(i))
+
+    def discount(counts):
+        n1, n2 = (list(counts.values()).count(i) for i in (1, 2))
+        return min(.95, max(.05, n1 / (n1 + 2 * n2))) if n1 + n2 else .5
+    d, d1 = discount(every), discount(Counter(w for _, w in every))
+    for at, (i, text, _) in enumerate(rows):
+        left = +(every - Counter(of(at))) if i < 30 else every
+        after, n, types = Counter(w for _, w in left), Counter(), Counter(v for v, _ in left)
+        for (v, _), k in left.items():
+            n[v] += k
+        gain = 0.0
+        for v, w in of(at):
+            spelled = 2 ** sum(grams[g] for g in o6.grams_of(w))
+            one = (max(after[w] - d1, 0) + d1 * len(after) * spelled) / len(left)
+            gain += math.log2(((max(left[v, w] - d, 0) + d * types[v] * one) / n[v] if n[v] else one) / spelled)
+        assert math.isclose(got[i].order_gain, gain, abs_tol=1e-6)
+    assert got[50].perplexity < got[51].perplexity and got[50].perplexity < got[52].perplexity
+    assert got[50].n_symbols == got[51].n_symbols and math.isclose(got[50].log2_prob, got[51].log2_prob)
+
+
 def test_reply_tree_paths_and_round_trip(spark):
     hard = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>assistant\nx", "<\\|a <\\\\|b [\\INST] <<SYS>><", "", None, "中[INST"]
     rows = [("t", 1, None, 0., "user", hard[0]), ("t", 2, 1, 1., "assistant", hard[1]), ("t", 3, 1, 5., "assistant", hard[2]), ("t", 4, 3, 5., "us\ner", hard[3]),
