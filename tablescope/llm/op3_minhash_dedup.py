@@ -1,11 +1,12 @@
 """MinHash near-duplicates with b-bit signatures.
 
 1. Every text becomes its set of distinct 5-word shingles (64-bit hashes). Texts
-   with equal sets are one class, compared once.
+   with equal sets are one class, compared once. A class goes by a 64-bit hash
+   of its set, never by a doc_id, which may stand for several texts.
 2. ``BANDS`` x ``ROWS`` seeded minima per class. Each band's minima make a band
    key; of each minimum only the low 4 bits are kept, packed into eight longs.
 3. Candidates. First round: in every band bucket each class is paired with the
-   bucket's smallest id only, so a bucket of m classes gives m - 1 pairs. After
+   bucket's smallest class only, so a bucket of m classes gives m - 1 pairs. After
    those are checked, only buckets that still hold two or more components are
    joined with themselves, and a pair leaves that join only if its ends lie in
    different components and the packed signatures agree well enough.
@@ -23,7 +24,7 @@ reported; every link between two components that shares a bucket is checked.
 
 Defined results: null or blank texts have an empty set and link with nothing;
 under five words the whole sequence is the only shingle; repeated doc_ids keep
-a row each and are one document; a null doc_id is kept with its own null
+a row each and are one document, which links with all that any of its texts links with; a null doc_id is kept with its own null
 component; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -94,6 +95,12 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _class(shingles: np.ndarray) -> int:
+    """The class of a text, as a signed 64-bit number."""
+    h = xxhash.xxh3_64_intdigest(shingles.tobytes())
+    return h - 2**64 if h >= 2**63 else h
+
+
 def _sketched(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
@@ -112,7 +119,7 @@ def _sketched(seed: int):
                         key.append(None), bands.append(None), bits.append(None)
                         continue
                     low = minima(s, a, b)
-                    key.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    key.append(_class(s))
                     parts = low.reshape(BANDS, ROWS)
                     band = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
                     for r in range(ROWS):
@@ -122,9 +129,9 @@ def _sketched(seed: int):
                     nibbles = (low & np.uint64(2**BITS - 1)).reshape(_LONGS, 64 // BITS)
                     bits.append((nibbles << shift).sum(1, dtype=np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
+                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()),
                      pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "set_key", "bands", "bits"])
+                    names=["doc_id", "n_shingles", "rep", "bands", "bits"])
     return run
 
 
@@ -138,13 +145,13 @@ def _refined(seed: int):
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                n, fine = [], []
+                rep, n, fine = [], [], []
                 for text in batch.column("text").cast(pa.large_binary()):
                     s = shingle_set(text.as_py(), seen)
-                    n.append(len(s))
+                    rep.append(_class(s)), n.append(len(s))
                     low = (minima(s, a, b) & np.uint64(2**FINE_BITS - 1)).reshape(-1, 64 // FINE_BITS)
                     fine.append((low << shift).sum(1, dtype=np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fine, pa.list_(pa.int64()))],
+                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(n, pa.int64()), pa.array(fine, pa.list_(pa.int64()))],
                                                  names=["rep", "n", "fine"])
     return run
 
@@ -201,7 +208,9 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = (keys[i] == keys[j]).argmax(1)
             own = keys[i, first] == t.column("bucket")[0].as_py()
             i, j = i[own], j[own]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
+            i, j = np.where(rep[i] < rep[j], i, j), np.where(rep[i] < rep[j], j, i)
+            doc = t.column("doc").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rep[i], rep[j], doc[i], doc[j])], names=["a", "b", "doc_a", "doc_b"])
 
 
 def _longs(column: str, n: int, name: str) -> list:
@@ -209,69 +218,79 @@ def _longs(column: str, n: int, name: str) -> list:
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text_a, text_b) -> the pairs whose full sets are similar enough."""
+    """(a, b, doc_a, doc_b, text_a, text_b) -> the documents of pairs whose full sets are
+    similar enough. Texts of other classes that stand under the same id are passed over."""
     seen = _Words()
-    known, known_set = None, None
+    known, known_set, known_class = None, None, None
     for whole in batches:
         for start in range(0, whole.num_rows, 500):
             batch = whole.slice(start, 500)
             keep = []
             texts = (batch.column(c).cast(pa.large_binary()) for c in ("text_a", "text_b"))
-            for i, (ta, tb) in enumerate(zip(*texts)):
+            for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), *texts):
                 ta = ta.as_py()
-                if ta != known:  # rows come sorted by a, so its set is mostly at hand
+                if ta != known:  # rows come sorted by document, so its set is mostly at hand
                     known, known_set = ta, shingle_set(ta, seen)
+                    known_class = _class(known_set)
                 other = shingle_set(tb.as_py(), seen)
+                if known_class != a or _class(other) != b:
+                    keep.append(False)
+                    continue
                 both = len(np.intersect1d(known_set, other, assume_unique=True))
                 keep.append(both > 0 and 100 * both >= PERCENT * (len(known_set) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            out = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([out.column("doc_a"), out.column("doc_b")], names=["a", "b"])
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
     """Join both whole texts to each pair (skewed joins are split by AQE) and check."""
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, f"a {kind}, b {kind}")
+    with_b = pairs.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
+    both = with_b.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
+    return both.select("a", "b", "doc_a", "doc_b", "text_a", "text_b").mapInArrow(_confirmed, f"a {kind}, b {kind}")
 
 
 def near_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = pin(docs.mapInArrow(_sketched(seed), f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>, bits array<long>"), "sketches")
-    classes = rows.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = (rows.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"]).dropDuplicates(["doc_id"])
-            .select(F.col("doc_id").alias("rep"), "bands", "bits"))
+    rows = pin(docs.mapInArrow(_sketched(seed), f"doc_id {kind}, n_shingles long, rep long, bands array<long>, bits array<long>"), "sketches")
+    named = rows.where("doc_id is not null and rep is not null")
+    classes = named.groupBy("rep").agg(F.min("doc_id").alias("doc"))  # whose text is looked up
+    reps = named.join(classes.withColumnRenamed("doc", "doc_id"), ["doc_id", "rep"]).dropDuplicates(["rep"]).select("rep", F.col("doc_id").alias("doc"), "bands", "bits")
     banded = reps.select("rep", F.explode("bands").alias("band"))  # signatures are fetched later, for few
+    # one id, several classes: the documents that these classes go by are one
+    several = named.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("doc_id")
+    same = pin(named.select("doc_id", "rep").join(several, "doc_id", "left_semi").distinct().join(classes, "rep")
+               .where("doc_id <> doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).distinct(), "same-ids")
 
-    # round 1: every class against the smallest id of each of its buckets
+    # round 1: every class against the smallest class of each of its buckets
     anchors = banded.groupBy("band").agg(F.min("rep").alias("anchor"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "anchor")
     # written once, for both rounds: most band rows are alone in their bucket and end here
     shared = pin(banded.join(anchors, "band"), "shared-buckets")
     star = shared.where("rep <> anchor").select(F.col("anchor").alias("a"), F.col("rep").alias("b")).distinct()
-    bits = reps.select("rep", "bits")
-    star = (star.join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("bits_b")), "b")
-            .join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("bits_a")), "a")
-            .where(estimate(_longs("bits_a", _LONGS, "x"), _longs("bits_b", _LONGS, "y"), BITS) >= LEAST_ESTIMATE).select("a", "b"))
-    # rows repeated under one id are one document: any of their texts may confirm a link
+    bits = reps.select("rep", "doc", "bits")
+    star = (star.join(bits.select(F.col("rep").alias("b"), F.col("doc").alias("doc_b"), F.col("bits").alias("bits_b")), "b")
+            .join(bits.select(F.col("rep").alias("a"), F.col("doc").alias("doc_a"), F.col("bits").alias("bits_a")), "a")
+            .where(estimate(_longs("bits_a", _LONGS, "x"), _longs("bits_b", _LONGS, "y"), BITS) >= LEAST_ESTIMATE).select("a", "b", "doc_a", "doc_b"))
     texts = docs.where("text is not null")
-    first = pin(_confirm(star, texts, kind), "links-1").distinct()
+    first = pin(_confirm(star, texts, kind), "links-1").distinct().unionByName(same)
 
     # round 2: what the first round left apart inside a bucket
     part = components(first)
-    placed = (shared.join(part, shared.rep == part.node, "left")
-              .select("band", "rep", F.coalesce("component", "rep").alias("component")))
+    where = classes.join(part, classes.doc == part.node, "left").select("rep", F.coalesce("component", "doc").alias("component"))
+    placed = shared.join(where, "rep").select("band", "rep", "component")
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     open_ = pin(placed.join(mixed, "band", "left_semi"), "open-buckets")
-    fine = (texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-            .mapInArrow(_refined(seed), f"rep {kind}, n long, fine array<long>").dropDuplicates(["rep"]))
-    open_ = open_.withColumnRenamed("band", "bucket").join(pin(fine.join(reps.select("rep", "bits", "bands"), "rep"), "refined"), "rep")
-    rest = (block_units(open_, BLOCK, "rep").mapInArrow(_apart, "a long, b long").distinct()
+    wanted = open_.select("rep").distinct()
+    fine = (texts.join(classes.join(wanted, "rep", "left_semi").select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+            .mapInArrow(_refined(seed), "rep long, n long, fine array<long>").dropDuplicates(["rep"]))
+    open_ = open_.withColumnRenamed("band", "bucket").join(pin(fine.join(reps.select("rep", "doc", "bits", "bands"), "rep"), "refined"), "rep")
+    rest = (block_units(open_, BLOCK, "rep").mapInArrow(_apart, "a long, b long, doc_a long, doc_b long").distinct()
             .join(star, ["a", "b"], "left_anti"))
     second = pin(_confirm(rest, texts, kind), "links-2").distinct()
 
     final = components(first.unionByName(second)) if not second.isEmpty() else part
-    named = (classes.join(final, classes.rep == final.node, "left").select("set_key", F.coalesce("component", "rep").alias("_c")))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    found = classes.join(final, classes.doc == final.node, "left").select("rep", F.coalesce("component", "doc").alias("_c"))
+    out = rows.select("doc_id", "n_shingles", "rep").join(found, "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"),
                       F.col("doc_id").eqNullSafe(F.coalesce("_c", "doc_id")).alias("kept"))
