@@ -1,8 +1,9 @@
 """Language identification by compression with per-language zstandard dictionaries.
 
 For every language a raw-content dictionary is cut from a bounded, seeded sample
-of its training texts: ``pieces`` documents, the first ``piece_chars`` code
-points of each, ``dictionary_bytes`` in all. A whole text, reduced to
+of its training texts: ``pieces`` documents, ``piece_chars`` code points of each
+from a seeded place on (the text's beginning follows its end), ``dictionary_bytes``
+in all. A whole text, reduced to
 its lower-case letters with each word once, is compressed with every dictionary;
 the smallest output names the language. Short texts are compressed by a stronger
 setting in several seeded orders of their words, and the sizes added up. Equal
@@ -40,7 +41,9 @@ def learn(docs: DataFrame, seed: int = SEED) -> dict[str, bytes]:
     """language -> dictionary content, the language with most training text first."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     chosen = F.broadcast(seeded_sample(rows.select("doc_id", "lang"), "lang", PIECES, seed))
-    texts = rows.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", F.substring("text", 1, PIECE_CHARS).alias("piece"), F.xxhash64(F.lit(seed), "doc_id").alias("h")).dropDuplicates(["lang", "h"])
+    at = F.pmod(F.xxhash64(F.lit(seed), F.lit("place"), "doc_id"), F.length("text")).cast("int") + 1
+    piece = F.substring(F.concat(F.substring("text", at, F.lit(PIECE_CHARS)), F.lit(" "), F.substring("text", 1, PIECE_CHARS)), 1, PIECE_CHARS)
+    texts = rows.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", piece.alias("piece"), F.xxhash64(F.lit(seed), "doc_id").alias("h")).dropDuplicates(["lang", "h"])
     by: dict[str, list] = {}
     for r in bounded_rows(texts, PIECES * MAX_LANGUAGES, "training pieces"):
         by.setdefault(r.lang, []).append((r.h, r.piece))
