@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on everything its predecessor
 kept. The first four return the columns of documents; the last returns token ids.
-Decisions meet the documents by a shuffled join on doc_id.
+Rows are judged one by one: the first three stages know a row by a 64-bit hash of
+all its columns, not by its doc_id, which may be null or repeated. Rows of one key
+are identical and share a decision; near-dedup keeps one of them. Decisions meet
+the documents by a shuffled join on that key.
 """
 
 from __future__ import annotations
@@ -17,25 +20,42 @@ from tablescope.llm.common import load, pin
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def _keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Documents whose every decision says kept."""
-    kept = decisions.groupBy(F.col("doc_id").alias("_id")).agg(F.min("kept").alias("_kept")).where("_kept").select("_id")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``; a null column counts, which xxhash64 alone passes over."""
+    return docs.withColumn("_key", F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]))
+
+
+def _by_key(keyed: DataFrame) -> DataFrame:
+    """The documents as the operators read them, the row's key in place of the id."""
+    return keyed.drop("doc_id").withColumnRenamed("_key", "doc_id")
+
+
+def _keep(docs: DataFrame, labels: DataFrame, judge) -> DataFrame:
+    """Rows that ``judge(docs, labels)`` keeps. A label holds for every row of its doc_id."""
+    keyed = _keyed(docs)
+    ids = keyed.where("doc_id is not null").select("doc_id", "_key").distinct()
+    marks = labels.select("doc_id", "quality").distinct().join(ids, "doc_id").select(F.col("_key").alias("doc_id"), "quality")
+    kept = judge(_by_key(keyed), pin(marks, "row-labels")).groupBy(F.col("doc_id").alias("_key")).agg(F.min("kept").alias("_kept")).where("_kept").select("_key")
+    return keyed.join(kept, "_key", "left_semi").select(docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of high perplexity under the model of trusted text."""
-    return _keep(docs, op6_quality_lm.judge(docs, load(spark, sf_dir, "labels")))
+    return _keep(docs, load(spark, sf_dir, "labels"), op6_quality_lm.judge)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rule or a certified cutoff."""
-    return _keep(docs, op4_quality_rules.judge(docs, load(spark, sf_dir, "labels")))
+    return _keep(docs, load(spark, sf_dir, "labels"), op4_quality_rules.judge)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near copies."""
-    return _keep(docs, op3_minhash_dedup.near_documents(docs))
+    """Keeps one row of each group of near copies, that of the smallest id (a null id is the largest)."""
+    keyed = _keyed(docs)
+    groups = op3_minhash_dedup.near_documents(_by_key(keyed)).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    first = (groups.join(keyed.select("_key", "doc_id").distinct(), "_key").groupBy("component_id")
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first")).select("first._key"))
+    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
