@@ -77,7 +77,7 @@ STAGES = [
     ("BPE encoding", tokens),
 ]
 
-#: SQL cannot express the language model, the certified cutoffs' inputs or the tokenizer; tests compare with brute force.
+#: SQL cannot express the language model, the certified cutoffs' inputs or the tokenizer; tests/llm/test_pipeline_rows.py compares every stage with plain Python.
 ORACLE_SQL = None
 
 

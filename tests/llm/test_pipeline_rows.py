@@ -2,13 +2,17 @@
 
 import math
 import random
+import re
 from collections import Counter
 
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tablescope.llm import op6_quality_lm as o6
-from tests.llm.test_llm import closure, sets
+from tablescope.llm import op9_source_mix as o9
+from tests.llm.test_llm import GAP, closure, sets
 
 COLUMNS = "doc_id long, text string, lang string, source string"
 
@@ -106,6 +110,18 @@ def test_quality_classifier(stages):
     assert sum(r[0] == 100 for r in want) == 1 and sum(r[0] is None for r in want) >= 2 and sum(r[0] == 3 for r in want) == 1
 
 
+def test_quality_rules(stages):
+    """Too few labels to certify a cutoff: the base rule alone decides."""
+    _, out, _ = stages
+
+    def passes(text):
+        w = re.findall(GAP, text or "")
+        grams = Counter(zip(w, w[1:], w[2:]))
+        cover = {j for i in range(len(w) - 2) if grams[tuple(w[i:i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        return len(w) >= 50 and 100 * len(cover) <= 50 * len(w)
+    assert Counter(out[2]) == Counter(r for r in out[1] if passes(r[1]))
+
+
 def test_near_duplicates(stages):
     _, out, _ = stages
     rows, s = out[2], [sets(r[1]) for r in out[2]]
@@ -120,3 +136,21 @@ def test_near_duplicates(stages):
     at = {r: low[k] for k, r in enumerate(rows)}
     assert {at[r]: (r[0] is None, r[0] if r[0] is not None else math.inf) for r in got} == best
     assert sum(r[0] == 102 for r in got) == 1
+
+
+def test_mix_and_tokens(stages):
+    _, out, ran = stages
+    size = lambda r: len(re.findall(GAP, r[1]))
+    sizes, taken, copies = Counter(), Counter(), Counter(out[4])
+    for r in out[3]:
+        sizes[r[3]] += size(r)
+    for r in out[4]:
+        taken[r[3]] += size(r)
+    assert set(copies) <= set(out[3]) and max(copies.values()) <= 2
+    want, most = o9.targets(dict(sizes)), max(map(size, out[3]))
+    assert all(abs(taken[s] - want[s]) <= most for s in want)
+    t = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    ids = [tuple(t.encode(r[1], add_special_tokens=False).ids) for r in out[4]]
+    expected = Counter((r[0], r[2], r[3], len(x), x) for r, x in zip(out[4], ids))
+    assert Counter((*r[:4], tuple(r[4])) for r in out[5]) == expected
+    assert Counter((*r[:4], tuple(r[4])) for r in ran) == expected
