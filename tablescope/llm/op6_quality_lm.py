@@ -1,27 +1,26 @@
-"""Quality by perplexity under interpolated Kneser-Ney models of trusted text.
-
-A word is expected after the word before it: pairs of neighbouring words, then
-in how many different places a word continues, then its spelling. The spelling
-is a modified Kneser-Ney model over characters: each word, with start and end
-marks, is a sequence of 4-grams, so invented spellings, shouting, symbol noise
-and foreign scraps cost more than the trusted text's spelling, and words in an
-order that trusted text has not cost more than words in one that it has. All
-trusted text is counted (documents whose quality label is 1), and counts grow
-with it.
-
-Counting: tasks count the 4-grams and word pairs of their trusted texts; Spark
-sums them. The lower orders are continuation counts (distinct left neighbours),
-the discounts come from counts of counts (a few numbers per order).
-
-Scoring by sharded count joins: documents are read in chunks of bounded size.
-Each chunk asks for the distinct 4-grams, words and word pairs it holds; the
-requests are joined, shard by shard, with the count tables of all orders and
-their contexts; answers go back by chunk and meet the chunk's texts (compressed,
-shuffled once). Words and pairs go by 64-bit hashes. No table of the model is
-broadcast, and nothing grows on the driver.
-
-A trusted document would find all its own pairs in the model. It is judged by
-the pair counts without its own, so thresholds hold for texts never counted.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
+
+A text is the sequence of its words' characters with one space between words, start
+marks before it and an end mark after it. The model predicts each character from the
+four before it: 5-grams that run across the ends of words, with three discounts
+(counts of one, two, three and more) in every order. Invented spellings, shouting,
+symbol noise, foreign scraps, words that follow each other as trusted text has not,
+and words repeated without end cost more than trusted text does. All trusted text is
+counted (documents whose quality label is 1), and counts grow with it.
+
+Counting: tasks count the 5-grams of their trusted texts; Spark sums them. The lower
+orders are continuation counts (distinct left neighbours), the discounts come from
+counts of counts (a few numbers per order).
+
+Scoring by sharded count joins: documents are read in chunks of bounded size. Each
+chunk asks for what its distinct 5-grams need of all orders: counts of grams, totals
+of contexts and what discounts free in them, known by 64-bit hashes. Requests and model meet shard
+by shard, answers go back by chunk and meet the chunk's texts (compressed, shuffled
+once). The most frequent entries of the model, at most CACHE of them at any size, are
+broadcast, so chunks need not ask for these; the driver gets no other part of it.
+
+A trusted document would find all its own grams in the model. It is judged by the
+counts without its own (the discounts stay), so thresholds hold for texts never counted.
 
 Trusted ids meet the texts by a join; a bitmap of fixed size, made from the ids,
 drops most other texts before that shuffle. It can let a text through but never
@@ -36,15 +35,13 @@ any trusted document the model is uniform and nothing with words is rejected;
 a null language is a language of its own; U+0002 and U+0003 (the marks) count as
 U+FFFD, like bytes that are no text; repeated label rows count once (the
 lowest quality wins); repeated rows keep a row each; an empty table gives an
-empty result; extra columns are ignored.
+empty result; extra columns are ignored. ``docs`` must read the same rows in the
+same order twice, as files do: a chunk is known by a digest of its ids and texts.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -55,61 +52,51 @@ from pyspark.sql import functions as F
 
 from tablescope.llm.common import pin
 
-ORDER, KEEP, CHUNK_ROWS, CHUNK_BYTES, BITMAP_BITS, PROBES, STEPS = 4, 0.998, 2000, 8_000_000, 26, 3, 500
-#: Words whose windows are made in one go: bounds a task's memory, not what is read.
-WORDS_AT_ONCE = 20_000
-_START, _END = "\x02" * (ORDER - 1), "\x03"
-#: What the first word of a text follows, and the words of trusted text whose pairs a task sums at once.
-_FIRST, PAIRS_AT_ONCE = np.uint64(1), 1_000_000
+ORDER, KEEP, CHUNK_ROWS, CHUNK_BYTES, BITMAP_BITS, PROBES, STEPS = 5, 0.998, 2000, 8_000_000, 26, 3, 500
+#: Entries of the model that are broadcast, at most; entries of a shard, about.
+CACHE, SHARD = 1 << 18, 100_000
+#: Code points whose windows are made in one go (or one text): bounds a task's memory, not what is read.
+AT_ONCE = 1 << 20
+_START, _END, _MARK = "\x02" * (ORDER - 1), "\x03", 2
+#: Multiplier of the running hash of code points, and what tells contexts from grams.
+_TIMES, _CONTEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
-def _words(text: bytes) -> list[str]:
-    """Words in which the marks of start and end cannot occur."""
-    return text.decode("utf-8", "replace").replace("\x02", "\ufffd").replace("\x03", "\ufffd").split()
+def _marked(text: bytes) -> str:
+    """The sequence that is scored; empty without words. The marks cannot occur in it."""
+    words = text.decode("utf-8", "replace").replace("\x02", "\ufffd").replace("\x03", "\ufffd").split()
+    return _START + " ".join(words) + _END if words else ""
 
 
-def grams_of(word: str) -> list[str]:
-    w = _START + word + _END
-    return [w[i:i + ORDER] for i in range(len(word) + 1)]
+def grams_of(text: str) -> list[str]:
+    marked = _marked(text.encode())
+    return [marked[i:i + ORDER] for i in range(len(marked) - ORDER + 1)]
 
 
-def _count(words: Counter) -> Counter:
-    out: Counter = Counter()
-    for word, n in words.items():
-        for g in grams_of(word):
-            out[g] += n
-    return out
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compressed trusted texts -> (gram, n), summed per task as far as memory allows."""
-    unpack, words, grams = zstandard.ZstdDecompressor(), Counter(), Counter()
+def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """(code points of some marked texts one after the other, windows of each)."""
+    held, counts, size = [], [], 0
+    for t in texts:
+        held.append(_marked(t))
+        counts.append(max(0, len(held[-1]) - ORDER + 1))
+        size += len(held[-1])
+        if size >= AT_ONCE:
+            yield _codes("".join(held)), counts
+            held, counts, size = [], [], 0
+    if held:
+        yield _codes("".join(held)), counts
 
-    def flush():
-        out = pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["gram", "n"])
-        grams.clear()
-        return out
-    for batch in batches:
-        for value in batch.column("packed"):
-            words.update(_words(unpack.decompress(value.as_py())))
-            if len(words) > 100_000:
-                grams.update(_count(words))
-                words.clear()
-                if len(grams) > 200_000:
-                    yield flush()
-    grams.update(_count(words))
-    if grams:
-        yield flush()
-
-
-class _Hashes(dict):
-    """word -> 64-bit hash, remembered up to a fixed number of words."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 5 * WORDS_AT_ONCE:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word.encode())
-        return out
+
+def _hashed(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hash of each row's code points; columns on the left may be zero (a shorter gram)."""
+    h = columns[0].astype(np.uint64)
+    for c in columns[1:]:
+        h = h * _TIMES + c
+    return h
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -119,42 +106,65 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _neighbours(words: list[str], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair, before, word) of every word of a text."""
-    own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    before = np.concatenate([[_FIRST], own[:-1]]) if len(own) else own
-    return _mixed(_mixed(before) * np.uint64(0x9E3779B97F4A7C15) + own), before, own
+def _distinct(codes: np.ndarray, **more) -> tuple:
+    """(grams as rows of code points, and what np.unique adds) of the windows that
+    belong to one text: those that do not end in a start mark."""
+    if len(codes) < ORDER:
+        return (np.zeros((0, ORDER), np.uint32), *[np.zeros(0, np.int64) for _ in more])
+    at = np.flatnonzero(codes[ORDER - 1:] != _MARK)
+    plus = codes.astype(np.uint64) + np.uint64(1)
+    keys = _hashed([plus[i:len(plus) - ORDER + 1 + i] for i in range(ORDER)])[at]
+    _, first, *rest = np.unique(keys, return_index=True, **more)
+    return (codes[at[first][:, None] + np.arange(ORDER)], *rest)
+
+
+def _texts(grams: np.ndarray) -> list[str]:
+    one = np.ascontiguousarray(grams).astype("<u4").tobytes().decode("utf-32-le")
+    return [one[i:i + ORDER] for i in range(0, len(one), ORDER)]
+
 
+def _entries(grams: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per order 1, 2, ..: keys of the grams' ends, and of what stands before the last symbol in them."""
+    plus = [c.astype(np.uint64) + np.uint64(1) for c in grams.T]
+    ends = [_mixed(_hashed(plus[ORDER - n:])) for n in range(1, ORDER + 1)]
+    contexts = [_mixed(_hashed(plus[ORDER - n:-1])) ^ _CONTEXT for n in range(2, ORDER + 1)]
+    return ends, contexts
 
-def _counted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compressed trusted texts -> (pair, before, word, n), summed over PAIRS_AT_ONCE words or one text."""
-    unpack, hashes, found, size = zstandard.ZstdDecompressor(), _Hashes(), [], 0
 
-    def flush():
-        pair, before, own = (np.concatenate(x) for x in zip(*found))
-        pair, at, n = np.unique(pair, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (pair, before[at], own[at], n)], names=["pair", "before", "word", "n"])
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compressed trusted texts -> (gram, n), summed piece by piece."""
+    unpack = zstandard.ZstdDecompressor()
+
+    def out(texts):
+        for codes, _ in _pieces(texts):
+            grams, n = _distinct(codes, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(_texts(grams), pa.string()), pa.array(n, pa.int64())], names=["gram", "n"])
+    texts, size = [], 0
     for batch in batches:
         for value in batch.column("packed"):
-            found.append(_neighbours(_words(unpack.decompress(value.as_py())), hashes))
-            size += len(found[-1][0])
-            if size >= PAIRS_AT_ONCE:
-                yield flush()
-                found, size = [], 0
-    if found:
-        yield flush()
+            texts.append(unpack.decompress(value.as_py()))
+            size += len(texts[-1])
+            if size >= CHUNK_BYTES:
+                yield from out(texts)
+                texts, size = [], 0
+    yield from out(texts)
+
+
+def _marks(batch: pa.RecordBatch, bits: np.ndarray) -> np.ndarray:
+    """Which rows' bits are all set."""
+    out = np.ones(batch.num_rows, bool)
+    for i in range(PROBES):
+        p = batch.column(f"p{i}").to_numpy()
+        out &= (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+    return out
 
 
 def _packed(bitmap):
     """(doc_id, text, p0, p1, ..) -> (doc_id, packed) of texts whose bits are all set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, pack = bitmap.value, zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            at = np.ones(batch.num_rows, bool)
-            for i in range(PROBES):
-                p = batch.column(f"p{i}").to_numpy()
-                at &= (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-            batch = batch.filter(pa.array(at))
+            batch = batch.filter(pa.array(_marks(batch, bitmap.value)))
             packed = [pack.compress(t.as_py()) for t in batch.column("text").cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
     return run
@@ -181,10 +191,8 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q >= 1").select("doc_id")
 
 
-def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def trusted_texts(docs: DataFrame, ids: DataFrame, bitmap) -> DataFrame:
     """(packed): all trusted texts, compressed."""
-    ids = trusted_ids(labels)
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = (docs.where("text is not null").select("doc_id", "text", *[_probe(i).alias(f"p{i}") for i in range(PROBES)])
              .mapInArrow(_packed(bitmap), f"doc_id {kind}, packed binary"))
@@ -192,18 +200,12 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """(gram, n): all 4-grams of all trusted text."""
+    """(gram, n): all 5-grams of all trusted text."""
     return texts.mapInArrow(_counted, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def count_trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return count_grams(trusted_texts(docs, labels))
-
-
-def count_pairs(texts: DataFrame) -> DataFrame:
-    """(pair, before, word, n): all pairs of neighbouring words of all trusted text."""
-    return (texts.mapInArrow(_counted_pairs, "pair long, before long, word long, n long")
-            .groupBy("pair", "before", "word").agg(F.sum("n").alias("n")))
+def count_trusted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return count_grams(trusted_texts(docs, ids, docs.sparkSession.sparkContext.broadcast(_bitmap(ids))))
 
 
 def discounts(grams: DataFrame) -> tuple[float, float, float]:
@@ -216,233 +218,289 @@ def discounts(grams: DataFrame) -> tuple[float, float, float]:
 
 
 def kneser_ney(counts: DataFrame) -> list[dict]:
-    """Per order 1..4: {"grams": (gram, top), "contexts": (context, back)}: a gram's
-    discounted share in its context, and a context's weight for the next lower order."""
+    """Per order 1, 2, ..: {"grams": (gram, n), "contexts": (context, all, freed),
+    "discounts"}: counts of grams, and per context their sum and that of their discounts."""
     out, grams = [], counts
     for order in range(ORDER, 0, -1):
         d1, d2, d3 = discounts(grams)
         d = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        keyed = grams.select("gram", "n", F.substring("gram", 1, order - 1).alias("context"), d.alias("d"))
-        contexts = pin(keyed.groupBy("context").agg(F.sum("n").alias("all"), F.sum("d").alias("freed"))
-                       .select("context", "all", (F.col("freed") / F.col("all")).alias("back")), f"contexts-{order}")
-        top = pin(keyed.join(contexts, "context").select("gram", ((F.col("n") - F.col("d")) / F.col("all")).alias("top")), f"grams-{order}")
-        out.append({"grams": top, "contexts": contexts.select("context", "back")})
+        contexts = grams.groupBy(F.substring("gram", 1, order - 1).alias("context")).agg(F.sum("n").alias("all"), F.sum(d).alias("freed"))
+        out.append({"grams": grams, "contexts": pin(contexts, f"contexts-{order}"), "discounts": (d1, d2, d3)})
         # continuation counts: in how many different left contexts the shorter gram was seen
         grams = pin(grams.groupBy(F.substring("gram", 2, order).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"continued-{order}") if order > 1 else grams
     return out[::-1]
 
 
-def _discount(counts: DataFrame) -> float:
-    """One discount for all counts, so that a document's own can be taken out of them."""
-    n = {r.n: r.k for r in counts.where("n <= 2").groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
-    n1, n2 = n.get(1, 0), n.get(2, 0)
-    return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
-
-
-def word_model(pairs: DataFrame) -> tuple[DataFrame, tuple]:
-    """(key, n, types, continued), and the model's four numbers. A pair has its count; a
-    word has how often it has a next word, how many different ones, and after how many
-    different words it stands."""
-    before = pairs.groupBy(F.col("before").alias("key")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types"))
-    after = pin(pairs.groupBy(F.col("word").alias("key")).agg(F.count(F.lit(1)).alias("n")), "continued-words")
-    none = F.lit(0).cast("long")
-    words = (before.join(after.withColumnRenamed("n", "continued"), "key", "full")
-             .select("key", *[F.coalesce(c, none).alias(c) for c in ("n", "types", "continued")]))
-    table = pairs.select(F.col("pair").alias("key"), "n", none.alias("types"), none.alias("continued")).unionByName(words)
-    return table, (_discount(pairs), _discount(after), pairs.count(), after.count())
-
+def model_table(model: list[dict]) -> DataFrame:
+    """(key, n, freed): the counts of all grams (freed 0), the sums of all contexts."""
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column("gram").to_pylist()
+            codes = _codes("".join(g.rjust(ORDER, "\0") for g in grams)).reshape(-1, ORDER).astype(np.uint64) + np.uint64(1)
+            codes[np.arange(ORDER) < ORDER - np.fromiter(map(len, grams), np.int64, len(grams))[:, None]] = 0
+            key = _mixed(_hashed(list(codes.T))) ^ np.where(batch.column("context").to_numpy(zero_copy_only=False), _CONTEXT, np.uint64(0))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("n"), batch.column("freed")], names=["key", "n", "freed"])
 
-def probabilities(wanted: DataFrame, model: list[dict]) -> DataFrame:
-    """``wanted(gram)`` -> (gram, lp): log2 of the interpolated probability. Every order
-    is a shuffled left join on the gram's end, and one on its context."""
-    first = model[0]["contexts"].first()
-    symbols = model[0]["grams"].count() + 1
-    rows = wanted.withColumn("p", F.lit((first.back if first else 1.0) / symbols))
+    rows = None
     for order, tables in enumerate(model, 1):
-        end = F.substring("gram", ORDER - order + 1, order)
-        rows = rows.withColumn("_g", end).join(tables["grams"].withColumnRenamed("gram", "_g"), "_g", "left").drop("_g")
+        some = tables["grams"].select("gram", F.lit(False).alias("context"), "n", F.lit(0.0).alias("freed"))
         if order > 1:
-            rows = (rows.withColumn("_c", F.substring("gram", ORDER - order + 1, order - 1))
-                    .join(tables["contexts"].withColumnRenamed("context", "_c"), "_c", "left").drop("_c")
-                    .withColumn("p", F.col("p") * F.coalesce("back", F.lit(1.0))).drop("back"))
-        rows = rows.withColumn("p", F.col("p") + F.coalesce("top", F.lit(0.0))).drop("top")
-    return rows.select("gram", F.log2("p").alias("lp"))
+            some = some.unionByName(tables["contexts"].select(F.col("context").alias("gram"), F.lit(True).alias("context"), F.col("all").alias("n"), "freed"))
+        rows = some if rows is None else rows.unionByName(some)
+    return rows.mapInArrow(keyed, "key long, n long, freed double")
+
+
+def _table(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    by = np.argsort(keys := keys.view(np.uint64))
+    return (keys[by], *[v[by] for v in values])
+
+
+def frequent(table: DataFrame, most: int = CACHE) -> tuple[np.ndarray, ...]:
+    """(keys, counts, freed) of the entries whose count has the least binary logarithm,
+    in quarters, above which there are ``most`` entries or fewer."""
+    level = F.floor(F.log2("n") * 4).cast("int")
+    above, least = 0, 1 << 30
+    for r in sorted(table.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
+        above += r["count"]
+        if above > most:
+            break
+        least = r.level
+    got = table.where(level >= least).toArrow()
+    return _table(*[got.column(c).to_numpy() for c in ("key", "n", "freed")])
+
+
+def _found(table: tuple[np.ndarray, ...], asked: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(which of ``asked`` are there, their values ..)."""
+    keys, *values = table
+    if not len(keys):
+        return (np.zeros(len(asked), bool), *[v[:0] for v in values])
+    at = np.searchsorted(keys, asked)
+    at[at == len(keys)] = 0
+    there = keys[at] == asked
+    return (there, *[v[at[there]] for v in values])
+
+
+class _Model:
+    """What a task knows of the model: the numbers of all texts (discounts by order,
+    and the sums of the empty context: total, freed, symbols), the broadcast entries,
+    and the answers of a chunk."""
+
+    def __init__(self, numbers: tuple, *tables: tuple[np.ndarray, ...]):
+        (self.discounts, self.empty), self.tables = numbers, tables
+
+    def _values(self, asked: np.ndarray) -> np.ndarray:
+        out = np.zeros((2, len(asked)))
+        for table in self.tables:
+            there, *values = _found(table, asked)
+            out[:, there] = values
+        return out
 
+    def _discount(self, order: int, n: np.ndarray) -> np.ndarray:
+        return np.array([0.0, *self.discounts[order - 1]])[np.minimum(n, 3).astype(np.int64)]
+
+    def known(self, grams: np.ndarray) -> list[tuple]:
+        """Per order 1, 2, ..: (key of the gram's end, its count, key of the context, its total, its freed)."""
+        ends, contexts = _entries(grams)
+        out = []
+        for order, end in enumerate(ends, 1):
+            context = contexts[order - 2] if order > 1 else np.zeros(len(end), np.uint64)
+            total, freed = self._values(context) if order > 1 else (np.full(len(end), x) for x in self.empty[:2])
+            out.append((end, self._values(end)[0], context, total, freed))
+        return out
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, list, list]]:
-    """(name, ids, languages, texts) of bounded size. The name is a digest of what the
-    chunk contains, so a chunk cut differently by another read cannot be mistaken;
-    chunks of one name share their answers, which does no harm."""
-    ids, langs, texts, size = [], [], [], 0
+    def _step(self, p, order, n, total, freed, symbols):
+        """Interpolated probability of an order from that of the one below."""
+        sure = np.maximum(total, 1)
+        back = np.where(total > 0, freed / sure, 1.0)
+        return (p if order > 1 else 1.0 / (symbols + 1)) * back + np.where(n > 0, (n - self._discount(order, n)) / sure, 0.0)
+
+    def log2(self, known: list[tuple]) -> np.ndarray:
+        p = None
+        for order, (_, n, _, total, freed) in enumerate(known, 1):
+            p = self._step(p, order, n, total, freed, self.empty[2])
+        return np.log2(p)
+
+    def unseen(self, known: list[tuple], at: np.ndarray, k: np.ndarray) -> float | None:
+        """log2 probability of a text that has the grams ``at`` ``k`` times, by the counts
+        without its own; None where these counts cannot hold it."""
+        gone, place, steps = k.astype(np.float64), np.arange(len(at)), []
+        for order in range(ORDER, 0, -1):
+            _, n, context, total, freed = (x[at] for x in known[order - 1])
+            if (n < gone).any():
+                return None
+            left = n - gone
+            _, c = np.unique(context, return_inverse=True)
+            total = total - np.bincount(c, gone)[c]
+            freed = freed - np.bincount(c, self._discount(order, n) - self._discount(order, left))[c]
+            steps.append((place, left, total, freed))
+            if order > 1:  # a gram that is gone continues no shorter one
+                _, first, place = np.unique(known[order - 2][0][at], return_index=True, return_inverse=True)
+                gone, at = np.bincount(place, left == 0).astype(np.float64), at[first]
+        p, symbols = None, self.empty[2] - int((steps[-1][1] == 0).sum())
+        for order, (_, left, total, freed) in enumerate(steps[::-1], 1):
+            p = self._step(p if p is None else p[steps[ORDER - order + 1][0]], order, left, total, np.maximum(freed, 0.0), symbols)
+        return float((np.log2(p) * k).sum())
+
+    def score(self, texts: list[bytes], marks: list[bool]) -> tuple[np.ndarray, np.ndarray, list]:
+        """(symbols, log2 probability, the same without the text's own counts if it is marked) of each text."""
+        sizes, totals, others, marks = [], [], [], iter(marks)
+        for codes, counts in _pieces(texts):
+            grams, one = _distinct(codes, return_inverse=True)
+            known, n = self.known(grams), np.array(counts, np.int64)
+            ends, total = np.cumsum(n), np.zeros(len(n))
+            if len(one):
+                total[n > 0] = np.add.reduceat(self.log2(known)[one], (ends - n)[n > 0])
+            for end, size in zip(ends, n, strict=True):
+                others.append(self.unseen(known, *np.unique(one[end - size:end], return_counts=True)) if next(marks) and size else None)
+            sizes.append(n)
+            totals.append(total)
+        return np.concatenate(sizes), np.concatenate(totals), others
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None = None) -> Iterator[tuple[int, list, list, list, list]]:
+    """(name, ids, languages, texts, marks of ``bits``) of bounded size. The name is a digest
+    of ids and texts; chunks of one name are equal and share their answers."""
+    ids, langs, texts, marks, size = [], [], [], [], 0
 
     def name():
         h = xxhash.xxh3_64()
-        for i, t in zip(ids, texts):
+        for i, t in zip(ids, texts, strict=True):
             h.update(f"{i}:{len(t)};")
-        return h.hexdigest()
+            h.update(t)
+        return h.intdigest() - (1 << 63)
     for batch in batches:
-        for i, lang, text in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), batch.column("text").cast(pa.large_binary())):
+        marked = [False] * batch.num_rows if bits is None else _marks(batch, bits).tolist()
+        for i, lang, text, mark in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), batch.column("text").cast(pa.large_binary()), marked, strict=True):
             t = text.as_py() or b""
-            ids.append(i), langs.append(lang), texts.append(t)
+            ids.append(i), langs.append(lang), texts.append(t), marks.append(mark)
             size += len(t)
             if len(ids) >= CHUNK_ROWS or size >= CHUNK_BYTES:
-                yield name(), ids, langs, texts
-                ids, langs, texts, size = [], [], [], 0
+                yield name(), ids, langs, texts, marks
+                ids, langs, texts, marks, size = [], [], [], [], 0
     if ids:
-        yield name(), ids, langs, texts
+        yield name(), ids, langs, texts, marks
+
+
+def _lists(values: np.ndarray, starts: np.ndarray, kind) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[starts, len(values)], pa.int32()), pa.array(values, kind))
 
 
-def _windows(text: str):
-    """The 4-grams of a marked text, as tuples of characters."""
-    return zip(*(text[i:] for i in range(ORDER)))
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
 
 
-def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for name, _, _, texts in _chunks(batches):
-        words: set = set()
-        for t in texts:
-            words.update(_words(t))
-        found, rest = set(), iter(words)
-        while some := list(islice(rest, WORDS_AT_ONCE)):  # the windows copy the text they run over
-            found.update(_windows(_START + (_END + _START).join(some) + _END))
-        # windows that run over the end of a word belong to no word
-        grams = ["".join(g) for g in found if _END not in g[:-1]]
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams, pa.string())], names=["chunk", "gram"])
+def _requests(cache, shards: int):
+    """Rows (shard, chunk, keys): the entries that a chunk needs and the cache has not."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = cache.value
+        for name, _, _, texts, _ in _chunks(batches):
+            asked = []
+            for codes, _ in _pieces(texts):
+                (grams,) = _distinct(codes)
+                ends, contexts = _entries(grams)
+                asked.append(np.unique(np.concatenate(ends + contexts)))
+            keys = np.unique(np.concatenate(asked))
+            keys = keys[~_found(known, keys)[0]]
+            home = _shard(keys, shards)
+            keys, home = keys[by := np.argsort(home, kind="stable")], home[by]
+            starts = np.flatnonzero(np.r_[True, home[1:] != home[:-1]][:len(home)])
+            yield pa.RecordBatch.from_arrays([pa.array(home[starts]), pa.array([name] * len(starts), pa.int64()), _lists(keys.view(np.int64), starts, pa.int64())],
+                                             names=["shard", "chunk", "keys"])
+    return run
+
 
+_VALUES = ("keys", "ns", "freed")
 
-def _pair_requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words and word pairs of each chunk."""
-    hashes = _Hashes()
-    for name, _, _, texts in _chunks(batches):
-        keys = np.unique(np.concatenate([np.unique(np.concatenate([pair, before, own])) for pair, before, own in
-                                         (_neighbours(_words(t), hashes) for t in texts)]))
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64))], names=["chunk", "key"])
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard, the model's row first -> (chunk, keys, ns, freed) of what is there."""
+    now, table = None, None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            shard, (keys, *values) = row.column("shard")[0].as_py(), (row.column(c).flatten().to_numpy() for c in _VALUES)
+            if row.column("ns").is_valid()[0].as_py():
+                now, table = shard, _table(keys, *values)
+            elif shard == now:
+                there, *found = _found(table, keys.view(np.uint64))
+                if there.any():
+                    lists = [_lists(x, np.array([0]), pa.from_numpy_dtype(x.dtype)) for x in (keys[there], *found)]
+                    yield pa.RecordBatch.from_arrays([row.column("chunk"), *lists], names=["chunk", *_VALUES])
 
 
-_BODY = "chunk string, doc_ids array<{kind}>, langs array<string>, ends array<long>, packed binary"
+_BODY = "chunk long, doc_ids array<{kind}>, langs array<string>, ends array<long>, marks array<boolean>, packed binary"
 
 
-def _bodies(schema: pa.Schema):
+def _bodies(schema: pa.Schema, bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        for name, ids, langs, texts in _chunks(batches):
+        for name, ids, langs, texts, marks in _chunks(batches, bitmap.value):
             ends = np.cumsum([len(t) for t in texts])
-            yield pa.RecordBatch.from_pylist([{"chunk": name, "doc_ids": ids, "langs": langs, "ends": ends.tolist(),
+            yield pa.RecordBatch.from_pylist([{"chunk": name, "doc_ids": ids, "langs": langs, "ends": ends.tolist(), "marks": marks,
                                                "packed": pack.compress(b"".join(texts))}], schema=schema)
     return run
 
 
-class _Costs(dict):
-    """word -> its log2 probability, from the answers of one chunk; remembered up to a fixed number of words."""
-
-    def __init__(self, answers: dict):
-        super().__init__()
-        self.answers = answers
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= 5 * WORDS_AT_ONCE:
-            self.clear()
-        out = self[word] = sum(map(self.answers.__getitem__, _windows(_START + word + _END)))
-        return out
-
-
-class _Order:
-    """What the order of words adds to the log2 probability of their spelling."""
-
-    def __init__(self, numbers: tuple, keys: np.ndarray, *counts: np.ndarray):
-        self.numbers, by = numbers, np.argsort(keys)
-        # a key that trusted text has not is found at the last place, which counts nothing
-        self.keys, self.counts = keys[by], [np.append(c[by], 0) for c in counts]
-
-    def _found(self, keys: np.ndarray, *which: int) -> list[np.ndarray]:
-        at = np.searchsorted(self.keys, keys)
-        at[at < len(self.keys)] = np.where(self.keys[at[at < len(self.keys)]] == keys[at < len(self.keys)], at[at < len(self.keys)], len(self.keys))
-        return [self.counts[i][at] for i in which]
-
-    def _gain(self, lp, n, all_, types, continued, pairs: int, words: int) -> float:
-        d, d1 = self.numbers[:2]
-        with np.errstate(divide="ignore"):
-            known = max(pairs, 1)
-            first = np.logaddexp2(np.log2(np.maximum(continued - d1, 0) / known), lp + np.log2(d1 * words / known)) if pairs else lp
-            left = np.maximum(all_, 1)
-            both = np.logaddexp2(np.log2(np.maximum(n - d, 0) / left), first + np.log2(np.where(all_ > 0, d * types / left, 1.0)))
-        return math.fsum(both - lp)
-
-    def gains(self, lp: np.ndarray, pair: np.ndarray, before: np.ndarray, own: np.ndarray) -> tuple[float, float | None]:
-        """By all counts, and by those without the text's own: None where that text cannot have been counted."""
-        if not len(lp):
-            return 0.0, 0.0
-        pairs, words = self.numbers[2:]
-        (n,), (all_, types), (continued,) = self._found(pair, 0), self._found(before, 0, 1), self._found(own, 2)
-        by_all = self._gain(lp, n, all_, types, continued, pairs, words)
-        _, at, one, k = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
-        if (n[at] < k).any():
-            return by_all, None
-        gone = (n[at] == k).astype(np.int64)  # pairs that no other text has
-        _, b = np.unique(before, return_inverse=True)
-        _, first, w = np.unique(own, return_index=True, return_inverse=True)
-        fewer = np.bincount(w[at], gone).astype(np.int64)
-        return by_all, self._gain(lp, n - k[one], all_ - np.bincount(b)[b], types - np.bincount(b[at], gone).astype(np.int64)[b],
-                                  continued - fewer[w], pairs - int(gone.sum()), words - int((continued[first] == fewer).sum()))
-
-
-def _scored(numbers: tuple):
-    """One row per chunk, texts beside answers -> one row per document. An answer on a
-    4-gram that is missing (a chunk read differently the second time) is a KeyError."""
+def _scored(numbers: tuple, cache):
+    """Rows sorted by chunk, answers before texts -> one row per document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, hashes = zstandard.ZstdDecompressor(), _Hashes()
+        unpack, now, answers, model = zstandard.ZstdDecompressor(), None, [], None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                doc_ids, langs, grams, lps, keys, *counts = (row.column(c).flatten() for c in (
-                    "doc_ids", "langs", "grams", "lps", "keys", "ns", "types", "continued"))
-                text, start = unpack.decompress(row.column("packed")[0].as_py()), 0
-                costs = _Costs(dict(zip(map(tuple, grams.to_pylist()), lps.to_pylist())))
-                order = _Order(numbers, keys.to_numpy().view(np.uint64), *[c.to_numpy() for c in counts])
-                symbols, total, gains = [], [], []
-                for end in row.column("ends")[0].as_py():
-                    words = _words(text[start:end])
-                    lp = np.fromiter(map(costs.__getitem__, words), np.float64, len(words))
-                    total.append(math.fsum(lp))
-                    symbols.append(sum(map(len, words)) + len(words))
-                    gains.append(order.gains(lp, *_neighbours(words, hashes)))
-                    start = end
-                yield pa.RecordBatch.from_arrays([doc_ids, langs, pa.array(symbols, pa.int64()), pa.array(total, pa.float64()),
-                                                  *[pa.array([g[k] for g in gains], pa.float64()) for k in (0, 1)]],
-                                                 names=["doc_id", "lang", "n_symbols", "log2_prob", "order_gain", "unseen_gain"])
+                if (chunk := row.column("chunk")[0].as_py()) != now:
+                    now, answers, model = chunk, [], None
+                if not row.column("packed").is_valid()[0].as_py():
+                    answers.append([row.column(c).flatten().to_numpy() for c in _VALUES])
+                    continue
+                if model is None:
+                    own = [_table(*(np.concatenate(x) for x in zip(*answers, strict=True)))] if answers else []
+                    model = _Model(numbers, cache.value, *own)
+                ends, text = row.column("ends").flatten().to_pylist(), unpack.decompress(row.column("packed")[0].as_py())
+                symbols, total, others = model.score([text[a:b] for a, b in zip([0, *ends], ends, strict=False)], row.column("marks").flatten().to_pylist())
+                yield pa.RecordBatch.from_arrays([row.column("doc_ids").flatten(), row.column("langs").flatten(), pa.array(symbols), pa.array(total), pa.array(others, pa.float64())],
+                                                 names=["doc_id", "lang", "n_symbols", "log2_prob", "unseen_prob"])
     return run
 
 
+def model_numbers(model: list[dict]) -> tuple:
+    """(discounts by order, (total, freed, symbols) of the empty context)."""
+    first = model[0]["contexts"].first()
+    return [m["discounts"] for m in model], (first["all"] if first else 0, first.freed if first else 0.0, model[0]["grams"].count())
+
+
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n_symbols, log2_prob, order_gain, perplexity of every whole text:
-    log2_prob is that of the words' spelling, order_gain what their order adds to it."""
+    """doc_id, lang, n_symbols, log2_prob, judged_prob, perplexity of every whole text:
+    log2_prob is by all counts; judged_prob, and so perplexity, without a trusted text's own."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
-    trusted = pin(trusted_texts(docs, labels), "trusted-texts")
-    model = kneser_ney(pin(count_grams(trusted), "trusted-grams"))
-    table, numbers = word_model(pin(count_pairs(trusted), "trusted-pairs"))
+    broadcast, ids = docs.sparkSession.sparkContext.broadcast, pin(trusted_ids(labels), "trusted-ids")
+    bitmap = broadcast(_bitmap(ids))
+    model = kneser_ney(pin(count_grams(trusted_texts(docs, ids, bitmap)), "trusted-grams"))
+    table = pin(model_table(model), "model")
+    shards = max(1, -(-table.count() // SHARD))
+    cache = broadcast(frequent(table))
+
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", lang.alias("lang"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    wanted = pin(rows.mapInArrow(_requests, "chunk string, gram string"), "wanted")
-    lp = pin(probabilities(wanted.select("gram").distinct(), model), "answers")
+    home = F.expr(f"cast(shiftrightunsigned(key, 33) % {shards} as bigint)")
+    blocks = (table.groupBy(home.alias("shard")).agg(F.collect_list(F.struct("key", F.col("n").cast("double").alias("n"), "freed")).alias("x"))
+              .select("shard", F.lit(None).cast("long").alias("chunk"), F.col("x.key").alias("keys"), F.col("x.n").alias("ns"), F.col("x.freed").alias("freed")))
+    asked = rows.mapInArrow(_requests(cache, shards), "shard long, chunk long, keys array<long>")
+    answers = (blocks.unionByName(asked, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", F.col("ns").isNull())
+               .mapInArrow(_answers, "chunk long, keys array<long>, ns array<double>, freed array<double>"))
     schema = StructType.fromDDL(_BODY.format(kind=kind))
-    bodies = rows.mapInArrow(_bodies(to_arrow_schema(schema)), schema)
-    # a chunk's answers are one row: at most as many as its texts have characters
-    answers = (wanted.join(lp, "gram").groupBy("chunk").agg(F.collect_list(F.struct("gram", "lp")).alias("a"))
-               .select("chunk", F.col("a.gram").alias("grams"), F.col("a.lp").alias("lps")))
-    known = (rows.mapInArrow(_pair_requests, "chunk string, key long").join(table, "key")
-             .groupBy("chunk").agg(F.collect_list(F.struct("key", "n", "types", "continued")).alias("a"))
-             .select("chunk", F.col("a.key").alias("keys"), F.col("a.n").alias("ns"), F.col("a.types").alias("types"), F.col("a.continued").alias("continued")))
-    scored = pin(bodies.join(answers, "chunk", "left").join(known, "chunk", "left").mapInArrow(
-        _scored(numbers), f"doc_id {kind}, lang string, n_symbols long, log2_prob double, order_gain double, unseen_gain double"), "scored")
+    probed = rows.select("*", *[_probe(i).alias(f"p{i}") for i in range(PROBES)])
+    bodies = probed.mapInArrow(_bodies(to_arrow_schema(schema), bitmap), schema)
+    scored = pin(bodies.unionByName(answers, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.col("packed").isNotNull())
+                 .mapInArrow(_scored(model_numbers(model), cache), f"doc_id {kind}, lang string, n_symbols long, log2_prob double, unseen_prob double"), "scored")
     # only texts that may have been counted meet the trusted ids
-    counted = F.col("doc_id").isNotNull() & F.col("unseen_gain").isNotNull()
-    scored = (scored.where(counted).join(trusted_ids(labels).withColumn("trusted", F.lit(True)), "doc_id", "left")
-              .unionByName(scored.where(~counted).withColumn("trusted", F.lit(None).cast("boolean"))))
-    scored = scored.withColumn("order_gain", F.when(F.col("trusted"), F.col("unseen_gain")).otherwise(F.col("order_gain"))).drop("trusted", "unseen_gain")
-    return scored.withColumn("perplexity", F.when(F.col("n_symbols") > 0, F.pow(
-        F.lit(2.0), -(F.col("log2_prob") + F.col("order_gain")) / F.greatest("n_symbols", F.lit(1)))))
+    counted = F.col("doc_id").isNotNull() & F.col("unseen_prob").isNotNull()
+    own = F.when(F.col("trusted"), F.col("unseen_prob")).otherwise(F.col("log2_prob")).alias("judged_prob")
+    out = (scored.where(counted).join(ids.withColumn("trusted", F.lit(True)), "doc_id", "left").select("doc_id", "lang", "n_symbols", "log2_prob", own)
+           .unionByName(scored.where(~counted).select("doc_id", "lang", "n_symbols", "log2_prob", F.col("log2_prob").alias("judged_prob"))))
+    return out.withColumn("perplexity", F.when(F.col("n_symbols") > 0, F.pow(F.lit(2.0), -F.col("judged_prob") / F.greatest("n_symbols", F.lit(1)))))
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:

@@ -163,24 +163,61 @@ def test_toxicity_finds_words_in_held_out_texts(spark):
     assert all(r.predicted == (r.doc_id % 8 == 0) for r in held) and len(held) > 200
 
 
+def plain_kneser_ney(texts):
+    """(text, own) -> log2 probability: interpolated modified Kneser-Ney over the characters
+    of whole texts; with ``own``, by the counts without the text's, discounts as they are."""
+    every, given = Counter(g for t in texts for g in o6.grams_of(t)), []
+
+    def orders(counts, out):
+        for k in range(o6.ORDER):
+            if len(given) <= k:
+                n = Counter(counts.values())
+                y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else .5
+                given.append([min(float(i), max(.05, i - (i + 1) * y * n[i + 1] / n[i] if n[i] else i / 2)) for i in (1, 2, 3)])
+            total, freed = Counter(), Counter()
+            for g, n in counts.items():
+                total[g[:-1]] += n
+                freed[g[:-1]] += given[k][min(n, 3) - 1]
+            out.insert(0, ({g: (n - given[k][min(n, 3) - 1]) / total[g[:-1]] for g, n in counts.items()}, {c: freed[c] / total[c] for c in total}))
+            counts = Counter(g[1:] for g in counts)
+        return out
+    whole = orders(every, [])
+
+    def lp(text, own=False):
+        grams = o6.grams_of(text)
+        tables, total = orders(every - Counter(grams), []) if own else whole, 0.0
+        for gram in grams:
+            p = tables[0][1].get("", 1.0) / (len(tables[0][0]) + 1)
+            for k, (of, back) in enumerate(tables):
+                p = p * (back.get(gram[-k - 1:-1], 1.0) if k else 1.0) + of.get(gram[-k - 1:], 0.0)
+            total += math.log2(p)
+        return total
+    return lp
+
+
 def test_kneser_ney_sums_to_one(spark, docs, labels):
-    model = o6.kneser_ney(o6.count_trusted(docs, labels))
-    symbols = [r.gram for r in model[0]["grams"].collect()]
-    for history in ("\x02\x02\x02", "the", "zzz", "\x02th"):
-        asked = spark.createDataFrame([(history + s,) for s in symbols] + [(history + "中",)], "gram string")
-        total = sum(2**r.lp for r in o6.probabilities(asked, model).collect())
-        assert abs(total - 1) < 1e-9
-
-
-def test_perplexity_matches_one_by_one(spark, docs, labels):
-    model = o6.kneser_ney(o6.count_trusted(docs, labels))
-    got = {r.doc_id: r for r in o6.perplexities(docs, labels).collect()}
-    for doc in (0, 101, 108):
-        text = docs.where(F.col("doc_id") == doc).first().text
-        grams = [g for w in text.split() for g in o6.grams_of(w)]
-        lp = {r.gram: r.lp for r in o6.probabilities(spark.createDataFrame([(g,) for g in set(grams)], "gram string"), model).collect()}
-        assert got[doc].n_symbols == len(grams) and abs(got[doc].log2_prob - sum(lp[g] for g in grams)) < 1e-6
-    judged = {r.doc_id: r.kept for r in o6.judge(docs, labels).collect()}
+    tables = o6.kneser_ney(o6.count_trusted(docs, o6.trusted_ids(labels)))
+    symbols = [r.gram for r in tables[0]["grams"].collect()]
+    model = o6._Model(o6.model_numbers(tables), o6.frequent(o6.model_table(tables)))
+    for history in ("\x02\x02\x02\x02", "the ", "zzzz", "f th"):
+        grams = o6._codes("".join(history + s for s in [*symbols, "\u4e2d"])).reshape(-1, o6.ORDER)
+        assert abs((2 ** model.log2(model.known(grams))).sum() - 1) < 1e-9
+
+
+@pytest.mark.parametrize("cache, chunk, shard, piece", [(1 << 18, 2000, 100_000, 1 << 20), (0, 3, 50, 500), (40, 7, 300, 1)])
+def test_perplexity_matches_one_by_one(spark, docs, labels, monkeypatch, cache, chunk, shard, piece):
+    """The same whatever is broadcast, and over many chunks, shards and pieces."""
+    for name, value in (("CHUNK_ROWS", chunk), ("SHARD", shard), ("AT_ONCE", piece)):
+        monkeypatch.setattr(o6, name, value)
+    monkeypatch.setattr(o6.frequent, "__defaults__", (cache,))
+    path = queries.op6_quality_lm.pin(docs, "test-docs")
+    rows = [(r.doc_id, r.text) for r in path.select("doc_id", "text").collect()]
+    good = {r.doc_id for r in o6.trusted_ids(labels).collect()}
+    lp = plain_kneser_ney([t or "" for i, t in rows if i in good])
+    want = sorted((i, len(o6.grams_of(t or "")), lp(t or "", i in good)) for i, t in rows)
+    got = sorted((r.doc_id, r.n_symbols, r.judged_prob) for r in o6.perplexities(path, labels).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(a[2] - b[2]) < 1e-6 for a, b in zip(got, want, strict=True))
+    judged = {r.doc_id: r.kept for r in o6.judge(path, labels).collect()}
     assert not judged[103] and not judged[104] and judged[0]
 
 
@@ -194,35 +231,16 @@ def test_perplexity_of_texts_that_hold_the_marks(spark, docs, labels):
 
 
 def test_word_order_counts(spark):
-    """Brute force of the word model, trusted texts without their own counts; a shuffled text costs more."""
+    """The words of trusted text in another order, and one of them again and again, cost more."""
     rng, said = random.Random(8), "the stone lies under a river of light and that is old".split()
     rows = [(i, " ".join(said[rng.randrange(6):6 + rng.randrange(1, 7)] * 3), "en") for i in range(30)]
     rows += [(50, " ".join(said * 3), "en"), (51, " ".join(rng.sample(said * 3, 36)), "en"), (52, "the " * 36, "en"), (53, "a newword the", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     marks = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in o6.perplexities(df, marks).collect()}
-    grams = {r.gram: r.lp for r in o6.probabilities(spark.createDataFrame(
-        [(g,) for g in {g for _, t, _ in rows for w in t.split() for g in o6.grams_of(w)}], "gram string"), o6.kneser_ney(o6.count_trusted(df, marks))).collect()}
-    of = lambda i: list(zip([None] + rows[i][1].split(), rows[i][1].split()))
-    every = Counter(x for i in range(30) for x in of(i))
-
-    def discount(counts):
-        n1, n2 = (list(counts.values()).count(i) for i in (1, 2))
-        return min(.95, max(.05, n1 / (n1 + 2 * n2))) if n1 + n2 else .5
-    d, d1 = discount(every), discount(Counter(w for _, w in every))
-    for at, (i, text, _) in enumerate(rows):
-        left = +(every - Counter(of(at))) if i < 30 else every
-        after, n, types = Counter(w for _, w in left), Counter(), Counter(v for v, _ in left)
-        for (v, _), k in left.items():
-            n[v] += k
-        gain = 0.0
-        for v, w in of(at):
-            spelled = 2 ** sum(grams[g] for g in o6.grams_of(w))
-            one = (max(after[w] - d1, 0) + d1 * len(after) * spelled) / len(left)
-            gain += math.log2(((max(left[v, w] - d, 0) + d * types[v] * one) / n[v] if n[v] else one) / spelled)
-        assert math.isclose(got[i].order_gain, gain, abs_tol=1e-6)
+    got, lp = {r.doc_id: r for r in o6.perplexities(df, marks).collect()}, plain_kneser_ney([t for i, t, _ in rows if i < 30])
+    assert all(math.isclose(got[i].judged_prob, lp(t, i < 30), abs_tol=1e-6) for i, t, _ in rows)
+    assert got[50].n_symbols == got[51].n_symbols
     assert got[50].perplexity < got[51].perplexity and got[50].perplexity < got[52].perplexity
-    assert got[50].n_symbols == got[51].n_symbols and math.isclose(got[50].log2_prob, got[51].log2_prob)
 
 
 def test_reply_tree_paths_and_round_trip(spark):

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tablescope.llm import op6_quality_lm as o6
 from tablescope.llm import op9_source_mix as o9
-from tests.llm.test_llm import GAP, closure, sets
+from tests.llm.test_llm import GAP, closure, plain_kneser_ney, sets
 
 COLUMNS = "doc_id long, text string, lang string, source string"
 
@@ -49,55 +49,11 @@ def trusted(marks):
     return {i for i, q in low.items() if q >= 1}
 
 
-def discounts(counts):
-    n = Counter(counts.values())
-    y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else .5
-    return [min(float(i), max(.05, i - (i + 1) * y * n[i + 1] / n[i] if n[i] else i / 2)) for i in (1, 2, 3)]
-
-
-def spelling(words):
-    """gram -> log2 probability, modified Kneser-Ney over characters."""
-    counts, orders = Counter(g for w in words for g in o6.grams_of(w)), []
-    for _ in range(o6.ORDER):
-        d, every, freed, of = discounts(counts), Counter(), Counter(), {}
-        for g, n in counts.items():
-            every[g[:-1]] += n
-            freed[g[:-1]] += d[min(n, 3) - 1]
-        for g, n in counts.items():
-            of[g] = (n - d[min(n, 3) - 1]) / every[g[:-1]]
-        orders.insert(0, (of, {c: freed[c] / every[c] for c in every}))
-        counts = Counter(g[1:] for g in counts)
-
-    def lp(gram):
-        p = orders[0][1][""] / (len(orders[0][0]) + 1)
-        for k, (of, back) in enumerate(orders):
-            p = p * (back.get(gram[-k - 1:-1], 1.0) if k else 1.0) + of.get(gram[-k - 1:], 0.0)
-        return math.log2(p)
-    return lp
-
-
 def test_quality_classifier(stages):
     marks, out, _ = stages
     rows, good = out[0], trusted(marks)
-    texts = [(r[1] or "").split() for r in rows]
-    lp = spelling([w for r, t in zip(rows, texts) if r[0] in good for w in t])
-    pairs = lambda t: Counter(zip([None] + t, t))
-    every = sum((pairs(t) for r, t in zip(rows, texts) if r[0] in good), Counter())
-
-    def one(counts):
-        n = Counter(counts.values())
-        return min(.95, max(.05, n[1] / (n[1] + 2 * n[2]))) if n[1] + n[2] else .5
-    d, d1 = one(every), one(Counter(w for _, w in every))
-    costs = []
-    for r, t in zip(rows, texts):
-        left = +(every - pairs(t)) if r[0] in good else every
-        after, types, n, total = Counter(w for _, w in left), Counter(v for v, _ in left), Counter(), 0.0
-        for (v, _), k in left.items():
-            n[v] += k
-        for v, w in zip([None] + t, t):
-            p = (max(after[w] - d1, 0) + d1 * len(after) * 2 ** sum(map(lp, o6.grams_of(w)))) / len(left)
-            total += math.log2((max(left[v, w] - d, 0) + d * types[v] * p) / n[v] if n[v] else p)
-        costs.append(-total / sum(len(w) + 1 for w in t) if t else None)
+    lp = plain_kneser_ney([r[1] or "" for r in rows if r[0] in good])
+    costs = [-lp(r[1], r[0] in good) / n if n else None for r in rows for n in [len(o6.grams_of(r[1] or ""))]]
 
     def limit(values):
         cells = sorted(math.ceil(x * o6.STEPS) for x in values)
