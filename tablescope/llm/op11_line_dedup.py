@@ -65,6 +65,7 @@ def drop_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents
     # Distinct ids first (rows of a hot line spread by id), then partial counts per hash.
     common = (lines.select("k1", "k2", "doc_id").distinct().groupBy("k1", "k2")
               .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_documents))
+    common = pin(common.select("k1", "k2", "last"), "common-lines")  # read from files, so that the join below can split a hot line
     lost = (lines.join(common, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
             .groupBy("t1", "t2").agg(F.collect_set("pos").alias("lost")))
     named = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]

@@ -47,6 +47,13 @@ def sign_codes(vectors: np.ndarray, bits: int, tables: int, seed: int) -> np.nda
     return signs @ (1 << np.arange(bits, dtype=np.int64))
 
 
+def unit_vectors(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one. Each is divided by its largest component first, so that no
+    square over- or underflows, whatever finite numbers other than all zeros it holds."""
+    scaled = vectors / np.abs(vectors).max(1)[:, None]
+    return scaled / np.sqrt((scaled * scaled).sum(1))[:, None]
+
+
 def _hashed(bits: int, tables: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,7 +63,7 @@ def _hashed(bits: int, tables: int, seed: int):
             starts = flat.offsets.to_numpy()[:-1]
             for dim in np.unique(lengths):
                 rows = np.flatnonzero(lengths == dim)
-                vectors = values[starts[rows][:, None] + np.arange(dim)]
+                vectors = unit_vectors(values[starts[rows][:, None] + np.arange(dim)])
                 codes = sign_codes(vectors, bits, tables, seed)
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(rows)), batch.column("label_key").take(pa.array(rows)), batch.column("n").take(pa.array(rows)),
@@ -69,9 +76,8 @@ def _compared(limit: float):
     """Rows sorted by (bucket, pair of blocks) -> link counts and spanning edges of each unit."""
     def unit(rows: dict, out: list) -> None:
         rep, table = rows["rep"], int(rows["table"][0])
-        vectors = np.frombuffer(b"".join(rows["vector"]), np.float64).reshape(len(rep), -1)
+        norm = np.frombuffer(b"".join(rows["vector"]), np.float64).reshape(len(rep), -1)
         codes, n, side = np.stack(rows["codes"]), np.asarray(rows["n"]), np.asarray(rows["side"])
-        norm = vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
         cross = side.min() != side.max()
         a = np.flatnonzero(side == side.min()) if rows["first"][0] != rows["second"][0] else np.arange(len(rep))
         b = np.flatnonzero(side == side.max()) if rows["first"][0] != rows["second"][0] else a

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -87,6 +88,24 @@ def test_embeddings(spark):
     assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (n[i], low[i], low[i] == i) for i in low}
 
 
+def test_embeddings_of_any_finite_size_and_repeated_ids(spark):
+    """Very small, very large and denormal components; ids that repeat are vectors of their own."""
+    rows = [(1, [1e-200, 1e-200]), (2, [5e-324, 1e-323]), (3, [1.0, 0.5]), (4, [1e200, 2e200]), (5, [1.0, 2.0]), (6, [1e308, 1e308]), (7, [-1e200, -2e200]),
+            (8, [1e308, 1.1e308]), (9, [1e-300, 1e300]), (10, [0.0, 3.0]), (5, [1.0, 2.0]), (11, [float("inf"), 1.0]), (12, [1.7976931348623157e308, 1e-320]), (13, [1.0, 0.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in o1.near_vectors(spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, label string")).collect())
+    exact = [[Fraction(x) for x in v] if math.isfinite(v[0]) else None for _, v in rows]
+
+    def near(a, b):
+        if not a or not b:
+            return False
+        dot = sum(x * y for x, y in zip(a, b, strict=True))
+        return dot > 0 and dot * dot >= Fraction(98, 100) ** 2 * sum(x * x for x in a) * sum(x * x for x in b)
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if near(exact[a], exact[b])]
+    low, n = closure([i for i, _ in rows], [(rows[a][0], rows[b][0]) for a, b in links]), Counter(x for p in links for x in p)
+    assert got == sorted((i, n[k], low[i]) for k, (i, _) in enumerate(rows))
+    assert (5, 3, 2) in got and (3, 0, 3) in got
+
+
 def test_shards(spark, docs):
     got = o2.shard_documents(docs).collect()
     assert len(got) == docs.count()
