@@ -14,7 +14,6 @@ reproduce Spark's rule with ``R(expr, d)`` (see ``_r``).
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1036,15 +1035,16 @@ def q_overview_stream(spark, d):
 
 
 # ---------------------------------------------------------------- training-data operators, where they are present
-if importlib.util.find_spec("tablescope.llm"):
+try:
     from tablescope.llm import queries as _llm
     _QUERIES.update(_llm.QUERIES)
     _SQL.update(_llm.SQL)
-if importlib.util.find_spec("corpus_pipeline"):
     import corpus_pipeline as _pipeline
     _QUERIES["pipeline"] = _pipeline.run
     if _pipeline.ORACLE_SQL:
         _SQL["pipeline"] = _pipeline.ORACLE_SQL
+except ImportError:  # they, or a library that only they need, are not there
+    pass
 
 
 # ---------------------------------------------------------------- driver API
