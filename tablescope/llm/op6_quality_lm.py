@@ -2,18 +2,18 @@
 
 A text is the sequence of its words' characters with one space between words, start
 marks before it and an end mark after it. The model predicts each character from the
-four before it: 5-grams that run across the ends of words, with three discounts
+three before it: 4-grams that run across the ends of words, with three discounts
 (counts of one, two, three and more) in every order. Invented spellings, shouting,
 symbol noise, foreign scraps, words that follow each other as trusted text has not,
 and words repeated without end cost more than trusted text does. All trusted text is
 counted (documents whose quality label is 1), and counts grow with it.
 
-Counting: tasks count the 5-grams of their trusted texts; Spark sums them. The lower
+Counting: tasks count the 4-grams of their trusted texts; Spark sums them. The lower
 orders are continuation counts (distinct left neighbours), the discounts come from
 counts of counts (a few numbers per order).
 
 Scoring by sharded count joins: documents are read in chunks of bounded size. Each
-chunk asks for what its distinct 5-grams need of all orders: counts of grams, totals
+chunk asks for what its distinct 4-grams need of all orders: counts of grams, totals
 of contexts and what discounts free in them, known by 64-bit hashes. Requests and model meet shard
 by shard, answers go back by chunk and meet the chunk's texts (compressed, shuffled
 once). The most frequent entries of the model, at most CACHE of them at any size, are
@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from tablescope.llm.common import pin
 
-ORDER, KEEP, CHUNK_ROWS, CHUNK_BYTES, BITMAP_BITS, PROBES, STEPS = 5, 0.998, 2000, 8_000_000, 26, 3, 500
+ORDER, KEEP, CHUNK_ROWS, CHUNK_BYTES, BITMAP_BITS, PROBES, STEPS = 4, 0.998, 2000, 8_000_000, 26, 3, 500
 #: Entries of the model that are broadcast, at most; entries of a shard, about.
 CACHE, SHARD = 1 << 18, 100_000
 #: Code points whose windows are made in one go (or one text): bounds a task's memory, not what is read.
@@ -106,16 +106,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _distinct(codes: np.ndarray, **more) -> tuple:
-    """(grams as rows of code points, and what np.unique adds) of the windows that
-    belong to one text: those that do not end in a start mark."""
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct key, the number of each key among the distinct ones)."""
+    by = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[by[1:]] != keys[by[:-1]]
+    one = np.empty(len(keys), np.int64)
+    one[by] = np.cumsum(new) - 1
+    return by[new], one
+
+
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct grams as rows of code points, the number of each window's gram) of the
+    windows that belong to one text: those that do not end in a start mark."""
     if len(codes) < ORDER:
-        return (np.zeros((0, ORDER), np.uint32), *[np.zeros(0, np.int64) for _ in more])
+        return np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64)
     at = np.flatnonzero(codes[ORDER - 1:] != _MARK)
     plus = codes.astype(np.uint64) + np.uint64(1)
-    keys = _hashed([plus[i:len(plus) - ORDER + 1 + i] for i in range(ORDER)])[at]
-    _, first, *rest = np.unique(keys, return_index=True, **more)
-    return (codes[at[first][:, None] + np.arange(ORDER)], *rest)
+    first, one = _grouped(_hashed([plus[i:len(plus) - ORDER + 1 + i] for i in range(ORDER)])[at])
+    return codes[at[first][:, None] + np.arange(ORDER)], one
 
 
 def _texts(grams: np.ndarray) -> list[str]:
@@ -123,12 +132,27 @@ def _texts(grams: np.ndarray) -> list[str]:
     return [one[i:i + ORDER] for i in range(0, len(one), ORDER)]
 
 
-def _entries(grams: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Per order 1, 2, ..: keys of the grams' ends, and of what stands before the last symbol in them."""
+def _key(grams: np.ndarray, context: bool = False) -> np.ndarray:
+    """The model's key of grams, or of contexts, given as rows of code points."""
     plus = [c.astype(np.uint64) + np.uint64(1) for c in grams.T]
-    ends = [_mixed(_hashed(plus[ORDER - n:])) for n in range(1, ORDER + 1)]
-    contexts = [_mixed(_hashed(plus[ORDER - n:-1])) ^ _CONTEXT for n in range(2, ORDER + 1)]
-    return ends, contexts
+    return _mixed(_hashed(plus)) ^ (_CONTEXT if context else np.uint64(0))
+
+
+def _orders(grams: np.ndarray) -> list[tuple]:
+    """Per order, the longest first: (the distinct grams' keys, their number among the
+    next shorter grams, the distinct contexts' keys, the number of each gram's context)."""
+    out = []
+    for order in range(ORDER, 0, -1):
+        keys = _key(grams)
+        if order == 1:
+            out.append((keys, None, np.zeros(0, np.uint64), None))
+            break
+        first, context = _grouped(_key(grams[:, :-1], True))
+        contexts = _key(grams[first][:, :-1], True)
+        first, shorter = _grouped(_key(grams[:, 1:]))
+        out.append((keys, shorter, contexts, context))
+        grams = grams[first][:, 1:]
+    return out
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +161,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(texts):
         for codes, _ in _pieces(texts):
-            grams, n = _distinct(codes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(_texts(grams), pa.string()), pa.array(n, pa.int64())], names=["gram", "n"])
+            grams, one = _distinct(codes)
+            yield pa.RecordBatch.from_arrays([pa.array(_texts(grams), pa.string()), pa.array(np.bincount(one, minlength=len(grams)), pa.int64())], names=["gram", "n"])
     texts, size = [], 0
     for batch in batches:
         for value in batch.column("packed"):
@@ -200,7 +224,7 @@ def trusted_texts(docs: DataFrame, ids: DataFrame, bitmap) -> DataFrame:
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """(gram, n): all 5-grams of all trusted text."""
+    """(gram, n): all 4-grams of all trusted text."""
     return texts.mapInArrow(_counted, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -282,30 +306,33 @@ def _found(table: tuple[np.ndarray, ...], asked: np.ndarray) -> tuple[np.ndarray
 
 class _Model:
     """What a task knows of the model: the numbers of all texts (discounts by order,
-    and the sums of the empty context: total, freed, symbols), the broadcast entries,
-    and the answers of a chunk."""
+    and the sums of the empty context: total, freed, symbols), and the entries that
+    are broadcast or answered to a chunk."""
 
     def __init__(self, numbers: tuple, *tables: tuple[np.ndarray, ...]):
-        (self.discounts, self.empty), self.tables = numbers, tables
+        self.discounts, self.empty = numbers
+        self.table = _table(*(np.concatenate(x) for x in zip(*tables, strict=True))) if len(tables) > 1 else tables[0]
 
     def _values(self, asked: np.ndarray) -> np.ndarray:
         out = np.zeros((2, len(asked)))
-        for table in self.tables:
-            there, *values = _found(table, asked)
-            out[:, there] = values
+        there, *values = _found(self.table, asked)
+        out[:, there] = values
         return out
 
     def _discount(self, order: int, n: np.ndarray) -> np.ndarray:
         return np.array([0.0, *self.discounts[order - 1]])[np.minimum(n, 3).astype(np.int64)]
 
     def known(self, grams: np.ndarray) -> list[tuple]:
-        """Per order 1, 2, ..: (key of the gram's end, its count, key of the context, its total, its freed)."""
-        ends, contexts = _entries(grams)
+        """Per order, the longest first: (count, number of the shorter gram, number of the
+        context, its total, its freed) of the distinct grams."""
         out = []
-        for order, end in enumerate(ends, 1):
-            context = contexts[order - 2] if order > 1 else np.zeros(len(end), np.uint64)
-            total, freed = self._values(context) if order > 1 else (np.full(len(end), x) for x in self.empty[:2])
-            out.append((end, self._values(end)[0], context, total, freed))
+        for keys, shorter, contexts, context in _orders(grams):
+            if shorter is None:
+                shorter = context = np.zeros(len(keys), np.int64)
+                total, freed = (np.full(1, float(x)) for x in self.empty[:2])
+            else:
+                total, freed = self._values(contexts)
+            out.append((self._values(keys)[0], shorter, context, total[context], freed[context]))
         return out
 
     def _step(self, p, order, n, total, freed, symbols):
@@ -316,36 +343,35 @@ class _Model:
 
     def log2(self, known: list[tuple]) -> np.ndarray:
         p = None
-        for order, (_, n, _, total, freed) in enumerate(known, 1):
-            p = self._step(p, order, n, total, freed, self.empty[2])
+        for order, (n, shorter, _, total, freed) in enumerate(known[::-1], 1):
+            p = self._step(p if p is None else p[shorter], order, n, total, freed, self.empty[2])
         return np.log2(p)
 
     def unseen(self, known: list[tuple], at: np.ndarray, k: np.ndarray) -> float | None:
         """log2 probability of a text that has the grams ``at`` ``k`` times, by the counts
         without its own; None where these counts cannot hold it."""
-        gone, place, steps = k.astype(np.float64), np.arange(len(at)), []
-        for order in range(ORDER, 0, -1):
-            _, n, context, total, freed = (x[at] for x in known[order - 1])
+        gone, steps = k.astype(np.float64), []
+        for order, row in zip(range(ORDER, 0, -1), known, strict=True):
+            n, shorter, context, total, freed = (x[at] for x in row)
             if (n < gone).any():
                 return None
             left = n - gone
-            _, c = np.unique(context, return_inverse=True)
+            _, c = _grouped(context)
             total = total - np.bincount(c, gone)[c]
             freed = freed - np.bincount(c, self._discount(order, n) - self._discount(order, left))[c]
-            steps.append((place, left, total, freed))
-            if order > 1:  # a gram that is gone continues no shorter one
-                _, first, place = np.unique(known[order - 2][0][at], return_index=True, return_inverse=True)
-                gone, at = np.bincount(place, left == 0).astype(np.float64), at[first]
-        p, symbols = None, self.empty[2] - int((steps[-1][1] == 0).sum())
-        for order, (_, left, total, freed) in enumerate(steps[::-1], 1):
-            p = self._step(p if p is None else p[steps[ORDER - order + 1][0]], order, left, total, np.maximum(freed, 0.0), symbols)
+            first, place = _grouped(shorter)
+            steps.append((left, place, total, np.maximum(freed, 0.0)))
+            gone, at = np.bincount(place, left == 0).astype(np.float64), shorter[first]  # a gram that is gone continues no shorter one
+        p, symbols = None, self.empty[2] - int((steps[-1][0] == 0).sum())
+        for order, (left, place, total, freed) in enumerate(steps[::-1], 1):
+            p = self._step(p if p is None else p[place], order, left, total, freed, symbols)
         return float((np.log2(p) * k).sum())
 
     def score(self, texts: list[bytes], marks: list[bool]) -> tuple[np.ndarray, np.ndarray, list]:
         """(symbols, log2 probability, the same without the text's own counts if it is marked) of each text."""
         sizes, totals, others, marks = [], [], [], iter(marks)
         for codes, counts in _pieces(texts):
-            grams, one = _distinct(codes, return_inverse=True)
+            grams, one = _distinct(codes)
             known, n = self.known(grams), np.array(counts, np.int64)
             ends, total = np.cumsum(n), np.zeros(len(n))
             if len(one):
@@ -396,9 +422,7 @@ def _requests(cache, shards: int):
         for name, _, _, texts, _ in _chunks(batches):
             asked = []
             for codes, _ in _pieces(texts):
-                (grams,) = _distinct(codes)
-                ends, contexts = _entries(grams)
-                asked.append(np.unique(np.concatenate(ends + contexts)))
+                asked += [x for keys, _, contexts, _ in _orders(_distinct(codes)[0]) for x in (keys, contexts)]
             keys = np.unique(np.concatenate(asked))
             keys = keys[~_found(known, keys)[0]]
             home = _shard(keys, shards)
