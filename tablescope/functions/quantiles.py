@@ -2,7 +2,17 @@
 
 Spark's exact ``percentile`` aggregate merges a value->count map of the whole
 group in one task; for a global quantile over 100 TB that is the whole column
-in one task. ``quantiles`` instead:
+in one task.
+
+Of whole columns (``by=()``), ``quantiles`` selects inside brackets: one pass of
+``percentile_approx`` sketches bounds every wanted rank of every column from both
+sides, one counts exactly what lies below and inside, one keeps only the values inside,
+grouped and counted. Brackets that hold more than ``INSIDE`` rows are first narrowed by
+a sketch of their own values, so what reaches the driver is bounded whatever the number
+of rows; one that missed its rank is widened. Values are compared in the column's own
+type and chosen exactly; nothing is written, and the only shuffle is of the brackets.
+
+Per group (``by``), it
 
 1. counts each distinct (key, value) - map-side combined, so a value that
    holds a third of all rows becomes one row with a large weight;
@@ -17,21 +27,26 @@ in one task. ``quantiles`` instead:
    (at most 2 per probability and key) and interpolates.
 
 Interpolation is linear on 0-based rank ``(n-1)*p`` (numpy "linear", DuckDB
-``quantile_cont`` up to the last bit): ``lo + (pos - floor(pos)) * (hi - lo)``.
-Work per task is bounded by (distinct values / partitions); nothing but the
-target values reaches the driver.
+``quantile_cont`` up to the last bit): ``lo + (pos - floor(pos)) * (hi - lo)``,
+in doubles of the two exact values.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .columns import col_of, is_floating, require_columns
+from .columns import col_of, is_exact_numeric, is_floating, missing_as_null, require_columns
 
 BROADCAST_ROWS = 1_000_000
+#: Relative rank error of a sketch is 1 / ACCURACY; rows that a bracket may hold when its values are collected.
+ACCURACY, INSIDE = 2000, 200_000
 
 
 def _long_form(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -63,6 +78,148 @@ def _interpolate(n, segs, p):
     return v_lo + (pos - lo) * (v_hi - v_lo)
 
 
+@dataclass
+class _Bracket:
+    """Where the ranks ``first`` and ``last`` of a column are sought: among values from
+    ``low`` to ``high`` (None: no bound). ``below`` and ``held`` rows are below and inside."""
+    column: int
+    p: float
+    first: int
+    last: int
+    share: float
+    low: object = None
+    high: object = None
+    below: int = 0
+    held: int = 0
+    error: float = 0.0
+    tight: bool = False
+
+    def under(self, x: Column) -> Column:
+        return F.lit(False) if self.low is None else x < F.lit(self.low)
+
+    def inside(self, x: Column) -> Column:
+        low = x.isNotNull() if self.low is None else x >= F.lit(self.low)
+        return low if self.high is None else low & (x <= F.lit(self.high))
+
+    def around(self, sketch: Column, middle: float, spare: float) -> Column:
+        """The sketched bounds of the ranks; ``settle`` takes what they turn out to be."""
+        self._wanted = (middle - self.error - spare, middle + self.error + spare)
+        return F.percentile_approx(sketch, [min(1.0, max(0.0, w)) for w in self._wanted], ACCURACY)
+
+    def settle(self, bounds: list | None, dt: T.DataType) -> None:
+        # the ends of the data need no bound: a sketch's least value may not be the least
+        low = None if bounds is None or self._wanted[0] <= 0 else _outward(bounds[0], -1, dt)
+        high = None if bounds is None or self._wanted[1] >= 1 else _outward(bounds[1], 1, dt)
+        low, high = self.low if low is None else low, self.high if high is None else high
+        self.tight = (low, high) == (self.low, self.high) or (low is not None and low == high)
+        self.low, self.high = low, high
+
+
+def _outward(value, step: int, dt: T.DataType):
+    """``value`` moved by as much as a sketch, which works on doubles, can be off; None
+    where the column's type cannot hold that."""
+    if isinstance(value, Decimal):
+        value = round(value + step * abs(value).scaleb(-14), dt.scale)
+        return value if len(value.as_tuple().digits) <= dt.precision else None
+    if isinstance(value, int) and abs(value) >= 2 ** 52:
+        value += step * (abs(value) >> 50)
+        return value if -(2 ** 63) <= value < 2 ** 63 else None
+    return value
+
+
+def _comparable(df: DataFrame, c: str) -> tuple[Column, T.DataType]:
+    """The column without NaN as long, decimal or double, whichever holds its values exactly."""
+    dt = df.schema[c].dataType
+    if not isinstance(dt, T.DecimalType):
+        dt = T.LongType() if is_exact_numeric(dt) else T.DoubleType()
+    return missing_as_null(df, c).cast(dt), dt
+
+
+def exact_ranks(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, dict[float, tuple]]:
+    """{column: {p: (value at the rank below, value at the rank above, share between)}},
+    values as Python numbers of the column's type. A column without values is left out.
+
+    Every pass reads ``df`` once for all columns and ranks: a sketch, exact counts below
+    and inside the brackets, and the values inside; the last two again for brackets that
+    missed their rank or hold more than ``INSIDE`` rows.
+    """
+    made = [_comparable(df, c) for c in cols]
+    types = [dt for _, dt in made]
+    d = df.select(*[x.alias(f"c{i}") for i, (x, _) in enumerate(made)])
+    xs = [F.col(f"c{i}") for i in range(len(cols))]
+    probs = sorted(set(probs))
+    edges = [min(1.0, max(0.0, p + side * 2 / ACCURACY)) for p in probs for side in (-1, 1)]
+    row = d.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
+                *[F.percentile_approx(x, edges, ACCURACY).alias(f"q{i}") for i, x in enumerate(xs)]).first()
+    out: dict[str, dict[float, tuple]] = {}
+    pending = []
+    for i, c in enumerate(cols):
+        n = row[f"n{i}"]
+        if not n:
+            continue
+        out[c] = {}
+        for k, p in enumerate(probs):
+            at = (n - 1) * p
+            b = _Bracket(i, p, math.floor(at), math.ceil(at), at - math.floor(at), error=2 / ACCURACY)
+            b._wanted = (p - b.error, p + b.error)
+            b.settle(row[f"q{i}"][2 * k:2 * k + 2], types[i])
+            pending.append(b)
+    while pending:
+        counted = d.agg(*[F.count_if(b.under(xs[b.column])).alias(f"b{k}") for k, b in enumerate(pending)],
+                        *[F.count_if(b.inside(xs[b.column])).alias(f"n{k}") for k, b in enumerate(pending)]).first()
+        wide, narrow, ready = [], [], []
+        for k, b in enumerate(pending):
+            b.below, b.held = counted[f"b{k}"], counted[f"n{k}"]
+            if b.below > b.first or b.below + b.held <= b.last:
+                b.low, b.high = (None if b.below > b.first else b.low), (None if b.below + b.held <= b.last else b.high)
+                b.error, b.tight = b.error * 8, False
+                wide.append(b)
+            else:
+                (narrow if b.held > INSIDE and not b.tight else ready).append(b)
+        if narrow:
+            sketched = d.agg(*[b.around(F.when(b.inside(xs[b.column]), xs[b.column]), ((b.first + b.last) / 2 - b.below) / b.held, 1 / b.held).alias(f"q{k}")
+                               for k, b in enumerate(narrow)]).first()
+            for k, b in enumerate(narrow):
+                b.settle(sketched[f"q{k}"], types[b.column])
+        if ready:
+            for b, ends in zip(ready, _selected(d, xs, ready, types), strict=True):
+                out[cols[b.column]][b.p] = (*ends, b.share)
+        pending = wide + narrow
+    return out
+
+
+def _selected(d: DataFrame, xs: list[Column], brackets: list[_Bracket], types: list[T.DataType]) -> list[list]:
+    """The values at the two ranks of each bracket, from the distinct values inside and their counts."""
+    held = [b.inside(xs[b.column]) for b in brackets]
+    some = held[0]
+    for inside in held[1:]:
+        some = some | inside
+    cells = F.array(*[F.struct(F.lit(k).alias("t"), F.when(inside, xs[b.column].cast("string")).alias("x"))
+                      for k, (b, inside) in enumerate(zip(brackets, held, strict=True))])
+    found = d.where(some).select(F.inline(cells)).where("x is not null").groupBy("t", "x").agg(F.count(F.lit(1)).alias("n")).collect()
+    values: list[list] = [[] for _ in brackets]
+    for r in found:
+        dt = types[brackets[r["t"]].column]
+        read = float if is_floating(dt) else Decimal if isinstance(dt, T.DecimalType) else int
+        values[r["t"]].append((read(r["x"]), r["n"]))
+    out = []
+    for b, some in zip(brackets, values, strict=True):
+        at, ends = b.below, [None, None]
+        for x, n in sorted(some):
+            for k, rank in enumerate((b.first, b.last)):
+                if at <= rank < at + n:
+                    ends[k] = x
+            at += n
+        out.append(ends)
+    return out
+
+
+def _between(found: tuple) -> float:
+    """Linear interpolation of (value below, value above, share between)."""
+    low, high, share = found
+    return float(low) if low == high else float(low) + share * (float(high) - float(low))
+
+
 def quantiles(df: DataFrame, cols: str | Sequence[str], probs: Sequence[float],
               by: Sequence[str] = (), approx: bool = False, accuracy: int = 10000,
               num_partitions: int | None = None) -> DataFrame:
@@ -80,8 +237,8 @@ def quantiles(df: DataFrame, cols: str | Sequence[str], probs: Sequence[float],
             raise ValueError(f"probability {p} outside [0, 1]")
     names = by + ["ci"]
     keys = [col_of(k) for k in names]
-    from ..session import spread
-    if len(cols) > 1:  # the unpivot multiplies rows: do it on all cores
+    if len(cols) > 1 and (by or approx):  # the unpivot multiplies rows: do it on all cores
+        from ..session import spread
         df = spread(df.select(*map(col_of, [*by, *cols])))
     long = _long_form(df, cols, by)
 
@@ -92,6 +249,9 @@ def quantiles(df: DataFrame, cols: str | Sequence[str], probs: Sequence[float],
         return agg.select(*map(col_of, by), _names(cols).alias("column"), F.inline(pairs))
 
     spark = df.sparkSession
+    if not by:
+        rows = [(c, p, _between(r)) for c, found in exact_ranks(df, cols, probs).items() for p, r in found.items()]
+        return spark.createDataFrame(rows, "column string, p double, value double")
     from ..session import materialize
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
