@@ -8,6 +8,8 @@ own streaming ``avg`` / ``stddev_samp``.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,12 +51,54 @@ def sum_of(c: Column, dt: T.DataType) -> Column:
     return F.coalesce(F.sum(c), F.lit(0).cast(dt))
 
 
+#: Bits of a limb: 2**40 rows of limbs add up inside a long.
+LIMB = 21
+
+
+def _as_long(c: Column, dt: T.DataType) -> tuple[Column, int] | None:
+    """(the unscaled value as a long, its scale) of integers and short decimals."""
+    if not isinstance(dt, T.DecimalType):
+        return c.cast("long"), 0
+    if dt.precision > 18 or dt.scale > 3:
+        return None
+    return (c * F.lit(Decimal(10 ** dt.scale)) if dt.scale else c).cast("long"), dt.scale
+
+
+def _added(limbs: list[Column]) -> Column:
+    """The exact sum of numbers given as limbs, lowest first; NULL outside DECIMAL(38)."""
+    out = F.sum(limbs[0]).cast("decimal(38,0)")
+    for k, limb in enumerate(limbs[1:], 1):
+        out = F.try_add(out, F.try_multiply(F.sum(limb).cast("decimal(20,0)"), F.lit(Decimal(2 ** (LIMB * k)))).cast("decimal(38,0)")).cast("decimal(38,0)")
+    return out
+
+
+def _scaled(c: Column, scale: int) -> Column:
+    return F.try_multiply(c, F.lit(Decimal(1).scaleb(-scale))).cast("double") if scale else c.cast("double")
+
+
+def _limbs(x: Column) -> list[Column]:
+    low = F.lit((1 << LIMB) - 1)
+    return [x.bitwiseAND(low), F.shiftright(x, LIMB).bitwiseAND(low), F.shiftright(x, 2 * LIMB)]
+
+
+def _square_limbs(x: Column) -> list[Column]:
+    """The limbs of x * x, computed in longs without overflow."""
+    c, b, a = _limbs(x)
+    out, carry = [], None
+    for t in (c * c, F.lit(2) * b * c, F.lit(2) * a * c + b * b, F.lit(2) * a * b, a * a):
+        t = t if carry is None else t + carry
+        out.append(t.bitwiseAND(F.lit((1 << LIMB) - 1)))
+        carry = F.shiftright(t, LIMB)
+    return [*out, carry]
+
+
 def mean_of(c: Column, dt: T.DataType) -> Column:
     """Mean as double; exact numerics: exact sum / count (order independent), or
     Spark's average of doubles where the exact sum leaves DECIMAL(38)."""
     if is_exact_numeric(dt):
-        exact = safe_div(F.try_sum(_exact(c, dt)).cast("double"), F.count(c).cast("double"))
-        return F.coalesce(exact, F.avg(c.cast("double")))
+        whole = _as_long(c, dt)
+        total = F.try_sum(_exact(c, dt)).cast("double") if whole is None else _scaled(_added(_limbs(whole[0])), whole[1])
+        return F.coalesce(safe_div(total, F.count(c).cast("double")), F.avg(c.cast("double")))
     return F.avg(c)
 
 
@@ -71,12 +115,15 @@ def std_of(c: Column, dt: T.DataType) -> Column:
     centred ``stddev_samp`` of the doubles.
     """
     if is_exact_numeric(dt):
-        x = _exact(c, dt)
-        n = F.count(c)
-        sx = F.try_sum(x)
-        num = F.try_subtract(F.try_multiply(n, _all_of(F.try_multiply(x, x), n)), F.try_multiply(sx, sx))
+        n, whole = F.count(c), _as_long(c, dt)
+        if whole is None:
+            x = _exact(c, dt)
+            sx, sxx, scale = F.try_sum(x), _all_of(F.try_multiply(x, x), n), 0
+        else:
+            sx, sxx, scale = _added(_limbs(whole[0])), _added(_square_limbs(whole[0])), 2 * whole[1]
+        num = F.try_subtract(F.try_multiply(n, sxx), F.try_multiply(sx, sx))
         den = (n * (n - F.lit(1))).cast("double")
-        exact = F.sqrt(safe_div(num.cast("double"), den))
+        exact = F.sqrt(safe_div(_scaled(num, scale), den))
         return F.when(n < 2, F.lit(None).cast("double")).otherwise(
             F.coalesce(exact, F.stddev_samp(c.cast("double"))))
     return F.stddev_samp(c)

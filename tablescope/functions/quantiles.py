@@ -9,8 +9,9 @@ Of whole columns (``by=()``), ``quantiles`` selects inside brackets: one pass of
 sides, one counts exactly what lies below and inside, one keeps only the values inside,
 grouped and counted. Brackets that hold more than ``INSIDE`` rows are first narrowed by
 a sketch of their own values, so what reaches the driver is bounded whatever the number
-of rows; one that missed its rank is widened. Values are compared in the column's own
-type and chosen exactly; nothing is written, and the only shuffle is of the brackets.
+of rows; one that missed its rank is widened. Brackets are of the values as doubles,
+which keep their order; the values inside are compared in the column's own type and
+chosen exactly. Nothing is written, and the only shuffle is of the brackets.
 
 Per group (``by``), it
 
@@ -37,8 +38,9 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from decimal import Decimal
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +49,8 @@ from .columns import col_of, is_exact_numeric, is_floating, missing_as_null, req
 BROADCAST_ROWS = 1_000_000
 #: Relative rank error of a sketch is 1 / ACCURACY; rows that a bracket may hold when its values are collected.
 ACCURACY, INSIDE = 2000, 200_000
+#: Columns of one aggregation.
+COLUMNS = 4
 
 
 def _long_form(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -78,7 +82,7 @@ def _interpolate(n, segs, p):
     return v_lo + (pos - lo) * (v_hi - v_lo)
 
 
-@dataclass
+@dataclass(eq=False)
 class _Bracket:
     """Where the ranks ``first`` and ``last`` of a column are sought: among values from
     ``low`` to ``high`` (None: no bound). ``below`` and ``held`` rows are below and inside."""
@@ -106,27 +110,15 @@ class _Bracket:
         self._wanted = (middle - self.error - spare, middle + self.error + spare)
         return F.percentile_approx(sketch, [min(1.0, max(0.0, w)) for w in self._wanted], ACCURACY)
 
-    def settle(self, bounds: list | None, dt: T.DataType) -> None:
+    def settle(self, bounds: list | None) -> None:
         # the ends of the data need no bound: a sketch's least value may not be the least
-        low = None if bounds is None or self._wanted[0] <= 0 else _outward(bounds[0], -1, dt)
-        high = None if bounds is None or self._wanted[1] >= 1 else _outward(bounds[1], 1, dt)
+        low = None if bounds is None or self._wanted[0] <= 0 else bounds[0]
+        high = None if bounds is None or self._wanted[1] >= 1 else bounds[1]
         low, high = self.low if low is None else low, self.high if high is None else high
         self.tight = (low, high) == (self.low, self.high) or (low is not None and low == high)
         self.low, self.high = low, high
 
 
-def _outward(value, step: int, dt: T.DataType):
-    """``value`` moved by as much as a sketch, which works on doubles, can be off; None
-    where the column's type cannot hold that."""
-    if isinstance(value, Decimal):
-        value = round(value + step * abs(value).scaleb(-14), dt.scale)
-        return value if len(value.as_tuple().digits) <= dt.precision else None
-    if isinstance(value, int) and abs(value) >= 2 ** 52:
-        value += step * (abs(value) >> 50)
-        return value if -(2 ** 63) <= value < 2 ** 63 else None
-    return value
-
-
 def _comparable(df: DataFrame, c: str) -> tuple[Column, T.DataType]:
     """The column without NaN as long, decimal or double, whichever holds its values exactly."""
     dt = df.schema[c].dataType
@@ -139,18 +131,22 @@ def exact_ranks(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> d
     """{column: {p: (value at the rank below, value at the rank above, share between)}},
     values as Python numbers of the column's type. A column without values is left out.
 
-    Every pass reads ``df`` once for all columns and ranks: a sketch, exact counts below
-    and inside the brackets, and the values inside; the last two again for brackets that
-    missed their rank or hold more than ``INSIDE`` rows.
+    Every pass reads ``df`` once for all columns and ranks: a sketch, then the values
+    inside the brackets with the counts below; for brackets that are large or missed
+    their rank, exact counts, a sketch of what is inside and the values, until it is found.
     """
     made = [_comparable(df, c) for c in cols]
     types = [dt for _, dt in made]
-    d = df.select(*[x.alias(f"c{i}") for i, (x, _) in enumerate(made)])
+    # Brackets are of the values as doubles, which keep their order; values are chosen as they are.
+    d = df.select(*[x.cast("double").alias(f"c{i}") for i, (x, _) in enumerate(made)], *[x.alias(f"v{i}") for i, (x, _) in enumerate(made)])
     xs = [F.col(f"c{i}") for i in range(len(cols))]
     probs = sorted(set(probs))
     edges = [min(1.0, max(0.0, p + side * 2 / ACCURACY)) for p in probs for side in (-1, 1)]
-    row = d.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(xs)],
-                *[F.percentile_approx(x, edges, ACCURACY).alias(f"q{i}") for i, x in enumerate(xs)]).first()
+    row = {}
+    for r in _union(d.agg(*[F.count(xs[i]).alias(f"n{i}") for i in some], *[F.percentile_approx(xs[i], edges, ACCURACY).alias(f"q{i}") for i in some])
+                    .select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"n{i}").alias("n"), F.col(f"q{i}").alias("q")) for i in some])))
+                    for some in _groups(range(len(cols)))).collect():
+        row |= {f"n{r['i']}": r["n"], f"q{r['i']}": r["q"]}
     out: dict[str, dict[float, tuple]] = {}
     pending = []
     for i, c in enumerate(cols):
@@ -162,8 +158,9 @@ def exact_ranks(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> d
             at = (n - 1) * p
             b = _Bracket(i, p, math.floor(at), math.ceil(at), at - math.floor(at), error=2 / ACCURACY)
             b._wanted = (p - b.error, p + b.error)
-            b.settle(row[f"q{i}"][2 * k:2 * k + 2], types[i])
+            b.settle(row[f"q{i}"][2 * k:2 * k + 2])
             pending.append(b)
+    pending = _first_try(d, xs, pending, types, [row[f"n{i}"] for i in range(len(cols))], cols, out)
     while pending:
         counted = d.agg(*[F.count_if(b.under(xs[b.column])).alias(f"b{k}") for k, b in enumerate(pending)],
                         *[F.count_if(b.inside(xs[b.column])).alias(f"n{k}") for k, b in enumerate(pending)]).first()
@@ -180,38 +177,75 @@ def exact_ranks(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> d
             sketched = d.agg(*[b.around(F.when(b.inside(xs[b.column]), xs[b.column]), ((b.first + b.last) / 2 - b.below) / b.held, 1 / b.held).alias(f"q{k}")
                                for k, b in enumerate(narrow)]).first()
             for k, b in enumerate(narrow):
-                b.settle(sketched[f"q{k}"], types[b.column])
+                b.settle(sketched[f"q{k}"])
         if ready:
-            for b, ends in zip(ready, _selected(d, xs, ready, types), strict=True):
-                out[cols[b.column]][b.p] = (*ends, b.share)
+            for b, values in zip(ready, _inside([(d, some) for some in _groups(sorted({b.column for b in ready}))], xs, ready, types), strict=True):
+                out[cols[b.column]][b.p] = (*_ends(b, values), b.share)
         pending = wide + narrow
     return out
 
 
-def _selected(d: DataFrame, xs: list[Column], brackets: list[_Bracket], types: list[T.DataType]) -> list[list]:
-    """The values at the two ranks of each bracket, from the distinct values inside and their counts."""
-    held = [b.inside(xs[b.column]) for b in brackets]
-    some = held[0]
-    for inside in held[1:]:
-        some = some | inside
-    cells = F.array(*[F.struct(F.lit(k).alias("t"), F.when(inside, xs[b.column].cast("string")).alias("x"))
-                      for k, (b, inside) in enumerate(zip(brackets, held, strict=True))])
-    found = d.where(some).select(F.inline(cells)).where("x is not null").groupBy("t", "x").agg(F.count(F.lit(1)).alias("n")).collect()
+def _first_try(d, xs, brackets, types, counts, cols, out) -> list[_Bracket]:
+    """Values inside the sketched brackets and what lies below, in one pass where the
+    brackets are small; returns the brackets that are still open. What is observed on the
+    way counts the rows of a repeated task twice: it holds only if the rows seen of each
+    column are as many as there are."""
+    small = [b for b in brackets if b.low is not None and b.low == b.high or 2 * b.error * counts[b.column] <= INSIDE]
+    if not small:
+        return brackets
+    seen = [(Observation(), some) for some in _groups(sorted({b.column for b in small}))]
+    found = _inside([(d.observe(o, *[F.count(xs[i]).alias(f"n{i}") for i in some], *[F.count_if(b.under(xs[b.column])).alias(f"b{k}") for k, b in enumerate(small) if b.column in some]), some)
+                     for o, some in seen], xs, small, types)
+    got = {k: v for o, _ in seen for k, v in o.get.items()}
+    if any(got[f"n{i}"] != counts[i] for _, some in seen for i in some):
+        return brackets
+    left = [b for b in brackets if b not in small]
+    for k, (b, values) in enumerate(zip(small, found, strict=True)):
+        b.below = got[f"b{k}"]
+        ends = _ends(b, values)
+        if None in ends:
+            left.append(b)
+        else:
+            out[cols[b.column]][b.p] = (*ends, b.share)
+    return left
+
+
+def _groups(columns: Sequence[int]) -> list[list[int]]:
+    """Columns that share an aggregation: few, so that its code compiles; each reads its columns alone."""
+    columns = list(columns)
+    return [columns[k:k + COLUMNS] for k in range(0, len(columns), COLUMNS)]
+
+
+def _union(parts) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _inside(parts: list[tuple[DataFrame, list[int]]], xs: list[Column], brackets: list[_Bracket], types: list[T.DataType]) -> list[list]:
+    """The distinct values inside each bracket and their counts, in order. ``parts``: the
+    table, once for each group of columns."""
+    cells = []
+    for d, some in parts:
+        own = [(k, b, b.inside(xs[b.column])) for k, b in enumerate(brackets) if b.column in some]
+        cells.append(d.where(reduce(Column.__or__, [inside for _, _, inside in own])).select(F.inline(F.array(*[
+            F.struct(F.lit(k).alias("t"), F.when(inside, F.col(f"v{b.column}").cast("string")).alias("x")) for k, b, inside in own]))))
+    found = _union(cells).where("x is not null").groupBy("t", "x").agg(F.count(F.lit(1)).alias("n")).collect()
     values: list[list] = [[] for _ in brackets]
     for r in found:
         dt = types[brackets[r["t"]].column]
         read = float if is_floating(dt) else Decimal if isinstance(dt, T.DecimalType) else int
         values[r["t"]].append((read(r["x"]), r["n"]))
-    out = []
-    for b, some in zip(brackets, values, strict=True):
-        at, ends = b.below, [None, None]
-        for x, n in sorted(some):
-            for k, rank in enumerate((b.first, b.last)):
-                if at <= rank < at + n:
-                    ends[k] = x
-            at += n
-        out.append(ends)
-    return out
+    return [sorted(v) for v in values]
+
+
+def _ends(b: _Bracket, values: list) -> list:
+    """The values at the two ranks of a bracket; None where it has missed one."""
+    at, ends = b.below, [None, None]
+    for x, n in values:
+        for k, rank in enumerate((b.first, b.last)):
+            if at <= rank < at + n:
+                ends[k] = x
+        at += n
+    return ends
 
 
 def _between(found: tuple) -> float:

@@ -9,6 +9,7 @@ reference does.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,10 @@ from ..functions.modes import value_summary
 from ..functions.quantiles import quantile_values, quantiles
 
 
+#: Columns whose exact moments one aggregation computes: more would not compile into one method.
+MOMENT_COLUMNS = 4
+
+
 def _present(df: DataFrame, c: str) -> Column:
     return missing_as_null(df, c)
 
@@ -116,8 +121,8 @@ def duplicates(df: DataFrame, digits: int = 1) -> DataFrame:
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """P6 (numbers): ``(column, count, mean, std, min, p25, p50, p75, max)`` per numeric column.
 
-    Moments for all columns in one aggregation; quartiles from the distributed
-    exact quantiles (``approx=True``: ``percentile_approx``).
+    Moments of ``MOMENT_COLUMNS`` columns in one aggregation, which reads only these;
+    quartiles from the exact quantiles (``approx=True``: ``percentile_approx``).
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
     if not cols:
@@ -125,17 +130,17 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: b
             [], "column string, count long, mean double, std double, min double, p25 double, "
                 "p50 double, p75 double, max double")
     require_columns(df, *cols)
-    aggs = []
-    for i, c in enumerate(cols):
-        v, dt = _present(df, c), df.schema[c].dataType
-        aggs += [F.count(v).alias(f"n{i}"), mean_of(v, dt).alias(f"m{i}"), std_of(v, dt).alias(f"s{i}"),
-                 F.min(v).cast("double").alias(f"lo{i}"), F.max(v).cast("double").alias(f"hi{i}")]
-    row = df.agg(*aggs)
-    items = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
-                      F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"),
-                      F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
-             for i, c in enumerate(cols)]
-    moments = row.select(F.inline(F.array(*items)))
+    parts = []
+    for start in range(0, len(cols), MOMENT_COLUMNS):
+        aggs, items = [], []
+        for i, c in list(enumerate(cols))[start:start + MOMENT_COLUMNS]:
+            v, dt = _present(df, c), df.schema[c].dataType
+            aggs += [F.count(v).alias(f"n{i}"), mean_of(v, dt).alias(f"m{i}"), std_of(v, dt).alias(f"s{i}"),
+                     F.min(v).cast("double").alias(f"lo{i}"), F.max(v).cast("double").alias(f"hi{i}")]
+            items.append(F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"m{i}").alias("mean"),
+                                  F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max")))
+        parts.append(df.agg(*aggs).select(F.inline(F.array(*items))))
+    moments = reduce(DataFrame.unionByName, parts)
     q = quantiles(df, cols, [0.25, 0.5, 0.75], approx=approx)
     qw = q.groupBy("column").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(name)
                                    for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])

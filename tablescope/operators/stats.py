@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import (col_of, missing_as_null, numeric_columns, require_columns, require_numeric)
-from ..functions.exprs import corr_of, is_exact_numeric, mean_of, pct, std_of, sum_of
+from ..functions.comoments import correlations
+from ..functions.exprs import mean_of, pct, std_of, sum_of
 
 GROUP_FUNCS = ("sum", "mean", "count", "std")
 
@@ -76,134 +76,23 @@ def value_counts(df: DataFrame, col: str, n: int | None = 20, digits: int = 2) -
     return ranked.select(col_of(col), "count", pct(F.col("count"), F.lit(total), digits).alias("pct"))
 
 
-WIDE_COLUMNS = 8
-
-
-def _varies(c: str, dt: T.DataType):
-    """Whether a column has two different values; exact numerics are not cast for it."""
-    return F.min(col_of(c)) < F.max(col_of(c)) if is_exact_numeric(dt) else F.stddev_samp(col_of(c)) > 0
-
-
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns, long form
     ``(col_x, col_y, ix, iy, r)``.
 
     Pairwise complete (rows where both are present), NULL for a constant column
     (instead of an ANSI divide error), 1.0 on the diagonal of a non-constant
-    column. Pairs of integer/decimal columns are exact at every width. Up to
-    ``WIDE_COLUMNS`` columns all pairs come from ONE aggregation; wider inputs use
-    the same exact sums in long form, one row per pair, and masked co-moment
-    matrices per partition for pairs with a floating column
-    (``_wide_correlation``): no plan holds k*k expressions.
+    column. Pairs of integer and decimal columns are exact, whatever their size and
+    however many columns there are. One pass, see ``functions/comoments.py``.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
     for c in cols:
         require_numeric(df, c)
     if not cols:
         raise ValueError("no numeric columns for correlation")
-    if len(cols) > WIDE_COLUMNS:
-        return _wide_correlation(df, cols)
-    d = df.select(*[missing_as_null(df, c).alias(c) for c in cols])
-    types = {c: df.schema[c].dataType for c in cols}
-    aggs = []
-    for i, a in enumerate(cols):
-        aggs.append(_varies(a, types[a]).alias(f"s{i}"))
-        for j in range(i + 1, len(cols)):
-            b = cols[j]
-            aggs.append(corr_of(col_of(a), col_of(b), types[a], types[b]).alias(f"r{i}_{j}"))
-    row = d.agg(*aggs)
-    cells = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if i == j:
-                r = F.when(F.col(f"s{i}"), F.lit(1.0))
-            else:
-                r = F.col(f"r{min(i, j)}_{max(i, j)}")
-            cells.append(F.struct(F.lit(a).alias("col_x"), F.lit(b).alias("col_y"),
-                                  F.lit(i).alias("ix"), F.lit(j).alias("iy"), r.cast("double").alias("r")))
-    return row.select(F.inline(F.array(*cells)))
-
-
-def _comoments(shift, k):
-    """Per partition: masked co-moment sums of the shifted values, emitted as
-    rows ``(i, j, n, sx, sy, sxx, syy, sxy)`` for i <= j (numpy inside the task)."""
-    import numpy as np
-    import pandas as pd
-
-    def run(batches):
-        acc = None
-        for pdf in batches:
-            x = pdf.to_numpy(dtype="float64", na_value=np.nan) - shift
-            m = ~np.isnan(x)
-            z = np.where(m, x, 0.0)
-            mf = m.astype("float64")
-            part = (mf.T @ mf, z.T @ mf, (z * z).T @ mf, z.T @ z)
-            acc = part if acc is None else tuple(a + b for a, b in zip(acc, part))
-        if acc is None:
-            return
-        n, s, q, p = acc
-        iu, ju = np.triu_indices(k)
-        yield pd.DataFrame({"i": iu.astype("int32"), "j": ju.astype("int32"), "n": n[iu, ju],
-                            "sx": s[iu, ju], "sy": s[ju, iu], "sxx": q[iu, ju], "syy": q[ju, iu],
-                            "sxy": p[iu, ju]})
-    return run
-
-
-def _wide_correlation(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise-complete Pearson r for many columns. Pairs of exact columns: long
-    form, one row per pair and row, summed exactly by a partial+final group-by, one
-    pass per combination of types. Pairs with a floating column: see ``_floating``."""
-    types = [df.schema[c].dataType for c in cols]
-    exact = [i for i, t in enumerate(types) if is_exact_numeric(t)]
-    kinds = {i: types[i] if isinstance(types[i], T.DecimalType) else T.LongType() for i in exact}
-    d = df.select(*[missing_as_null(df, c).alias(c) for c in cols])
-    parts = [_floating(d, cols, exact)] if len(exact) < len(cols) else []
-    combos: dict[tuple, list] = {}
-    for i in exact:
-        for j in exact:
-            if i < j:
-                combos.setdefault((kinds[i].simpleString(), kinds[j].simpleString()), []).append((i, j))
-    for pairs in combos.values():
-        x, y = (kinds[i] for i in pairs[0])
-        cells = [F.struct(F.lit(i).alias("ix"), F.lit(j).alias("iy"), col_of(cols[i]).cast(x).alias("x"),
-                          col_of(cols[j]).cast(y).alias("y")) for i, j in pairs]
-        parts.append(d.select(F.inline(F.array(*cells))).groupBy("ix", "iy").agg(corr_of(F.col("x"), F.col("y"), x, y).alias("r")))
-    if exact:
-        row = d.agg(F.count(F.lit(1)).alias("n"), *[_varies(cols[i], types[i]).alias(f"s{i}") for i in exact]).where("n > 0")
-        parts.append(row.select(F.inline(F.array(*[F.struct(F.lit(i).alias("ix"), F.lit(i).alias("iy"), F.when(F.col(f"s{i}"), F.lit(1.0)).alias("r"))
-                                                   for i in exact]))))
-    upper = parts[0]
-    for part in parts[1:]:
-        upper = upper.unionByName(part)
     names = F.array(*[F.lit(c) for c in cols])
-    lower = upper.where(F.col("ix") != F.col("iy")).select(F.col("iy").alias("ix"), F.col("ix").alias("iy"), "r")
-    both = upper.unionByName(lower)
-    return both.select(F.element_at(names, F.col("ix") + 1).alias("col_x"),
-                       F.element_at(names, F.col("iy") + 1).alias("col_y"), "ix", "iy", "r")
-
-
-def _floating(d: DataFrame, cols: list[str], exact: list[int]) -> DataFrame:
-    """(ix, iy, r) for ix <= iy where not both are ``exact``: per-column means (one
-    aggregation, used as shifts against cancellation), then per-partition masked
-    co-moment matrices (mapInPandas, numpy) summed by a partial+final group-by
-    on (i, j); k*(k+1)/2 small rows per partition are shuffled."""
-    k = len(cols)
-    d = d.select(*[col_of(c).cast("double").alias(c) for c in cols])
-    means = d.agg(*[F.avg(col_of(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    import numpy as np
-    shift = np.array([means[f"m{i}"] if means[f"m{i}"] is not None else 0.0 for i in range(k)])
-    schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    sums = d.mapInPandas(_comoments(shift, k), schema).groupBy("i", "j").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    cov = n * F.col("sxy") - sx * sy
-    vx = n * F.col("sxx") - sx * sx
-    vy = n * F.col("syy") - sy * sy
-    ok = (n >= 2) & (vx > 0) & (vy > 0)
-    r = F.when(ok, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cov / (F.sqrt(vx) * F.sqrt(vy)))))
-    r = F.when(F.col("i") == F.col("j"), F.when(ok, F.lit(1.0))).otherwise(r)
-    out = sums.select(F.col("i").alias("ix"), F.col("j").alias("iy"), r.alias("r"))
-    return out.where(~(F.col("ix").isin(exact) & F.col("iy").isin(exact))) if exact else out
+    return correlations(df, cols).select(F.element_at(names, F.col("ix") + 1).alias("col_x"),
+                                         F.element_at(names, F.col("iy") + 1).alias("col_y"), "ix", "iy", "r")
 
 
 def strong_correlations(df: DataFrame, cols: Sequence[str] | None = None,
