@@ -220,6 +220,27 @@ def q_describe_text(spark, d):
     return profile.describe_text(gapped_orders(spark, d))
 
 
+_EVERY = {"o_orderkey": "o_orderkey", "o_orderpriority": "o_orderpriority", "o_orderdate": "o_orderdate", "day": "CAST(o_orderdate AS DATE)",
+          "final": "CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus = 'F' END", "nothing": "CAST(NULL AS BOOLEAN)"}
+_EVERY_KIND = ["numeric", "text", "datetime", "datetime", "boolean", "boolean"]
+
+
+def _every_sql(i, c, e, kind):
+    t = f"(SELECT {e} AS x FROM {GAPPED})"
+    named = kind != "numeric"
+    top = f"(SELECT CAST(x AS VARCHAR) AS v, count(*) AS n FROM {t} WHERE x IS NOT NULL GROUP BY x ORDER BY n DESC, v LIMIT 1)"
+    sized = kind in ("numeric", "datetime")
+    return (f"SELECT {i} AS position, '{c}' AS column, '{kind}' AS type_class, count(x) AS count, "
+            + (f"count(DISTINCT x) AS unique, (SELECT v FROM {top}) AS top, (SELECT n FROM {top}) AS freq, " if named else
+               "CAST(NULL AS BIGINT) AS unique, CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq, ")
+            + (f"CAST(min(x) AS VARCHAR) AS min, CAST(max(x) AS VARCHAR) AS max FROM {t}" if sized else f"CAST(NULL AS VARCHAR) AS min, CAST(NULL AS VARCHAR) AS max FROM {t}"))
+
+
+@register("describe_all", " UNION ALL ".join(_every_sql(i, c, e, k) for i, ((c, e), k) in enumerate(zip(_EVERY.items(), _EVERY_KIND, strict=True))))
+def q_describe_all(spark, d):
+    return profile.describe_all(gapped_orders(spark, d).selectExpr(*[f"{e} AS {c}" for c, e in _EVERY.items()]))
+
+
 @register("column_profile", f"""
 SELECT 'o_totalprice' AS column, 'double' AS dtype, count(DISTINCT o_totalprice) AS distinct,
   count(*) - count(o_totalprice) AS nulls, {_r("100.0 * (count(*) - count(o_totalprice)) / count(*)", 1)} AS null_pct,
@@ -448,7 +469,9 @@ def messy_orders(spark, d):
 
 _STRP = {"yyyy/MM/dd": "%Y/%m/%d", "MM/dd/yyyy": "%m/%d/%Y", "dd-MM-yyyy": "%d-%m-%Y",
          "dd.MM.yyyy": "%d.%m.%Y", "yyyyMMdd": "%Y%m%d", "yyyy/MM/dd HH:mm:ss": "%Y/%m/%d %H:%M:%S",
-         "MM/dd/yyyy HH:mm:ss": "%m/%d/%Y %H:%M:%S", "dd-MM-yyyy HH:mm:ss": "%d-%m-%Y %H:%M:%S"}
+         "MM/dd/yyyy HH:mm:ss": "%m/%d/%Y %H:%M:%S", "dd-MM-yyyy HH:mm:ss": "%d-%m-%Y %H:%M:%S",
+         "d-MMM-yyyy": "%d-%b-%Y", "d MMM yyyy": "%d %b %Y", "MMM d, yyyy": "%b %d, %Y",
+         "d-MMMM-yyyy": "%d-%B-%Y", "d MMMM yyyy": "%d %B %Y", "MMMM d, yyyy": "%B %d, %Y"}
 
 
 def _parse_date_sql(c):
@@ -492,6 +515,17 @@ def q_coerce_dates(spark, d):
     return out.select("o_orderkey", F.date_format("d_text", "yyyy-MM-dd").alias("d"))
 
 
+@register("coerce_dates_months", f"""
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders WHERE o_orderkey % 5 < 4 AND o_orderdate IS NOT NULL""")
+def q_coerce_dates_months(spark, d):
+    """Dates with the month's name, short and whole, in four layouts; the fifth is no date and is dropped."""
+    o = load(spark, d, "orders")
+    forms = [F.date_format("o_orderdate", f) for f in ("dd-MMM-yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy")] + [F.lit("Smarch 13, 1995")]
+    text = F.element_at(F.array(*forms), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    out = trend.coerce_dates(o.select("o_orderkey", text.alias("d_text")), "d_text")
+    return out.select("o_orderkey", F.date_format("d_text", "yyyy-MM-dd").alias("d"))
+
+
 @register("coerce_numbers", f"""
 SELECT o_orderkey, v FROM (SELECT o_orderkey, TRY_CAST(v_text AS DOUBLE) AS v FROM {MESSY})
 WHERE v IS NOT NULL AND NOT isnan(v)""")
@@ -702,6 +736,25 @@ def q_strong_correlations(spark, d):
     return stats.strong_correlations(p, _PART_CORR)
 
 
+_SIGNED = {"up": "l_linenumber", "up2": "l_linenumber * 2 + l_orderkey % 2", "down": "l_partkey % 2 - l_linenumber * 3", "flat": "7",
+           "gaps": "CASE WHEN l_orderkey % 3 > 0 THEN l_linenumber * 5 + l_suppkey % 3 END", "other": "l_partkey % 101"}
+_SIGNED_TABLE = "(SELECT " + ", ".join(f"CAST({e} AS BIGINT) AS {c}" for c, e in _SIGNED.items()) + " FROM lineitem)"
+
+
+def _signed_sql(x, y):
+    a, b = f"CAST({x} AS DECIMAL(38,0))", f"CAST({y} AS DECIMAL(38,0))"
+    co = lambda p, q: f"CAST(count(*) * sum({p} * {q}) - sum({p}) * sum({q}) AS DOUBLE)"
+    return (f"SELECT '{x}' AS col_x, '{y}' AS col_y, {co(a, b)} / NULLIF(sqrt({co(a, a)}) * sqrt({co(b, b)}), 0) AS r "
+            f"FROM {_SIGNED_TABLE} WHERE {x} IS NOT NULL AND {y} IS NOT NULL")
+
+
+@register("strong_correlations_signed", f"SELECT col_x, col_y, {_r('r', 3)} AS r FROM (" + " UNION ALL ".join(
+    _signed_sql(x, y) for i, x in enumerate(_SIGNED) for y in list(_SIGNED)[i + 1:]) + ") WHERE abs(r) > 0.5")
+def q_strong_correlations_signed(spark, d):
+    """Pairs above 0.5, below -0.5 and without a correlation (a constant column)."""
+    return stats.strong_correlations(load(spark, d, "lineitem").selectExpr(*[f"CAST({e} AS BIGINT) AS {c}" for c, e in _SIGNED.items()]))
+
+
 # ---------------------------------------------------------------- V1-V7: chart data
 @register("chart_bar_count", """
 SELECT source, count(*) AS count FROM documents WHERE source IS NOT NULL
@@ -728,6 +781,31 @@ def q_chart_pie(spark, d):
     return chartdata.pie(load(spark, d, "customer"), "c_mktsegment", 10)
 
 
+@register("chart_bar_count_rows", """
+SELECT source, count(*) AS count, (SELECT count(source) FROM documents) AS rows_used FROM documents WHERE source IS NOT NULL
+GROUP BY source ORDER BY count DESC, source LIMIT 7""")
+def q_chart_bar_count_rows(spark, d):
+    return chartdata.bar(load(spark, d, "documents"), "source", n=7, rows_used=True)
+
+
+@register("chart_bar_sum_rows", f"""
+SELECT o_orderpriority, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS sum,
+  (SELECT count(*) FROM {GAPPED} WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL) AS rows_used FROM {GAPPED}
+WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL
+GROUP BY o_orderpriority ORDER BY sum DESC, o_orderpriority LIMIT 3""")
+def q_chart_bar_sum_rows(spark, d):
+    o = gapped_orders(spark, d).select("o_orderpriority", _cents("o_totalprice"))
+    out = chartdata.bar(o, "o_orderpriority", "o_totalprice", n=3, rows_used=True)
+    return out.select("o_orderpriority", F.col("sum").cast("double").alias("sum"), "rows_used")
+
+
+@register("chart_pie_rows", f"""
+WITH t AS (SELECT lang, count(*) AS count FROM documents WHERE lang IS NOT NULL GROUP BY lang ORDER BY count DESC, lang LIMIT 3)
+SELECT lang, count, {_r('100.0 * count / (SELECT sum(count) FROM t)', 1)} AS share_pct, (SELECT count(lang) FROM documents) AS rows_used FROM t""")
+def q_chart_pie_rows(spark, d):
+    return chartdata.pie(load(spark, d, "documents"), "lang", 3, rows_used=True)
+
+
 @register("chart_line", f"""
 SELECT strftime(day, '%Y-%m-%d') AS day, m AS mean, sd AS std, n AS count,
        m - 1.96 * sd / sqrt(CAST(n AS DOUBLE)) AS ci_low, m + 1.96 * sd / sqrt(CAST(n AS DOUBLE)) AS ci_high
@@ -844,7 +922,48 @@ def q_audit_log(spark, d):
     _, audit = steps.apply_steps(load(spark, d, "orders"), _STEPS, with_counts=True)
     path = scratch_path(spark, "audit")
     sources.append_log(spark, audit, path)
-    return sources.read_log(spark, path).drop("logged_at")
+    return sources.read_log(spark, path).drop("logged_at", "columns_before", "columns_after")
+
+
+_ALL_VERBS = [
+    {"op": "select", "cols": ["o_orderkey", "o_custkey", "o_orderstatus AS status", "o_totalprice", "o_orderpriority", "o_orderdate"]},
+    {"op": "rename", "mapping": {"o_totalprice": "price", "o_orderpriority": "priority"}},
+    {"op": "cast", "col": "price", "type": "decimal(18,2)"},
+    {"op": "dropna", "subset": ["price"]},
+    {"op": "fillna", "values": {"priority": "none"}},
+    {"op": "replace", "col": "priority", "mapping": {"1-URGENT": "urgent", "5-LOW": "low"}},
+    {"op": "derive", "name": "bucket", "expr": "o_custkey % 97"},
+    {"op": "filter", "cond": "bucket < 90 AND priority <> 'low'"},
+    {"op": "drop", "cols": ["o_custkey", "o_orderdate", "o_orderkey", "price"]},
+    {"op": "dedupe"},
+    {"op": "sort", "cols": ["bucket", "priority", "status"]},
+    {"op": "limit", "n": 200},
+    {"op": "aggregate", "keys": ["priority"], "exprs": {"n": "count(*)", "buckets": "count(DISTINCT bucket)"}},
+]
+_VERB_SQL = f"""
+s4 AS (SELECT o_orderkey, o_custkey, o_orderstatus AS status, CAST(o_totalprice AS DECIMAL(18,2)) AS price,
+         CASE coalesce(o_orderpriority, 'none') WHEN '1-URGENT' THEN 'urgent' WHEN '5-LOW' THEN 'low' ELSE coalesce(o_orderpriority, 'none') END AS priority
+       FROM {GAPPED} WHERE o_totalprice IS NOT NULL),
+s8 AS (SELECT status, priority, o_custkey % 97 AS bucket FROM s4 WHERE o_custkey % 97 < 90 AND priority <> 'low'),
+s10 AS (SELECT DISTINCT status, priority, bucket FROM s8),
+s12 AS (SELECT * FROM s10 ORDER BY bucket, priority, status LIMIT 200),
+s13 AS (SELECT priority, count(*) AS n, count(DISTINCT bucket) AS buckets FROM s12 GROUP BY priority)"""
+
+
+@register("apply_all_verbs", f"WITH {_VERB_SQL} SELECT * FROM s13")
+def q_apply_all_verbs(spark, d):
+    return steps.apply_steps(gapped_orders(spark, d), _ALL_VERBS, with_counts=False)[0]
+
+
+_VERB_ROWS = [(0, 0, 6, 6), (0, 0, 6, 6), (0, 0, 6, 6), (0, 4, 6, 6), (4, 4, 6, 6), (4, 4, 6, 6), (4, 4, 6, 7), (4, 8, 7, 7), (8, 8, 7, 3), (8, 10, 3, 3), (10, 10, 3, 3),
+              (10, 12, 3, 3), (12, 13, 3, 3)]
+
+
+@register("audit_all_verbs", f"WITH s0 AS (SELECT 1 FROM orders), {_VERB_SQL} " + " UNION ALL ".join(
+    f"SELECT {i + 1} AS step_no, '{step['op']}' AS operation, (SELECT count(*) FROM s{b}) AS rows_before, (SELECT count(*) FROM s{a}) AS rows_after, "
+    f"{cb} AS columns_before, {ca} AS columns_after" for i, (step, (b, a, cb, ca)) in enumerate(zip(_ALL_VERBS, _VERB_ROWS, strict=True))))
+def q_audit_all_verbs(spark, d):
+    return steps.apply_steps(gapped_orders(spark, d), _ALL_VERBS)[1].drop("detail")
 
 
 # ---------------------------------------------------------------- S1-S7, S10: sources and sinks
@@ -898,6 +1017,25 @@ def q_load_summary(spark, d):
     return sources.load_summary(sources.read_delimited(spark, _gapped_csv(spark, d)))
 
 
+@register("load_files", "SELECT 1 AS files, count(*) + 1 AS lines, count(*) AS original_rows, 6 AS original_columns, true AS known FROM orders")
+def q_load_files(spark, d):
+    """One row for each input file of a load, here added up: names and sizes differ from run to run."""
+    one = gapped_orders(spark, d).coalesce(1)
+    path = sources.write_table(one, scratch_path(spark, "one-file"), "csv", sep=";", null_value="NA")
+    f = sources.load_files(spark, path)
+    whole = F.col("file_name").endswith(".csv") & F.col("file_path").contains("one-file") & (F.col("file_size") > 0) & (F.col("modified") <= F.col("loaded_at"))
+    return f.groupBy("original_rows", "original_columns").agg(F.count("*").cast("int").alias("files"), F.sum("lines").alias("lines"), F.min(whole).alias("known"))
+
+
+@register("load_first_rows", f"SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate) FROM {GAPPED} ORDER BY o_orderkey LIMIT 3")
+def q_load_first_rows(spark, d):
+    """The first three rows of a load whose one file was written in the order of o_orderkey."""
+    g = gapped_orders(spark, d).orderBy("o_orderkey").coalesce(1)
+    g = g.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    path = sources.write_table(g, scratch_path(spark, "first-rows"), "csv", sep=";", null_value="NA")
+    return sources.head_rows(sources.read_delimited(spark, path), 3)
+
+
 @register("columns_by_type", _GAPPED_CSV_TYPES)
 def q_columns_by_type(spark, d):
     return profile.columns_by_type(sources.read_delimited(spark, _gapped_csv(spark, d)))

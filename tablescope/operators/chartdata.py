@@ -6,7 +6,7 @@ Every chart first drops rows missing in x (and y), as the reference does.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col_of, TEXT, missing_as_null, require_columns, require_numeric, type_class
@@ -27,26 +27,35 @@ def _present(df: DataFrame, x: str, y: str | None = None) -> DataFrame:
     return d.where(cond)
 
 
-def bar(df: DataFrame, x: str, y: str | None = None, n: int | None = None) -> DataFrame:
+def _largest(d: DataFrame, x: str, name: str, agg: Column, n: int, rows_used: bool) -> DataFrame:
+    """The ``n`` groups of the largest ``agg``, ties by x. With ``rows_used``, the rows of
+    all groups beside each: groups and total come from one ROLLUP, one read of the rows."""
+    if not rows_used:
+        return d.groupBy(col_of(x)).agg(agg.alias(name)).orderBy(F.col(name).desc(), col_of(x).asc()).limit(n)
+    both = d.rollup(col_of(x)).agg(agg.alias(name), F.count(F.lit(1)).alias("_rows"), F.grouping_id().alias("_level"))
+    top = both.orderBy(F.col("_level").desc(), F.col(name).desc(), col_of(x).asc()).limit(n + 1)  # the total comes first
+    every = Window.partitionBy(F.lit(1))  # over at most n + 1 rows
+    return (top.withColumn("rows_used", F.max(F.when(F.col("_level") == 1, F.col("_rows"))).over(every)).where("_level = 0")
+            .orderBy(F.col(name).desc(), col_of(x).asc()).select(col_of(x), name, "rows_used"))
+
+
+def bar(df: DataFrame, x: str, y: str | None = None, n: int | None = None, rows_used: bool = False) -> DataFrame:
     """V1/V2: without ``y`` the ``n`` (20) most frequent x ``(x, count)``; with a
-    numeric ``y`` the ``n`` (15) largest sums ``(x, sum)``. Ties by x."""
+    numeric ``y`` the ``n`` (15) largest sums ``(x, sum)``. Ties by x. ``rows_used``
+    adds how many rows the chart is made of, shown or not."""
     d = _present(df, x, y)
     if not y:
-        out = d.groupBy(col_of(x)).agg(F.count(F.lit(1)).alias("count"))
-        return out.orderBy(F.col("count").desc(), col_of(x).asc()).limit(n or 20)
+        return _largest(d, x, "count", F.count(F.lit(1)), n or 20, rows_used)
     require_numeric(df, y)
-    out = d.groupBy(col_of(x)).agg(F.sum(col_of(y)).alias("sum"))
-    return out.orderBy(F.col("sum").desc(), col_of(x).asc()).limit(n or 15)
+    return _largest(d, x, "sum", F.sum(col_of(y)), n or 15, rows_used)
 
 
-def pie(df: DataFrame, x: str, n: int = 10, digits: int = 1) -> DataFrame:
+def pie(df: DataFrame, x: str, n: int = 10, digits: int = 1, rows_used: bool = False) -> DataFrame:
     """V4: the ``n`` most frequent values and their share of the ``n`` shown
-    ``(x, count, share_pct)`` (the reference's pie labels)."""
-    d = _present(df, x)
-    top = (d.groupBy(col_of(x)).agg(F.count(F.lit(1)).alias("count"))
-           .orderBy(F.col("count").desc(), col_of(x).asc()).limit(n))
+    ``(x, count, share_pct)`` (the reference's pie labels); ``rows_used`` as in ``bar``."""
+    top = _largest(_present(df, x), x, "count", F.count(F.lit(1)), n, rows_used)
     shown = F.sum("count").over(Window.partitionBy(F.lit(1)))  # over at most n rows
-    return top.select(col_of(x), "count", pct(F.col("count"), shown, digits).alias("share_pct"))
+    return top.select(col_of(x), "count", pct(F.col("count"), shown, digits).alias("share_pct"), *(["rows_used"] if rows_used else []))
 
 
 def line(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import (col_of, NUMERIC, columns_of_class, missing_as_null, numeric_columns, require_columns,
+from ..functions.columns import (BOOLEAN, DATETIME, TEXT, col_of, NUMERIC, columns_of_class, missing_as_null, numeric_columns, require_columns,
                                  text_columns, type_class)
 from ..functions.exprs import mean_of, pct, std_of
 from ..functions.modes import value_summary
@@ -170,6 +170,41 @@ def describe_text(df: DataFrame, cols: Sequence[str] | None = None, approx: bool
     return out.select("column", "count", F.coalesce(F.col("unique"), F.lit(0)).alias("unique"), "top", "freq")
 
 
+def describe_all(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """P6, every column: ``(position, column, type_class, count, unique, top, freq, min, max)``.
+
+    ``top`` is the most frequent value, the smallest on ties, ``freq`` its rows; ``min``
+    and ``max`` stand for columns with an order of size (numbers, dates, times; not
+    texts or booleans). Values are texts as Spark casts them. Counts and bounds of
+    ``MOMENT_COLUMNS`` columns in one aggregation; unique, top and freq of text,
+    boolean and datetime columns from one (column, value) pass (NULL for numbers).
+    A column of another kind (arrays, maps, binary) has its count only.
+    """
+    cols = list(cols) if cols is not None else df.columns
+    require_columns(df, *cols)
+    kinds = {c: type_class(df.schema[c].dataType) for c in cols}
+    parts = []
+    for start in range(0, len(cols), MOMENT_COLUMNS):
+        aggs, items = [], []
+        for i, c in list(enumerate(cols))[start:start + MOMENT_COLUMNS]:
+            v, sized = _present(df, c), kinds[c] in (NUMERIC, DATETIME)
+            none = F.lit(None).cast("string")
+            aggs += [F.count(v).alias(f"n{i}"), *([F.min(v).cast("string").alias(f"lo{i}"), F.max(v).cast("string").alias(f"hi{i}")] if sized else [])]
+            items.append(F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(kinds[c]).alias("type_class"), F.col(f"n{i}").alias("count"),
+                                  (F.col(f"lo{i}") if sized else none).alias("min"), (F.col(f"hi{i}") if sized else none).alias("max")))
+        parts.append(df.agg(*aggs).select(F.inline(F.array(*items))))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "position int, column string, type_class string, count long, unique long, top string, freq long, min string, max string")
+    out, named = reduce(DataFrame.unionByName, parts), [c for c in cols if kinds[c] in (TEXT, BOOLEAN, DATETIME)]
+    if named:
+        vs = value_summary(df.select(*[col_of(c).cast("string").alias(c) for c in named]), named)
+        out = out.join(F.broadcast(vs.select("column", F.col("distinct").alias("unique"), F.col("value").alias("top"), "freq")), "column", "left")
+    else:
+        out = out.select("*", F.lit(None).cast("long").alias("unique"), F.lit(None).cast("string").alias("top"), F.lit(None).cast("long").alias("freq"))
+    unique = F.when(F.col("type_class").isin(TEXT, BOOLEAN, DATETIME), F.coalesce("unique", F.lit(0).cast("long")))
+    return out.select("position", "column", "type_class", "count", unique.alias("unique"), "top", "freq", "min", "max")
+
+
 def column_profile(df: DataFrame, col: str, approx: bool = False, digits: int = 1) -> DataFrame:
     """P5: one row ``(column, dtype, distinct, nulls, null_pct, rows, count, mean, std,
     min, p25, p50, p75, max)``; the describe figures are NULL for a non-numeric column.
@@ -263,5 +298,5 @@ def columns_in_class(df: DataFrame, klass: str) -> list[str]:
 
 __all__ = ["columns_by_type", "types", "column_counts", "overview", "overview_of", "missing", "missing_of",
            "completeness_of", "duplicates", "describe_numeric",
-           "describe_text", "column_profile", "top_values", "samples", "completeness", "schema_map",
+           "describe_text", "describe_all", "column_profile", "top_values", "samples", "completeness", "schema_map",
            "columns_in_class"]

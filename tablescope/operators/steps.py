@@ -18,8 +18,6 @@ from ..functions.columns import col_of, DATETIME, missing_as_null, require_colum
 
 VERBS = ("filter", "select", "drop", "rename", "derive", "cast", "dropna", "fillna", "replace", "dedupe",
          "sort", "limit", "aggregate")
-# steps that never change the number of rows: their audit needs no counting job
-ROW_PRESERVING = ("drop", "rename", "derive", "cast", "fillna", "replace", "sort")
 
 
 def drop_missing(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
@@ -91,28 +89,64 @@ def _step(df: DataFrame, step: Mapping) -> tuple[DataFrame, str]:
     raise ValueError(f"unknown step '{op}'; use one of {list(VERBS)}")
 
 
+def _alive(df: DataFrame, step: Mapping, flag: str) -> DataFrame | None:
+    """``step`` on rows that carry ``flag``: rows that it drops stay, unflagged, and are
+    spared from its expressions. None for steps that need the rows themselves."""
+    op, held = step["op"], F.col(flag)
+    if op == "filter":
+        return df.withColumn(flag, held & F.coalesce(F.when(held, F.expr(step["cond"])), F.lit(False)))
+    if op == "dropna":
+        subset = step.get("subset") or [c for c in df.columns if not c.startswith(FLAG)]
+        require_columns(df, *subset)
+        present = F.lit(True)
+        for c in subset:
+            present = present & missing_as_null(df, c).isNotNull()
+        return df.withColumn(flag, held & present)
+    if op == "derive":
+        return df.withColumn(step["name"], F.when(held, F.expr(step["expr"])))
+    if op == "select":
+        return df.select(*[F.when(held, F.expr(e)).alias(n) for e, n in zip(step["cols"], df.select(*[F.expr(e) for e in step["cols"]]).columns, strict=True)],
+                         *[c for c in df.columns if c.startswith(FLAG)])
+    return None if op in ("dedupe", "limit", "aggregate") else _step(df, step)[0]
+
+
+def _row_counts(df: DataFrame, steps: Sequence[Mapping], stages: Sequence[DataFrame]) -> list[int]:
+    """Rows before the first step and after each. Steps that work row by row are counted
+    together in one pass over their input; dedupe, limit and aggregate start a new one."""
+    counts: list[int] = []
+    marked, flags = df.withColumn(f"{FLAG}0", F.lit(True)), [f"{FLAG}0"]
+    for k, step in enumerate([*steps, None]):
+        following = _alive(marked.withColumn(f"{FLAG}{k + 1}", F.col(flags[-1])), step, f"{FLAG}{k + 1}") if step else None
+        if following is not None:
+            marked, flags = following, [*flags, f"{FLAG}{k + 1}"]
+            continue
+        row = marked.agg(*[F.count_if(f).alias(f) for f in flags]).first()
+        counts += [row[f] for f in flags]
+        if step:
+            marked, flags = stages[k].withColumn(f"{FLAG}{k + 1}", F.lit(True)), [f"{FLAG}{k + 1}"]
+    return counts
+
+
+#: Names of the columns that mark which rows a step has kept while steps are counted.
+FLAG = "__kept_after_step_"
+
+
 def apply_steps(df: DataFrame, steps: Sequence[Mapping], with_counts: bool = True) -> tuple[DataFrame, DataFrame]:
     """Apply the steps in order; returns ``(result, audit)`` where the audit has
-    one row per step ``(step_no, operation, detail, rows_before, rows_after)``.
+    one row per step ``(step_no, operation, detail, rows_before, rows_after,
+    columns_before, columns_after)``.
 
-    Row counts cost one counting job per step that can change them (Spark
-    re-plans each prefix; filters still push down); row-preserving steps reuse
-    the previous count. ``with_counts=False`` leaves them NULL and runs no job.
+    Counting takes one pass for all steps up to a dedupe, limit or aggregate, and one
+    more for what follows each of those. ``with_counts=False`` leaves the row counts
+    NULL and runs no job.
     """
-    cur = df
-    audit = []
-    before = cur.count() if with_counts else None
-    for i, step in enumerate(steps):
-        cur, detail = _step(cur, step)
-        if not with_counts:
-            after = None
-        elif step["op"] in ROW_PRESERVING:
-            after = before
-        else:
-            after = cur.count()
-        audit.append((i + 1, step["op"], detail, before, after))
-        before = after
-    spark = df.sparkSession
-    frame = spark.createDataFrame(
-        audit, "step_no int, operation string, detail string, rows_before long, rows_after long")
-    return cur, frame
+    stages, details = [df], []
+    for step in steps:
+        out, detail = _step(stages[-1], step)
+        stages.append(out)
+        details.append(detail)
+    counts = _row_counts(df, steps, stages[1:]) if with_counts and steps else [None] * len(stages)
+    audit = [(i + 1, step["op"], details[i], counts[i], counts[i + 1], len(stages[i].columns), len(stages[i + 1].columns)) for i, step in enumerate(steps)]
+    frame = df.sparkSession.createDataFrame(
+        audit, "step_no int, operation string, detail string, rows_before long, rows_after long, columns_before int, columns_after int")
+    return stages[-1], frame

@@ -30,7 +30,8 @@ FREQS = ("D", "M", "Q", "Y")
 # The date formats tried, in order, after Spark's ISO cast.
 # Slashed dates are month-first unless more of the column reads day-first.
 DATE_FORMATS = ("yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "yyyyMMdd",
-                "yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd-MM-yyyy HH:mm:ss")
+                "yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd-MM-yyyy HH:mm:ss",
+                "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy", "d-MMMM-yyyy", "d MMMM yyyy", "MMMM d, yyyy")
 
 # Direction classes and their strict limits (percent).
 STRONG_UP, MODERATE_UP = "Strong Upward Trend", "Moderate Upward Trend"

@@ -194,6 +194,22 @@ def load_summary(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("_rows")).select(F.inline(F.array(*items)))
 
 
+def load_files(spark: SparkSession, path: str, dialect: Dialect | None = None) -> DataFrame:
+    """One row per input file of a load: ``(file_name, file_path, file_size, modified,
+    lines, original_rows, original_columns, loaded_at)``. The file's facts are Spark's
+    hidden ``_metadata`` of the scan that counts its lines; rows and columns are those
+    of the whole load, before anything is done to it."""
+    d = dialect or sniff(spark, path)
+    m = F.col("_metadata")
+    files = (spark.read.text(path).select(m["file_name"].alias("file_name"), m["file_path"].alias("file_path"), m["file_size"].alias("file_size"),
+                                          m["file_modification_time"].alias("modified"))
+             .groupBy("file_name", "file_path", "file_size", "modified").agg(F.count(F.lit(1)).alias("lines")))
+    raw = _read_text_columns(spark, path, d)
+    columns = [c for c in raw.columns if c != MALFORMED]
+    return files.select("*", F.lit(raw.select(columns[0]).count()).cast("long").alias("original_rows"), F.lit(len(columns)).alias("original_columns"),
+                        F.current_timestamp().alias("loaded_at"))
+
+
 def head_rows(df: DataFrame, n: int = 3) -> DataFrame:
     """The first ``n`` rows of a scan (a limit; order is the file order)."""
     return df.limit(n)
