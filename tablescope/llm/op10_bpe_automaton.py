@@ -112,7 +112,7 @@ class Automaton:
         key = (state, token)
         there = self.arcs.get(key)
         if there is None:
-            if len(self.arcs) > 2_000_000:
+            if len(self.arcs) > 500_000:
                 self.arcs.clear()
             there = self.arcs[key] = self._open(state, token, 1 << 60)
         return there
@@ -156,18 +156,22 @@ def splitter(special: dict):
     return split
 
 
+#: Words that a Python worker remembers; then it starts anew.
+REMEMBERED = 200_000
+
+
 class _Words(dict):
-    """word -> (ids, ids as text), filled by the automaton, bounded."""
+    """word -> (ids, ids as text if they are wanted), filled by the automaton, bounded."""
 
-    def __init__(self, automaton: Automaton):
+    def __init__(self, automaton: Automaton, said: bool):
         super().__init__()
-        self.automaton = automaton
+        self.automaton, self.said = automaton, said
 
     def __missing__(self, word: str):
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
         ids = self.automaton.encode_word(word.encode())
-        out = (ids, ",".join(map(str, ids)))
+        out = (ids, ",".join(map(str, ids)) if self.said else "")
         if len(word) <= 64:
             self[word] = out
         return out
@@ -178,7 +182,7 @@ def _encoder(vocabulary, digest: bool):
         table = vocabulary.value
         # one compiled automaton and one word memory per Python worker: later tasks of the worker find them beside the vocabulary
         if "words" not in table:
-            table["words"] = _Words(Automaton(table))
+            table["words"] = _Words(Automaton(table), digest)
         words, special, labels = table["words"], table["special"], table["labels"]
         split = splitter(special)
         sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -195,7 +199,8 @@ def _encoder(vocabulary, digest: bool):
                         elif piece:
                             found = list(map(words.__getitem__, piece))
                             out.extend(chain.from_iterable(map(itemgetter(0), found)))
-                            said.extend(map(itemgetter(1), found))
+                            if digest:
+                                said.extend(map(itemgetter(1), found))
                     if digest:
                         counts.append(len(out))
                         left.append(sha(",".join(said).encode()))

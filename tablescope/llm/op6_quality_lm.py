@@ -56,7 +56,7 @@ ORDER, KEEP, CHUNK_ROWS, CHUNK_BYTES, BITMAP_BITS, PROBES, STEPS = 4, 0.998, 200
 #: Entries of the model that are broadcast, at most; entries of a shard, about.
 CACHE, SHARD = 1 << 18, 100_000
 #: Code points whose windows are made in one go (or one text): bounds a task's memory, not what is read.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 _START, _END, _MARK = "\x02" * (ORDER - 1), "\x03", 2
 #: Multiplier of the running hash of code points, and what tells contexts from grams.
 _TIMES, _CONTEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
