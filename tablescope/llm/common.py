@@ -23,6 +23,18 @@ def pin(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of whole texts that are handed to Python at once.
+TEXTS_AT_ONCE = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to TEXTS_AT_ONCE: Spark's 10,000 rows of
+    long texts would stand in the JVM's and in Python's memory at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= TEXTS_AT_ONCE:
+        spark.conf.set(name, str(TEXTS_AT_ONCE))
+
+
 def words(text):
     """Array of the words of ``text`` (null text: no words)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")

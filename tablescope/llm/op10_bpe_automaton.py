@@ -41,6 +41,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablescope.llm.common import small_batches
+
 #: Fixed value: the split pattern of byte-level BPE (public with the vocabulary).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -213,11 +215,13 @@ def _encoder(vocabulary, digest: bool):
                                                       pa.array(right, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
+        words.clear()  # an idle worker holds the automaton alone
     return run
 
 
 def shipped(spark: SparkSession, path: str):
     """The vocabulary at ``path``, broadcast: a few MB, bounded by the file."""
+    small_batches(spark)
     return spark.sparkContext.broadcast(read_vocabulary(path))
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm.blocks import block_units, units
-from tablescope.llm.common import pin
+from tablescope.llm.common import pin, small_batches
 from tablescope.llm.components import components
 
 WORDS, BANDS, ROWS, BITS, SEED, PERCENT = 5, 32, 5, 4, 41, 75
@@ -251,6 +251,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
 
 def near_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = pin(docs.mapInArrow(_sketched(seed), f"doc_id {kind}, n_shingles long, rep long, bands array<long>, bits array<long>"), "sketches")

@@ -50,7 +50,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import pin
+from tablescope.llm.common import pin, small_batches
 
 ORDER, KEEP, CHUNK_ROWS, CHUNK_BYTES, BITMAP_BITS, PROBES, STEPS = 4, 0.998, 2000, 8_000_000, 26, 3, 500
 #: Entries of the model that are broadcast, at most; entries of a shard, about.
@@ -498,6 +498,7 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     log2_prob is by all counts; judged_prob, and so perplexity, without a trusted text's own."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
+    small_batches(docs.sparkSession)
     broadcast, ids = docs.sparkSession.sparkContext.broadcast, pin(trusted_ids(labels), "trusted-ids")
     bitmap = broadcast(_bitmap(ids))
     model = kneser_ney(pin(count_grams(trusted_texts(docs, ids, bitmap)), "trusted-grams"))
