@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +39,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(TEXTS_AT_ONCE))
 
 
+def lean(run):
+    """``run`` over batches; when a task is done its worker, which Spark keeps for the
+    next one, gives the memory it no longer needs back to the system."""
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+    return wrapped
+
+
 def words(text):
     """Array of the words of ``text`` (null text: no words)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")

@@ -41,7 +41,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import small_batches
+from tablescope.llm.common import lean, small_batches
 
 #: Fixed value: the split pattern of byte-level BPE (public with the vocabulary).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -159,7 +159,7 @@ def splitter(special: dict):
 
 
 #: Words that a Python worker remembers; then it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 class _Words(dict):
@@ -228,7 +228,7 @@ def shipped(spark: SparkSession, path: str):
 def encode_digest(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, decoded from its ids."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_encoder(shipped(docs.sparkSession, path), True),
+    return docs.select("doc_id", "text").mapInArrow(lean(_encoder(shipped(docs.sparkSession, path), True)),
                                                     f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -237,7 +237,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c != "ids"])
     from pyspark.sql import types as T
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(_encoder(shipped(docs.sparkSession, path), False), schema)
+    return docs.mapInArrow(lean(_encoder(shipped(docs.sparkSession, path), False)), schema)
 
 
 def decode(ids: DataFrame, path: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.llm.blocks import block_units, units
-from tablescope.llm.common import pin, small_batches
+from tablescope.llm.common import lean, pin, small_batches
 from tablescope.llm.components import components
 
 WORDS, BANDS, ROWS, BITS, SEED, PERCENT = 5, 32, 5, 4, 41, 75
@@ -246,7 +246,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
     """Join both whole texts to each pair (skewed joins are split by AQE) and check."""
     with_b = pairs.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
     both = with_b.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
-    return both.select("a", "b", "doc_a", "doc_b", "text_a", "text_b").mapInArrow(_confirmed, f"a {kind}, b {kind}")
+    return both.select("a", "b", "doc_a", "doc_b", "text_a", "text_b").mapInArrow(lean(_confirmed), f"a {kind}, b {kind}")
 
 
 def near_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -254,7 +254,7 @@ def near_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = pin(docs.mapInArrow(_sketched(seed), f"doc_id {kind}, n_shingles long, rep long, bands array<long>, bits array<long>"), "sketches")
+    rows = pin(docs.mapInArrow(lean(_sketched(seed)), f"doc_id {kind}, n_shingles long, rep long, bands array<long>, bits array<long>"), "sketches")
     named = rows.where("doc_id is not null and rep is not null")
     classes = named.groupBy("rep").agg(F.min("doc_id").alias("doc"))  # whose text is looked up
     reps = named.join(classes.withColumnRenamed("doc", "doc_id"), ["doc_id", "rep"]).dropDuplicates(["rep"]).select("rep", F.col("doc_id").alias("doc"), "bands", "bits")
@@ -284,9 +284,9 @@ def near_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     open_ = pin(placed.join(mixed, "band", "left_semi"), "open-buckets")
     wanted = open_.select("rep").distinct()
     fine = (texts.join(classes.join(wanted, "rep", "left_semi").select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-            .mapInArrow(_refined(seed), "rep long, n long, fine array<long>").dropDuplicates(["rep"]))
+            .mapInArrow(lean(_refined(seed)), "rep long, n long, fine array<long>").dropDuplicates(["rep"]))
     open_ = open_.withColumnRenamed("band", "bucket").join(pin(fine.join(reps.select("rep", "doc", "bits", "bands"), "rep"), "refined"), "rep")
-    rest = (block_units(open_, BLOCK, "rep").mapInArrow(_apart, "a long, b long, doc_a long, doc_b long").distinct()
+    rest = (block_units(open_, BLOCK, "rep").mapInArrow(lean(_apart), "a long, b long, doc_a long, doc_b long").distinct()
             .join(star, ["a", "b"], "left_anti"))
     second = pin(_confirm(rest, texts, kind), "links-2").distinct()
 

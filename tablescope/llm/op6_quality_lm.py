@@ -50,7 +50,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import pin, small_batches
+from tablescope.llm.common import lean, pin, small_batches
 
 ORDER, KEEP, CHUNK_ROWS, CHUNK_BYTES, BITMAP_BITS, PROBES, STEPS = 4, 0.998, 2000, 8_000_000, 26, 3, 500
 #: Entries of the model that are broadcast, at most; entries of a shard, about.
@@ -219,13 +219,13 @@ def trusted_texts(docs: DataFrame, ids: DataFrame, bitmap) -> DataFrame:
     """(packed): all trusted texts, compressed."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = (docs.where("text is not null").select("doc_id", "text", *[_probe(i).alias(f"p{i}") for i in range(PROBES)])
-             .mapInArrow(_packed(bitmap), f"doc_id {kind}, packed binary"))
+             .mapInArrow(lean(_packed(bitmap)), f"doc_id {kind}, packed binary"))
     return texts.join(ids, "doc_id", "left_semi").select("packed")
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
     """(gram, n): all 4-grams of all trusted text."""
-    return texts.mapInArrow(_counted, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(lean(_counted), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def count_trusted(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -512,14 +512,14 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     home = F.expr(f"cast(shiftrightunsigned(key, 33) % {shards} as bigint)")
     blocks = (table.groupBy(home.alias("shard")).agg(F.collect_list(F.struct("key", F.col("n").cast("double").alias("n"), "freed")).alias("x"))
               .select("shard", F.lit(None).cast("long").alias("chunk"), F.col("x.key").alias("keys"), F.col("x.n").alias("ns"), F.col("x.freed").alias("freed")))
-    asked = rows.mapInArrow(_requests(cache, shards), "shard long, chunk long, keys array<long>")
+    asked = rows.mapInArrow(lean(_requests(cache, shards)), "shard long, chunk long, keys array<long>")
     answers = (blocks.unionByName(asked, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", F.col("ns").isNull())
-               .mapInArrow(_answers, "chunk long, keys array<long>, ns array<double>, freed array<double>"))
+               .mapInArrow(lean(_answers), "chunk long, keys array<long>, ns array<double>, freed array<double>"))
     schema = StructType.fromDDL(_BODY.format(kind=kind))
     probed = rows.select("*", *[_probe(i).alias(f"p{i}") for i in range(PROBES)])
-    bodies = probed.mapInArrow(_bodies(to_arrow_schema(schema), bitmap), schema)
+    bodies = probed.mapInArrow(lean(_bodies(to_arrow_schema(schema), bitmap)), schema)
     scored = pin(bodies.unionByName(answers, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.col("packed").isNotNull())
-                 .mapInArrow(_scored(model_numbers(model), cache), f"doc_id {kind}, lang string, n_symbols long, log2_prob double, unseen_prob double"), "scored")
+                 .mapInArrow(lean(_scored(model_numbers(model), cache)), f"doc_id {kind}, lang string, n_symbols long, log2_prob double, unseen_prob double"), "scored")
     # only texts that may have been counted meet the trusted ids
     counted = F.col("doc_id").isNotNull() & F.col("unseen_prob").isNotNull()
     own = F.when(F.col("trusted"), F.col("unseen_prob")).otherwise(F.col("log2_prob")).alias("judged_prob")
