@@ -18,6 +18,8 @@ from ..functions.columns import col_of, DATETIME, missing_as_null, require_colum
 
 VERBS = ("filter", "select", "drop", "rename", "derive", "cast", "dropna", "fillna", "replace", "dedupe",
          "sort", "limit", "aggregate")
+# steps that never change the number of rows
+ROW_PRESERVING = ("drop", "rename", "derive", "cast", "fillna", "replace", "sort")
 
 
 def drop_missing(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
@@ -105,9 +107,12 @@ def _alive(df: DataFrame, step: Mapping, flag: str) -> DataFrame | None:
     if op == "derive":
         return df.withColumn(step["name"], F.when(held, F.expr(step["expr"])))
     if op == "select":
-        return df.select(*[F.when(held, F.expr(e)).alias(n) for e, n in zip(step["cols"], df.select(*[F.expr(e) for e in step["cols"]]).columns, strict=True)],
-                         *[c for c in df.columns if c.startswith(FLAG)])
-    return None if op in ("dedupe", "limit", "aggregate") else _step(df, step)[0]
+        flags = [c for c in df.columns if c.startswith(FLAG)]
+        names = df.drop(*flags).select(*[F.expr(e) for e in step["cols"]]).columns
+        if len(names) != len(step["cols"]):  # a star
+            return None
+        return df.select(*[F.when(held, F.expr(e)).alias(n) for e, n in zip(step["cols"], names, strict=True)], *flags)
+    return _step(df, step)[0] if op in ROW_PRESERVING else None
 
 
 def _row_counts(df: DataFrame, steps: Sequence[Mapping], stages: Sequence[DataFrame]) -> list[int]:
