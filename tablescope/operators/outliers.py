@@ -25,9 +25,8 @@ from ..functions.quantiles import quantile_values
 
 METHODS = ("zscore", "iqr", "both")
 
-# Verdicts of the combined ("both") report.
-VERDICT_FOUND = "outliers found: investigate them (entry errors, exceptional cases, measurement errors)"
-VERDICT_NONE = "no significant outliers detected by either method"
+#: Codes of the combined ("both") report.
+VERDICT_FOUND, VERDICT_NONE = "found", "none"
 
 
 @dataclass(frozen=True)
