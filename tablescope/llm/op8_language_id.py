@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tablescope.llm.common import TEXTS_AT_ONCE, held_out, lean, pin, small_batches
 
-DICTIONARY_BYTES, TOTAL_BYTES, LEVEL, LEAST_MARGIN, SEED, SALTS = 112_000, 16_000_000, 9, 0.02, 53, 64
+DICTIONARY_BYTES, TOTAL_BYTES, LEVEL, LEAST_MARGIN, SEED, SALTS = 112_000, 16_000_000, 6, 0.02, 53, 64
 
 _WORD = re.compile(r"[^\W\d_]+")
 
