@@ -100,13 +100,13 @@ def number_slots(df: DataFrame, shard: str, order: list[str], buckets: int = 102
 
     Rows that agree in all these columns are counted first (map-side), so a key
     repeated by a third of all rows is one counted row. Each shard is cut in
-    ``buckets`` hash buckets; bucket sizes (shards x buckets rows) give each
+    ``buckets`` hash buckets (crc32 of the values as text, joined by ``/``); bucket sizes (shards x buckets rows) give each
     bucket its first slot, and only inside a bucket are rows ranked. Counted
     rows are then unrolled, ``piece`` at a time. Returns shard, order..., slot.
     """
     cols = [shard, *order]
     counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+        "_b", F.pmod(F.crc32(F.concat_ws("/", *[F.col(c).cast("string") for c in order])), F.lit(buckets)).cast("int"))
     from pyspark.sql import Window
     sizes = counted.groupBy(shard, "_b").agg(F.sum("_n").alias("_size"))
     first = sizes.select(shard, "_b", (F.sum("_size").over(Window.partitionBy(shard).orderBy("_b")) - F.col("_size")).alias("_first"))

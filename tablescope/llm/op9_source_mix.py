@@ -11,8 +11,8 @@ reached.
 
 Only the per-pattern sums reach the driver, bounded by ``max_patterns`` (an
 error beyond it, never a cut). Selection is two-level: words per (pattern, hash
-bucket) give the bucket where an amount ends, and only those buckets' documents
-are ranked; every other document is decided by comparing hashes, so a source
+bucket) give the bucket where an amount ends (``bits_for`` cuts more buckets
+from more documents), and only those buckets' documents are ranked; every other document is decided by comparing hashes, so a source
 holding a third of all rows is spread over its buckets.
 
 Defined results: a null text has size 0; a null source (or an empty membership)
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tablescope.llm.common import bounded_rows, pin, word_count
 
-WEIGHTS, SHARE, REPEAT_COSTS, SEED, BUCKET_BITS, MAX_PATTERNS = (3, 1, 2), 1.5, (1, 3), 17, 12, 10_000
+WEIGHTS, SHARE, REPEAT_COSTS, SEED, LEAST_BITS, BUCKET_ROWS, MAX_PATTERNS = (3, 1, 2), 1.5, (1, 3), 17, 12, 1 << 16, 10_000
 
 
 def targets(sizes: dict, weights=WEIGHTS, share: float = SHARE, most: float = float(len(REPEAT_COSTS))) -> dict:
@@ -140,13 +140,18 @@ def _order(seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1)
 
 
-def slim_rows(docs: DataFrame, members: Column, seed: int, bucket_bits: int) -> DataFrame:
-    """doc_id, members, pattern, size, h, bucket of every document."""
+def bits_for(rows: int) -> int:
+    """Bits of the hash that name a bucket: a bucket holds about BUCKET_ROWS documents
+    at most, however many there are, so the ranked bucket does not grow with a source."""
+    return max(LEAST_BITS, (max(0, rows - 1) // BUCKET_ROWS).bit_length())
+
+
+def slim_rows(docs: DataFrame, members: Column, seed: int) -> DataFrame:
+    """doc_id, members, pattern, size, h of every document."""
     sorted_members = F.array_sort(F.array_distinct(members))  # nulls last
     rows = docs.select("doc_id", F.when(F.size(sorted_members) > 0, sorted_members).otherwise(F.array(F.lit(None).cast("string"))).alias("members"),
                        word_count(F.col("text")).alias("size"), _order(seed).alias("h"))
-    return (rows.withColumn("pattern", F.to_json(F.struct(F.transform("members", lambda x: F.coalesce(F.concat(F.lit("+"), x), F.lit("-"))).alias("m"))))
-            .withColumn("bucket", F.shiftright("h", 63 - bucket_bits)))
+    return rows.withColumn("pattern", F.to_json(F.struct(F.transform("members", lambda x: F.coalesce(F.concat(F.lit("+"), x), F.lit("-"))).alias("m"))))
 
 
 def plan(slim: DataFrame, weights=WEIGHTS, share: float = SHARE, max_patterns: int = MAX_PATTERNS) -> tuple[DataFrame, DataFrame]:
@@ -182,6 +187,7 @@ def cuts(slim: DataFrame, parts: DataFrame, bucket_bits: int) -> DataFrame:
     it in the bucket, the one whose size comes closest to what is left closes
     the last part, unless leaving the rest open is closer still.
     """
+    slim = slim.withColumn("bucket", F.shiftright("h", 63 - bucket_bits))
     sums = slim.groupBy("pattern", "bucket").agg(F.sum("size").alias("n"))
     run = Window.partitionBy("pattern").orderBy("bucket")
     sums = sums.withColumn("before", F.sum("n").over(run) - F.col("n"))
@@ -219,16 +225,16 @@ def takes(rows: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, members: Column | None = None, seed: int = SEED, weights=WEIGHTS, share: float = SHARE,
-        bucket_bits: int = BUCKET_BITS, max_patterns: int = MAX_PATTERNS) -> tuple[DataFrame, DataFrame]:
+        bucket_bits: int | None = None, max_patterns: int = MAX_PATTERNS) -> tuple[DataFrame, DataFrame]:
     """(rows, goals): slim rows with ``takes``, and source_size and target per source.
 
     ``members`` is an array<string> column of the sources a document belongs to;
     by default the one in its ``source`` column.
     """
     members = F.array(F.col("source").cast("string")) if members is None else members
-    slim = pin(slim_rows(docs, members, seed, bucket_bits), "mix")
+    slim = pin(slim_rows(docs, members, seed), "mix")
     parts, goals = plan(slim, weights, share, max_patterns)
-    ends = pin(cuts(slim, parts, bucket_bits), "mix-ends")
+    ends = pin(cuts(slim, parts, bits_for(slim.count()) if bucket_bits is None else bucket_bits), "mix-ends")
     return takes(slim, ends), goals
 
 
@@ -244,9 +250,9 @@ def mix_digest(docs: DataFrame, seed: int = SEED) -> DataFrame:
 def apply_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``docs`` as the mix has them: each document as many times as it is taken,
     all columns kept. The ends are compared with each row's own hash: no join by id."""
-    slim = pin(slim_rows(docs, F.array(F.col("source").cast("string")), seed, BUCKET_BITS), "mix")
+    slim = pin(slim_rows(docs, F.array(F.col("source").cast("string")), seed), "mix")
     parts, _ = plan(slim)
-    ends = pin(cuts(slim, parts, BUCKET_BITS), "mix-ends")
+    ends = pin(cuts(slim, parts, bits_for(slim.count())), "mix-ends")
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id"),
                         F.array(F.col("source").cast("string")).alias("m"))
     keyed = inner.select("_row", "doc_id", _order(seed).alias("h"), F.to_json(F.struct(F.transform(

@@ -96,6 +96,13 @@ comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)"""
 _CRC = """xor(list_reduce(flatten(list_transform(string_split({}::VARCHAR, ''), lambda d: list_transform(range(0, 8), lambda b: (ord(d) >> b) & 1))),
     lambda a, bit: xor(a >> 1, (xor(a, bit) & 1) * 3988292384), 4294967295::BIGINT), 4294967295)"""
 
+#: crc32 of a text's UTF-8 bytes, bit by bit.
+_CRC_BYTES = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(regexp_extract_all(hex(encode({})), '..'),
+    lambda d: list_transform(range(0, 8), lambda b: (('0x' || d)::BIGINT >> b) & 1)))),
+    lambda a, bit: xor(a >> 1, (xor(a, bit) & 1) * 3988292384)), 4294967295)"""
+
+_DRAW = "-ln((('0x' || substr(md5(key || '/' || {}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / {}"
+
 _LEAF = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
 
 SQL = {
@@ -111,6 +118,21 @@ links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q
 n AS (SELECT id, count(*) AS k FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id)
 SELECT e.vec_id, coalesce(n.k, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN comp c ON c.node = e.vec_id LEFT JOIN n ON n.id = e.vec_id""",
+    "op2_hash_tree_shards": f"""
+WITH leaves AS (SELECT i::INTEGER AS shard, 'r' || (i // 8) AS region, 'k' || (i // 4) AS rack, 1::DOUBLE AS weight, unnest([false, true]) AS more FROM range(0, 16) t(i)
+  UNION ALL VALUES (16, 'r+16', 'k+16', 1, true)),
+keys AS (SELECT DISTINCT coalesce(doc_id::VARCHAR, chr(0) || 'null') AS key FROM documents),
+a AS (SELECT key, more, region FROM keys, (SELECT more, region, sum(weight) AS w FROM leaves GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY key, more ORDER BY {_DRAW.format("'region:' || region", "w")}, region) = 1),
+b AS (SELECT key, more, region, rack FROM a JOIN (SELECT more, region, rack, sum(weight) AS w FROM leaves GROUP BY ALL) USING (more, region)
+  QUALIFY row_number() OVER (PARTITION BY key, more ORDER BY {_DRAW.format("'rack:' || region || ':' || rack", "w")}, rack) = 1),
+c AS (SELECT key, more, shard FROM b JOIN leaves USING (more, region, rack)
+  QUALIFY row_number() OVER (PARTITION BY key, more ORDER BY {_DRAW.format("'shard:' || region || '/' || rack || ':' || shard", "weight")}, shard::VARCHAR) = 1),
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, chr(0) || 'null') AS key, coalesce(strlen(text), 0) + 1 AS size, CASE WHEN text IS NOT NULL THEN {_CRC_BYTES.format("text")} END AS text_crc32 FROM documents)
+SELECT doc_id, size, text_crc32, 'key' AS law, c.shard,
+  row_number() OVER (PARTITION BY c.shard ORDER BY {_CRC.format("concat_ws('/', doc_id, size, text_crc32)")} % 1024, doc_id NULLS FIRST, size, text_crc32 NULLS FIRST) - 1 AS slot,
+  g.shard AS grown_shard
+FROM d JOIN c ON c.key = d.key AND NOT c.more JOIN c g ON g.key = d.key AND g.more""",
     "op3_minhash_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
