@@ -1076,6 +1076,32 @@ def q_profile_json(spark, d):
     return spark.read.schema(sm.schema).json(path)
 
 
+_MISSING = {c: f"count(*) - count({c})" for c in _GAPPED_COLS}
+
+
+@register("schema_json", f"""
+SELECT 'orders' AS dataset_name, count(*) AS rows, '{','.join(_GAPPED_COLS)}' AS columns,
+  '{','.join(t for _, t, _ in _GAPPED_TYPES)}' AS dtypes,
+  concat_ws(',', {', '.join(f"({m})::VARCHAR" for m in _MISSING.values())}) AS missing_counts,
+  '{','.join(c for c, _, k in _GAPPED_TYPES if k == "numeric")}' AS numeric_columns,
+  '{','.join(c for c, _, k in _GAPPED_TYPES if k == "text")}' AS text_columns,
+  '{','.join(c for c, _, k in _GAPPED_TYPES if k == "datetime")}' AS datetime_columns,
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {GAPPED})) AS duplicates,
+  {_r(f"100.0 * (count(*) * {len(_MISSING)} - ({' + '.join(f'({m})' for m in _MISSING.values())})) / (count(*) * {len(_MISSING)})", 2)} AS completeness,
+  true AS dated
+FROM {GAPPED}""")
+def q_schema_json(spark, d):
+    """The whole schema map, read back from the JSON sink."""
+    doc = profile.schema_document(gapped_orders(spark, d), "orders")
+    back = spark.read.schema(doc.schema).json(sources.write_json(doc, scratch_path(spark, "schema_json")))
+    names = F.col("columns")
+    return back.select("dataset_name", "rows", F.array_join(names, ",").alias("columns"),
+                       F.array_join(F.transform(names, lambda c: F.col("dtypes")[c]), ",").alias("dtypes"),
+                       F.array_join(F.transform(names, lambda c: F.col("missing_counts")[c].cast("string")), ",").alias("missing_counts"),
+                       *[F.array_join(F.col("column_types")[k], ",").alias(f"{k}_columns") for k in ("numeric", "text", "datetime")],
+                       "data_quality.duplicates", "data_quality.completeness", F.col("generated_at").isNotNull().alias("dated"))
+
+
 # ---------------------------------------------------------------- the same operators on text, arrays, labels
 @register("text_duplicates", f"""
 WITH g AS (SELECT count(*) AS n FROM documents GROUP BY text)

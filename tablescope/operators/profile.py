@@ -24,6 +24,8 @@ from ..functions.quantiles import quantile_values, quantiles
 
 #: Columns whose exact moments one aggregation computes: more would not compile into one method.
 MOMENT_COLUMNS = 4
+#: Longer texts are compared by length and 128-bit digest, as a shuffle key of whole texts would carry them.
+WHOLE_BYTES = 64
 
 
 def _present(df: DataFrame, c: str) -> Column:
@@ -104,14 +106,31 @@ def _groupable(df: DataFrame) -> list[Column]:
     return out
 
 
+def _row_keys(df: DataFrame) -> list[Column]:
+    """Narrow keys that are equal where rows are: a text or binary value of more than
+    ``WHOLE_BYTES`` is known by its 128-bit digest and its length, so whole texts are not
+    shuffled; every other value stands for itself."""
+    out = []
+    for i, (f, c) in enumerate(zip(df.schema.fields, _groupable(df))):
+        plain = isinstance(f.dataType, T.BinaryType) or isinstance(f.dataType, T.StringType) and f.dataType == T.StringType()
+        if not plain:  # numbers, times, nested values, and texts whose collation decides what is equal
+            out.append(c.alias(f"_k{i}"))
+            continue
+        long = F.octet_length(col_of(f.name)) > WHOLE_BYTES
+        out += [F.when(~long, col_of(f.name)).alias(f"_k{i}"), F.when(long, F.octet_length(col_of(f.name))).alias(f"_l{i}"),
+                F.when(long, F.unhex(F.md5(col_of(f.name)))).alias(f"_d{i}")]
+    return out
+
+
 def duplicates(df: DataFrame, digits: int = 1) -> DataFrame:
     """``(rows, duplicate_rows, duplicate_pct)``; a duplicate is a row equal to an
     earlier one (NULL equals NULL, NaN equals NaN).
 
     One map-side-combined group-by over all columns: a row repeated a billion
-    times costs one row per partition in the shuffle.
+    times costs one row per partition in the shuffle, and a long text its digest.
     """
-    groups = df.select(*_groupable(df)).groupBy(*map(col_of, df.columns)).agg(F.count(F.lit(1)).alias("_n"))
+    keyed = df.select(*_row_keys(df))
+    groups = keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),
@@ -291,6 +310,32 @@ def schema_map(df: DataFrame, approx: bool = False, digits: int = 1, stat_digits
                     "min", "max", "mean"))
 
 
+def schema_document(df: DataFrame, name: str | None = None, digits: int = 2) -> DataFrame:
+    """The whole schema map as one row, ready for the JSON sink: ``dataset_name``,
+    ``rows``, ``columns`` (names in order), ``dtypes`` and ``missing_counts`` (column -> type,
+    column -> missing values), ``column_types`` (names by class), ``data_quality``
+    (``duplicates``, ``completeness`` in percent, NULL for a table without cells) and
+    ``generated_at``. One scan: rows are counted once per distinct row, and gaps are
+    summed over the same groups."""
+    keys, fields = _row_keys(df), df.schema.fields
+    keyed = df.select(*keys, *[_present(df, f.name).isNotNull().alias(f"_p{i}") for i, f in enumerate(fields)])
+    groups = keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("_n"))  # the flags follow from the keys
+    row = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("_dup"),
+                     *[F.coalesce(F.sum(F.when(~F.col(f"_p{i}"), F.col("_n"))), F.lit(0)).alias(f"_m{i}") for i in range(len(fields))])
+    cells, gaps = F.col("_rows") * len(fields), reduce(Column.__add__, [F.col(f"_m{i}") for i in range(len(fields))], F.lit(0).cast("long"))
+
+    def texts(values) -> Column:
+        return F.array(*map(F.lit, values)).cast("array<string>")
+    classes = F.struct(*[texts([f.name for f in fields if type_class(f.dataType) == k]).alias(k) for k in (NUMERIC, TEXT, DATETIME, BOOLEAN)])
+    return row.select(
+        F.lit(name).cast("string").alias("dataset_name"), F.col("_rows").alias("rows"), texts(df.columns).alias("columns"),
+        F.map_from_arrays(texts(df.columns), texts([f.dataType.simpleString() for f in fields])).alias("dtypes"),
+        F.map_from_arrays(texts(df.columns), F.array(*[F.col(f"_m{i}") for i in range(len(fields))]).cast("array<long>")).alias("missing_counts"),
+        classes.alias("column_types"),
+        F.struct(F.col("_dup").alias("duplicates"), pct(cells - gaps, cells, digits).alias("completeness")).alias("data_quality"),
+        F.current_timestamp().alias("generated_at"))
+
+
 def columns_in_class(df: DataFrame, klass: str) -> list[str]:
     """Names of the columns of a type class (numeric, text, datetime, boolean)."""
     return columns_of_class(df, klass)
@@ -298,5 +343,5 @@ def columns_in_class(df: DataFrame, klass: str) -> list[str]:
 
 __all__ = ["columns_by_type", "types", "column_counts", "overview", "overview_of", "missing", "missing_of",
            "completeness_of", "duplicates", "describe_numeric",
-           "describe_text", "describe_all", "column_profile", "top_values", "samples", "completeness", "schema_map",
+           "describe_text", "describe_all", "column_profile", "top_values", "samples", "completeness", "schema_map", "schema_document",
            "columns_in_class"]

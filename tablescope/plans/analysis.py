@@ -99,12 +99,14 @@ def analyse_table(df: DataFrame, value_col: str | None = None, group_col: str |
 
 def run(spark: SparkSession, path: str, out_dir: str, value_col: str | None = None,
         group_col: str | None = None, date_col: str | None = None, freq: str = "M") -> dict[str, Findings]:
-    """Load a delimited file, inspect, clean (writing the cleaned table, schema map
-    and log under ``out_dir``) and analyse the cleaned table as written (its
+    """Load a delimited file, inspect, clean (writing the cleaned table, the schema map
+    by column and as one document, and the log under ``out_dir``) and analyse the cleaned table as written (its
     lineage is cut there, as the reference's analysis reloads the cleaned file)."""
     raw = sources.read_delimited(spark, path)
     inspected = inspect_table(raw)
     sources.write_json(inspected["schema_map"], f"{out_dir.rstrip('/')}/schema_map")
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    sources.write_json(profile.schema_document(raw, name), f"{out_dir.rstrip('/')}/schema_document")
     cleaned, cleaning = clean_table(raw, out_dir)
     analysed = analyse_table(cleaned, value_col, group_col, date_col, freq)
     return {"inspection": inspected, "cleaning": cleaning, "analysis": analysed}
