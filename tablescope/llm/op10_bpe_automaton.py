@@ -32,7 +32,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 from operator import itemgetter
 
@@ -69,6 +71,11 @@ def read_vocabulary(path: str) -> dict:
     return {"labels": labels, "merges": merges, "special": special}
 
 
+#: Bytes by which the tokens that may begin a string are looked up; the lengths below that are always tried.
+HEAD = 4
+SHORT = tuple(range(HEAD - 1, 0, -1))
+
+
 class Automaton:
     """States are named by the label that leads to them; -1 is the start."""
 
@@ -85,7 +92,27 @@ class Automaton:
             self._gadget(u, v, w, time)
         self.arcs: dict[tuple[int, int], bool] = {}
         self.match: dict[bytes, int] = {labels[i]: i for i in self.forbidden if i != -1}
-        self.longest = max(map(len, self.match), default=0)
+        self.length: dict[int, int] = {i: len(label) for label, i in self.match.items()}
+        self.sizes: dict[bytes, tuple[int, ...]] = self._sizes()
+        # token -> the longest token that its label begins with, itself not counted; -1: none
+        self.shorter: dict[int, int] = {i: self._longest(label[:-1]) for label, i in self.match.items()}
+
+    def _sizes(self) -> dict[bytes, tuple[int, ...]]:
+        """The first bytes of a string -> the lengths that tokens beginning so have, longest first, then all smaller ones."""
+        found: dict[bytes, set[int]] = {}
+        for label in self.match:
+            if len(label) >= HEAD:
+                found.setdefault(label[:HEAD], set()).add(len(label))
+        return {head: (*sorted(sizes, reverse=True), *SHORT) for head, sizes in found.items()}
+
+    def _longest(self, word: bytes, at: int = 0) -> int:
+        """The longest token that ``word`` has at ``at``; -1: none. A slice beyond the end
+        is the rest of the word, which no longer match can beat."""
+        for size in self.sizes.get(word[at:at + HEAD], SHORT):
+            token = self.match.get(word[at:at + size])
+            if token is not None:
+                return token
+        return -1
 
     def _gadget(self, u: int, v: int, w: int, time: int) -> None:
         if u not in self.forbidden or v not in self.forbidden or w in self.forbidden or not self._open(u, v, time):
@@ -120,64 +147,99 @@ class Automaton:
         return there
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
+        """The accepted path. What matches at a position is the longest match there and,
+        one after another, the next shorter token that begins it."""
         n, path, dead = len(word), [], set()
-        at, size, state = 0, self.longest, -1
-        while at < n:
-            size = min(size, n - at)
-            while size:
-                token = self.match.get(word[at:at + size])
-                if token is not None and (at + size, token) not in dead and self.step(state, token):
+        if not n:
+            return ()
+        length, shorter, arcs, longest = self.length, self.shorter, self.arcs, self._longest
+        at, state, token = 0, -1, longest(word)
+        while True:
+            while token != -1:
+                there = arcs.get((state, token))
+                if (self.step(state, token) if there is None else there) and (not dead or (at + length[token], token) not in dead):
                     break
-                size -= 1
-            if size:
+                token = shorter[token]
+            if token != -1:
                 path.append(token)
-                at, state, size = at + size, token, self.longest
+                at, state = at + length[token], token
+                if at == n:
+                    return tuple(path)
+                token = longest(word, at)
                 continue
             if not path:
                 raise ValueError("a byte of the word is not in the vocabulary")
             dead.add((at, state))
             last = path.pop()
-            at -= len(self.labels[last])
-            size, state = len(self.labels[last]) - 1, path[-1] if path else -1
-        return tuple(path)
+            at, state, token = at - length[last], path[-1] if path else -1, shorter[last]
 
     def decode(self, ids) -> bytes:
         """The arc labels, one after another."""
         return b"".join(map(self.labels.__getitem__, ids))
 
 
+def _members(property_: str) -> str:
+    """The characters up to U+FFFF that ``property_`` matches, as the inside of a character class."""
+    every, out = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x10000)))), []
+    for run in regex.finditer(property_ + "+", every):
+        out.append(f"\\u{ord(run[0][0]):04x}-\\u{ord(run[0][-1]):04x}")
+    return "".join(out)
+
+
+@cache
+def _plain_pattern() -> re.Pattern:
+    """SPLIT for texts without characters above U+FFFF: the same classes written out, for
+    the faster ``re``. Only an apostrophe begins a short form, so its place does not matter."""
+    letter, number, space = map(_members, (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(f" ?[{letter}]+| ?[{number}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
+def _pieces(pattern: regex.Pattern, plain: re.Pattern, text: str) -> list[str]:
+    above = not text.isascii() and len(text.encode("utf-16-le")) > 2 * len(text)
+    return (pattern if above else plain).findall(text)
+
+
 def splitter(special: dict):
-    pattern = regex.compile(SPLIT)
+    pattern, plain = regex.compile(SPLIT), _plain_pattern()
     parts = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def split(text: str):
         """(is special, string) pieces of a whole text."""
         if parts is None or not any(s in text for s in special):
-            return [(False, pattern.findall(text))]
-        return [(True, p) if p in special else (False, pattern.findall(p)) for p in parts.split(text) if p]
+            return [(False, _pieces(pattern, plain, text))]
+        return [(True, p) if p in special else (False, _pieces(pattern, plain, p)) for p in parts.split(text) if p]
     return split
 
 
-#: Words that a Python worker remembers; then it starts anew.
+#: Words that a Python worker remembers before the older ones go; at most twice as many are held.
 REMEMBERED = 100_000
 
 
 class _Words(dict):
-    """word -> (ids, ids as text if they are wanted), filled by the automaton, bounded."""
+    """word -> (ids, ids as text if they are wanted), filled by the automaton, bounded:
+    when full, all words become old ones, and old ones not met again till it is full once more go."""
 
     def __init__(self, automaton: Automaton, said: bool):
         super().__init__()
-        self.automaton, self.said = automaton, said
+        self.automaton, self.said, self.old = automaton, said, {}
 
     def __missing__(self, word: str):
-        if len(self) > REMEMBERED:
+        out = self.old.pop(word, None)
+        if out is None:
+            ids = self.automaton.encode_word(word.encode())
+            out = (ids, ",".join(map(str, ids)) if self.said else "")
+            if len(word) > 64:
+                return out
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        ids = self.automaton.encode_word(word.encode())
-        out = (ids, ",".join(map(str, ids)) if self.said else "")
-        if len(word) <= 64:
-            self[word] = out
+        self[word] = out
         return out
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 def _encoder(vocabulary, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +277,7 @@ def _encoder(vocabulary, digest: bool):
                                                       pa.array(right, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
-        words.clear()  # an idle worker holds the automaton alone
+        words.forget()  # an idle worker holds the automaton alone
     return run
 
 
