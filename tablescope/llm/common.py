@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import sys
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,27 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pin(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: the lineage is cut,
     later readers scan the files, and losing an executor loses nothing."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    with shuffles_go(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Spark's setting: shuffle files go when the query that made them ends, not when the driver next collects its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_go(spark: SparkSession):
+    """Meanwhile shuffle files of a finished query are removed. Only for writes: a write plans
+    its own shuffles, which nothing reads later."""
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLES_GO) if before is None else spark.conf.set(SHUFFLES_GO, before)
 
 
 #: Rows of whole texts that are handed to Python at once.
